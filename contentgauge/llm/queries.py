@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contentgauge.llm import decontaminate, embedding_dedup, html_extract, line_dedup, piece_codec, quality, substring_dedup, token_counts, url_filters
+from contentgauge.llm import decontaminate, embedding_dedup, html_extract, jaccard_join, line_dedup, piece_codec, quality, substring_dedup, token_counts, url_filters
 from contentgauge.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
@@ -38,6 +38,10 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -58,7 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_token_counts, op3_sentencepiece, op4_substring_dedup, op5_embedding_dedup,
-        op7_url_filters, op8_html_extract, op9_line_dedup, op10_quality_classifier,
+        op6_jaccard_join, op7_url_filters, op8_html_extract, op9_line_dedup, op10_quality_classifier,
     )
 }
 
@@ -93,6 +97,15 @@ r AS (SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT l.b, r.
 c AS (SELECT node AS vec_id, min(root) AS component_id FROM r GROUP BY node),
 n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)""",
+    "op6_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS g FROM d, generate_series(1, greatest(len(w) - 4, 1)) AS s(k) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON r.node = l.a),
+c AS (SELECT node AS doc_id, min(root) AS component_id FROM r GROUP BY node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM c LEFT JOIN n USING (doc_id)""",
     "op9_line_dedup": r"""
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
 k AS (SELECT *, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
