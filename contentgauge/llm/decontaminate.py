@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contentgauge.llm.common import join_ids, materialize
+
 WINDOW = 10
 #: Bytes of benchmark text in one automaton; a larger benchmark is dealt into several, each scanned in turn.
 SHARD_BYTES = 8 << 20
@@ -158,11 +159,13 @@ def _united(name: str):
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without rows that hold a benchmark window; all columns stay. A row without text is kept."""
-    flags = scan_documents(docs, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    flags = flags.filter("_hit is not null")
-    clean = docs.join(flags.hint("shuffle_hash"), docs["doc_id"].cast("bigint") == F.col("_hit"), "left_anti")
-    return clean
+    """docs without the documents that hold a benchmark window; all columns stay.
+
+    Rows of a doc_id go together; rows without text, or without a doc_id, are kept.
+    """
+    hit = materialize(scan_documents(docs, benchmark, window).filter("contaminated and doc_id is not null").select(F.col("doc_id").alias("_hit")).distinct())
+    marked = docs.withColumn("_hit", F.col("doc_id").cast("bigint"))
+    return join_ids(marked, hit, ["_hit"], "left_anti").select(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -172,6 +175,3 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated",
     )
 
-
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

@@ -336,3 +336,13 @@ def link_documents(docs: DataFrame) -> DataFrame:
     least = known.groupBy("root").agg(F.min("first").alias("component"))
     known = known.join(least.hint("shuffle_hash"), "root").select("node", "component")
     return own.join(known.hint("shuffle_hash"), "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """docs with one document, the smallest doc_id, of each component; all columns stay.
+
+    Rows of a doc_id go together, if one of them is linked to a smaller doc_id; rows without a doc_id are kept.
+    """
+    gone = materialize(link_documents(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    marked = docs.withColumn("_gone", F.col("doc_id").cast("bigint"))
+    return join_ids(marked, gone, ["_gone"], "left_anti").select(*docs.columns)
