@@ -12,8 +12,10 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contentgauge.llm.common import materialize
+
 MIN_CHARS = 10
-#: Of the keys with at least HOT_LINES lines in a sample of documents, the HOT_KEYS most frequent are hot: their first
+#: Of the keys with at least HOT_LINES lines in a sample, the HOT_KEYS most frequent are hot: their first
 #: document comes from a pre-aggregated minimum and not from one sorted stream. Either way gives the same result.
 SAMPLE, HOT_LINES, HOT_KEYS = 0.02, 50, 200
 _SPACE = " \t\n\x0b\x0c\r"
@@ -41,15 +43,15 @@ def _hashed(docs: DataFrame, min_chars: int) -> DataFrame:
     return lines.select("_doc", "_text", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(7), "_key").alias("_h2"))
 
 
-def _hot_hashes(docs: DataFrame, min_chars: int) -> list[int]:
-    counts = _hashed(docs.sample(SAMPLE, seed=11), min_chars).groupBy("_h1").count().filter(F.col("count") >= HOT_LINES)
+def _hot_hashes(lines: DataFrame) -> list[int]:
+    counts = lines.sample(SAMPLE, seed=11).groupBy("_h1").count().filter(F.col("count") >= HOT_LINES)
     return [r["_h1"] for r in counts.orderBy(F.desc("count"), "_h1").limit(HOT_KEYS).collect()]
 
 
 def _later_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """Lines whose key an earlier document holds too: _doc, _text, _pos."""
-    lines, parts = _hashed(docs, min_chars), []
-    if hot := _hot_hashes(docs, min_chars):
+    lines, parts = materialize(_hashed(docs, min_chars)), []  # read for the sample, the hot keys, the ranges and the streams
+    if hot := _hot_hashes(lines):
         own = lines.filter(F.col("_h1").isin(hot))
         first = own.groupBy(*_KEY).agg(F.min("_doc").alias("_first"))  # a row for each hot key
         parts.append(own.join(F.broadcast(first), _KEY))
