@@ -32,6 +32,16 @@ CLAIMS = [
 CITATIONS = [
     r"\[\d+\]", r"\(\w+,? \d{4}\)", r"according to\s+[\w\s]+(university|institute|organization|agency|department)", r"source:\s*[\w\s]+", "cited by", "study by", "research by", "report by",
 ]
+PRIVACY = [
+    "privacy policy", "privacy notice", "privacy statement", "data protection", "privacy & terms", "privacy and terms", "cookie policy", "privacy center", "your privacy", "legal", "terms of use",
+    "terms of service", "cookie preferences", "cookie settings", "personal information", "data privacy", "/privacy", "/terms",
+]
+LANDING = ["/about", "/home", "/product/", "/service/", "/solution/"]
+SOCIAL_CHANNELS = ["reddit", "twitter", "facebook", "instagram"]
+ENGAGED_CHANNELS = ["amazon", "etsy", "facebook", "instagram", "reddit", "tiktok", "tripadvisor", "twitter", "yelp", "youtube"]
+JOB_PARTS = ["careers.", "jobs.", "/careers/", "/jobs/", "apply.", "greenhouse.io", "lever.co", "workday.com", "taleo.net", "jobvite.com", "indeed.com", "linkedin.com/jobs"]
+DOC_PARTS = ["docs.", "/docs/", "/documentation/", "developer.", "/api/", "help.", "/help/", "support.", "/kb/", "wiki.", ".gov", ".edu", ".mil"]
+DISCUSSED = ["/reviews/", "/community/", "/forum/", "/comments/"]
 SOCIAL = ["instagram.com", "linkedin.com", "twitter.com", "x.com", "facebook.com", "tiktok.com"]
 TRUSTED_SOURCES = {"amazon": 8.0, "reddit": 7.0, "youtube": 7.0}
 TRUSTED_SUFFIXES = [".gov", ".edu", ".org", "nytimes.com", "wsj.com", "bbc.com", "reuters.com"]
@@ -70,6 +80,24 @@ def low_text() -> Column:
     return F.col("_low")
 
 
+def content_type() -> Column:
+    """blog, news, article or landing_page by url; else the type in meta or in schema.org; else by channel."""
+    low, kind = F.col("_url"), F.lower(F.coalesce(meta("type"), F.lit("")))
+    schema = F.coalesce(F.regexp_extract(F.coalesce(meta("schema_org"), F.lit("")), r'"@type"\s*:\s*"(\w*(?:Article|BlogPosting))"', 1), F.lit(""))
+    return (
+        F.when(low.contains("/blog/"), "blog").when(contains_any(low, ["/news/", "/story/"]), "news").when(contains_any(low, ["/article/", "/post/"]), "article")
+        .when(low.endswith("/") | contains_any(low, LANDING), "landing_page").when(kind.isin("article", "blog", "news", "blogposting", "newsarticle"), kind)
+        .when(schema.contains("Blog"), "blog").when(schema.contains("Article"), "article").when(F.col("channel").isin(SOCIAL_CHANNELS), "social_post").when(F.col("channel").isin("youtube", "tiktok"), "video").otherwise("other")
+    )
+
+
+def is_engaging() -> Column:
+    """Whether votes and ratings are to be expected."""
+    low, kind = F.col("_url"), F.lower(F.coalesce("platform_type", F.lit("")))
+    owned = (kind == "owned") & (F.lower(F.coalesce("source_type", F.lit(""))) == "brand_owned") & ~contains_any(low, DISCUSSED)
+    return F.lower(F.coalesce("channel", F.lit(""))).isin(ENGAGED_CHANNELS) | kind.isin("social", "marketplace") | ~(contains_any(low, JOB_PARTS) | owned | contains_any(low, DOC_PARTS))
+
+
 def readability() -> Column:
     """By the median of words per sentence; the words of each sentence come from with_sentences."""
     n = F.size("_counts")
@@ -128,9 +156,12 @@ def coherence() -> list[Column]:
     links = F.size(F.regexp_extract_all(low, F.lit("(https?://[!$-_a-z]+)"), 1))
     rate = F.coalesce(F.try_to_number(meta("broken_links"), F.lit("999999")).cast("double"), F.lit(0.0)) / links
     broken = F.when(links > 0, F.when(rate < 0.01, 10.0).when(rate < 0.05, 7.0).when(rate < 0.1, 4.0).otherwise(1.0))
+    votes, rating = F.coalesce("upvotes", F.lit(0)), F.coalesce("rating", F.lit(0.0))
+    trust = F.when((votes > 50) & (rating > 4), 10.0).when((votes > 10) & (rating > 3), 7.0).when((votes > 5) | (rating > 2), 6.0).when((rating < 2) & (rating > 0), 3.0)
     mail = F.when((F.col("channel") == "email") & (F.coalesce(meta("landing_page_match"), F.lit("")) == "false"), 2.0)
     return [
         found("brand_voice_consistency_score", "coherence", F.when(slang, 4.0).otherwise(10.0), F.when(slang, 0.7).otherwise(0.6)), found("broken_link_rate", "coherence", broken, 0.8),
+        found("engagement_to_trust_correlation", "coherence", F.when(is_engaging(), trust), 0.6),
         found("claim_consistency_across_pages", "coherence", F.when(clash, 3.0), 0.6), found("email_asset_consistency_check", "coherence", mail, 0.9),
     ]
 
@@ -148,7 +179,11 @@ def transparency() -> list[Column]:
     disclosed, site = contains_any(low, AI_DISCLOSED) | is_true("ai_generated"), is_true("has_global_ai_disclosure")
     contact = has_key("contact_url", "email", "phone", "address") | low.rlike(r"(?U)[\w.-]+@[\w.-]+\.\w+") | contains_any(low, CONTACT)
     value, confidence = citations()
+    policy = contains_any(F.col("_url"), ["privacy", "legal", "terms"])
+    linked = has_key("privacy_policy_url", "privacy_url", "privacy_policy_link") | contains_any(low, PRIVACY)
+    missed = content_type().isin("landing_page", "other") & (F.lower(F.coalesce("platform_type", F.lit(""))) == "owned")
     return [
+        found("privacy_policy_link_availability_clarity", "transparency", F.when(policy | linked, 10.0).when(missed, 2.0), F.when(policy, 0.95).when(linked, 0.9).otherwise(0.7)),
         found("ai_explainability_disclosure", "transparency", F.when(uses, F.when(explained, 10.0).otherwise(2.0)), F.when(explained, 0.9).otherwise(0.8)),
         found("ai_generated_assisted_disclosure_present", "transparency", F.when(disclosed, 10.0).when(site, 8.0).otherwise(1.0), F.when(~disclosed & site, 0.9).otherwise(1.0)),
         found("caption_subtitle_availability_accuracy", "transparency", F.when(F.col("src") == "youtube", F.when(is_true("has_captions"), 10.0).otherwise(1.0)), 1.0),
@@ -162,12 +197,14 @@ def verification() -> list[Column]:
     value, confidence = citations()
     hidden = contains_any(low, COMMERCIAL) & ~contains_any(low, AD_LABELS)
     verified, amazon, helpful = is_true("verified_purchase"), F.col("src") == "amazon", F.coalesce("helpful_count", F.lit(0.0))
+    votes = F.coalesce("upvotes", F.lit(0))
+    engaged = F.when(content_type().isin("blog", "article", "news", "social_post"), F.when((votes > 100) | (helpful > 10), 9.0).when(votes > 10, 7.0).otherwise(5.0))
     reviews = low.contains("reviews")
     stars = low.rlike(r"[0-9](\.[0-9])?\s*(out of|/)\s*5")
     review = F.when(amazon, F.when(verified & (helpful > 5), 10.0).when(verified, 8.0).otherwise(5.0)).when(reviews & stars, 8.0).when(reviews, 6.0)
     return [
         found("claim_to_source_traceability", "verification", value, confidence), found("ad_sponsored_label_consistency", "verification", F.when(hidden, 1.0), 0.8),
-        found("influencer_partner_identity_verified", "verification", F.when(is_true("influencer_verified") | is_true("verified"), 10.0), 1.0),
+        found("engagement_authenticity_ratio", "verification", engaged, 0.6), found("influencer_partner_identity_verified", "verification", F.when(is_true("influencer_verified") | is_true("verified"), 10.0), 1.0),
         found("review_authenticity_confidence", "verification", review, F.when(amazon, 0.7).when(stars, 0.6).otherwise(0.5)),
         found("verified_purchaser_review_rate", "verification", F.when(amazon, F.when(verified, 10.0).otherwise(3.0)), 1.0),
         found("agent_safety_guardrail_presence", "verification", F.when((F.col("modality") == "agent") & (F.coalesce(meta("safety_guardrails"), F.lit("")) == "false"), 1.0), 1.0),

@@ -20,12 +20,13 @@ def _strip(x: Column) -> Column:
 
 
 def with_text(df: DataFrame) -> DataFrame:
-    """Lower-cased text once for all detectors: _body, _low (body and title), _margin (footer and header)."""
+    """Lower-cased text once for all detectors: _body, _low (body and title), _margin (footer and header), _url; columns that are not there are null."""
     part = lambda c: F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("")
     meta = {} if "meta" in df.columns else {"meta": F.create_map().cast("map<string,string>")}
-    more = {c: F.lit(None).cast("string") for c in ("url",) if c not in df.columns}
+    kinds = {"url": "string", "platform_type": "string", "source_type": "string", "upvotes": "int", "rating": "double", "helpful_count": "double"}
+    more = {c: F.lit(None).cast(kind) for c, kind in kinds.items() if c not in df.columns}
     return df.withColumns(meta | more).withColumns(
-        {"_body": F.lower(part("body")), "_low": F.lower(F.concat(part("body"), F.lit(" "), part("title"))), "_margin": F.lower(F.concat(part("footer_text"), F.lit(" "), part("header_text")))}
+        {"_url": F.lower(F.coalesce("url", F.lit(""))), "_body": F.lower(part("body")), "_low": F.lower(F.concat(part("body"), F.lit(" "), part("title"))), "_margin": F.lower(F.concat(part("footer_text"), F.lit(" "), part("header_text")))}
     )
 
 
@@ -50,8 +51,8 @@ def with_sentences(df: DataFrame) -> DataFrame:
 def detect_attributes(content: DataFrame, keys: list[str], enabled: list[str] | None = None, dimensions: tuple[str, ...] = tuple(BY_DIMENSION)) -> DataFrame:
     """A row for each content row (keys) and attribute found: attribute_id, dimension, value (1 to 10), confidence, status.
 
-    content has body, title, src, modality, channel, helpful_count and, where known, url, meta, footer_text and
-    header_text. Rules are columns of one projection over text lower-cased once; nothing is shuffled.
+    content has body, title, src, modality, channel and, where known, url, meta, platform_type, source_type, upvotes,
+    rating, helpful_count, footer_text and header_text. Rules are columns of one projection over text lower-cased once; nothing is shuffled.
     """
     df = with_text(content)
     if "resonance" in dimensions:

@@ -41,6 +41,9 @@ _T = f"WITH {CONTENT_SQL}, t AS (SELECT *, lower(body) AS b, lower(body || ' ' |
 _ROWS = [
     _row("brand_voice_consistency_score", "coherence", f"CASE WHEN {_SLANG} THEN 4 ELSE 10 END", f"CASE WHEN {_SLANG} THEN 0.7 ELSE 0.6 END"),
     _row("broken_link_rate", "coherence", f"CASE WHEN {_LINKS} > 0 THEN 10 END", "0.8"),
+    _row("engagement_to_trust_correlation", "coherence", "CASE WHEN upvotes > 50 AND rating > 4 THEN 10 WHEN upvotes > 10 AND rating > 3 THEN 7 WHEN upvotes > 5 OR rating > 2 THEN 6 WHEN rating < 2 AND rating > 0 THEN 3 END", "0.6"),
+    _row("privacy_policy_link_availability_clarity", "transparency", f"CASE WHEN {_any('low', D.PRIVACY)} THEN 10 END", "0.9"),
+    _row("engagement_authenticity_ratio", "verification", "CASE WHEN channel = 'reddit' THEN CASE WHEN upvotes > 100 OR helpful_count > 10 THEN 9 WHEN upvotes > 10 THEN 7 ELSE 5 END END", "0.6"),
     _row("claim_consistency_across_pages", "coherence", f"CASE WHEN {_CLASH} THEN 3 END", "0.6"),
     _row("ai_explainability_disclosure", "transparency", f"CASE WHEN {_any('low', D.AI_FEATURES)} THEN CASE WHEN {_any('low', D.EXPLAINED)} THEN 10 ELSE 2 END END", f"CASE WHEN {_any('low', D.EXPLAINED)} THEN 0.9 ELSE 0.8 END"),
     _row("ai_generated_assisted_disclosure_present", "transparency", f"CASE WHEN {_any('low', D.AI_DISCLOSED)} THEN 10 ELSE 1 END", "1.0"),
