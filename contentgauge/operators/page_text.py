@@ -1,0 +1,107 @@
+"""Text of pages by structure: a small parser makes a row for each element with text, Spark does the rest."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_SILENT = frozenset("script style noscript template head".split())
+_UNITS = frozenset("h1 h2 h3 h4 h5 h6 p li td th".split())
+_FOOTER, _HEADER = re.compile("footer|site-info|copyright", re.I), re.compile("header|top-bar|nav", re.I)
+
+
+class _Elements(HTMLParser):
+    """Rows (tag, classes, region, text) in page order: units with the text inside them, and runs of text as #text."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, str, str, int | None]] = []  # name, region, classes, row
+        self.rows: list[list] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _VOID:
+            return
+        a = {k: v or "" for k, v in attrs}
+        classes, role, region = a.get("class", ""), a.get("role", ""), self.open[-1][1] if self.open else "rest"
+        if region in ("rest", "main"):  # header and footer hold what is in them
+            if tag == "footer" or role == "contentinfo" or _FOOTER.search(classes):
+                region = "footer"
+            elif tag == "header" or role == "banner" or _HEADER.search(classes):
+                region = "header"
+            elif tag in ("main", "article") or role == "main":
+                region = "main"
+        row = None
+        if tag in _UNITS:
+            row = len(self.rows)
+            self.rows.append([tag, classes, region, []])
+        self.open.append((tag, region, classes, row))
+
+    def handle_endtag(self, tag):
+        for at in range(len(self.open) - 1, -1, -1):
+            if self.open[at][0] == tag:
+                del self.open[at:]
+                return
+
+    def handle_data(self, data):
+        if not (text := " ".join(data.split())) or any(name in _SILENT for name, _, _, _ in self.open):
+            return
+        self.rows.append(["#text", "", self.open[-1][1] if self.open else "rest", [text]])
+        for _, _, _, row in self.open:
+            if row is not None:
+                self.rows[row][3].append(text)
+
+
+def page_elements(pages: DataFrame) -> DataFrame:
+    """page_id, pos, tag, classes, region (main, header, footer, rest) and text of every element with text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("page_id", pa.int64()), ("pos", pa.int32()), ("tag", pa.string()), ("classes", pa.string()), ("region", pa.string()), ("text", pa.string())])
+        for b in batches:
+            rows = []
+            for page, html in zip(b.column("page_id").to_pylist(), b.column("html").to_pylist(), strict=True):
+                parser = _Elements()
+                parser.feed(html or "")
+                parser.close()
+                rows += [{"page_id": page, "pos": k, "tag": t, "classes": c, "region": r, "text": " ".join(x)} for k, (t, c, r, x) in enumerate(parser.rows) if x]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return pages.select("page_id", "html").mapInArrow(run, "page_id bigint, pos int, tag string, classes string, region string, text string")
+
+
+def _joined(where: Column) -> Column:
+    own = F.array_sort(F.collect_list(F.when(where, F.struct("pos", "text"))))
+    return F.array_join(F.transform(own, lambda r: r["text"]), " ")
+
+
+def segments(elements: DataFrame) -> DataFrame:
+    """main, header and footer text of each page; without a main region, all that is in neither header nor footer."""
+    runs = elements.filter("tag = '#text'")
+    at = lambda r: F.col("region") == r
+    found = runs.groupBy("page_id").agg(_joined(at("main")).alias("_main"), _joined(at("rest")).alias("_rest"), _joined(at("header")).alias("header_text"), _joined(at("footer")).alias("footer_text"))
+    return found.select("page_id", F.when(F.col("_main") != "", F.col("_main")).otherwise(F.col("_rest")).alias("main_text"), "header_text", "footer_text")
+
+
+def semantic_role() -> Column:
+    low = F.lower("classes")
+    part = lambda words: low.rlike("|".join(words))
+    return (
+        F.when(F.col("tag").isin("h1", "h2"), "headline").when(F.col("tag").isin("h3", "h4"), "subheadline").when(F.col("tag").isin("h5", "h6"), "minor_heading")
+        .when(part(["price", "product", "item", "card"]), "product_info").when(part(["hero", "banner", "jumbotron", "headline"]), "headline")
+        .when(part(["subtext", "tagline", "subtitle", "subheading"]), "subheadline").when(part(["footer", "copyright", "legal"]), "footer_text").when(F.col("tag") == "li", "list_item").otherwise("body_text")
+    )
+
+
+def structured_body(elements: DataFrame, least: int = 100) -> DataFrame:
+    """Headings, paragraphs and list items of the main region with their roles, if they have enough text; else all paragraphs."""
+    units = elements.filter("tag in ('h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'p', 'li')").withColumn("role", semantic_role())
+    main = units.filter("region = 'main' and length(text) > 5")
+    enough = main.groupBy("page_id").agg(F.sum(F.length("text")).alias("n")).filter(F.col("n") >= least).select("page_id")
+    own = main.join(enough, "page_id", "left_semi")
+    rest = units.filter("tag = 'p'").withColumn("role", F.lit("body_text")).join(enough, "page_id", "left_anti")
+    return own.unionByName(rest).select("page_id", "pos", "tag", "role", "text")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contentgauge.functions import pages as P
-from contentgauge.operators import detectors, review
+from contentgauge.operators import detectors, page_text, review
 from contentgauge.sources import readers, writers
 from contentgauge.streaming import jobs
 
@@ -144,3 +144,14 @@ def test_streams(spark, tmp_path):
         jobs.run_gate(stream, sink, str(tmp_path / "c2")).awaitTermination()
         _files(spark, path, [row("e", "y" * 200, 4)])
     assert got[0] == ({"a": "insufficient_content", "b": "insufficient_content", "c": None, "d": "insufficient_content"}, {"c"}) and got[1] == ({"e": None}, {"e"})
+
+
+def test_page_segments(spark):
+    html = "<header>Top <nav>menu</nav></header><main><h1 class=x>Head line one</h1><p>Some text <b>bold</b> here.</p><ul><li class=price>Price 5 dollars</li></ul>" + "<p>Long enough paragraph of text.</p>" * 3 + "</main><div class='site-info'>Foot &copy;</div>"
+    pages = spark.createDataFrame([(1, html), (2, "<p>only this</p><script>x</script>"), (3, None)], "page_id bigint, html string")
+    elements = page_text.page_elements(pages).cache()
+    got = {r["page_id"]: r for r in page_text.segments(elements).collect()}
+    assert got[1]["header_text"] == "Top menu" and got[1]["footer_text"] == "Foot ©" and got[1]["main_text"].startswith("Head line one Some text bold here. Price 5 dollars Long")
+    assert got[2]["main_text"] == "only this" and 3 not in got
+    rows = [(r["tag"], r["role"], r["text"]) for r in page_text.structured_body(elements).orderBy("page_id", "pos").collect()]
+    assert rows[:3] == [("h1", "headline", "Head line one"), ("p", "body_text", "Some text bold here."), ("li", "product_info", "Price 5 dollars")] and rows[-1] == ("p", "body_text", "only this")
