@@ -131,9 +131,30 @@ def provenance() -> list[Column]:
     hygiene = 5.0 + is_true("ssl_valid").cast("double") + (F.coalesce(meta("privacy"), F.lit("")) != "").cast("double") + F.when(age > 365, 1.0).when(age > 90, 0.5).otherwise(0.0)
     trust = F.when(flags, 2.0).otherwise(F.coalesce(trusted, F.when(institution, 9.0), F.least(F.lit(8.0), hygiene)))
     trust_confidence = F.when(flags, 0.9).when(trusted.isNotNull() | institution, 0.8).otherwise(0.7)
+    value_of = lambda *keys: F.coalesce(*[F.when(F.coalesce(meta(k), F.lit("")) != "", meta(k)) for k in keys])
+    named = F.trim(F.coalesce("author", F.lit("")))
+    byline = (F.length(named) > 2) & ~F.lower(named).isin("admin", "editor", "staff", "unknown")
+    schema = F.coalesce(meta("schema_org"), F.lit(""))
+    in_schema = lambda key: schema.rlike(rf'"{key}"\s*:\s*(\[\s*)?("[^"]+"|\{{[^}}]*"name"\s*:\s*"[^"]+")')
+    writer = F.lower(F.coalesce(value_of("author"), F.lit("unknown")))
+    short, about = F.length("_body") < 200, F.substring("_body", 1, 500).contains("about")
+    # value, confidence, status of the first kind of attribution there is
+    ladder = [
+        (byline, 10.0, 0.9, "present"), (in_schema("author") & ~schema.rlike('(?i)"(unknown|anonymous)"'), 8.0, 0.95, "present"), (~writer.isin("unknown", "anonymous"), 7.0, 0.9, "present"),
+        (in_schema("publisher") | in_schema("contributor"), 7.0, 0.9, "present"), (value_of("maintained_by", "content_by", "team", "department").isNotNull(), 6.0, 0.85, "present"),
+        (value_of("about_url", "credits_url", "team_url").isNotNull(), 6.0, 0.8, "present"), (is_true("has_global_author_info"), 8.0, 0.85, "present"), (about, 5.0, 0.5, "partial"), (short, 1.0, 0.5, "unknown"),
+    ]
+    first = lambda k, last: reduce(lambda rest, row: F.when(row[0], row[k]).otherwise(rest), ladder[::-1], F.lit(last))
+    years = F.try_to_number(meta("whois_age_years"), F.lit("9999.9")).cast("double")
+    social = F.lower(F.coalesce("src", F.lit(""))).isin("amazon", "facebook", "instagram", "reddit", "tiktok", "twitter", "youtube")
+    aged = F.when(years >= 10, 10.0).when(years >= 5, 8.0).when(years >= 2, 6.0).when(years >= 1, 4.0).when(years >= 0.5, 3.0).when(years.isNotNull(), 2.0)
+    hidden = is_true("whois_private")
     exif = F.coalesce(meta("exif_status"), F.lit("intact"))
     return [
         found("ai_vs_human_labeling_clarity", "provenance", label, F.when(score >= 4, F.least(F.lit(1.0), score / 10 + 0.2)).otherwise(0.9), F.when(score >= 4, "present").otherwise("absent")),
+        found("author_brand_identity_verified", "provenance", first(1, 1.0), first(2, 0.8), first(3, "absent")),
+        found("domain_age", "provenance", F.when(~social, aged), 0.9),
+        found("whois_privacy", "provenance", F.when(~social, F.when(hidden, 4.0).when(value_of("whois_org").isNotNull(), 8.0)), F.when(hidden, 0.85).otherwise(0.9)),
         found("c2pa_cai_manifest_present", "provenance", manifest, 1.0),
         found("canonical_url_matches_declared_source", "provenance", match, 1.0, F.when(match > 1, "present").otherwise("absent")),
         found("digital_watermark_fingerprint_detected", "provenance", F.when(has_key("watermark", "fingerprint", "digital_signature"), 10.0), 1.0),
@@ -209,3 +230,24 @@ def verification() -> list[Column]:
         found("verified_purchaser_review_rate", "verification", F.when(amazon, F.when(verified, 10.0).otherwise(3.0)), 1.0),
         found("agent_safety_guardrail_presence", "verification", F.when((F.col("modality") == "agent") & (F.coalesce(meta("safety_guardrails"), F.lit("")) == "false"), 1.0), 1.0),
     ]
+
+
+def discovery() -> list[Column]:
+    """Markup and indexing attributes; not among the default dimensions."""
+    text = lambda k: F.coalesce(meta(k), F.lit(""))
+    schema = has_key("schema_org", "json_ld", "microdata", "rdfa")
+    filled = [F.trim(F.coalesce("title", F.lit(""))) != "", F.length(F.trim(F.coalesce("body", F.lit("")))) > 100, F.trim(F.coalesce("author", F.lit(""))) != "", text("published_at") != "", (text("keywords") != "") | (text("tags") != "")]
+    og = F.exists(F.coalesce(F.map_keys("meta"), F.array().cast("array<string>")), lambda k: k.startswith("og_"))
+    n = reduce(lambda a, b: a + b, [f.cast("int") for f in [*filled, og]])
+    robots, own = F.lower(text("robots")), F.rtrim(F.coalesce("url", F.lit("")), F.lit("/"))
+    canonical = F.coalesce(F.when(text("canonical_url") != "", text("canonical_url")), F.when(text("canonical") != "", text("canonical")))
+    closed, allowed = robots.contains("noindex"), text("robots_txt_allowed") != "false"
+    mapped = is_true("has_sitemap") | is_true("in_sitemap")
+    directive = has_key("tdm_reservation", "ai_training_optout", "robots_tdm") | contains_any(F.lower(text("robots_txt")), ["gptbot", "ccbot", "anthropic-ai", "claude-web"])
+    return [
+        found("schema_compliance", "coherence", F.when(schema & (text("schema_valid") != "false"), 10.0).when(schema, 7.0).otherwise(1.0), 0.9), found("metadata_completeness", "provenance", 1 + n / 5 * 9.0, 0.9),
+        found("llm_retrievability", "resonance", F.when(closed, 1.0).when(robots.contains("nofollow"), 5.0).when(is_true("in_sitemap"), 10.0).otherwise(8.0), 0.9),
+        found("canonical_linking", "provenance", F.when(canonical.isNull(), 1.0).when(F.rtrim(canonical, F.lit("/")) == own, 10.0).otherwise(5.0), 0.9),
+        found("indexing_visibility", "resonance", F.when(mapped & allowed & ~closed, 10.0).when(allowed & ~closed, 7.0).when(closed, 1.0).otherwise(3.0), 0.9),
+        found("ethical_training_signals", "transparency", F.when(directive, 10.0).when((text("copyright") != "") | (text("rights") != ""), 5.0).otherwise(1.0), 0.9),
+    ]

@@ -9,6 +9,7 @@ from contentgauge.functions import detect as D
 
 _WHITE = " \t\n\r\x0b\x0c"
 BY_DIMENSION = {"provenance": D.provenance, "resonance": D.resonance, "coherence": D.coherence, "transparency": D.transparency, "verification": D.verification}
+OPTIONAL = {"discovery": D.discovery}
 
 
 def _words(x: Column) -> Column:
@@ -23,7 +24,7 @@ def with_text(df: DataFrame) -> DataFrame:
     """Lower-cased text once for all detectors: _body, _low (body and title), _margin (footer and header), _url; columns that are not there are null."""
     part = lambda c: F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("")
     meta = {} if "meta" in df.columns else {"meta": F.create_map().cast("map<string,string>")}
-    kinds = {"url": "string", "platform_type": "string", "source_type": "string", "upvotes": "int", "rating": "double", "helpful_count": "double"}
+    kinds = {"url": "string", "author": "string", "platform_type": "string", "source_type": "string", "upvotes": "int", "rating": "double", "helpful_count": "double"}
     more = {c: F.lit(None).cast(kind) for c, kind in kinds.items() if c not in df.columns}
     return df.withColumns(meta | more).withColumns(
         {"_url": F.lower(F.coalesce("url", F.lit(""))), "_body": F.lower(part("body")), "_low": F.lower(F.concat(part("body"), F.lit(" "), part("title"))), "_margin": F.lower(F.concat(part("footer_text"), F.lit(" "), part("header_text")))}
@@ -57,7 +58,7 @@ def detect_attributes(content: DataFrame, keys: list[str], enabled: list[str] |
     df = with_text(content)
     if "resonance" in dimensions:
         df = with_sentences(df)
-    found = F.array_compact(F.concat(*[F.array(*BY_DIMENSION[d]()) for d in dimensions]))
+    found = F.array_compact(F.concat(*[F.array(*(BY_DIMENSION | OPTIONAL)[d]()) for d in dimensions]))
     rows = df.select(*keys, F.explode(found).alias("a")).select(*keys, "a.*")
     return rows.filter(F.col("attribute_id").isin(enabled)) if enabled is not None else rows
 

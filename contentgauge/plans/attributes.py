@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from contentgauge.functions import detect as D
 from contentgauge.operators import detectors as O
 from contentgauge.sources.tables import CONTENT_SQL, contents
@@ -22,7 +24,14 @@ def e12_readability(spark, sf_dir):
     return O.detect_attributes(contents(spark, sf_dir), ["content_id"], dimensions=("resonance",))
 
 
-QUERIES = {f.__name__: f for f in (e_attributes, e_provenance, e12_readability)}
+def e_discovery(spark, sf_dir):
+    """Markup and indexing attributes, with robots and sitemap entries by id."""
+    n = F.col("seq")
+    meta = F.create_map(F.lit("robots"), F.when(n % 3 == 0, "noindex").when(n % 3 == 1, "nofollow").otherwise(""), F.lit("in_sitemap"), F.when(n % 2 == 0, "true").otherwise(""), F.lit("rights"), F.when(n % 5 == 0, "r").otherwise(""))
+    return O.detect_attributes(contents(spark, sf_dir).withColumn("meta", meta), ["content_id"], dimensions=("discovery",))
+
+
+QUERIES = {f.__name__: f for f in (e_attributes, e_provenance, e12_readability, e_discovery)}
 
 _q = lambda s: "'" + s.replace("'", "''") + "'"
 _any = lambda x, parts: "(" + " OR ".join(f"contains({x}, {_q(p)})" for p in parts) + ")"
@@ -58,7 +67,16 @@ _MADE = "coalesce(" + ", ".join(f"CASE WHEN contains(b, {_q(p)}) THEN 3 END" for
 _LABEL = f"""SELECT content_id, 'ai_vs_human_labeling_clarity' AS attribute_id, 'provenance' AS dimension, CAST(CASE WHEN s >= 4 THEN greatest(5, s) ELSE 1 END AS DOUBLE) AS value,
  CAST(CASE WHEN s >= 4 THEN least(1.0, s / 10 + 0.2) ELSE 0.9 END AS DOUBLE) AS confidence, CASE WHEN s >= 4 THEN 'present' ELSE 'absent' END AS status
  FROM (SELECT *, {_HUMAN} + {_MADE} AS s FROM t) WHERE s >= 4 OR {_any('b', D.AI_TRACES)}"""
+_AUTHOR = """SELECT content_id, 'author_brand_identity_verified' AS attribute_id, 'provenance' AS dimension, CAST(CASE WHEN contains(substr(b, 1, 500), 'about') THEN 5 ELSE 1 END AS DOUBLE) AS value,
+ CAST(CASE WHEN contains(substr(b, 1, 500), 'about') OR length(b) < 200 THEN 0.5 ELSE 0.8 END AS DOUBLE) AS confidence, CASE WHEN contains(substr(b, 1, 500), 'about') THEN 'partial' WHEN length(b) < 200 THEN 'unknown' ELSE 'absent' END AS status FROM t"""
+_FILLED = "(CASE WHEN trim(title) <> '' THEN 1 ELSE 0 END + CASE WHEN length(trim(body)) > 100 THEN 1 ELSE 0 END)"
+_DISCOVERY = [
+    _row("schema_compliance", "coherence", "1", "0.9"), _row("metadata_completeness", "provenance", f"1 + {_FILLED} / 5 * 9.0", "0.9"), _row("canonical_linking", "provenance", "1", "0.9"),
+    _row("llm_retrievability", "resonance", "CASE WHEN seq % 3 = 0 THEN 1 WHEN seq % 3 = 1 THEN 5 WHEN seq % 2 = 0 THEN 10 ELSE 8 END", "0.9"),
+    _row("indexing_visibility", "resonance", "CASE WHEN seq % 3 = 0 THEN 1 WHEN seq % 2 = 0 THEN 10 ELSE 7 END", "0.9"), _row("ethical_training_signals", "transparency", "CASE WHEN seq % 5 = 0 THEN 5 ELSE 1 END", "0.9"),
+]
 ORACLES = {
+    "e_discovery": _T + " UNION ALL ".join(_DISCOVERY) + ") SELECT * FROM r",
     "e_attributes": _T + " UNION ALL ".join(_ROWS) + ") SELECT * FROM r WHERE value IS NOT NULL",
-    "e_provenance": _T + " UNION ALL ".join([_LABEL, _row("c2pa_cai_manifest_present", "provenance", "CASE WHEN modality <> 'text' THEN 1 END", "1.0"), _row("source_domain_trust_baseline", "provenance", "5", "0.7")]) + ") SELECT * FROM r WHERE value IS NOT NULL",
+    "e_provenance": _T + " UNION ALL ".join([_LABEL, _AUTHOR, _row("c2pa_cai_manifest_present", "provenance", "CASE WHEN modality <> 'text' THEN 1 END", "1.0"), _row("source_domain_trust_baseline", "provenance", "5", "0.7")]) + ") SELECT * FROM r WHERE value IS NOT NULL",
 }
