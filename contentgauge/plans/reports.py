@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contentgauge.functions import config as C
+from contentgauge.functions import pages
 from contentgauge.functions import urls as U
 from contentgauge.operators import analytics as A
 from contentgauge.operators import detectors, normalize
 from contentgauge.operators import reports as P
 from contentgauge.operators import scoring as S
+from contentgauge.operators import urls as U_ops
 from contentgauge.plans.scores import ATTR_SQL, CLASS_SQL, LONG_SQL, RUN, SIGNAL_SQL, _dims_sql, _signals, _trust_sql, attributes
 from contentgauge.plans.urls import _HOST, BRANDS, brands, urls
 from contentgauge.sources.tables import CONTENT_SQL, DIMENSIONS, contents, scores, table
@@ -120,11 +122,32 @@ def g28_content_mix(spark, sf_dir):
     return P.content_mix(_typed(spark, sf_dir), RUN)
 
 
+def c14_broken_links(spark, sf_dir):
+    """Links in conversation turns against a status table of page urls; a link that is nowhere counts as working."""
+    p = table(spark, sf_dir, "pages")
+    said = p.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("content_id"), F.concat(F.lit("see "), F.col("url"), F.lit(" and (http://a.b/c) or "), F.col("url")).alias("body"))
+    status = p.filter("page_id % 2 = 0").groupBy("url").agg(F.min("page_id").alias("k")).select("url", F.when(F.col("k") % 6 == 0, 404).when(F.col("k") % 6 == 2, 403).otherwise(200).alias("status"), (F.col("k") % 10 == 0).alias("failed"))
+    return U_ops.broken_links(said, status)
+
+
+def d2_metadata(spark, sf_dir):
+    """Channel, platform type and modality of pages where they are not known yet."""
+    u = urls(spark, sf_dir)
+    c = pages.channel(F.col("url"), F.when(F.col("page_id") % 2 == 0, "shopfeed"))
+    return u.select("page_id", c["channel"].alias("channel"), c["platform_type"].alias("platform_type"), pages.modality(F.concat("url", F.when(F.col("page_id") % 5 == 0, ".mp4").otherwise("")), F.lit("web"), F.lit(""), F.lit(None).cast("string")).alias("modality"))
+
+
+def g23_visual_snapshot(spark, sf_dir):
+    n = F.col("seq")
+    items = contents(spark, sf_dir).select(*RUN, "content_id", (n % 7 != 0).alias("success"), F.when(n % 5 == 0, "denied").otherwise("done").alias("status"), F.when(n % 2 == 0, (n % 97) / 100.0).alias("design_score"), ((n * 7) % 89 / 100.0).alias("overall_visual_score"))
+    return P.visual_snapshot(items, RUN).select(*RUN, "content_id", "score", "best", "worst")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         c9_national_urls, c10_expand_brands, c13_profiles, c16_candidates, d15_reuse, d16_site_signals, d17_quota, f5_multipliers, f24_visual_signals, g13_key_signals, g14_contributions, g15_issues, g16_context,
-        g17_targets, g24_calibration, g25_examples, g26_brand_score, g28_content_mix,
+        g17_targets, g23_visual_snapshot, g24_calibration, c14_broken_links, d2_metadata, g25_examples, g26_brand_score, g28_content_mix,
     )
 }
 
@@ -162,6 +185,13 @@ g AS (SELECT DISTINCT brand_id, run_id, km.key_signal FROM attrs, km)
 SELECT brand_id, run_id, key_signal, round(mean, 9) AS mean, coalesce(n, 0) AS n, CASE WHEN mean >= 7 THEN 'pass' WHEN mean >= 4 THEN 'warn' WHEN mean IS NOT NULL THEN 'fail' ELSE 'no_data' END AS status FROM g LEFT JOIN m USING (brand_id, run_id, key_signal)""",
     # shares of a dimension add up to its rounded score
     "g14_contributions": f"WITH {SIGNAL_SQL}, {_dims_sql('brand_id, run_id')} SELECT brand_id, run_id, dimension, round(value, 1) AS total FROM dims WHERE EXISTS (SELECT 1 FROM sig WHERE sig.brand_id = dims.brand_id AND sig.run_id = dims.run_id AND sig.dimension = dims.dimension)",
+    "c14_broken_links": r"""WITH s AS (SELECT url, min(page_id) AS k FROM pages WHERE page_id % 2 = 0 GROUP BY url), l AS (SELECT DISTINCT 'p' || page_id AS content_id, unnest([url, 'http://a.b/c']) AS url FROM pages)
+SELECT content_id, count(*) AS links, count(*) FILTER (WHERE k % 6 = 0 OR k % 10 = 0) AS broken FROM l LEFT JOIN s USING (url) GROUP BY content_id""",
+    "d2_metadata": f"""WITH h AS (SELECT page_id, {_HOST} AS host FROM pages), b AS (SELECT *, replace(host, 'www.', '') AS bare FROM h)
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'shopfeed' ELSE split_part(bare, '.', 1) END AS channel, CASE WHEN page_id % 2 = 0 AND {_part('bare', ['shop', 'store', 'buy', 'cart'])} THEN 'marketplace' WHEN page_id % 2 = 0 AND {_part('bare', ['social', 'community', 'forum'])} THEN 'social' ELSE 'owned' END AS platform_type,
+ CASE WHEN page_id % 5 = 0 THEN 'video' ELSE 'text' END AS modality FROM b""",
+    "g23_visual_snapshot": f"""WITH {CONTENT_SQL}, i AS (SELECT brand_id, run_id, content_id, coalesce(CASE WHEN seq % 2 = 0 THEN (seq % 97) / 100.0 END, (seq * 7) % 89 / 100.0) AS score FROM content WHERE seq % 7 <> 0 AND seq % 5 <> 0)
+SELECT *, row_number() OVER (PARTITION BY brand_id, run_id ORDER BY score DESC, content_id) AS best, row_number() OVER (PARTITION BY brand_id, run_id ORDER BY score, content_id) AS worst FROM i QUALIFY best = 1 OR worst <= 2""",
     "g15_issues": f"WITH {ATTR_SQL} SELECT brand_id, run_id, dimension, count(*) FILTER (WHERE value < {_BELOW}) AS issues, count(*) FILTER (WHERE value >= 8) AS successes, count(DISTINCT content_id) FILTER (WHERE value < {_BELOW}) AS items FROM attrs GROUP BY ALL",
     "g16_context": f"""WITH {CLASS_SQL}, {LONG_SQL}, m AS (SELECT brand_id, run_id, dimension, avg(score) AS average, count(*) FILTER (WHERE score < 0.6) AS low_items, arg_min(content_id, (score, seq)) AS worst FROM long GROUP BY ALL)
 SELECT brand_id, run_id, dimension, round(average, 9) AS average, low_items, worst, round(greatest(0.0, 0.6 - average), 9) AS gap, row_number() OVER (PARTITION BY brand_id, run_id ORDER BY round(average, 9), dimension) AS rank FROM m""",
