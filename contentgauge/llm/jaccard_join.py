@@ -118,14 +118,16 @@ def _prefix_rows(frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = Orders(frequent.value)
         for b in batches:
-            nodes, parts = [], [np.zeros(0, np.uint64)]
+            nodes, n, parts = [], [], [np.zeros(0, np.uint64)]
             for text in b.column("text").to_pylist():
                 own = shingles(text)
                 if len(own):
                     nodes.append(node_of(own))
+                    n.append(len(own))
                     parts += orders.prefixes(own, range(1))
             sizes = [len(p) for p in parts[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), sizes))], names=["token", "node"])
+            each = lambda values, kind: pa.array(np.repeat(np.array(values, kind), sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), each(nodes, np.int64), each(n, np.int32)], names=["token", "node", "n"])
 
     return run
 
@@ -255,12 +257,16 @@ def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meeting_rows(docs: DataFrame, frequent) -> DataFrame:
-    """token, node, place, size: classes that share a prefix shingle, without shingles that the same classes share as another."""
-    rows = docs.select("text").mapInArrow(_prefix_rows(frequent), "token bigint, node bigint")
-    by = Window.partitionBy("token").orderBy("node")
-    whole = Window.partitionBy("token")
-    rows = rows.repartition("token").withColumn("before", F.lag("node").over(by)).withColumn("low", F.min("node").over(whole)).withColumn("high", F.max("node").over(whole))
-    rows = rows.filter("low <> high and (before is null or node <> before)")  # equal sets in several rows are one
+    """token, node, place, size: classes that share a prefix shingle, without shingles that the same classes share as another.
+
+    In the order of sizes a class stays if the next smaller or the next larger one is near enough in size to be
+    linked: if any class of the group is, one of these two is.
+    """
+    rows = docs.select("text").mapInArrow(_prefix_rows(frequent), "token bigint, node bigint, n int")
+    by = Window.partitionBy("token").orderBy("n", "node")
+    rows = rows.repartition("token").withColumn("before", F.lag("node").over(by)).filter("before is null or node <> before")  # equal sets in several rows are one
+    rows = rows.withColumn("smaller", F.lag("n").over(by)).withColumn("larger", F.lead("n").over(by))
+    rows = rows.filter((WHOLE * F.col("smaller") >= PART * F.col("n")) | (WHOLE * F.col("n") >= PART * F.col("larger")))
     rows = materialize(rows.select("token", "node"))
     groups = rows.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(3), "node")).alias("y"))
     groups = groups.groupBy("x", "y", "size").agg(F.min("token").alias("token")).select("token", "size")
