@@ -1,29 +1,33 @@
-"""Quality classifier: an interpolated modified Kneser-Ney n-gram model over character classes, trained on trusted text.
+"""Quality classifier: perplexity under an n-gram model of words learned from trusted text, and words that mark toxic documents.
 
-Characters fall into CLASSES classes, so an n-gram of order 4 is one of 64^4 cells and the model is bounded whatever
-the size of the corpus. Counts come from all trusted text and are joined by context to probabilities in Spark; every
-text is scored by its perplexity, and a language's quantiles of trusted perplexities set its threshold.
+A trusted text is scored by a model of the half of the trusted texts that it is not in, and a high quantile of these
+held-out scores is its language's threshold; the model of all trusted text scores every document (word_model).
+The functions over character classes are a bounded model of spelling, which the classifier does not use.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contentgauge.llm import word_model
 from contentgauge.llm.common import join_ids, materialize
 
 ORDER, CLASSES = 4, 64
-#: A document is rejected beyond median + MARGIN * (the UPPER quantile - median) of its language's trusted log perplexities.
-UPPER, MARGIN = 0.95, 5.0
-#: Least spread of log perplexity between the two quantiles, for languages with few trusted documents.
-SPREAD = 0.06
-#: Characters at the language's median that every text is scored with, so that the chance of few characters rejects nothing.
-PRIOR = 100
+#: Quantile of a language's held-out trusted documents beyond which a document is rejected, for perplexity and for marking words.
+UPPER = 0.999
+#: Documents from which a language's own quantile is taken alone.
+ENOUGH = 5000
+#: Documents that the mean of the languages counts as, in the deviation of a language with few.
+SHARED = 10
+#: Words at the language's median that every text is scored with, so that the chance of few words rejects nothing.
+PRIOR = 20
 #: Rows of language thresholds up to which they are broadcast.
 MOST_LANGUAGES = 100_000
 #: Code points that are counted together.
@@ -138,65 +142,88 @@ def dense_log(rows: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], order
     return np.log(prob)
 
 
-def train(docs: DataFrame, labels: DataFrame, order: int = ORDER):
-    """The model from the text of all trusted documents: arrays of at most 64^order cells and their contexts, for a broadcast."""
-    texts = join_ids(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), trusted_ids(labels), ["doc_id"])
-    got = probabilities(count_cells(texts, order), order).toArrow()
-    return tuple(got.column(c).to_numpy() for c in ("k", "cell", "p", "back"))
+def with_keys(docs: DataFrame) -> DataFrame:
+    """docs with _key, 16 bytes of the text, and _lang, the language as text that is never null."""
+    return docs.withColumn("_key", F.unhex(F.md5(F.col("text").cast("string")))).withColumn("_lang", F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("")))
 
 
-def with_perplexity(docs: DataFrame, model, order: int = ORDER) -> DataFrame:
-    """docs with log_perplexity (null for a null or empty text)."""
-    handed = docs.sparkSession.sparkContext.broadcast(model)
-    name = "log_perplexity"
+def learned_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """_key, _lang, text, half, toxic of the trusted documents and of those of good quality that are toxic; copies lie in the same half."""
+    ids = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
+    ids = ids.filter("q = 1").select("doc_id", (F.col("t") != 0).alias("toxic"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "_key", "_lang", F.col("text").cast("string").alias("text")).filter("text <> ''")
+    return join_ids(texts, ids, ["doc_id"], "inner").withColumn("half", F.pmod(F.xxhash64("text"), F.lit(word_model.HALVES)).cast("int"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, logs = class_table(), None
-        for b in batches:
-            if logs is None:
-                logs = dense_log(handed.value, order)
-            scores = [-float(logs[cells(t, table, order)].mean(dtype=np.float64)) if t else None for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, docs.withColumn(name, F.lit(None).cast("double")).schema)
+def with_prior(score: str, middle: str):
+    """The score over a text's own words and PRIOR more at the language's median."""
+    return (F.col(score) * F.col("n") + F.col(middle) * PRIOR) / (F.col("n") + PRIOR)
+
 
+def limits(held_out: DataFrame) -> DataFrame:
+    """_lang, middle, most, most_toxic from held_out(_lang, n, score, toxic); the row with a null _lang is for languages without trusted documents.
 
-def thresholds(scored: DataFrame) -> DataFrame:
-    """lang, all, middle and most (log perplexities) from trusted scored documents; the row with all stands for all languages together."""
-    q = F.percentile_approx("log_perplexity", [0.5, UPPER], 10_000)
-    one = lambda lang, everything: F.struct(lang.alias("lang"), F.lit(everything).alias("all"))
-    groups = F.explode(F.array(one(F.col("lang"), False), one(F.lit(None).cast("string"), True)))
-    found = scored.filter("log_perplexity is not null").select(groups.alias("g"), "log_perplexity").groupBy("g").agg(q.alias("q"))
-    middle, upper = F.col("q")[0], F.col("q")[1]
-    return found.select("g.lang", "g.all", middle.alias("middle"), (middle + MARGIN * F.greatest(upper - middle, F.lit(SPREAD))).alias("most"))
+    The quantile of a language with fewer than ENOUGH documents, which they can't show, is at least that of all, taken
+    from each one's median, and that of a normal distribution about it with the deviation of the documents above it
+    (copies pull those below down) and of SHARED more with the mean of all languages.
+    """
+    by = held_out.groupBy("_lang").agg(F.percentile_approx("score", 0.5, 10_000).alias("middle"))
+    overall = held_out.agg(F.lit(None).cast("string").alias("_lang"), F.percentile_approx("score", 0.5, 10_000).alias("middle"))
+    beyond = held_out.join(F.broadcast(by), "_lang").withColumn("beyond", with_prior("score", "middle") - F.col("middle"))
+    of = lambda c: F.percentile_approx(c, UPPER, 10_000)
+    above = F.when(F.col("beyond") > 0, F.col("beyond"))
+    own = beyond.groupBy("_lang").agg(F.count("*").alias("docs"), of("beyond").alias("own"), of("toxic").alias("own_toxic"), F.count(above).alias("v"), F.mean(above * above).alias("square"))
+    pooled = beyond.agg(of("beyond").alias("all"), of("toxic").alias("all_toxic"))
+    shared = own.agg(F.coalesce(F.avg("square"), F.lit(0.0)).alias("shared"))
+    square = (F.col("v") * F.coalesce("square", "shared") + SHARED * F.col("shared")) / (F.col("v") + SHARED)
+    own = own.crossJoin(F.broadcast(shared)).withColumn("normal", NormalDist().inv_cdf(UPPER) * F.sqrt(square))
+    few = F.coalesce(F.col("docs"), F.lit(0)) < ENOUGH
+    most = lambda a, *more: F.when(few, F.greatest(a, *more)).otherwise(F.col(a))
+    found = by.unionByName(overall).join(F.broadcast(own), "_lang", "left").crossJoin(F.broadcast(pooled))
+    return found.select("_lang", "middle", (F.col("middle") + most("own", "all", "normal")).alias("most"), most("own_toxic", "all_toxic").alias("most_toxic"))
+
+
+def judged(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scores _key, n, score, toxic of the texts of docs(doc_id, _key, _lang, text), and the limits of their languages."""
+    learn = materialize(learned_texts(docs, labels))
+    texts = docs.filter("text <> ''").select(F.col("_key").alias("key"), F.col("text").cast("string").alias("text"), F.lit(None).cast("int").alias("half"))
+    # only trusted texts are scored twice: by the model of all, and by that of the half without them
+    held = learn.filter("not toxic").select(F.col("_key").alias("key"), "text", "half")
+    scores = materialize(word_model.score(texts, held, learn.select("text", "half", "toxic"))).withColumnRenamed("key", "_key")
+    known = learn.filter("not toxic").select("_key", "_lang", (1 - F.col("half")).alias("model"))
+    held_out = materialize(known.join(scores.hint("shuffle_hash"), ["_key", "model"]).select("_lang", "n", "score", "toxic"))
+    return scores.filter(F.col("model") == word_model.ALL).drop("model"), materialize(limits(held_out))
+
+
+def with_limits(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows(_lang, n, score, toxic) with most and kept."""
+    overall = found.filter("_lang is null").first()
+    own = found.filter("_lang is not null").select("_lang", *[F.col(c).alias(f"_{c}") for c in ("middle", "most", "most_toxic")])
+    own = F.broadcast(own) if own.count() <= MOST_LANGUAGES else own.hint("shuffle_hash")
+    names = ("middle", "most", "most_toxic")
+    rows = rows.join(own, "_lang", "left").select("*", *[F.coalesce(f"_{c}", F.lit(overall[c] if overall else None).cast("double")).alias(c) for c in names])
+    return rows.withColumn("kept", F.coalesce(with_prior("score", "middle") <= F.col("most"), F.lit(True)) & F.coalesce(F.col("toxic") <= F.col("most_toxic"), F.lit(True)))
 
 
-def judge_documents(docs: DataFrame, labels: DataFrame, keep_columns: bool = False) -> DataFrame:
-    """Perplexity of every document and whether it is kept.
+def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Perplexity of every document by word and whether it is kept.
 
-    Returns doc_id, lang, perplexity, threshold, kept, one row per input row; with keep_columns, all columns of docs
-    and log_perplexity, threshold, kept. A document is kept if its log perplexity, over its own characters and PRIOR
-    more at its language's median, is at most its language's threshold; languages without trusted documents, and a
-    null lang, take the figures of all trusted documents. A null or empty text has no perplexity and is kept, as is
-    everything if there is no trusted text.
+    Returns doc_id, lang, perplexity, threshold, kept, one row per input row. A document is kept if its log perplexity,
+    over its own words and PRIOR more at its language's median, is at most its language's threshold, and its words that
+    mark toxic documents weigh no more than its language's trusted documents do. Languages without trusted documents,
+    and a null lang, take the figures of all. A null or empty text has no perplexity and is kept, as is everything if
+    there is no trusted text.
     """
-    plain = [F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")]
-    model = train(docs, labels)
-    known = with_perplexity(join_ids(docs.select(*plain), trusted_ids(labels), ["doc_id"]), model)
-    limits = materialize(thresholds(known.select("lang", "log_perplexity")))
-    overall = limits.filter(F.col("all")).agg(F.max("middle").alias("middle"), F.max("most").alias("most")).first()
-    own = limits.filter(~F.col("all") & F.col("lang").isNotNull()).select(F.col("lang").alias("_lang"), F.col("middle").alias("_middle"), F.col("most").alias("_most"))
-    own = F.broadcast(own) if own.count() <= MOST_LANGUAGES else own.hint("shuffle_hash")
-    scored = with_perplexity(docs if keep_columns else docs.select(*plain), model)
-    middle, most = (F.coalesce(f"_{name}", F.lit(overall[name]).cast("double")) for name in ("middle", "most"))
-    n = F.length("text")
-    kept = F.coalesce((F.col("log_perplexity") * n + middle * PRIOR) / (n + PRIOR) <= most, F.lit(True)).alias("kept")
-    joined = scored.join(own, scored["lang"].cast("string") == F.col("_lang"), "left")
-    if keep_columns:
-        return joined.select(*[scored[c] for c in scored.columns], F.exp(most).alias("threshold"), kept)
-    return joined.select("doc_id", "lang", F.exp("log_perplexity").alias("perplexity"), F.exp(most).alias("threshold"), kept)
+    docs = with_keys(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
+    scores, found = judged(docs, labels)
+    rows = docs.select("doc_id", "lang", "_key", "_lang").join(scores.hint("shuffle_hash"), "_key", "left")
+    return with_limits(rows, found).select("doc_id", "lang", F.exp("score").alias("perplexity"), F.exp("most").alias("threshold"), "kept")
 
 
 def without_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier keeps, with the columns of docs."""
-    return judge_documents(docs, labels, keep_columns=True).filter("kept").select(*docs.columns)
+    keyed = with_keys(docs)
+    scores, found = judged(keyed, labels)
+    texts = keyed.select("_key", "_lang").distinct()
+    rejected = materialize(with_limits(texts.join(scores.hint("shuffle_hash"), "_key"), found).filter("not kept").select("_key", "_lang"))
+    return join_ids(keyed, rejected, ["_key", "_lang"], "left_anti").select(*docs.columns)

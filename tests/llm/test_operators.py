@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import math
 import random
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from contentgauge.llm import (
-    components, decontaminate, embedding_dedup, html_extract, jaccard_join, line_dedup, piece_codec, pieces, quality, queries, substring_dedup, token_counts, url_filters,
+    components, decontaminate, embedding_dedup, html_extract, jaccard_join, line_dedup, piece_codec, pieces, quality, queries, substring_dedup, token_counts, url_filters, word_model,
 )
 from tests.conftest import SF, duck_rows, rows_of
 
@@ -457,6 +458,48 @@ def test_quality_on_held_out_labels(spark):
     assert rate[1, 0] > 0.98 and rate[0, 0] < 0.35
 
 
+def test_quality_rejects_bad_and_toxic_documents(spark):
+    """Trained on the even labelled documents, judged on the odd ones: rates of rejection, and a model that grows with the text."""
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    found = quality.judge_documents(docs, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id")
+    rate = {r["k"]: r["rate"] for r in found.groupBy(F.expr("IF(quality = 0, 'bad', IF(toxic = 1, 'toxic', 'trusted'))").alias("k")).agg(F.avg(1 - F.col("kept").cast("int")).alias("rate")).collect()}
+    assert rate["bad"] >= 0.85 and rate["toxic"] >= 0.65 and rate["trusted"] < 0.02
+
+
+def test_word_model_is_a_distribution(spark):
+    texts = ["the cat sat on the mat", "a dog ran off with the hat the cat sat on", "the mat"]
+    rows = spark.createDataFrame([(t, h, False) for t in texts for h in (0, 1)], "text string, half int, toxic boolean")
+    counts = word_model.count_words(rows)
+    values, unseen = word_model.pair_values(word_model.by_model(counts.filter("v is not null")).groupBy("model", "v", "w").agg(F.sum("n").alias("n")))
+    one, two = ({(r["v"], r["w"]): r["value"] for r in values.filter(f"model = 2 and w is {k}").collect()} for k in ("null", "not null"))
+    base = unseen.filter("model = 2").first()["unseen"]
+    hashes = word_model._Hashes()
+    lines = [[int(x) for x in word_model.hashed(s, hashes).view(np.int64)] for s in texts for _ in (0, 1)]
+    n = collections.Counter(p for s in lines for p in zip(s, s[1:]))
+    c = [sum(k == x for k in n.values()) for x in range(5)]
+    y = c[1] / (c[1] + 2 * c[2]) if c[1] + 2 * c[2] else 0.5
+    d = [min(max(k - (k + 1) * y * (c[k + 1] / c[k] if c[k] else 0), 0.05), k - 0.05) for k in (1, 2, 3)]
+    off = lambda k: d[min(k, 3) - 1]
+    before = collections.Counter(w for _, w in n)
+    b = [sum(k == x for k in before.values()) for x in (0, 1, 2)]
+    d0 = min(max(b[1] / (b[1] + 2 * b[2]), 0.05), 0.95)
+    p0 = d0 * len(before) / len(n) / (len(before) + 1)
+    low = {w: (k - d0) / len(n) + p0 for w, k in before.items()}
+    total = {v: sum(k for (x, _), k in n.items() if x == v) for v in before}
+    back = {v: sum(off(k) for (x, _), k in n.items() if x == v) / total[v] for v in before}
+    p = lambda v, w: ((n[v, w] - off(n[v, w])) / total[v] if n[v, w] else 0) + back[v] * low[w]
+    # the seen words and an unseen one make up 1
+    assert all(abs(sum(p(v, w) for w in before) + back[v] * p0 - 1) < 1e-9 for v in before)
+    assert abs(base - math.log(p0)) < 1e-9 and {v for v, _ in one} == set(before) and set(two) == set(n)
+    assert all(abs(base + one[w, None] - math.log(back[w]) + math.log(back[v]) + two[v, w] - math.log(p(v, w))) < 1e-6 for v, w in n)
+    text = spark.createDataFrame([(b"k" * 16, texts[0], None)], "key binary, text string, half int")
+    got = word_model.score(text, text.limit(0), rows).filter("model = 2").first()
+    ids = [int(x) for x in word_model.hashed(texts[0], hashes).view(np.int64)]
+    want = sum(one[v, None] for v in ids[:-1]) + sum(two.get(p, 0.0) for p in zip(ids, ids[1:]))
+    assert got["n"] == len(ids) - 1 and abs(got["score"] + base + want / got["n"]) < 1e-4
+
+
 def test_quality_edges(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert quality.judge_documents(empty, none).count() == 0
