@@ -2,7 +2,7 @@
 
 The page is read as a stream of standard-library parser events. A line is the text of one block; its ratio is its
 length over the tags it holds. Smoothed ratios over a threshold (their standard deviation, at most their mean) are
-content; the element that holds most of that content is the region. All lines of the region are kept, short ones
+content; the articles with content, else the smallest element that holds all of it, are the region. All lines of the region are kept, short ones
 too, so that the smoothing decides where the article is and never cuts pieces out of it.
 """
 
@@ -34,6 +34,9 @@ _MARKS = frozenset(
     "pagination paywall popup promo promotion recommendations recommended related replies respond share sharing sidebar signup social sponsor "
     "sponsored subscribe subscription tags toolbar topbar widget widgets".split()
 )
+_IN_HEAD = frozenset("base head html link meta noscript script style template title".split())
+#: A form or a marked element with so much of the page's text is a wrapper of the page.
+_WRAPPER = 0.9
 _ONLY_OUTSIDE = frozenset(["header"])
 _NEGATIONS = frozenset(["has", "no", "not", "with", "without"])
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -51,8 +54,11 @@ def _marked(value: str, marks: frozenset[str]) -> bool:
 class _Lines(HTMLParser):
     """Collects (text, tags, path) for every block outside silent elements; path: numbers of the open elements."""
 
-    def __init__(self):
+    def __init__(self, released: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.released = released  # numbers of forms and marked elements that are not silent
+        self.soft: dict[int, list[int]] = {}  # by number of the others: characters, and whether an article or main is inside
+        self.loud = 0  # characters outside silent elements
         self.open: list[tuple[str, int, bool]] = []  # name, number, silent
         self.names: list[str] = []  # by number
         self.lines: list[tuple[str, int, tuple[int, ...]]] = []
@@ -63,14 +69,18 @@ class _Lines(HTMLParser):
     def _silent(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in ("html", "body", "article", "main"):
             return False
-        if tag in _SILENT or tag == "header" and not self.inside:
+        if tag in _SILENT - {"form"} or tag == "header" and not self.inside:
             return True
         a = {k: v or "" for k, v in attrs}
+        return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower() or a.get("role", "").lower() in _ROLES - {"form"}
+
+    def _soft(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        """A form, or an element with a marked class or id: silent unless it wraps the page."""
+        if tag in ("html", "body", "article", "main"):
+            return False
+        a = {k: v or "" for k, v in attrs}
         marks = _MARKS if self.inside else _MARKS | _ONLY_OUTSIDE
-        return (
-            "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-            or a.get("role", "").lower() in _ROLES or _marked(a.get("class", ""), marks) or _marked(a.get("id", ""), marks)
-        )
+        return tag == "form" or a.get("role", "").lower() == "form" or _marked(a.get("class", ""), marks) or _marked(a.get("id", ""), marks)
 
     def _flush(self) -> None:
         if text := " ".join("".join(self.text).split()):
@@ -83,7 +93,15 @@ class _Lines(HTMLParser):
         self.inside -= sum(name in ("article", "main") for name, _, _ in self.open[at:])
         del self.open[at:]
 
+    def _end_head(self) -> None:
+        for at, (name, _, _) in enumerate(self.open):
+            if name == "head" and not any(n in ("template", "noscript") for n, _, _ in self.open[at:]):
+                self._close(at)
+                return
+
     def handle_starttag(self, tag, attrs):
+        if tag not in _IN_HEAD:
+            self._end_head()
         if tag in _BLOCK:
             for at in range(len(self.open) - 1, -1, -1):  # a block ends an open paragraph, an item the item before
                 name = self.open[at][0]
@@ -99,6 +117,11 @@ class _Lines(HTMLParser):
         if tag in _VOID:
             return
         silent = bool(self.open and self.open[-1][2]) or self._silent(tag, attrs)
+        if not silent and self._soft(tag, attrs) and len(self.names) not in self.released:
+            self.soft[len(self.names)] = [0, 0]
+        if not silent and tag in ("article", "main"):
+            for n in self._muted():
+                self.soft[n][1] = 1
         self.inside += tag in ("article", "main")
         self.open.append((tag, len(self.names), silent))
         self.names.append(tag)
@@ -115,9 +138,19 @@ class _Lines(HTMLParser):
                 self._close(at)
                 return
 
+    def _muted(self) -> list[int]:
+        return [n for _, n, _ in self.open if n in self.soft] if self.soft else []
+
     def handle_data(self, data):
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self._end_head()
         if not (self.open and self.open[-1][2]):
-            self.text.append(data)
+            if muted := self._muted():
+                for n in muted:
+                    self.soft[n][0] += len(data.strip())
+            else:
+                self.text.append(data)
+                self.loud += len(data.strip())
 
     def parse_marked_section(self, i, report=1):
         end = self.rawdata.find(">", i + 3)
@@ -130,33 +163,44 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
     return np.convolve(ratios, kernel)[RADIUS:-RADIUS] / np.convolve(np.ones(len(ratios)), kernel)[RADIUS:-RADIUS]
 
 
-def main_text(html: str | None) -> str:
-    """The article's blocks, joined by single spaces; empty if there are none."""
-    parser = _Lines()
-    parser.feed(html or "")
+def _parsed(html: str, released: frozenset[int]) -> _Lines:
+    parser = _Lines(released)
+    parser.feed(html)
     parser.close()
     parser._close(0)
     parser._flush()
+    return parser
+
+
+def _wrappers(parser: _Lines) -> frozenset[int]:
+    """Silent forms and marked elements that wrap the page: with nearly all of its text, or with its only article or main element."""
+    if not parser.soft:
+        return frozenset()
+    texts = [t for t, _, path in parser.lines if any(parser.names[n] in ("article", "main") for n in path)]
+    n, (size, article) = max(parser.soft.items(), key=lambda x: (x[1][1], x[1][0], -x[0]))
+    total = parser.loud + size
+    return frozenset([n]) if size and (article and not texts or not texts and size >= _WRAPPER * total) else frozenset()
+
+
+def main_text(html: str | None) -> str:
+    """The article's blocks, joined by single spaces; empty if there are none."""
+    parser = _parsed(html or "", frozenset())
+    while outer := _wrappers(parser):
+        parser = _parsed(html or "", parser.released | outer)
     lines = parser.lines
     if not lines:
         return ""
     ratio = smoothed(np.array([len(t) / n for t, n, _ in lines]))
     content = ratio >= min(ratio.std(), ratio.mean())
-    # characters of content by element: articles first, then main elements, else the deepest element with most of it
-    weight: dict[int, int] = {}
-    for (text, _, path), chosen in zip(lines, content, strict=True):
-        for n in path if chosen else ():
-            weight[n] = weight.get(n, 0) + len(text)
-    total = sum(len(t) for (t, _, _), c in zip(lines, content, strict=True) if c)
-    region = None
+    # top-level articles with content, else main elements, else the smallest element that holds all content
+    paths = [path for (_, _, path), chosen in zip(lines, content, strict=True) if chosen]
     for name in ("article", "main"):
-        if found := [n for n in weight if parser.names[n] == name]:
-            region = max(found, key=lambda n: (weight[n], -n))
+        if region := {n for path in paths for n in [next((n for n in path if parser.names[n] == name), None)] if n is not None}:
             break
     else:
-        most = [n for n in weight if parser.names[n] in _HOLDERS and 5 * weight[n] >= 4 * total]
-        region = max(most, default=None)
-    return " ".join(t for t, _, path in lines if region is None or region in path)
+        shared = [n for n in paths[0] if parser.names[n] in _HOLDERS and all(n in path for path in paths)] if paths else []
+        region = set(shared[-1:])
+    return " ".join(t for t, _, path in lines if not region or not region.isdisjoint(path))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

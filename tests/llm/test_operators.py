@@ -383,6 +383,22 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<body><div class=post><h1>The title of it</h1><div class=text><p>One two three four five six seven eight.</div></div>", "The title of it One two three four five six seven eight."),
+        ("<body><div><p>" + "a " * 85 + "</div><div><p>" + "b " * 15 + "</div>", ("a " * 85 + "b " * 15).strip()),
+        ("<article><p>First article of it</article><article><p>Second one, a bit longer</article>", "First article of it Second one, a bit longer"),
+        ("<html><head><title>T</title><body><p>The body's text", "The body's text"), ("<head><title>T</title><p>The body's text", "The body's text"),
+        ("<body><form><div>menu</div><article><p>Text in a form</article></form>", "Text in a form"),
+        ("<body><div class=sidebar-right><p>All text of the page</div>", "All text of the page"), ("<div class=widget-content><main><p>Main text</main></div>", "Main text"),
+        ("<article><p>Story</article><div class=comments><article><p>A reader writes at length about it</article></div>", "Story"),
+    ],
+)
+def test_main_text_is_whole(html, text):
+    assert html_extract.main_text(html) == text
+
+
 def test_html_query_equals_the_articles(spark, duck):
     import html as entities
 
