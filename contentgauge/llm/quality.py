@@ -1,25 +1,21 @@
 """Quality classifier: perplexity under an n-gram model of words learned from trusted text, and words that mark toxic documents.
 
-A trusted text is scored by a model of the half of the trusted texts that it is not in, and a high quantile of these
-held-out scores is its language's threshold; the model of all trusted text scores every document (word_model).
-The functions over character classes are a bounded model of spelling, which the classifier does not use.
+The model (word_model) is learned from three quarters of the trusted texts and scores every document; a high quantile
+of the scores of the last quarter is a language's threshold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
+from operator import and_
 from statistics import NormalDist
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contentgauge.llm import word_model
 from contentgauge.llm.common import join_ids, materialize
 
-ORDER, CLASSES = 4, 64
 #: Quantile of a language's held-out trusted documents beyond which a document is rejected, for perplexity and for marking words.
 UPPER = 0.999
 #: Documents from which a language's own quantile is taken alone.
@@ -28,131 +24,25 @@ ENOUGH = 5000
 SHARED = 10
 #: Words at the language's median that every text is scored with, so that the chance of few words rejects nothing.
 PRIOR = 20
+#: Share of repeated words up to which no text is rejected for them.
+LEAST_REPEATS = 0.2
 #: Rows of language thresholds up to which they are broadcast.
 MOST_LANGUAGES = 100_000
-#: Code points that are counted together.
-CHUNK = 3_000_000
+#: One trusted text of so many is not learned from, but shows what the model finds in good text that is new to it.
+HELD_OUT = 4
 
 
-def class_table() -> np.ndarray:
-    """Class of every code point below 2^16; 0 stands before the text.
+def never_null(lang: str):
+    """The language as text that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(lang).cast("string")), F.lit("")).alias("_lang")
 
-    a-z, A-Z together, digits together, space, newline, full stop, comma, other punctuation of prose, other ASCII,
-    28 classes of other letters, everything else.
-    """
-    out = np.full(1 << 16, 63, np.uint8)
-    out[:128] = 34
-    for c in range(128):
-        ch = chr(c)
-        if ch.islower():
-            out[c] = c - 96
-        elif ch.isupper():
-            out[c] = 27
-        elif ch.isdigit():
-            out[c] = 28
-    for cls, chars in ((29, " \t\r\x0b\x0c"), (30, "\n"), (31, "."), (32, ","), (33, ";:!?'\"()-")):
-        for ch in chars:
-            out[ord(ch)] = cls
-    for c in range(128, 1 << 16):
-        if not 0xD800 <= c < 0xE000 and chr(c).isalpha():
-            out[c] = 35 + ord(chr(c).lower()[0]) * 7 % 28
-    return out
-
-
-def cells(text: str, table: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """The n-gram cell of every character with the order - 1 characters before it."""
-    cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    cls = np.zeros(len(cps) + order - 1, np.int32)
-    cls[order - 1 :] = table[np.minimum(cps, 0xFFFF)]
-    return reduce(lambda a, k: a * CLASSES + cls[k : k + len(cps)], range(1, order), cls[: len(cps)])
-
-
-def trusted_ids(labels: DataFrame) -> DataFrame:
-    """doc_ids that labels call good and not toxic in every row; null flags don't count against a document."""
-    good = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-    return good.filter("q = 1 and t = 0").select("doc_id")
-
-
-def count_cells(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """cell and n of all n-grams of texts(text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = class_table()
-
-        def emit(parts):
-            cell, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(n)], names=["cell", "n"])
-
-        parts, size = [], 0
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                if text:
-                    parts.append(cells(text, table, order))
-                    size += len(parts[-1])
-                if size >= CHUNK:
-                    yield emit(parts)
-                    parts, size = [], 0
-        if parts:
-            yield emit(parts)
-
-    return texts.select("text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-
-
-def probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """Rows k, cell, p, back: the discounted part of each seen n-gram of order k, and on rows of a context (p null) the weight of the lower order.
-
-    The top order uses counts, lower orders the number of different characters before an n-gram. Counts are joined
-    with their context's totals by context, a shuffle join that shards the model by context.
-    """
-    level = counts.withColumn("k", F.lit(order))
-    levels = [level]
-    for k in range(order - 1, 0, -1):
-        level = level.groupBy(F.pmod("cell", F.lit(CLASSES**k)).alias("cell")).agg(F.count("*").alias("n")).withColumn("k", F.lit(k))
-        levels.append(level)
-    grams = materialize(reduce(DataFrame.unionByName, levels))
-    # counts of counts give the three discounts of each order
-    of = lambda x: F.sum((F.col("n") == x).cast("double"))
-    stats = grams.groupBy("k").agg(*[of(x).alias(f"n{x}") for x in range(1, 5)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    ratio = lambda a, b: F.coalesce(F.try_divide(F.col(b), F.col(a)), F.lit(0.0))
-    y = F.coalesce(y, F.lit(0.5))
-    clamp = lambda x, most: F.least(F.greatest(x, F.lit(0.05)), F.lit(most))
-    stats = stats.select("k", clamp(1 - 2 * y * ratio("n1", "n2"), 1.0).alias("d1"), clamp(2 - 3 * y * ratio("n2", "n3"), 2.0).alias("d2"), clamp(3 - 4 * y * ratio("n3", "n4"), 3.0).alias("d3"))
-    grams = grams.join(F.broadcast(stats), "k").withColumn("context", F.floor(F.col("cell") / CLASSES).cast("bigint"))
-    discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    grams = grams.withColumn("d", F.least(discount, F.col("n").cast("double")))
-    totals = grams.groupBy("k", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("held"))
-    seen = grams.join(totals.hint("shuffle_hash"), ["k", "context"]).select("k", "cell", ((F.col("n") - F.col("d")) / F.col("total")).alias("p"), F.lit(None).cast("double").alias("back"))
-    return seen.unionByName(totals.select("k", F.col("context").alias("cell"), F.lit(None).cast("double").alias("p"), (F.col("held") / F.col("total")).alias("back")))
-
-
-def dense_log(rows: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], order: int = ORDER) -> np.ndarray:
-    """Log probability of every cell of the top order, interpolated from the lowest order up; uniform below that."""
-    k, cell, p, back = rows
-    prob = np.full(1, 1 / CLASSES, np.float32)
-    for level in range(1, order + 1):
-        weight = np.ones(CLASSES ** (level - 1), np.float32)
-        own = (k == level) & np.isnan(p)
-        weight[cell[own]] = back[own]
-        lower = np.broadcast_to(prob.reshape(1, -1), (1 if level == 1 else CLASSES, prob.size))
-        # the lower order's cell drops the first character of the context
-        prob = (weight[:, None] * (np.full((1, CLASSES), prob[0], np.float32) if level == 1 else lower.reshape(-1, CLASSES))).reshape(-1)
-        own = (k == level) & ~np.isnan(p)
-        prob[cell[own]] += p[own].astype(np.float32)
-    return np.log(prob)
-
-
-def with_keys(docs: DataFrame) -> DataFrame:
-    """docs with _key, 16 bytes of the text, and _lang, the language as text that is never null."""
-    return docs.withColumn("_key", F.unhex(F.md5(F.col("text").cast("string")))).withColumn("_lang", F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("")))
-
-
-def learned_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """_key, _lang, text, half, toxic of the trusted documents and of those of good quality that are toxic; copies lie in the same half."""
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs with _toxic: false for trusted documents (good in every row of labels and never toxic), true for good ones that are toxic, else null; and _held, of trusted ones that the limits are measured on. Copies of a text are all held or all not."""
     ids = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-    ids = ids.filter("q = 1").select("doc_id", (F.col("t") != 0).alias("toxic"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "_key", "_lang", F.col("text").cast("string").alias("text")).filter("text <> ''")
-    return join_ids(texts, ids, ["doc_id"], "inner").withColumn("half", F.pmod(F.xxhash64("text"), F.lit(word_model.HALVES)).cast("int"))
+    ids = ids.filter("q = 1").select("doc_id", (F.col("t") != 0).alias("_toxic"))
+    held = ~F.col("_toxic") & (F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0)
+    return join_ids(docs, ids, ["doc_id"], "left").withColumn("_held", F.coalesce(held, F.lit(False)))
 
 
 def with_prior(score: str, middle: str):
@@ -160,8 +50,13 @@ def with_prior(score: str, middle: str):
     return (F.col(score) * F.col("n") + F.col(middle) * PRIOR) / (F.col("n") + PRIOR)
 
 
+def share_repeated():
+    """Share of words that repeat one of the two before, of a text's own and PRIOR that don't; perplexity doesn't see repetition."""
+    return F.col("repeats") / (F.col("n") + PRIOR)
+
+
 def limits(held_out: DataFrame) -> DataFrame:
-    """_lang, middle, most, most_toxic from held_out(_lang, n, score, toxic); the row with a null _lang is for languages without trusted documents.
+    """_lang, middle, most, most_toxic, most_repeats from held_out(_lang, n, score, toxic, repeats); the row with a null _lang is for languages without trusted documents.
 
     The quantile of a language with fewer than ENOUGH documents, which they can't show, is at least that of all, taken
     from each one's median, and that of a normal distribution about it with the deviation of the documents above it
@@ -172,58 +67,56 @@ def limits(held_out: DataFrame) -> DataFrame:
     beyond = held_out.join(F.broadcast(by), "_lang").withColumn("beyond", with_prior("score", "middle") - F.col("middle"))
     of = lambda c: F.percentile_approx(c, UPPER, 10_000)
     above = F.when(F.col("beyond") > 0, F.col("beyond"))
-    own = beyond.groupBy("_lang").agg(F.count("*").alias("docs"), of("beyond").alias("own"), of("toxic").alias("own_toxic"), F.count(above).alias("v"), F.mean(above * above).alias("square"))
-    pooled = beyond.agg(of("beyond").alias("all"), of("toxic").alias("all_toxic"))
+    own = beyond.groupBy("_lang").agg(F.count("*").alias("docs"), of("beyond").alias("own"), of("toxic").alias("own_toxic"), of(share_repeated()).alias("own_repeats"), F.count(above).alias("v"), F.mean(above * above).alias("square"))
+    pooled = beyond.agg(of("beyond").alias("all"), of("toxic").alias("all_toxic"), of(share_repeated()).alias("all_repeats"))
     shared = own.agg(F.coalesce(F.avg("square"), F.lit(0.0)).alias("shared"))
     square = (F.col("v") * F.coalesce("square", "shared") + SHARED * F.col("shared")) / (F.col("v") + SHARED)
     own = own.crossJoin(F.broadcast(shared)).withColumn("normal", NormalDist().inv_cdf(UPPER) * F.sqrt(square))
     few = F.coalesce(F.col("docs"), F.lit(0)) < ENOUGH
     most = lambda a, *more: F.when(few, F.greatest(a, *more)).otherwise(F.col(a))
     found = by.unionByName(overall).join(F.broadcast(own), "_lang", "left").crossJoin(F.broadcast(pooled))
-    return found.select("_lang", "middle", (F.col("middle") + most("own", "all", "normal")).alias("most"), most("own_toxic", "all_toxic").alias("most_toxic"))
+    return found.select("_lang", "middle", (F.col("middle") + most("own", "all", "normal")).alias("most"), most("own_toxic", "all_toxic").alias("most_toxic"), F.greatest(most("own_repeats", "all_repeats"), F.lit(LEAST_REPEATS)).alias("most_repeats"))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Scores _key, n, score, toxic of the texts of docs(doc_id, _key, _lang, text), and the limits of their languages."""
-    learn = materialize(learned_texts(docs, labels))
-    texts = docs.filter("text <> ''").select(F.col("_key").alias("key"), F.col("text").cast("string").alias("text"), F.lit(None).cast("int").alias("half"))
-    # only trusted texts are scored twice: by the model of all, and by that of the half without them
-    held = learn.filter("not toxic").select(F.col("_key").alias("key"), "text", "half")
-    scores = materialize(word_model.score(texts, held, learn.select("text", "half", "toxic"))).withColumnRenamed("key", "_key")
-    known = learn.filter("not toxic").select("_key", "_lang", (1 - F.col("half")).alias("model"))
-    held_out = materialize(known.join(scores.hint("shuffle_hash"), ["_key", "model"]).select("_lang", "n", "score", "toxic"))
-    return scores.filter(F.col("model") == word_model.ALL).drop("model"), materialize(limits(held_out))
+    """Scores of docs(doc_id, _lang, text, ...), without the text, and the limits of their languages."""
+    docs = labelled(docs, labels)
+    known = docs.filter("text <> '' and _toxic is not null and not _held").select("text", F.col("_toxic").alias("toxic"))
+    scores = materialize(word_model.score(docs.drop("_toxic"), *word_model.learn(known)))
+    return scores, materialize(limits(scores.filter("_held and n > 0").select("_lang", "n", "score", "toxic", "repeats")))
 
 
 def with_limits(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows(_lang, n, score, toxic) with most and kept."""
+    """rows(_lang, n, score, toxic, repeats) with most and kept."""
     overall = found.filter("_lang is null").first()
-    own = found.filter("_lang is not null").select("_lang", *[F.col(c).alias(f"_{c}") for c in ("middle", "most", "most_toxic")])
+    names = ("middle", "most", "most_toxic", "most_repeats")
+    own = found.filter("_lang is not null").select("_lang", *[F.col(c).alias(f"_{c}") for c in names])
     own = F.broadcast(own) if own.count() <= MOST_LANGUAGES else own.hint("shuffle_hash")
-    names = ("middle", "most", "most_toxic")
     rows = rows.join(own, "_lang", "left").select("*", *[F.coalesce(f"_{c}", F.lit(overall[c] if overall else None).cast("double")).alias(c) for c in names])
-    return rows.withColumn("kept", F.coalesce(with_prior("score", "middle") <= F.col("most"), F.lit(True)) & F.coalesce(F.col("toxic") <= F.col("most_toxic"), F.lit(True)))
+    within = [with_prior("score", "middle") <= F.col("most"), F.col("toxic") <= F.col("most_toxic"), share_repeated() <= F.col("most_repeats")]
+    return rows.withColumn("kept", reduce(and_, [F.coalesce(x, F.lit(True)) for x in within]))
 
 
 def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Perplexity of every document by word and whether it is kept.
 
     Returns doc_id, lang, perplexity, threshold, kept, one row per input row. A document is kept if its log perplexity,
-    over its own words and PRIOR more at its language's median, is at most its language's threshold, and its words that
-    mark toxic documents weigh no more than its language's trusted documents do. Languages without trusted documents,
-    and a null lang, take the figures of all. A null or empty text has no perplexity and is kept, as is everything if
-    there is no trusted text.
+    over its own words and PRIOR more at its language's median, is at most its language's threshold, and its word that
+    marks toxic documents most weighs no more than in its language's trusted documents (their quantile UPPER), nor does
+    it repeat words more than they do. Languages without held-out trusted documents, and a null lang, take the figures of all. A null or empty text has no perplexity and is kept, as is
+    everything if there is no trusted text. Repeated rows and copies are judged alike.
     """
-    docs = with_keys(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), never_null("lang"), F.col("text").cast("string").alias("text"))
     scores, found = judged(docs, labels)
-    rows = docs.select("doc_id", "lang", "_key", "_lang").join(scores.hint("shuffle_hash"), "_key", "left")
-    return with_limits(rows, found).select("doc_id", "lang", F.exp("score").alias("perplexity"), F.exp("most").alias("threshold"), "kept")
+    return with_limits(scores, found).select("doc_id", "lang", F.exp("score").alias("perplexity"), F.exp("most").alias("threshold"), "kept")
 
 
 def without_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier keeps, with the columns of docs."""
-    keyed = with_keys(docs)
-    scores, found = judged(keyed, labels)
-    texts = keyed.select("_key", "_lang").distinct()
-    rejected = materialize(with_limits(texts.join(scores.hint("shuffle_hash"), "_key"), found).filter("not kept").select("_key", "_lang"))
-    return join_ids(keyed, rejected, ["_key", "_lang"], "left_anti").select(*docs.columns)
+    """The rows of docs that the classifier keeps, with the columns of docs, whatever their names."""
+    key = F.unhex(F.md5(F.col("text").cast("string")))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), never_null("lang"), key.alias("key"), F.col("text").cast("string").alias("text"))
+    scores, found = judged(texts, labels)
+    rejected = materialize(with_limits(scores, found).filter("not kept").select(F.col("key").alias("_key"), "_lang").distinct())
+    own = [F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    keyed = docs.select(*own, key.alias("_key"), never_null("lang"))
+    return join_ids(keyed, rejected, ["_key", "_lang"], "left_anti").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -1,16 +1,20 @@
-"""Word model: interpolated modified Kneser-Ney of order 2 over 64-bit hashed words, and words that mark toxic documents.
+"""Word model: interpolated modified Kneser-Ney of order 2, and words that mark toxic documents.
 
-The logarithm of a text's probability is a sum of one value for each word (its own lower-order probability and its
-weight as a context, both against an unseen word) and one more for each pair of words the model has seen. So every
-n-gram of a text is looked up alone. The model is dealt out by n-gram over shards, and never lies in one place; texts
-send each chunk's distinct n-grams to the shards with the texts that hold them, and get sums by text back.
+The most common trusted words have numbers (all others are one class); their figures fit in a few MB and every task
+has them. Counts of word pairs grow with the text and never lie in one place: they are dealt over shards, packed. The
+logarithm of a text's probability is a sum of one figure for each word and one for each pair that the model has seen,
+so each pair is looked up alone: texts send a chunk's pairs to the shards, with the texts that hold them, and get sums
+by text back. The most common pairs, a bounded number, are known to all tasks and not sent, so that no shard is hot.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from hashlib import blake2b
+from operator import eq, or_
 
 import numpy as np
 import pyarrow as pa
@@ -20,301 +24,418 @@ from pyspark.sql import functions as F
 
 from contentgauge.llm.common import materialize
 
-#: Models: of one half of the trusted texts, of the other half, of all. A trusted text is also scored by the half without it.
-HALVES, ALL = 2, 2
-SHARDS, GRAMS_IN_SHARD = 64, 4_000_000
-#: Words that are sorted together.
-CHUNK = 1_500_000
+#: Most words with a number of their own, most pairs and most marking words that all tasks hold.
+VOCABULARY, PAIRS, MARKS = 131_072, 262_144, 65_536
+#: Words that are sorted together, texts at most.
+CHUNK, TEXTS = 1_500_000, 60_000
+#: Words of trusted text for each shard, where the session's number of shuffle partitions gives it more.
+WORDS_IN_SHARD = 8_000_000
 #: A word marks toxic documents if they hold it so many times as often as trusted ones, with a chance of at most exp(-EVIDENCE) that any word does so without cause.
 TOXIC_RATIO, EVIDENCE = 5, 3
-#: Words whose figures are broadcast, since many pairs hold them.
-HOT_WORDS = 3000
 WORD = re.compile(r"\w+|[^\w\s]")
+#: Bits of a word's number. 0 stands before and after a text, 1 for all words without a number.
+BITS = 18
+MASK = (1 << BITS) - 1
 
-_LOOKUP = "shard int, tag int, chunk string, keys binary, counts binary, docs binary, toxic binary"
+_STAT = ("total", "types", "n1", "n2", "n3", "n4", "before")
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, never 0: that stands before and after a text."""
+def word_hash(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-    def __missing__(self, word):
-        if len(self) > 500_000:
-            self.clear()
-        got = self[word] = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") | 1
-        return got
 
+@dataclass
+class Model:
+    """What every task holds: figures of single words and of the most common pairs."""
 
-def hashed(text: str, hashes: _Hashes) -> np.ndarray:
-    """Hashes of the words of text, with 0 at both ends."""
-    found = WORD.findall(text.lower())
-    out = np.zeros(len(found) + 2, np.uint64)
-    out[1:-1] = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
-    return out
+    hashes: np.ndarray  # ascending int64; the word at k has the number k + 2
+    mark_hashes: np.ndarray
+    mark_weights: np.ndarray
+    splits: np.ndarray  # by number: over how many shards the pairs behind a word are dealt
+    shards: int
+    total: np.ndarray = field(default_factory=lambda: np.zeros(0))  # by number, as a context
+    back: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    p: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of the lower order
+    single: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log(p * back); of a word without a number, not of their class
+    discounts: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of the most common pairs, ascending
+    values: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
 
+    def pair_values(self, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """log p(w | v) - log(back(v) p(w)) of pairs seen n times."""
+        v, w = keys >> BITS, keys & MASK
+        lower = self.back[v] * self.p[w]
+        return np.log(((n - self.discounts[np.minimum(n, 3)]) / self.total[v] + lower) / lower)
 
-def gram_keys(a: np.ndarray, b: np.ndarray | int, model: np.ndarray | int) -> np.ndarray:
-    """48-bit keys of n-grams of a model; b is 0 for single words."""
-    x = np.asarray(a, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(b, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.asarray(model, np.uint64) * np.uint64(0x165667B19E3779F9)
+    def shard_of(self, keys: np.ndarray) -> np.ndarray:
+        """The pairs behind one word lie together, but those of common words are dealt by the second word too."""
+        v, w = (keys >> BITS).astype(np.uint64), (keys & MASK).astype(np.uint64)
+        part = _mixed(w) % self.splits[keys >> BITS].astype(np.uint64)
+        return (_mixed(v * np.uint64(65_537) + part) % np.uint64(self.shards)).astype(np.int32)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
     for by in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
         x = (x ^ (x >> np.uint64(31))) * np.uint64(by)
-    return (x ^ (x >> np.uint64(30))) >> np.uint64(16)
+    return x ^ (x >> np.uint64(30))
+
+
+class _Numbers(dict):
+    """The number of a word, and above its BITS the place of a marking word, from 1."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.known = dict(zip(model.hashes.tolist(), range(2, len(model.hashes) + 2), strict=True))
+        for k, h in enumerate(model.mark_hashes.tolist()):
+            self.known[h] = self.known.get(h, 1) | (k + 1) << BITS
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        got = self[word] = self.known.get(word_hash(word), 1)
+        return got
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        got = self[word] = word_hash(word)
+        return got
+
+
+def cut(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
+
+
+def numbered(words: list[str], table: dict) -> np.ndarray:
+    return np.fromiter(map(table.__getitem__, words), np.int64, len(words))
+
+
+def repeats(words: list[str]) -> int:
+    """Words that are the same as one of the two before them."""
+    return sum(map(or_, map(eq, words[2:], words[1:]), map(eq, words[2:], words)))
+
+
+def pair_keys(numbers: np.ndarray) -> np.ndarray:
+    """Pairs of a text's words, with its start and its end."""
+    ends = np.zeros(len(numbers) + 2, np.int64)
+    ends[1:-1] = numbers
+    return ends[:-1] << BITS | ends[1:]
 
 
-#: Set apart from a pair that ends a text.
-_PAIR = np.uint64(0xA24BAED4963EE407)
+def packed(x: np.ndarray) -> bytes:
+    """Small numbers, byte by byte."""
+    return zlib.compress(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
-def pairs_of(words: np.ndarray, model) -> np.ndarray:
-    return gram_keys(words[:-1], words[1:] ^ _PAIR, model)
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """half, toxic, v, w, n, docs of texts(text, half, toxic): counts of word pairs (v not null) in trusted texts, and of the documents that hold a word (v null)."""
-    schema = "half int, toxic boolean, v bigint, w bigint, n bigint, docs bigint"
+    """w (hash), n (in trusted texts), good and bad (trusted and toxic texts that hold it) of texts(text, toxic)."""
+    schema = pa.schema([(c, pa.int64()) for c in ("w", "n", "good", "bad")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, parts, size = _Hashes(), {}, 0
+        hashes, parts, size = _Hashes(), {True: [], False: []}, 0
 
         def emit():
-            for (half, toxic), texts in parts.items():
-                word, docs = np.unique(np.concatenate([np.unique(t[1:-1]) for t in texts]), return_counts=True)
-                none = pa.nulls(len(word), pa.int64())
-                same = lambda n: [pa.array([half] * n, pa.int32()), pa.array([toxic] * n, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*same(len(word)), none, pa.array(word.view(np.int64)), none, pa.array(docs)], schema=_arrow)
-                if not toxic:
-                    pairs = np.concatenate([np.stack([t[:-1], t[1:]], 1) for t in texts])
-                    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-                    pairs = pairs[order]
-                    first = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)])
-                    n = np.diff(np.r_[first, len(pairs)])
-                    v, w = (np.ascontiguousarray(pairs[first, k]).view(np.int64) for k in (0, 1))
-                    yield pa.RecordBatch.from_arrays([*same(len(n)), pa.array(v), pa.array(w), pa.array(n), pa.nulls(len(n), pa.int64())], schema=_arrow)
+            word, at = np.unique(np.concatenate(parts[True] + parts[False]), return_inverse=True)
+            bad = sum(map(len, parts[True]))
+            once = [np.concatenate([np.zeros(0, np.int64), *map(np.unique, parts[t])]) for t in (False, True)]
+            docs = [np.bincount(np.searchsorted(word, x), minlength=len(word)) for x in once]
+            yield _batch(schema, word, np.bincount(at[bad:], minlength=len(word)), *docs)
 
         for b in batches:
-            for text, half, toxic in zip(*(b.column(c).to_pylist() for c in ("text", "half", "toxic")), strict=True):
-                if text:
-                    got = hashed(text, hashes)
-                    parts.setdefault((half, toxic), []).append(got)
-                    size += len(got)
+            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+                got = numbered(cut(text), hashes)
+                parts[toxic].append(got)
+                size += len(got)
                 if size >= CHUNK:
                     yield from emit()
-                    parts, size = {}, 0
-        yield from emit()
+                    parts, size = {True: [], False: []}, 0
+        if size:
+            yield from emit()
 
-    _arrow = pa.schema([("half", pa.int32()), ("toxic", pa.bool_()), ("v", pa.int64()), ("w", pa.int64()), ("n", pa.int64()), ("docs", pa.int64())])
-    found = texts.select("text", "half", "toxic").mapInArrow(run, schema)
-    return found.groupBy("half", "toxic", "v", "w").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return texts.select("text", "toxic").mapInArrow(run, "w bigint, n bigint, good bigint, bad bigint").groupBy("w").agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad")])
 
 
-def by_model(rows: DataFrame) -> DataFrame:
-    """Rows of a half also stand in the model of all."""
-    return rows.withColumn("model", F.explode(F.array(F.col("half"), F.lit(ALL))))
+def bins(n: np.ndarray) -> np.ndarray:
+    """Counts in bins that only large ones share; a few thousand bins hold any counts."""
+    return np.where(n < 1024, n, 1024 + np.floor(64 * (np.log2(np.maximum(n, 1)) - 10))).astype(np.int64)
 
 
-def pair_values(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Values model, v, w, value of pairs(model, v, w, n), and of single words (w null); and per model the log probability of an unseen word.
+_BIN = "IF(n < 1024, n, 1024 + CAST(FLOOR(64 * (LOG2(n) - 10)) AS BIGINT))"
 
-    value of a pair: log p(w | v) - log back(v) - log p(w); of a word: log p(w) - log p(unseen) + log back(w).
-    """
-    pairs = materialize(pairs)
-    of = lambda x: F.sum((F.col("n") == x).cast("double"))
-    stats = pairs.groupBy("model").agg(*[of(x).alias(f"n{x}") for x in range(1, 5)], F.count("*").alias("types"))
-    y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
-    ratio = lambda a, b: F.coalesce(F.try_divide(F.col(b), F.col(a)), F.lit(0.0))
-    clamp = lambda x, most: F.least(F.greatest(x, F.lit(0.05)), F.lit(most))
-    stats = stats.select("model", "types", *[clamp(k - (k + 1) * y * ratio(f"n{k}", f"n{k + 1}"), k - 0.05).alias(f"d{k}") for k in (1, 2, 3)])
-    words = materialize(pairs.groupBy("model", "w").agg(F.count("*").alias("before")))
-    low = words.groupBy("model").agg(F.count("*").alias("vocabulary"), of_before(1).alias("b1"), of_before(2).alias("b2"))
-    held = F.least(F.greatest(F.coalesce(F.try_divide(F.col("b1"), F.col("b1") + 2 * F.col("b2")), F.lit(0.5)), F.lit(0.05)), F.lit(0.95))
-    stats = materialize(stats.join(low, "model").select("*", held.alias("d0")).withColumn("p0", F.col("d0") * F.col("vocabulary") / F.col("types") / (F.col("vocabulary") + 1)))
-    own = F.broadcast(stats)
-    words = words.join(own, "model").select("model", "w", ((F.col("before") - F.col("d0")) / F.col("types") + F.col("p0")).alias("p"), "p0", F.col("before").alias("size"))
-    d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    pairs = pairs.join(own.select("model", "d1", "d2", "d3"), "model").select("model", "v", "w", "n", d.alias("d"))
-    contexts = materialize(pairs.groupBy("model", "v").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("back"), F.count("*").alias("size")))
-    full = join_dealt(join_dealt(pairs, contexts, ["model", "v"]), words.select("model", "w", "p", "size"), ["model", "w"])
-    lower = F.col("back") * F.col("p")
-    two = full.select("model", "v", "w", F.log(((F.col("n") - F.col("d")) / F.col("total") + lower) / lower).alias("value"))
-    context = contexts.select("model", F.col("v").alias("w"), "back")
-    one = words.join(context.hint("shuffle_hash"), ["model", "w"], "left").select(
-        "model", F.col("w").alias("v"), F.lit(None).cast("bigint").alias("w"), (F.log(F.col("p") / F.col("p0")) + F.coalesce(F.log("back"), F.lit(0.0))).alias("value")
-    )
-    return two.unionByName(one), stats.select("model", F.log("p0").alias("unseen"))
-
-
-def join_dealt(pairs: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
-    """pairs with their row of side (size: rows of pairs that have it); the rows that most pairs have are broadcast."""
-    hot = F.broadcast(materialize(side.orderBy(F.desc("size")).limit(HOT_WORDS)))
-    rest = pairs.join(hot.select(*on), on, "left_anti").join(side.hint("shuffle_hash"), on)
-    return pairs.join(hot, on).unionByName(rest).drop("size")
-
-
-def of_before(x: int):
-    return F.sum((F.col("before") == x).cast("double"))
-
-
-def toxic_words(words: DataFrame, sizes: DataFrame) -> DataFrame:
-    """model, v, toxic (log ratio) of words that mark toxic documents, from words(model, toxic, w, docs) and sizes(model, toxic, texts)."""
-    held = lambda t: F.sum(F.when(F.col("toxic") == t, F.col("docs")).otherwise(0))
-    all_of = lambda t: F.sum(F.when(F.col("toxic") == t, F.col("texts")).otherwise(0))
-    n = F.broadcast(sizes.groupBy("model").agg(all_of(True).alias("bad"), all_of(False).alias("good")))
-    found = words.groupBy("model", "w").agg(held(True).alias("x"), held(False).alias("y")).filter("x > 0")
-    tested = F.broadcast(found.groupBy("model").agg(F.count("*").alias("tested")))
-    found = found.join(n, "model").join(tested, "model").withColumn("mean", F.col("bad") * (F.col("y") + 1) / (F.col("good") + 1))
-    # Chernoff's bound on the chance of so many documents, over all words that are tested
-    evidence = F.col("x") * F.log(F.col("x") / F.col("mean")) - F.col("x") + F.col("mean")
-    marks = found.filter((F.col("x") >= TOXIC_RATIO * F.col("mean")) & (evidence >= F.log("tested") + EVIDENCE))
-    return marks.select("model", F.col("w").alias("v"), F.log(F.col("x") / F.col("mean")).alias("toxic"))
 
+def least_bin(sizes: dict[int, int], most: int) -> int:
+    """The least bin from which on at most so many are left."""
+    left, least = 0, max(sizes, default=0) + 1
+    for k in sorted(sizes, reverse=True):
+        if (left := left + sizes[k]) > most:
+            break
+        least = k
+    return least
 
-def _planes(keys: np.ndarray) -> bytes:
-    """48-bit keys byte by byte, high bytes first: those of sorted keys compress."""
-    return np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].T).tobytes()
 
+def toxic_marks(words: DataFrame, good: int, bad: int) -> DataFrame:
+    """w and weight (log ratio) of at most MARKS words that mark toxic documents, from words(w, good, bad) and the numbers of texts."""
+    found = words.filter("bad > 0").withColumn("mean", bad * (F.col("good") + 1) / F.lit(good + 1))
+    tested = found.count()
+    # Chernoff's bound on the chance of so many documents, over all words that are tested
+    evidence = F.col("bad") * F.log(F.col("bad") / F.col("mean")) - F.col("bad") + F.col("mean")
+    marks = found.withColumn("evidence", evidence).filter((F.col("bad") >= TOXIC_RATIO * F.col("mean")) & (F.col("evidence") >= float(np.log(max(tested, 1))) + EVIDENCE))
+    return marks.orderBy(F.desc("evidence"), "w").limit(MARKS).select("w", F.log(F.col("bad") / F.col("mean")).alias("weight"))
 
-def _joined(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(6, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, 2:] = planes.T
-    return out.view(">u8").ravel().astype(np.uint64)
 
+_PACK = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
-_ROWS = pa.schema([("shard", pa.int32()), ("tag", pa.int32()), ("chunk", pa.string()), *[(c, pa.binary()) for c in ("keys", "counts", "docs", "toxic")]])
 
+def count_pairs(texts: DataFrame, model: Model) -> DataFrame:
+    """Pairs of texts(text) and how often they stand there: shard, keys (ascending, as differences) and counts, packed."""
+    handed = texts.sparkSession.sparkContext.broadcast(model)
 
-def pack_model(values: DataFrame, shards: int) -> DataFrame:
-    """Rows of values(model, v, w, value, toxic) by shard, many to a row (tag 0)."""
+    def rows(keys, counts):
+        at = handed.value.shard_of(keys)
+        order = np.argsort(at, kind="stable")
+        keys, counts, at = keys[order], counts[order], at[order]
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        for lo, hi in zip(starts, [*starts[1:], len(at)], strict=True):
+            yield _batch(_PACK, [at[lo]], [packed(np.diff(keys[lo:hi], prepend=0))], [packed(counts[lo:hi])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, parts, size = _Numbers(handed.value), [], 0
         for b in batches:
-            model, v, value, toxic = (b.column(c).to_numpy(zero_copy_only=False) for c in ("model", "v", "value", "toxic"))
-            one = b.column("w").is_null().to_numpy(zero_copy_only=False)
-            w = b.column("w").fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            keys = gram_keys(v.view(np.uint64), np.where(one, np.uint64(0), w ^ _PAIR), model.astype(np.uint64))
-            at = (keys % np.uint64(shards)).astype(np.int32)
-            rows = [(int(s), 0, "", (g := at == s, _planes(keys[g]))[1], value[g].astype(np.float32).tobytes(), b"", toxic[g].astype(np.float32).tobytes()) for s in np.unique(at)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROWS, strict=True)], schema=_ROWS)
+            for text in b.column("text").to_pylist():
+                parts.append(pair_keys(numbered(cut(text), numbers) & MASK))
+                size += len(parts[-1])
+                if size >= CHUNK:
+                    yield from rows(*np.unique(np.concatenate(parts), return_counts=True))
+                    parts, size = [], 0
+        if parts:
+            yield from rows(*np.unique(np.concatenate(parts), return_counts=True))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size, shard = [], 0, None
+
+        def summed():
+            keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            return keys, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+        for b in batches:
+            for r in b.to_pylist():
+                shard = r["shard"]
+                parts.append((np.cumsum(unpacked(r["keys"])), unpacked(r["counts"])))
+                size += len(parts[-1][0])
+                if size > 2 * WORDS_IN_SHARD:
+                    parts = [summed()]
+                    size = len(parts[0][0])
+        if parts:
+            keys, counts = summed()
+            for k in range(0, len(keys), 1_000_000):
+                yield _batch(_PACK, [shard], [packed(np.diff(keys[k : k + 1_000_000], prepend=0))], [packed(counts[k : k + 1_000_000])])
+
+    schema = "shard int, keys binary, counts binary"
+    return texts.select("text").mapInArrow(run, schema).repartitionById(model.shards, "shard").mapInArrow(merged, schema)
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for b in batches:
+        for r in b.to_pylist():
+            yield np.cumsum(unpacked(r["keys"])), unpacked(r["counts"])
 
-    return values.select("model", "v", "w", "value", "toxic").mapInArrow(run, _LOOKUP)
 
+def word_figures(pairs: DataFrame) -> DataFrame:
+    """Per number: total and types of the pairs behind it, how many of these stand 1, 2, 3 and 4 times, and before, the number of words before it."""
+    schema = pa.schema([("word", pa.int64()), *[(c, pa.int64()) for c in _STAT]])
 
-def ask(texts: DataFrame, shards: int, name: str) -> DataFrame:
-    """A chunk's distinct n-grams by shard (tag 1) with the texts that hold them, and its texts (tag 2), of texts(key, text, half)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n in _opened(batches):
+            v, at = np.unique(keys >> BITS, return_inverse=True)
+            of = lambda hit: np.bincount(at[hit], minlength=len(v))  # noqa: B023, E731
+            yield _batch(schema, v, np.bincount(at, n).astype(np.int64), np.bincount(at), *[of(n == k) for k in (1, 2, 3, 4)], np.zeros(len(v), np.int64))
+            w, before = np.unique(keys & MASK, return_counts=True)
+            yield _batch(schema, w, *[np.zeros(len(w), np.int64)] * 6, before)
+
+    found = pairs.mapInArrow(run, "word bigint, " + ", ".join(f"{c} bigint" for c in _STAT))
+    return found.groupBy("word").agg(*[F.sum(c).alias(c) for c in _STAT])
+
+
+def common_pairs(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, ascending, and counts of the most common pairs, at most PAIRS."""
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, n in _opened(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(bins(n), return_counts=True)], names=["bin", "size"])
+
+    of = {r["bin"]: r["size"] for r in pairs.mapInArrow(sizes, "bin bigint, size bigint").groupBy("bin").agg(F.sum("size").alias("size")).collect()}
+    least = least_bin(of, PAIRS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, grams, docs, known, size, n_chunks = _Hashes(), [], [], [], 0, 0
+        for keys, n in _opened(batches):
+            hit = bins(n) >= least
+            yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(n[hit])], names=["key", "n"])
+
+    got = pairs.mapInArrow(run, "key bigint, n bigint").toArrow()
+    keys, n = (got.column(c).to_numpy() for c in ("key", "n"))
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def learn(texts: DataFrame, shards: int | None = None) -> tuple[Model, DataFrame]:
+    """The model of texts(text, toxic), texts neither null nor empty, and its pairs (count_pairs). Toxic texts only give marking words."""
+    spark = texts.sparkSession
+    words = materialize(count_words(texts))
+    of = {r["bin"]: r["size"] for r in words.filter("n > 0").groupBy(F.expr(_BIN).alias("bin")).agg(F.count("*").alias("size")).collect()}
+    known = words.filter("n > 0").filter(F.expr(_BIN) >= least_bin(of, VOCABULARY)).select("w", "n").toArrow()
+    order = np.argsort(known.column("w").to_numpy())
+    hashes, n = known.column("w").to_numpy()[order], known.column("n").to_numpy()[order]
+    total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 0).cast("int")), F.lit(0))).first()
+    sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    marks = toxic_marks(words, sizes.get(False, 0), sizes.get(True, 0)).toArrow()
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // WORDS_IN_SHARD)
+    share = np.r_[sizes.get(False, 0), total - n.sum(), n] / max(total, 1)
+    model = Model(hashes, marks.column("w").to_numpy(), marks.column("weight").to_numpy(), 1 + np.floor(4 * shards * share).astype(np.int64), shards)
+    pairs = materialize(count_pairs(texts.filter("not toxic"), model))
+    got = word_figures(pairs).toArrow()
+    stat = {c: np.zeros(len(hashes) + 2) for c in _STAT}
+    for c in _STAT:
+        stat[c][got.column("word").to_numpy()] = got.column(c).to_numpy()
+    estimate(model, stat, kinds - len(hashes))
+    model.keys, n = common_pairs(pairs)
+    model.values = model.pair_values(model.keys, n).astype(np.float32)
+    return model, pairs
+
+
+def estimate(model: Model, stat: dict[str, np.ndarray], others: int) -> None:
+    """Discounts, weights of contexts and lower-order probabilities; others is the number of different trusted words without a number."""
+    count = [0.0, *[stat[f"n{k}"].sum() for k in (1, 2, 3, 4)]]
+    y = count[1] / (count[1] + 2 * count[2]) if count[1] + count[2] else 0.5
+    ratio = lambda k: count[k + 1] / count[k] if count[k] else 0.0
+    model.discounts = np.array([0.0, *[min(max(k - (k + 1) * y * ratio(k), 0.05), k - 0.05) for k in (1, 2, 3)]])
+    held = stat["n1"] * model.discounts[1] + stat["n2"] * model.discounts[2] + (stat["types"] - stat["n1"] - stat["n2"]) * model.discounts[3]
+    model.total = np.maximum(stat["total"], 1)
+    model.back = np.where(stat["total"] > 0, held / model.total, 1.0)
+    before = stat["before"]
+    b1, b2 = (before == 1).sum(), (before == 2).sum()
+    d0 = min(max(b1 / (b1 + 2 * b2), 0.05), 0.95) if b1 + b2 else 0.5
+    types = before.sum()
+    seen = np.where(before > 0, before - d0, 0)
+    model.p = (seen + (types - seen.sum()) / len(before)) / types if types else np.full(len(before), 1 / len(before))
+    single = model.p * model.back
+    single[1] /= max(others, 1)
+    model.single = np.log(single)
+
+
+_ASK = pa.schema([("shard", pa.int32()), ("tag", pa.int32()), ("chunk", pa.string()), ("size", pa.int32()), *[(c, pa.binary()) for c in ("keys", "counts", "texts")]])
+_SHAPE = "shard int, tag int, chunk string, size int, keys binary, counts binary, texts binary"
+
+
+def ask(texts: DataFrame, model) -> DataFrame:
+    """By shard, the uncommon pairs of a chunk of texts(text, ...) with the texts that hold them (tag 1); and what is known of its texts already, beside their other columns (tag 2)."""
+    others = [c for c in texts.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model.value
+        numbers, found, keys, kept, size, n_chunks = _Numbers(own), [], [], [], 0, 0
+        weights = np.r_[0.0, own.mark_weights]
 
         def emit():
-            chunk = f"{name}-{TaskContext.get().partitionId()}-{n_chunks}"
-            key, doc = np.concatenate(grams), np.repeat(np.arange(len(docs), dtype=np.uint16), docs)
-            at = (key % np.uint64(shards)).astype(np.uint8 if shards <= 256 else np.uint32)
-            order = np.lexsort((doc, key, at))
-            key, doc, at = key[order], doc[order], at[order]
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            counts = np.diff(np.r_[first, len(key)]).astype(np.uint32)
-            rows, ends = [], np.searchsorted(at[first], np.arange(shards + 1))
-            for s in range(shards):
-                lo, hi = ends[s], ends[s + 1]
-                if lo < hi:
-                    upto = first[hi] if hi < len(first) else len(key)
-                    rows.append((s, 1, chunk, _planes(key[first[lo:hi]]), counts[lo:hi].tobytes(), doc[first[lo] : upto].tobytes(), str(len(docs)).encode()))
-            ids, models, words = zip(*known, strict=True)
-            rows.append((n_chunks % shards, 2, chunk, b"".join(ids), np.array(models, np.uint8).tobytes(), np.array(words, np.uint32).tobytes(), b""))
-            for k in range(0, len(rows), 8):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 8], strict=True), _ROWS, strict=True)], schema=_ROWS)
+            chunk = f"{TaskContext.get().partitionId()}-{n_chunks}"
+            key, text = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            at = own.shard_of(key)
+            order = np.lexsort((text, key, at))
+            key, text, at = key[order], text[order], at[order]
+            ends = np.searchsorted(at, np.arange(own.shards + 1))
+            for s in np.unique(at):
+                k, t = key[ends[s] : ends[s + 1]], text[ends[s] : ends[s + 1]]
+                first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+                yield _batch(_ASK, [s], [1], [chunk], [len(keys)], [packed(np.diff(k[first], prepend=0))], [packed(np.diff(np.r_[first, len(k)]))], [packed(t)])
+            table = pa.Table.from_batches(kept)
+            for name, column in zip(("n", "known", "toxic", "repeats"), zip(*found, strict=True), strict=True):
+                table = table.append_column(f"_{name}", pa.array(column, pa.float64()))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            yield _batch(_ASK, [n_chunks % own.shards], [2], [chunk], [len(keys)], [zlib.compress(sink.getvalue().to_pybytes(), 1)], [b""], [b""])
 
         for b in batches:
-            for key, text, half in zip(*(b.column(c).to_pylist() for c in ("key", "text", "half")), strict=True):
-                words = hashed(text, hashes)
-                model = ALL if half is None else 1 - half
-                # the boundary is one word and one context
-                grams += [gram_keys(words[:-1], 0, model), pairs_of(words, model)]
-                docs.append(2 * (len(words) - 1))
-                known.append((key, model, len(words) - 1))
-                size += len(words)
-                if size >= CHUNK or len(docs) > 60_000:
+            start = 0
+            for k, text in enumerate(b.column("text").to_pylist()):
+                words = cut(text)
+                codes = numbered(words, numbers)
+                ids, marks = codes & MASK, np.unique(codes >> BITS)
+                pairs = pair_keys(ids) if len(ids) else np.zeros(0, np.int64)
+                at = np.minimum(np.searchsorted(own.keys, pairs), max(len(own.keys) - 1, 0))
+                hit = own.keys[at] == pairs if len(own.keys) else np.zeros(len(pairs), bool)
+                known = own.single[ids].sum() + own.single[0] + own.values[at[hit]].sum(dtype=np.float64) if len(ids) else 0.0
+                found.append((len(pairs), known, weights[marks].max(initial=0.0), repeats(words)))
+                keys.append(pairs[~hit])
+                size += len(pairs)
+                if size >= CHUNK or len(keys) >= TEXTS:
+                    kept.append(b.select(others).slice(start, k + 1 - start))
                     yield from emit()
-                    grams, docs, known, size, n_chunks = [], [], [], 0, n_chunks + 1
-        if docs:
+                    start, found, keys, kept, size, n_chunks = k + 1, [], [], [], 0, n_chunks + 1
+            if start < b.num_rows:
+                kept.append(b.select(others).slice(start))
+        if keys:
             yield from emit()
 
-    return texts.select("key", "text", "half").mapInArrow(run, _LOOKUP)
+    return texts.select("text", *others).mapInArrow(run, _SHAPE)
 
 
-def look_up(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums by text from the rows of a partition, sorted by shard and tag."""
-    shard, parts, keys, values, toxic = None, [], None, None, None
-    schema = pa.schema([("chunk", pa.string()), ("head", pa.bool_()), *[(c, pa.binary()) for c in ("a", "b", "c")]])
-    for b in rows:
-        out = []
-        for r in b.to_pylist():
-            if r["shard"] != shard:
-                shard, parts, keys = r["shard"], [], None
-            if r["tag"] == 0:
-                parts.append((_joined(r["keys"]), np.frombuffer(r["counts"], np.float32), np.frombuffer(r["toxic"], np.float32)))
-                continue
-            if r["tag"] == 2:
-                out.append((r["chunk"], True, r["keys"], r["counts"], r["docs"]))
-                continue
-            if keys is None:
-                keys, values, toxic = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(0, np.float32))
-                order, parts = np.argsort(keys), []
-                keys, values, toxic = keys[order], values[order], toxic[order]
-            asked, counts, doc, n = _joined(r["keys"]), np.frombuffer(r["counts"], np.uint32), np.frombuffer(r["docs"], np.uint16), int(r["toxic"])
-            at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
-            hit = keys[at] == asked if len(keys) else np.zeros(len(asked), bool)
-            value = np.where(hit, values[at], 0) if len(keys) else np.zeros(len(asked))
-            sums = np.bincount(doc, np.repeat(value, counts), n).astype(np.float32)
-            marks = np.repeat(np.where(hit, toxic[at], 0) if len(keys) else np.zeros(len(asked)), counts)
-            if marks.any():
-                # a word counts once in a text
-                which = np.repeat(np.arange(len(asked)), counts)
-                marks[1:][(which[1:] == which[:-1]) & (doc[1:] == doc[:-1])] = 0
-                marks = np.bincount(doc, marks, n).astype(np.float32).tobytes()
-            else:
-                marks = b""
-            out.append((r["chunk"], False, sums.tobytes(), marks, b""))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-
-def _add(rows: pa.Table) -> pa.Table:
-    """Sums of a chunk's shards, by text and model."""
-    sums = marks = head = None
-    for r in rows.to_pylist():
-        if r["head"]:
-            head = r
-            continue
-        x = np.frombuffer(r["a"], np.float32).astype(np.float64)
-        sums = x if sums is None else sums + x
-        if r["b"]:
-            x = np.frombuffer(r["b"], np.float32).astype(np.float64)
-            marks = x if marks is None else marks + x
-    n = np.frombuffer(head["c"], np.uint32)
-    ids = [head["a"][k : k + 16] for k in range(0, len(head["a"]), 16)]
-    zero = np.zeros(len(n))
-    return pa.table(
-        {"key": pa.array(ids, pa.binary()), "model": pa.array(np.frombuffer(head["b"], np.uint8).astype(np.int32)), "n": pa.array(n.astype(np.int64)), "sum": pa.array(zero if sums is None else sums), "toxic": pa.array(zero if marks is None else marks)}
-    )
-
-
-def score(texts: DataFrame, held: DataFrame, learn: DataFrame) -> DataFrame:
-    """key, model, n (words and the end), score (mean -log p) and toxic (sum over marking words), for texts(key, text, half null) and held(key, text, half).
-
-    key is 16 bytes of the text, text not null; learn(text, half, toxic) are trusted (toxic false) and toxic texts.
+def score(texts: DataFrame, model: Model, pairs: DataFrame) -> DataFrame:
+    """texts(text, ...) without the text, with n (words and the end), score (mean -log p), toxic (weight of the heaviest marking word) and repeats.
+
+    A null or empty text has n 0, a null score, no toxic words and no repeats. Names that begin with _ are taken.
     """
-    counts = materialize(count_words(learn))
-    pairs = by_model(counts.filter("v is not null")).groupBy("model", "v", "w").agg(F.sum("n").alias("n"))
-    values, unseen = pair_values(pairs)
-    sizes = by_model(learn.filter("text <> ''").groupBy("half", "toxic").agg(F.count("*").alias("texts")))
-    marks = toxic_words(by_model(counts.filter("v is null")).select("model", "toxic", "w", "docs"), sizes)
-    # a marking word that is also a word of trusted texts gets one row of the two
-    rows = values.withColumn("toxic", F.lit(0.0)).unionByName(marks.select("model", "v", F.lit(None).cast("bigint").alias("w"), F.lit(0.0).alias("value"), "toxic"))
-    rows = materialize(rows.groupBy("model", "v", "w").agg(F.sum("value").alias("value"), F.sum("toxic").alias("toxic")))
-    shards = max(SHARDS, rows.count() // GRAMS_IN_SHARD)
-    dealt = pack_model(rows, shards).unionByName(ask(texts, shards, "a")).unionByName(ask(held, shards, "h")).repartition(shards, "shard").sortWithinPartitions("shard", "tag")
-    sums = dealt.mapInArrow(look_up, "chunk string, head boolean, a binary, b binary, c binary")
-    found = sums.groupBy("chunk").applyInArrow(_add, "key binary, model int, n bigint, sum double, toxic double")
-    score = (-(F.col("sum") / F.col("n") + F.col("unseen"))).alias("score")
-    return found.join(F.broadcast(unseen), "model").groupBy("key", "model").agg(F.first("n").alias("n"), F.first(score).alias("score"), F.first("toxic").alias("toxic"))
+    handed = texts.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("chunk", pa.string()), ("head", pa.bool_()), ("a", pa.binary()), ("b", pa.binary())])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums by text from the rows of one shard: first the model's, then what is asked."""
+        own, parts, keys, values = handed.value, [], None, None
+        for b in batches:
+            for r in b.to_pylist():
+                if r["tag"] == 0:
+                    k = np.cumsum(unpacked(r["keys"]))
+                    parts.append((k, own.pair_values(k, unpacked(r["counts"]))))
+                    continue
+                if r["tag"] == 2:
+                    yield _batch(schema, [r["chunk"]], [True], [r["keys"]], [b""])
+                    continue
+                if keys is None:
+                    keys, values = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.array([-1]), np.zeros(1))
+                    parts = []
+                asked = np.cumsum(unpacked(r["keys"]))
+                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                value = np.where(keys[at] == asked, values[at], 0.0)
+                sums = np.bincount(unpacked(r["texts"]), np.repeat(value, unpacked(r["counts"])), r["size"])
+                if len(held := np.flatnonzero(sums)):
+                    yield _batch(schema, [r["chunk"]], [False], [packed(np.diff(held, prepend=0))], [sums[held].astype(np.float32).tobytes()])
+
+    names = [f.name for f in texts.schema if f.name != "text"]
+    shape = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != "text"], "n bigint", "score double", "toxic double", "repeats double"])
+
+    def added(rows: pa.Table) -> pa.Table:
+        """The texts of a chunk with their sums over the shards."""
+        table = extra = None
+        for r in rows.to_pylist():
+            if r["head"]:
+                table = pa.ipc.open_stream(zlib.decompress(r["a"])).read_all()
+        extra = np.zeros(table.num_rows)
+        for r in rows.to_pylist():
+            if not r["head"]:
+                extra[np.cumsum(unpacked(r["a"]))] += np.frombuffer(r["b"], np.float32)
+        n = table.column("_n").to_numpy()
+        score = -(table.column("_known").to_numpy() + extra) / np.maximum(n, 1)
+        return pa.table([*[table.column(c) for c in names], pa.array(n.astype(np.int64)), pa.array(score, mask=n == 0), table.column("_toxic"), table.column("_repeats")], names=[*names, "n", "score", "toxic", "repeats"])
+
+    held = pairs.select("shard", F.lit(0).alias("tag"), F.lit(None).cast("string").alias("chunk"), F.lit(0).alias("size"), "keys", "counts", F.lit(None).cast("binary").alias("texts"))
+    dealt = held.unionByName(ask(texts, handed)).repartitionById(model.shards, "shard").sortWithinPartitions("tag")
+    return dealt.mapInArrow(look_up, "chunk string, head boolean, a binary, b binary").groupBy("chunk").applyInArrow(added, shape)

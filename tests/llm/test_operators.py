@@ -454,66 +454,66 @@ def test_line_dedup_keeps_columns_and_uses_no_python(spark, docs, empty):
 # 10 quality
 
 
-def test_kneser_ney_is_a_distribution(spark):
-    texts = spark.createDataFrame([("the cat sat on the mat. " * 5,), ("a dog ran off with the hat",), (None,), ("",)], "text string")
-    got = quality.probabilities(quality.count_cells(texts, 3), 3).toArrow()
-    logs = quality.dense_log(tuple(got.column(c).to_numpy() for c in ("k", "cell", "p", "back")), 3)
-    sums = np.exp(logs.astype(np.float64)).reshape(-1, quality.CLASSES).sum(axis=1)
-    assert np.allclose(sums, 1, atol=1e-4)
-    table = quality.class_table()
-    good, bad = (logs[quality.cells(t, table, 3)].mean() for t in ("the cat ran with the hat", "ZQX!! ||| %%% 93"))
-    assert good > bad
-
-
-def test_quality_on_held_out_labels(spark):
-    """Trained on the even labelled documents, judged on the odd ones."""
-    sf = SF.replace("0.001", "0.01")
-    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    found = quality.judge_documents(docs, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id")
-    rate = {tuple(r)[:2]: r["rate"] for r in found.groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("int")).alias("rate")).collect()}
-    assert rate[1, 0] > 0.98 and rate[0, 0] < 0.35
-
-
 def test_quality_rejects_bad_and_toxic_documents(spark):
     """Trained on the even labelled documents, judged on the odd ones: rates of rejection, and a model that grows with the text."""
     sf = SF.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     found = quality.judge_documents(docs, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id")
     rate = {r["k"]: r["rate"] for r in found.groupBy(F.expr("IF(quality = 0, 'bad', IF(toxic = 1, 'toxic', 'trusted'))").alias("k")).agg(F.avg(1 - F.col("kept").cast("int")).alias("rate")).collect()}
-    assert rate["bad"] >= 0.85 and rate["toxic"] >= 0.65 and rate["trusted"] < 0.02
-
-
-def test_word_model_is_a_distribution(spark):
-    texts = ["the cat sat on the mat", "a dog ran off with the hat the cat sat on", "the mat"]
-    rows = spark.createDataFrame([(t, h, False) for t in texts for h in (0, 1)], "text string, half int, toxic boolean")
-    counts = word_model.count_words(rows)
-    values, unseen = word_model.pair_values(word_model.by_model(counts.filter("v is not null")).groupBy("model", "v", "w").agg(F.sum("n").alias("n")))
-    one, two = ({(r["v"], r["w"]): r["value"] for r in values.filter(f"model = 2 and w is {k}").collect()} for k in ("null", "not null"))
-    base = unseen.filter("model = 2").first()["unseen"]
-    hashes = word_model._Hashes()
-    lines = [[int(x) for x in word_model.hashed(s, hashes).view(np.int64)] for s in texts for _ in (0, 1)]
+    assert rate["bad"] >= 0.95 and rate["toxic"] >= 0.65 and rate["trusted"] < 0.02
+
+
+def brute_kneser_ney(texts, known):
+    """p(v, w) and the model's figures from the definition; words that are not known are one class."""
+    lines = [["", *[w if w in known else None for w in word_model.cut(t)], ""] for t in texts]
     n = collections.Counter(p for s in lines for p in zip(s, s[1:]))
     c = [sum(k == x for k in n.values()) for x in range(5)]
     y = c[1] / (c[1] + 2 * c[2]) if c[1] + 2 * c[2] else 0.5
     d = [min(max(k - (k + 1) * y * (c[k + 1] / c[k] if c[k] else 0), 0.05), k - 0.05) for k in (1, 2, 3)]
     off = lambda k: d[min(k, 3) - 1]
     before = collections.Counter(w for _, w in n)
-    b = [sum(k == x for k in before.values()) for x in (0, 1, 2)]
-    d0 = min(max(b[1] / (b[1] + 2 * b[2]), 0.05), 0.95)
-    p0 = d0 * len(before) / len(n) / (len(before) + 1)
-    low = {w: (k - d0) / len(n) + p0 for w, k in before.items()}
-    total = {v: sum(k for (x, _), k in n.items() if x == v) for v in before}
-    back = {v: sum(off(k) for (x, _), k in n.items() if x == v) / total[v] for v in before}
-    p = lambda v, w: ((n[v, w] - off(n[v, w])) / total[v] if n[v, w] else 0) + back[v] * low[w]
-    # the seen words and an unseen one make up 1
-    assert all(abs(sum(p(v, w) for w in before) + back[v] * p0 - 1) < 1e-9 for v in before)
-    assert abs(base - math.log(p0)) < 1e-9 and {v for v, _ in one} == set(before) and set(two) == set(n)
-    assert all(abs(base + one[w, None] - math.log(back[w]) + math.log(back[v]) + two[v, w] - math.log(p(v, w))) < 1e-6 for v, w in n)
-    text = spark.createDataFrame([(b"k" * 16, texts[0], None)], "key binary, text string, half int")
-    got = word_model.score(text, text.limit(0), rows).filter("model = 2").first()
-    ids = [int(x) for x in word_model.hashed(texts[0], hashes).view(np.int64)]
-    want = sum(one[v, None] for v in ids[:-1]) + sum(two.get(p, 0.0) for p in zip(ids, ids[1:]))
-    assert got["n"] == len(ids) - 1 and abs(got["score"] + base + want / got["n"]) < 1e-4
+    b1, b2 = (sum(k == x for k in before.values()) for x in (1, 2))
+    d0 = min(max(b1 / (b1 + 2 * b2), 0.05), 0.95)
+    symbols = {"", None, *known}
+    free = (len(n) - sum(k - d0 for k in before.values())) / len(symbols)
+    low = {w: ((before[w] - d0 if before[w] else 0) + free) / len(n) for w in symbols}
+    total = {v: sum(k for (x, _), k in n.items() if x == v) for v in symbols}
+    back = {v: sum(off(k) for (x, _), k in n.items() if x == v) / total[v] if total[v] else 1 for v in symbols}
+    return symbols, lambda v, w: ((n[v, w] - off(n[v, w])) / total[v] if n[v, w] else 0) + back[v] * low[w]
+
+
+@pytest.mark.parametrize("most", [(1000, 1000, 3), (6, 1000, 2), (6, 2, 5), (1000, 0, 4)])
+def test_word_model_equals_brute_force(spark, monkeypatch, most):
+    """Scores of seen and unseen texts against the definition, with all words and pairs common, some of them, and none."""
+    monkeypatch.setattr(word_model, "VOCABULARY", most[0])
+    monkeypatch.setattr(word_model, "PAIRS", most[1])
+    monkeypatch.setattr(word_model, "CHUNK", 12)
+    texts = ["the cat sat on the mat the cat", "A dog ran off with the hat. The cat sat on", "the mat", "the cat sat on a rug", "on the mat on the cat the rug ran"]
+    model, pairs = word_model.learn(spark.createDataFrame([(t, False) for t in texts] + [("the bad cat", True)], "text string, toxic boolean"), most[2])
+    counts = collections.Counter(w for t in texts for w in word_model.cut(t))
+    of = {word_model.word_hash(w): w for w in counts}
+    known = {of[h] for h in model.hashes.tolist()}
+    assert len(known) <= most[0] and (len(known) == len(counts) or max(counts[w] for w in counts if w not in known) <= min(counts[w] for w in known))
+    assert len(model.keys) <= most[1]
+    symbols, p = brute_kneser_ney(texts, known)
+    assert all(abs(sum(p(v, w) for w in symbols) - 1) < 1e-9 for v in symbols)
+    asked = [*texts, "the the unheard of cat sat", "zebra", None, "", "the " * 40 + "mat"]
+    got = word_model.score(spark.createDataFrame(list(enumerate(asked)), "k int, text string"), model, pairs)
+    others = max(len(counts) - len(known), 1)
+    for r in got.collect():
+        words = word_model.cut(asked[r["k"]])
+        line = ["", *[w if w in known else None for w in words], ""]
+        logs = [math.log(p(v, w)) - (math.log(others) if w is None else 0) for v, w in zip(line, line[1:])] if words else []
+        assert r["n"] == len(logs) and (r["score"] is None if not logs else abs(r["score"] + sum(logs) / len(logs)) < 1e-5)
+        assert r["repeats"] == sum(words[k] in (words[k - 1], words[k - 2]) for k in range(2, len(words)))
+    assert got.count() == len(asked)
+
+
+def test_word_model_packs_any_numbers():
+    for x in ([], [0], [1, 2, 3], [2**40, 5, 0, 2**62]):
+        assert word_model.unpacked(word_model.packed(np.array(x, np.int64))).tolist() == x
+    n = np.array([1, 2, 1023, 1024, 1025, 5000, 10**9])
+    assert (np.diff(word_model.bins(n)) >= 0).all() and word_model.least_bin({1: 10, 2: 5, 7: 3}, 8) == 2 and word_model.least_bin({}, 5) == 1
 
 
 def test_quality_edges(spark, docs, empty):
@@ -521,7 +521,11 @@ def test_quality_edges(spark, docs, empty):
     assert quality.judge_documents(empty, none).count() == 0
     assert quality.judge_documents(docs, none).filter("kept").count() == docs.count()
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, None), (4, 1, 0), (4, 0, 0), (None, 1, 0), (5, 1, 0)], "doc_id bigint, quality int, toxic int")
-    assert [r["doc_id"] for r in quality.trusted_ids(labels).orderBy("doc_id").collect()] == [1, 5]
+    kinds = {r["doc_id"]: r["_toxic"] for r in quality.labelled(docs.select("doc_id", "text"), labels).collect()}
+    assert [kinds[k] for k in (1, 2, 4, 5)] == [False, None, None, False] and kinds[None] is None
     got = quality.judge_documents(docs, labels)
     assert got.count() == docs.count() and got.filter("perplexity is null and not kept").count() == 0
     assert quality.without_rejected(docs, labels).columns == docs.columns
+    clash = docs.withColumn("_lang", F.lit("x")).withColumn("_key", F.lit(1)).withColumn("c0", F.lit(2))
+    again = quality.without_rejected(clash, labels)
+    assert again.columns == clash.columns and again.filter("_lang = 'x' and _key = 1 and c0 = 2").count() == again.count() == quality.without_rejected(docs, labels).count()
