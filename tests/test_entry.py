@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import shutil
 import subprocess
 import sys
 
@@ -24,10 +25,13 @@ def test_flagship_has_rows(spark):
     assert df.count() == 200
 
 
-def test_imports_without_the_training_data_subpackage(tmp_path):
-    for p in ROOT.iterdir():
-        if p.name in ("__spark_entry__.py", "contentgauge"):
-            subprocess.run(["cp", "-r", p, tmp_path], check=True)
-    subprocess.run(["rm", "-r", tmp_path / "contentgauge/llm"], check=True)
+@pytest.mark.parametrize("also", [[], ["corpus_pipeline.py"]])
+def test_imports_without_the_training_data_subpackage(tmp_path, also):
+    """A whole copy of the repository without the two folders, and with or without the pipeline."""
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    for gone in ["contentgauge/llm", "tests/llm"]:
+        shutil.rmtree(tmp_path / "repo" / gone)
+    for gone in also:
+        (tmp_path / "repo" / gone).unlink()
     code = "import __spark_entry__ as e; assert e.llm is None and len(e.queries()) > 10 and 'pipeline' not in e.queries() and not [q for q in e.queries() if q.startswith('op')]"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, env={"PATH": "/usr/bin:/bin"})
