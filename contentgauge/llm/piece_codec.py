@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,10 @@ from contentgauge.llm import pieces
 #: Symbols outside the vocabulary are single code points behind this offset.
 _RAW = 1 << 21
 _NONE = np.int64(1 << 40)
+#: Symbols from which on a word is merged on its own, so that a round costs what it merges.
+LONG = 400
+#: Words whose ids a task remembers at once, of at most so many characters.
+MEMO, SHORT = 200_000, 60
 codecs.register_error("one_byte", lambda e: ("�", e.start + 1))
 
 
@@ -31,6 +36,10 @@ class Codec:
         pairs.sort()
         self.keys, self.ranks, self.made = (np.array([x[k] for x in pairs], np.int64) for k in range(3))
         self.tied = np.bincount(list(rank.values())) > 1  # ranks that several pieces share
+        # characters that stand side by side in no piece: a word falls apart between them
+        inside = np.unique(np.array([ord(a) << 21 | ord(b) for p in rank for a, b in zip(p, p[1:], strict=False)], np.int64))
+        self.inside = inside if len(inside) else np.array([-1])
+        self.known: dict[str, np.ndarray] = {}
         self.byte_ids = np.array(v.byte_ids, np.int64)
         surface = {i: p.replace(pieces.SPACE, " ").encode() for i, p in enumerate(v.pieces)}
         surface |= {i: b"" for i in v.control} | {i: bytes([b]) for b, i in enumerate(v.byte_ids)}
@@ -77,6 +86,63 @@ class Codec:
         order = np.argsort(word, kind="stable")
         return symbols[order], word[order]
 
+    def _merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """The same rounds over one long word, whose symbols are linked and whose pairs are kept by rank.
+
+        A round takes the pairs of the least rank that are still there, merges them from the left and ranks the new
+        neighbours only.
+        """
+        symbols, n = symbols.copy(), len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def pairs(at):
+            key = symbols[at] << 22 | symbols[after[at]]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            return np.where(self.keys[k] == key, self.ranks[k], _NONE), self.made[k]
+
+        def add(at):
+            rank, _ = pairs(at)
+            at, rank = at[rank < _NONE], rank[rank < _NONE]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            starts = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]) if len(rank) else []
+            for r, part in zip(rank[starts].tolist() if len(rank) else [], np.split(at, starts[1:]), strict=False):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(heap, r)
+                waiting[r].append(part)
+
+        add(np.arange(n - 1))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[(symbols[at] >= 0) & (after[at] < n)]
+            rank, made = pairs(at) if len(at) else (at, at)
+            at, made = at[rank == r], made[rank == r]
+            if not len(at):
+                continue
+            # of pairs that overlap in a run, every second one from the left
+            chained = np.r_[False, after[at[:-1]] == at[1:]]
+            place = np.arange(len(at))
+            first = np.maximum.accumulate(np.where(chained, 0, place))
+            take = (place - first) % 2 == 0
+            if self.tied[r]:
+                take[1:] = False
+            left, at, made = at[~take], at[take], made[take]
+            gone = after[at]
+            symbols[at], symbols[gone] = made, -1
+            after[at] = after[gone]
+            inner = after[at] < n
+            before[after[at[inner]]] = at[inner]
+            near = np.concatenate([at[inner], before[at][before[at] >= 0]])
+            if self.tied[r]:
+                near = np.concatenate([near, left[symbols[left] >= 0]])
+                near = near[after[near] < n]
+            add(np.unique(near))
+        return symbols[symbols >= 0]
+
     def _bytes(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols outside the vocabulary become their UTF-8 bytes' ids."""
         raw = np.flatnonzero(symbols >= _RAW)
@@ -95,25 +161,38 @@ class Codec:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         at = np.minimum(np.searchsorted(self.chars, cps), len(self.chars) - 1)
         symbols = np.where(self.chars[at] == cps, self.char_ids[at], cps + _RAW)
-        ids, word = self._bytes(*self._merge(symbols, np.repeat(np.arange(len(words)), sizes)))
+        word = np.repeat(np.arange(len(words)), sizes)
+        # parts of words that no piece joins are merged like words
+        pair = cps[:-1] << 21 | cps[1:]
+        k = np.minimum(np.searchsorted(self.inside, pair), len(self.inside) - 1)
+        part = np.cumsum(np.r_[0, (word[1:] != word[:-1]) | (self.inside[k] != pair)]) if len(cps) else word
+        length = np.bincount(part)
+        long = np.flatnonzero(length >= LONG)
+        ends = np.cumsum(length)
+        short = length[part] < LONG
+        merged = [self._merge(symbols[short], part[short])]
+        for p in long.tolist():
+            got = self._merge_long(symbols[ends[p] - length[p] : ends[p]])
+            merged.append((got, np.full(len(got), p, np.int64)))
+        ids, part = (np.concatenate(x) for x in zip(*merged, strict=True))
+        if len(long):
+            order = np.argsort(part, kind="stable")
+            ids, part = ids[order], part[order]
+        owner = word[ends - 1]
+        ids, word = self._bytes(ids, owner[part] if len(part) else part)
         return ids, np.cumsum(np.bincount(word, minlength=len(words)))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text; equal words of the texts are merged once."""
-        seen: dict[str, int] = {}
-        cut = [[seen.setdefault(w, len(seen)) for w in pieces.words(t, self.vocabulary)] for t in texts]
-        if not seen:
-            return [np.zeros(0, np.int64) for _ in texts]
-        ids, ends = self.encode_words(list(seen))
-        starts = np.r_[0, ends[:-1]]
-        out = []
-        for own in cut:
-            own = np.array(own, np.int64)
-            sizes = ends[own] - starts[own]
-            total = np.cumsum(sizes)
-            step = np.repeat(starts[own] - np.r_[0, total[:-1]][: len(own)], sizes)
-            out.append(ids[step + np.arange(len(step))])
-        return out
+        """Ids of each text; equal words are merged once, those that are known from texts before not again."""
+        cut = [pieces.words(t, self.vocabulary) for t in texts]
+        if len(self.known) > MEMO:
+            self.known.clear()
+        new = list({w for ws in cut for w in ws} - self.known.keys())
+        ids, ends = self.encode_words(new)
+        got = dict(zip(new, np.split(ids.astype(np.int32), ends[:-1]), strict=True)) if new else {}
+        self.known |= {w: x.copy() for w, x in got.items() if len(w) <= SHORT}
+        find = self.known.get
+        return [np.concatenate([x if (x := find(w)) is not None else got[w] for w in ws]) if ws else np.zeros(0, np.int32) for ws in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: control pieces are silent, the dummy prefix goes, a byte that is no part of UTF-8 is U+FFFD."""
@@ -138,7 +217,7 @@ def encode_documents(docs: DataFrame, model_path: str, decode: bool = True, dige
         codec = Codec(handed.value)
         for b in batches:
             doc_ids, at = b.column("doc_id"), 0
-            for texts in pieces.chunks(b.column("text").to_pylist()):
+            for texts in pieces.chunks(b.column("text")):
                 ids = codec.encode(texts)
                 columns = {"doc_id": doc_ids.slice(at, len(texts)), "n_tokens": pa.array([len(x) for x in ids], pa.int64())}
                 at += len(texts)

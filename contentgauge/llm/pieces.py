@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 SPACE = "▁"
 #: Code points whose words are worked on together.
-CHUNK = 3_000_000
+CHUNK = 250_000
 #: A word: spaces and the run behind them. No piece goes over the end of such a word.
 WORD = re.compile(r" *[^ ]+| +")
 
@@ -55,12 +55,13 @@ def words(text: str | None, vocabulary: Vocabulary) -> list[str]:
     return WORD.findall(text) if vocabulary.word_bound else [text]
 
 
-def chunks(texts: list[str | None]) -> Iterator[list[str | None]]:
-    """Runs of texts of about CHUNK code points."""
+def chunks(column) -> Iterator[list[str | None]]:
+    """Runs of an Arrow column's texts of about CHUNK code points; a longer text is a run of its own."""
     part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t or "")
+    for value in column:
+        text = value.as_py()
+        part.append(text)
+        size += len(text or "")
         if size >= CHUNK:
             yield part
             part, size = [], 0

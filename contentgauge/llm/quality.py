@@ -75,7 +75,7 @@ def limits(held_out: DataFrame) -> DataFrame:
     few = F.coalesce(F.col("docs"), F.lit(0)) < ENOUGH
     most = lambda a, *more: F.when(few, F.greatest(a, *more)).otherwise(F.col(a))
     found = by.unionByName(overall).join(F.broadcast(own), "_lang", "left").crossJoin(F.broadcast(pooled))
-    return found.select("_lang", "middle", (F.col("middle") + most("own", "all", "normal")).alias("most"), most("own_toxic", "all_toxic").alias("most_toxic"), F.greatest(most("own_repeats", "all_repeats"), F.lit(LEAST_REPEATS)).alias("most_repeats"))
+    return found.select("_lang", "middle", (F.col("middle") + most("own", "all", "normal")).alias("most"), most("own_toxic", "all_toxic").alias("most_toxic"), F.when(F.col("middle").isNotNull(), F.greatest(most("own_repeats", "all_repeats"), F.lit(LEAST_REPEATS))).alias("most_repeats"))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:

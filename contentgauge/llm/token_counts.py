@@ -28,7 +28,12 @@ class PrefixCounter:
     def __init__(self, vocabulary: pieces.Vocabulary):
         self.vocabulary = vocabulary
         self.rank = {p.replace(pieces.SPACE, " "): r for p, r in vocabulary.rank.items()}
-        self.longest = max(map(len, self.rank), default=1)
+        # by a piece's last three characters, the lengths of the pieces that end so, longest first
+        sizes: dict[str, set[int]] = {}
+        for p in self.rank:
+            if len(p) > 2:
+                sizes.setdefault(p[-3:], {1, 2}).add(len(p))
+        self.sizes = {end: sorted(of, reverse=True) for end, of in sizes.items()}
         self.halves: dict[str, tuple[str, str]] = {}
         self.fits: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
@@ -82,7 +87,7 @@ class PrefixCounter:
 
         Words are taken in order, so that the state of a beginning shared with the word before is kept.
         """
-        rank, longest, compatible = self.rank, self.longest, self.compatible
+        rank, sizes, compatible, short = self.rank, self.sizes, self.compatible, (2, 1)
         before, last, count = "", [""], [0]
         for word in sorted(words):
             n, shared = len(word), 0
@@ -92,12 +97,14 @@ class PrefixCounter:
                 shared += 1
             del last[shared + 1 :], count[shared + 1 :]
             for end in range(shared + 1, n + 1):
-                for start in range(end - longest if end > longest else 0, end):
+                for size in sizes.get(word[end - 3 : end], short) if end > 2 else short:
+                    start = end - size
+                    if start < 0:
+                        continue
                     token = word[start:end]
-                    one = start == end - 1
-                    if (one or token in rank) and (start == 0 or compatible(last[start], token)):
+                    if (size == 1 or token in rank) and (start == 0 or compatible(last[start], token)):
                         last.append(token)
-                        count.append(count[start] + (len(token.encode()) if one and token not in rank else 1))
+                        count.append(count[start] + (len(token.encode()) if size == 1 and token not in rank else 1))
                         break
             before = word
             self.known[word] = array("i", count[1:]).tobytes()
@@ -159,7 +166,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = LIMIT, keep_pref
         counter = PrefixCounter(handed.value)
         for b in batches:
             n_bytes, n_tokens, fit, packed = [], [], [], []
-            for texts in pieces.chunks(b.column("text").to_pylist()):
+            for texts in pieces.chunks(b.column("text")):
                 for text, counts in zip(texts, counter.texts(texts), strict=True):
                     n_bytes.append(len((text or "").encode()))
                     n_tokens.append(int(counts[-1]))

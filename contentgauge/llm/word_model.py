@@ -27,7 +27,7 @@ from contentgauge.llm.common import materialize
 #: Most words with a number of their own, most pairs and most marking words that all tasks hold.
 VOCABULARY, PAIRS, MARKS = 131_072, 262_144, 65_536
 #: Words that are sorted together, texts at most.
-CHUNK, TEXTS = 1_500_000, 60_000
+CHUNK, TEXTS = 750_000, 60_000
 #: Words of trusted text for each shard, where the session's number of shuffle partitions gives it more.
 WORDS_IN_SHARD = 8_000_000
 #: A word marks toxic documents if they hold it so many times as often as trusted ones, with a chance of at most exp(-EVIDENCE) that any word does so without cause.
