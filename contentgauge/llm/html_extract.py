@@ -1,9 +1,10 @@
 """HTML extraction: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
 The page is read as a stream of standard-library parser events. A line is the text of one block; its ratio is its
-length over the tags it holds. Smoothed ratios over a threshold (their standard deviation, at most their mean) are
-content; the articles with content, else the smallest element that holds all of it, are the region. All lines of the region are kept, short ones
-too, so that the smoothing decides where the article is and never cuts pieces out of it.
+length outside links over the tags it holds. Smoothed ratios over a threshold (their standard deviation, at most their
+mean) are content; the articles with content, else the smallest element that holds all of it, are the region. Lines of
+the region that are not mostly links are kept, short ones too; lines of links only where the smoothed ratio says that
+they stand in the article, so that lists of links, which have only their like beside them, go.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIGMA, RADIUS = 1.0, 2
+#: A line with so much of its text in links is one of links.
+LINKED = 0.8
 
 # fixed values: element and attribute names of HTML
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -52,7 +55,7 @@ def _marked(value: str, marks: frozenset[str]) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, path) for every block outside silent elements; path: numbers of the open elements."""
+    """Collects (text, tags, path, linked) for every block outside silent elements; path: numbers of the open elements; linked: characters in links."""
 
     def __init__(self, released: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
@@ -61,9 +64,9 @@ class _Lines(HTMLParser):
         self.loud = 0  # characters outside silent elements
         self.open: list[tuple[str, int, bool]] = []  # name, number, silent
         self.names: list[str] = []  # by number
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], int]] = []
         self.text: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
         self.inside = 0  # open article and main elements
 
     def _silent(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -84,8 +87,8 @@ class _Lines(HTMLParser):
 
     def _flush(self) -> None:
         if text := " ".join("".join(self.text).split()):
-            self.lines.append((text, max(self.tags, 1), tuple(n for _, n, _ in self.open)))
-        self.text, self.tags = [], 0
+            self.lines.append((text, max(self.tags, 1), tuple(n for _, n, _ in self.open), min(self.linked, len(text))))
+        self.text, self.tags, self.linked = [], 0, 0
 
     def _close(self, at: int) -> None:
         if any(name in _BLOCK for name, _, _ in self.open[at:]):
@@ -150,6 +153,8 @@ class _Lines(HTMLParser):
                     self.soft[n][0] += len(data.strip())
             else:
                 self.text.append(data)
+                if any(name == "a" for name, _, _ in self.open):
+                    self.linked += len(data.strip())
                 self.loud += len(data.strip())
 
     def parse_marked_section(self, i, report=1):
@@ -176,7 +181,7 @@ def _wrappers(parser: _Lines) -> frozenset[int]:
     """Silent forms and marked elements that wrap the page: with nearly all of its text, or with its only article or main element."""
     if not parser.soft:
         return frozenset()
-    texts = [t for t, _, path in parser.lines if any(parser.names[n] in ("article", "main") for n in path)]
+    texts = [t for t, _, path, _ in parser.lines if any(parser.names[n] in ("article", "main") for n in path)]
     n, (size, article) = max(parser.soft.items(), key=lambda x: (x[1][1], x[1][0], -x[0]))
     total = parser.loud + size
     return frozenset([n]) if size and (article and not texts or not texts and size >= _WRAPPER * total) else frozenset()
@@ -190,17 +195,18 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratio = smoothed(np.array([len(t) / n for t, n, _ in lines]))
+    ratio = smoothed(np.array([(len(t) - linked) / n for t, n, _, linked in lines]))
     content = ratio >= min(ratio.std(), ratio.mean())
     # top-level articles with content, else main elements, else the smallest element that holds all content
-    paths = [path for (_, _, path), chosen in zip(lines, content, strict=True) if chosen]
+    paths = [line[2] for line, chosen in zip(lines, content, strict=True) if chosen]
     for name in ("article", "main"):
         if region := {n for path in paths for n in [next((n for n in path if parser.names[n] == name), None)] if n is not None}:
             break
     else:
         shared = [n for n in paths[0] if parser.names[n] in _HOLDERS and all(n in path for path in paths)] if paths else []
         region = set(shared[-1:])
-    return " ".join(t for t, _, path in lines if not region or not region.isdisjoint(path))
+    kept = [(t, path) for (t, _, path, linked), chosen in zip(lines, content, strict=True) if chosen or linked < LINKED * len(t)]
+    return " ".join(t for t, path in kept if not region or not region.isdisjoint(path))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -43,7 +43,8 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filters.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    pages = table(spark, sf_dir, "pages")
+    return url_filters.judge_urls(pages, url_filters.labelled_urls(pages, table(spark, sf_dir, "labels")))
 
 
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

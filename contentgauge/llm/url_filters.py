@@ -8,13 +8,15 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contentgauge.llm.common import BROADCAST_ROWS, materialize
+from contentgauge.llm.common import materialize
 
 #: verdict, host, path
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.005, 0.6, 1.2
 #: Labelled urls that a rule must rest on at least.
 MIN_ROWS = 10
+#: Mined rules up to which all tasks hold the index.
+MOST_RULES = 20_000
 _BAD = "label=bad"
 
 
@@ -70,28 +72,43 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     return kept.withColumn("anchor", longest)
 
 
-def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """url and confidence of its surest rule, for urls(url) that a rule matches; rules are found by their anchor token."""
+def confidence_of(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """rows(url, ...) with confidence, that of the surest rule whose tokens all stand in the url, else null.
+
+    The inverted index from a rule's anchor token to the rules is one map that every task holds, up to MOST_RULES
+    counted rules: each row is matched where it is, so that a common or null url is no hot key. More rules are joined
+    by anchor to the distinct urls.
+    """
     rules = materialize(rules)
-    index = rules.select("anchor", F.col("tokens").alias("need"), "confidence")
-    index = F.broadcast(index) if rules.count() <= BROADCAST_ROWS // 10 else index.hint("shuffle_hash")
-    own = urls.select("url").filter("url is not null").distinct().withColumn("own", tokens_of(F.col("url")))
+    if rules.count() <= MOST_RULES:
+        posting = F.struct(F.col("tokens").alias("need"), "confidence")
+        index = rules.groupBy("anchor").agg(F.sort_array(F.collect_list(posting)).alias("rules")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("anchor", "rules")))).alias("_index"))
+        own = tokens_of(F.col("url"))
+        found = F.flatten(F.transform("_own", lambda t: F.coalesce(F.element_at("_index", t), F.array().cast("array<struct<need:array<string>,confidence:double>>"))))
+        held = F.filter(found, lambda r: F.size(F.array_except(r["need"], F.col("_own"))) == 0)
+        return rows.withColumn("_own", own).join(F.broadcast(index)).withColumn("confidence", F.array_max(F.transform(held, lambda r: r["confidence"]))).drop("_own", "_index")
+    own = rows.select("url").filter("url is not null").distinct().withColumn("own", tokens_of(F.col("url")))
     posted = own.withColumn("anchor", F.explode("own"))
-    return posted.join(index, "anchor").filter(F.size(F.array_except("need", "own")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))
+    met = posted.join(rules.hint("shuffle_hash"), "anchor").filter(F.size(F.array_except("tokens", "own")) == 0)
+    return rows.join(met.groupBy("url").agg(F.max("confidence").alias("confidence")).hint("shuffle_hash"), "url", "left")
+
+
+def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """url and bad of pages(page_id, url) that labels speak of: a page takes the label of the document with its id, bad if any of its rows has quality 0 or toxic 1."""
+    marks = labels.groupBy(F.col("doc_id").cast("bigint").alias("page_id")).agg(F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
+    return pages.join(marks.hint("shuffle_hash"), "page_id").select("url", "bad")
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    """Verdict on every page's url.
+def judge_urls(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+    """Verdict on every page's url, with rules mined from labelled(url, bad), any labelled urls.
 
-    A page's label is that of the document with its id: bad if any of its rows has quality 0 or toxic 1. Returns
-    page_id, host, path, rule, verdict, confidence (of the surest mined rule, else null): the longest explicit rule
-    that fits decides; else a mined rule blocks; else the url is allowed. One row per input row. A null url, or one
-    without ://, has empty host and path and is allowed; repeated rows and null ids stay.
+    Returns page_id, host, path, rule, verdict, confidence (of the surest mined rule, else null): the longest explicit
+    rule that fits decides; else a mined rule blocks; else the url is allowed. One row per input row. A null url, or
+    one without ://, has empty host and path and is allowed; repeated rows and null ids stay; empty tables give an
+    empty result or no mined rules.
     """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"))
-    marks = labels.groupBy(F.col("doc_id").cast("bigint").alias("page_id")).agg(F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
-    mined = mine_rules(rows.join(marks.hint("shuffle_hash"), "page_id").select("url", "bad"))
-    judged = rows.join(match_rules(rows, mined).hint("shuffle_hash"), "url", "left")
+    judged = confidence_of(rows, mine_rules(labelled))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     name, verdict = explicit_rule(host, path, rules)
     method = F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")

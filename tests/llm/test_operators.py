@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -341,7 +342,8 @@ def test_url_rules(spark):
         None, "no scheme", "ftp://U@H.org:80/fr/x", "://?", "http://net/", "http://evil.network/",
     ]
     pages = spark.createDataFrame([(k, u, None, 0) for k, u in enumerate(urls)] + [(None, urls[0], None, 0), (0, urls[0], None, 0)], "page_id bigint, url string, html string, verdict int")
-    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    labels = url_filters.labelled_urls(pages, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))
+    assert url_filters.judge_urls(pages.limit(0), labels).count() == 0
     got = url_filters.judge_urls(pages, labels).collect()
     assert len(got) == len(urls) + 2
     by = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in got}
@@ -350,12 +352,45 @@ def test_url_rules(spark):
     assert by[7][2:] == ("org/fr/", "allow") and by[8][2] is None and by[9] == by[10] == ("", "", None, "allow") and by[11][0] == "u@h.org:80" and by[12][:2] == ("", "") and by[13][2] == "net/" and by[14][2] is None
 
 
-def test_mined_url_rules(spark):
-    rows = [(f"http://{'casino' if k % 4 == 0 else 'good'}-{k % 7}.com/p/{k}?ref=x", k % 4 == 0 or k % 40 == 1) for k in range(400)]
-    mined = url_filters.mine_rules(spark.createDataFrame(rows, "url string, bad boolean"))
-    assert ["host:casino"] in [r["tokens"] for r in mined.collect()]
-    found = url_filters.match_rules(spark.createDataFrame([("http://casino.org/",), ("http://fine.org/",), (None,)], "url string"), mined)
-    assert [r["url"] for r in found.collect()] == ["http://casino.org/"]
+def brute_rules(labelled):
+    """Antecedents of rules -> bad with confidence, by counting every set of tokens."""
+    baskets = [(frozenset(x), bad) for x, bad in labelled if bad is not None and (x or bad)]
+    n, bad = len(baskets), sum(b for _, b in baskets)
+    sets = {frozenset(c) for x, _ in baskets for k in range(1, len(x) + 1) for c in itertools.combinations(sorted(x), k)}
+    found = {}
+    for s in sets:
+        both, own = sum(s <= x and b for x, b in baskets), sum(s <= x for x, b in baskets)
+        if both / n >= max(url_filters.MIN_SUPPORT, url_filters.MIN_ROWS / n) and both / own >= url_filters.MIN_CONFIDENCE and both / own / (bad / n) >= url_filters.MIN_LIFT:
+            found[s] = both / own
+    return {s: c for s, c in found.items() if not any(o < s and found[o] >= c for o in found)}
+
+
+@pytest.mark.parametrize("most", [url_filters.MOST_RULES, 0])
+def test_mined_url_rules(spark, monkeypatch, most):
+    """Mining, pruning and matching against brute force on labels that carry signal, by the index and by the join."""
+    monkeypatch.setattr(url_filters, "MOST_RULES", most)
+    r = random.Random(5)
+    rows = []
+    for k in range(600):
+        host, page = r.choice(["casino", "bet", "news", "shop"]), r.choice(["win", "read", "buy"])
+        bad = r.random() < {"casino": 0.9, "bet": 0.5, "news": 0.05, "shop": 0.1}[host] + (0.45 if (host, page) in (("bet", "win"), ("shop", "buy")) else 0)
+        rows.append((f"http://{host}-{k % 3}.com/{page}/{k}?ref=x", bad if k % 50 else None))
+    rows += [(None, True), ("no url", False), ("http:///", None)]
+    table = spark.createDataFrame(rows, "url string, bad boolean")
+    tokens = {x["url"]: frozenset(x["t"]) for x in table.select("url", url_filters.tokens_of(F.col("url")).alias("t")).collect()}
+    mined = url_filters.mine_rules(table)
+    want = brute_rules([(tokens[u], b) for u, b in rows])
+    got = {frozenset(x["tokens"]): x["confidence"] for x in mined.collect()}
+    assert len(want) >= 3 and any(len(s) > 1 for s in want) and got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-9 for s in want)
+    found = url_filters.judge_urls(table.withColumn("page_id", F.monotonically_increasing_id()), table)
+    assert found.count() == len(rows)
+    best = lambda u: max((c for s, c in want.items() if s <= tokens[u]), default=None)
+    expected = sorted((url_filters_host(u), best(u)) for u, _ in rows if best(u) is not None)
+    assert sorted((x["host"], x["confidence"]) for x in found.filter("verdict = 'block'").collect()) == [(h, pytest.approx(c)) for h, c in expected]
+
+
+def url_filters_host(url):
+    return url.split("://")[1].split("/")[0].lower()
 
 
 def test_url_query_on_its_table(spark):
@@ -451,6 +486,17 @@ def test_line_dedup_keeps_columns_and_uses_no_python(spark, docs, empty):
     assert not re.search("Python|Pandas|MapInArrow", plan)
 
 
+def test_html_smoothing_decides(monkeypatch):
+    """No article element, a list of links without a marked class inside the content: it goes by its smoothed ratio, a lone link line stays."""
+    prose = "".join(f"<p>Sentence number {k} of a long paragraph that says something about the matter at hand, in many words.</p>" for k in range(4))
+    links = "".join(f"<li><a href='/{k}'>Other page {k}</a></li>" for k in range(8))
+    page = f"<html><body><div><h1>Title</h1>{prose}<p><a href='/x'>A link line of its own</a></p>{prose}<ul>{links}</ul><p>Short end.</p></div></body></html>"
+    text = html_extract.main_text(page)
+    assert text.startswith("Title Sentence number 0") and "A link line of its own" in text and "Other page 3" not in text and text.endswith("Short end.")
+    monkeypatch.setattr(html_extract, "smoothed", lambda ratios: np.ones(len(ratios)))
+    assert "Other page 3" in html_extract.main_text(page)
+
+
 # 10 quality
 
 
