@@ -14,7 +14,7 @@ from contentgauge.functions.urls import location, path
 HUMAN = ["human-led", "written by a human", "no ai was used", "human-created content"]
 AI_MADE = ["generated by ai", "ai-generated content", "created with the assistance of ai", "ai supports the work", "assisted by artificial intelligence"]
 AI_TRACES = ["as an ai language model", "i am a machine learning model", "generated by chatgpt"]
-SLANG = ["cuz", "gonna", "lmao", "lol", "omg", "thx", "u", "ur", "wanna"]
+SLANG = ["gonna", "wanna", "lol", "lmao", "omg", "thx", "u", "ur", "cuz"]
 CONTRADICTIONS = [("always", "never"), ("100%", "some"), ("free", "paid"), ("guaranteed", "estimated")]
 AI_FEATURES = [
     "artificial intelligence", "machine learning", "ai-powered", "ai powered", "personalized", "personalisation", "recommendation", "smart", "intelligent", "automated", "chatbot", "virtual assistant",

@@ -63,11 +63,25 @@ def detect_attributes(content: DataFrame, keys: list[str], enabled: list[str] |
     return rows.filter(F.col("attribute_id").isin(enabled)) if enabled is not None else rows
 
 
+# fixed values: what the urls of a site's global pages hold
+GLOBAL_PAGES = {
+    "about": ["/about", "/our-story", "/team", "/founders"],
+    "contact": ["/contact", "/support", "/help"],
+    "policies": ["/privacy", "/terms", "/legal", "/standards", "/editorial"],
+}
+# fixed values: phrases of a site's AI disclosure, and words of pages about its people, which are case-sensitive
+SITE_AI = ["ai-generated", "artificial intelligence", "generated by ai", "assisted by ai"]
+PEOPLE = ["Team", "Founders", "Our Story"]
+
+
 def site_signals(assets: DataFrame, keys: list[str]) -> DataFrame:
-    """For each site whether its about or policy pages disclose AI, and whether its about pages name authors."""
-    url, text = F.lower(F.coalesce("url", F.lit(""))), F.lower(F.coalesce("body", F.lit("")))
-    about, policy = url.contains("/about"), url.rlike("policy|terms|legal|disclosure")
+    """For each site whether its about or policy pages disclose AI, whether its about pages speak of people, and how many global pages it has.
+
+    A page counts once for each kind it belongs to. Assets without url or text tell nothing; repeated rows count again.
+    """
+    url, text = F.lower(F.coalesce("url", F.lit(""))), F.coalesce("body", F.lit(""))
+    kind = {k: D.contains_any(url, parts) for k, parts in GLOBAL_PAGES.items()}
     return assets.groupBy(*keys).agg(
-        F.coalesce(F.bool_or((about | policy) & D.contains_any(text, D.AI_DISCLOSED)), F.lit(False)).alias("has_global_ai_disclosure"),
-        F.coalesce(F.bool_or(about & F.col("body").rlike("Author|Editor|Team")), F.lit(False)).alias("has_global_author_info"), F.count_if(about).alias("about_pages"),
+        F.bool_or((kind["about"] | kind["policies"]) & D.contains_any(F.lower(text), SITE_AI)).alias("has_global_ai_disclosure"),
+        F.bool_or(kind["about"] & D.contains_any(text, PEOPLE)).alias("has_global_author_info"), F.sum(sum(k.cast("int") for k in kind.values())).alias("global_pages"),
     )

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contentgauge.functions import pages as P
+from contentgauge.functions import urls as U
 from contentgauge.functions.urls import host
 
 
@@ -20,11 +24,14 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
 
 def policy_links(pages: DataFrame) -> DataFrame:
-    """The first terms and privacy link of each page, by anchor order."""
-    rows = pages.select("page_id", F.posexplode(P.anchors(F.col("html"))).alias("pos", "a")).select("page_id", "pos", "a.*")
-    said = F.lower(F.concat("href", F.lit(" "), "label"))
-    first = lambda word: F.min_by("href", F.when(said.contains(word), F.col("pos")))
-    return rows.groupBy("page_id").agg(first("terms").alias("terms"), first("privacy").alias("privacy"), F.count("*").alias("links"))
+    """The first terms and privacy link of each page, absolute: of its first footer if that has links, else of the whole page; empty without one."""
+    h = F.col("html")
+    inside = P.anchors(F.regexp_extract(F.coalesce(h, F.lit("")), r"(?is)<footer\b[^>]*>(.*?)</footer>", 1))
+    linked = lambda xs: F.filter(xs, lambda a: a["href"] != "")
+    some = F.when(F.size(linked(inside)) > 0, linked(inside)).otherwise(linked(P.anchors(h)))
+    low = lambda a, part, words: F.lower(a["href"]).contains(part) | reduce(or_, [F.lower(a["label"]).contains(w) for w in words])
+    first = lambda part, words: F.coalesce(U.resolve(F.col("url"), F.try_element_at(F.filter(F.col("_links"), lambda a: low(a, part, words)), F.lit(1))["href"]), F.lit(""))
+    return pages.select("page_id", "url", some.alias("_links")).select("page_id", first("term", ["term", "conditions"]).alias("terms"), first("privacy", ["privacy", "cookie"]).alias("privacy"), F.size("_links").alias("links"))
 
 
 def footer_seen(pages: DataFrame) -> DataFrame:

@@ -26,8 +26,8 @@ def classify_urls(urls: DataFrame, brands: DataFrame) -> DataFrame:
     df = with_domain_parts(urls).join(F.broadcast(brands), "brand_id")
     d, s, p = F.col("domain"), F.col("subdomain"), F.col("path")
     front = s.isin("", "www") & (p.isin("", "/") | U.any_start(p, ["/about", "/products"]))
-    hub = s.isin(U.HUB) | U.any_start(p, [f"/{x}" for x in U.HUB_PATHS])
-    shop = s.isin(U.SHOP) | U.any_start(p, [f"/{x}" for x in U.SHOP_PATHS])
+    hub = s.isin(U.HUB) | U.any_start(p, U.HUB_PATHS)
+    shop = s.isin(U.SHOP) | U.any_start(p, U.SHOP_PATHS)
     own_tier = F.when(front, "primary_website").when(hub, "content_hub").when(shop, "direct_to_consumer").otherwise("primary_website")
     handle = F.lower(F.regexp_replace(F.coalesce(F.try_element_at(F.filter(F.split(p, "/"), lambda x: x != ""), F.lit(1)), F.lit("")), "^@+", ""))
     social = d.isin(U.KNOWN["social"])
@@ -56,22 +56,27 @@ def enforce_ratio(classified: DataFrame, keys: list[str], order_col: str, n: int
     return classified.withColumn("place", place).filter(F.col("place") <= limit)
 
 
+# fixed values: words of the titles of error pages
+ERROR_TITLES = ["access denied", "forbidden", "403", "401", "error", "not found", "404"]
+
+
 def collect_quota(classified: DataFrame, keys: list[str], order_col: str, n: int, owned_ratio: float = 0.6, min_owned: int = 75, min_third: int = 200) -> DataFrame:
-    """reason for every candidate: thin, error, domain_cap, pool_cap or kept, in the order of the candidates.
+    """reason for every candidate: thin, error, pool_cap, domain_cap or kept, in the order of the candidates.
 
-    A domain may fill a fifth of n (no bound if the owned share is 0.8 or more); pools are filled to their targets.
+    A pool takes candidates up to its target; while it is open, a host and port may fill a fifth of n (no bound if the
+    owned share is 0.8 or more). A null title is no error page, a null length is thin.
     """
     owned, third = targets(n, owned_ratio, 1 - owned_ratio)
     least = F.when(F.col("source_type") == "brand_owned", min_owned).otherwise(min_third)
-    error = F.lower(F.coalesce("title", F.lit(""))).rlike("404|not found|error|denied|forbidden")
-    reason = F.when(F.col("body_length") < least, "thin").when(error, "error")
-    df = classified.withColumn("reason", reason).withColumn("_fit", F.col("reason").isNull().cast("int"))
+    error = U.any_part(F.lower(F.coalesce("title", F.lit(""))), ERROR_TITLES)
+    df = classified.withColumn("_bad", F.when(F.coalesce("body_length", F.lit(0)) < least, "thin").when(error, "error")).withColumn("_place", U.location(F.col("url")))
     cap = max(1, int(0.2 * n)) if owned_ratio < 0.8 else n
-    in_domain = F.sum("_fit").over(Window.partitionBy(*keys, "domain").orderBy(order_col))
-    df = df.withColumn("reason", F.when(F.col("reason").isNull() & (in_domain > cap), "domain_cap").otherwise(F.col("reason"))).withColumn("_fit", F.col("reason").isNull().cast("int"))
-    in_pool = F.sum("_fit").over(Window.partitionBy(*keys, "source_type").orderBy(order_col))
+    in_domain = F.count_if(F.col("_bad").isNull()).over(Window.partitionBy(*keys, "_place").orderBy(order_col))
+    df = df.withColumn("_fit", F.col("_bad").isNull() & (in_domain <= cap))
+    taken = F.coalesce(F.count_if("_fit").over(Window.partitionBy(*keys, "source_type").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     limit = F.when(F.col("source_type") == "brand_owned", owned).otherwise(third)
-    return df.withColumn("reason", F.coalesce("reason", F.when(in_pool > limit, "pool_cap").otherwise("kept"))).drop("_fit")
+    reason = F.when(F.col("_bad").isNotNull(), F.col("_bad")).when(taken >= limit, "pool_cap").when(~F.col("_fit"), "domain_cap").otherwise("kept")
+    return df.withColumn("reason", reason).drop("_bad", "_place", "_fit")
 
 
 def promo_quota(urls: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -93,7 +98,7 @@ def main_urls(urls: DataFrame, order_col: str) -> DataFrame:
 def add_primary_subpages(urls: DataFrame, mains: DataFrame) -> DataFrame:
     """Promotional sub-pages of each main url that are not among the brand's urls yet."""
     made = mains.filter("main_url is not null").select("brand_id", F.explode(F.array(*[F.concat(F.regexp_extract("main_url", r"^([^:]*://[^/?#]*)", 1), F.lit(f"/{p}")) for p in U.PROMOTIONAL])).alias("url"))
-    return made.join(urls.select("brand_id", "url"), ["brand_id", "url"], "left_anti")
+    return made.join(urls.select("brand_id", "url").hint("shuffle_hash"), ["brand_id", "url"], "left_anti")
 
 
 def assemble_urls(results: DataFrame, brands: DataFrame, order_col: str) -> DataFrame:
@@ -104,17 +109,29 @@ def assemble_urls(results: DataFrame, brands: DataFrame, order_col: str) -> Data
     return df.withColumn("rank", F.row_number().over(order))
 
 
+# fixed values: parts of the paths of links that lead to no content
+NO_CONTENT = ["/search", "/login", "/cart", "/checkout", "/account", "/privacy", "/terms", "/contact"]
+
+
 def internal_links(links: DataFrame, k: int = 15) -> DataFrame:
-    """Of links(page_id, page_url, pos, href): absolute links to the page's own host, distinct, the first k in order."""
-    absolute = F.when(F.col("href").contains("://"), F.col("href")).when(F.col("href").startswith("/"), F.concat(F.regexp_extract("page_url", r"^([^:]*://[^/?#]*)", 1), F.col("href")))
-    own = links.withColumn("target", absolute).filter("target is not null").filter(U.host(F.col("target")) == U.host(F.col("page_url")))
+    """Of links(page_id, page_url, pos, href): those to the page's own host that lead to content, absolute, distinct, the first k in order."""
+    own = links.filter("href <> '' and href not like '#%' and href not like 'javascript:%'").withColumn("target", U.resolve(F.col("page_url"), F.col("href")))
+    own = own.filter((U.location(F.col("target")) == U.location(F.col("page_url"))) & ~U.any_part(F.lower(U.path(F.col("target"))), NO_CONTENT))
     first = own.groupBy("page_id", "target").agg(F.min("pos").alias("pos"))
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).filter(F.col("rank") <= k)
 
 
+def detect_brand_owned(urls: DataFrame, brands: DataFrame) -> DataFrame:
+    """source_type and tier as by classify_urls; of a brand without domains, owned is a url whose host holds the brand's id."""
+    held = F.replace(U.location(F.col("url")), F.lit("www."), F.lit("")).contains(F.lower("brand_id"))
+    bare = F.size(F.coalesce("brand_domains", F.array().cast("array<string>"))) <= 0
+    df = classify_urls(urls, brands)
+    return df.withColumns({"source_type": F.when(bare, F.when(held, "brand_owned").otherwise("third_party")).otherwise(F.col("source_type")), "tier": F.when(bare, F.when(held, "primary_website").otherwise("user_generated")).otherwise(F.col("tier"))})
+
+
 def broken_links(content: DataFrame, status: DataFrame) -> DataFrame:
     """Distinct links of each text against a table of link status: broken from 400 on but for 403, or without an answer."""
     found = content.select("content_id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"(https?://[^\s<>\"')]+)"), 1))).alias("url"))
-    joined = found.join(status, "url", "left")
+    joined = found.join(status.hint("shuffle_hash"), "url", "left")
     bad = (F.col("status") >= 400) & (F.col("status") != 403) | F.coalesce(F.col("failed"), F.lit(False))
     return joined.groupBy("content_id").agg(F.count("*").alias("links"), F.count_if(F.coalesce(bad, F.lit(False))).alias("broken"))

@@ -17,12 +17,24 @@ def b_extract_pages(spark, sf_dir):
     return f.select("page_id", "title", "channel", "platform_type", "modality", "canonical", F.size("og").alias("n_og"), F.size("tags").alias("n_tags"), "json_ld_blocks", "has_visuals", "footer_text")
 
 
+#: Links added to the end of the footers of pages, by page_id % 5.
+LINKS = [
+    '<a href="/privacy">Our rules</a><a href="../terms.html?x=1#a">T</a>', '<a href="https://other.example/p">Cookies here</a><a href="sub/./x">X</a>', '<a href="//cdn.example/t">Conditions of use</a><a href="#top">Up</a>',
+    '<a href="javascript:void(0)">J</a><a href="/search?q=1">S</a><a href="?p=2">Next</a>', '<a href="mailto:a@b.example">Terms by mail</a><a href="https://other.example/privacy">P</a>',
+]
+
+
+def linked_pages(spark, sf_dir):
+    added = F.element_at(F.array(*map(F.lit, LINKS)), (F.col("page_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").withColumn("html", F.replace("html", F.lit("</footer>"), F.concat(added, F.lit("</footer>"))))
+
+
 def b12_policy_links(spark, sf_dir):
-    return O.policy_links(table(spark, sf_dir, "pages"))
+    return O.policy_links(linked_pages(spark, sf_dir)).drop("links")
 
 
 def b13_page_links(spark, sf_dir):
-    return U.internal_links(O.page_links(table(spark, sf_dir, "pages"))).select("page_id", "target", "rank")
+    return U.internal_links(O.page_links(linked_pages(spark, sf_dir)), 100).select("page_id", "target", "rank")
 
 
 def b15_footers(spark, sf_dir):
@@ -49,12 +61,19 @@ _MODALITY = f"CASE WHEN {_part('lower(url)', P.VIDEO)} THEN 'video' WHEN {_part(
 _FOOTER = r"trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<footer\b[^>]*>(.*?)</footer>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
 _ANCHORS = r"""a AS (SELECT page_id, url, generate_subscripts(x, 1) - 1 AS pos, unnest(x) AS a FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*>.*?</a>') AS x FROM pages)),
 l AS (SELECT page_id, url, pos, regexp_extract(a, 'href="([^"]*)"', 1) AS href, trim(regexp_replace(a, '<[^>]*>', '', 'g')) AS label FROM a)"""
+_ORIGIN, _PATH = "regexp_extract(url, '^([^:]*://[^/?#]*)', 1)", "regexp_extract(url, '://[^/?#]*([^?#]*)', 1)"
+_DIR = f"coalesce(nullif(regexp_replace({_PATH}, '[^/]*$', ''), ''), '/')"
 ORACLES = {
     "b_extract_pages": rf"""WITH p AS (SELECT *, {_HOST} AS host FROM pages) SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, {_CHANNEL} AS channel, {_KIND} AS platform_type,
  {_MODALITY} AS modality, '' AS canonical, 0 AS n_og, 0 AS n_tags, 0 AS json_ld_blocks, false AS has_visuals, {_FOOTER} AS footer_text FROM p""",
-    "b12_policy_links": f"WITH {_ANCHORS} SELECT page_id, arg_min(href, pos) FILTER (WHERE contains(lower(href || ' ' || label), 'terms')) AS terms, arg_min(href, pos) FILTER (WHERE contains(lower(href || ' ' || label), 'privacy')) AS privacy, count(*) AS links FROM l GROUP BY page_id",
-    "b13_page_links": rf"""WITH {_ANCHORS}, t AS (SELECT page_id, regexp_extract(url, '^([^:]*://[^/?#]*)', 1) || href AS target, min(pos) AS pos FROM l WHERE starts_with(href, '/') GROUP BY ALL)
-SELECT page_id, target, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM t QUALIFY rank <= 15""",
+    # what each kind of link comes to, seen from the page; the pages' own links begin with a slash
+    "b12_policy_links": rf"""WITH p AS (SELECT page_id, {_ORIGIN} AS origin, {_DIR} AS dir, split_part(url, '://', 1) AS scheme FROM pages)
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN origin || regexp_replace(dir, '[^/]+/$', '') || 'terms.html?x=1#a' WHEN 2 THEN scheme || '://cdn.example/t' WHEN 4 THEN 'mailto:a@b.example' ELSE '' END AS terms,
+ CASE page_id % 5 WHEN 0 THEN origin || '/privacy' WHEN 1 THEN 'https://other.example/p' WHEN 4 THEN 'https://other.example/privacy' ELSE '' END AS privacy FROM p""",
+    "b13_page_links": rf"""WITH {_ANCHORS}, t AS (SELECT page_id, {_ORIGIN} || href AS target, min(pos) AS pos FROM l WHERE starts_with(href, '/') GROUP BY ALL),
+m AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN {_ORIGIN} || regexp_replace({_DIR}, '[^/]+/$', '') || 'terms.html?x=1#a' WHEN 1 THEN {_ORIGIN} || {_DIR} || 'sub/x' WHEN 3 THEN {_ORIGIN} || {_PATH} || '?p=2' END AS target, 1000000 AS pos FROM pages),
+z AS (SELECT * FROM t UNION ALL SELECT * FROM m WHERE target IS NOT NULL AND page_id % 5 > 0)
+SELECT page_id, target, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM z QUALIFY rank <= 100""",
     "b15_footers": rf"""WITH f AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, regexp_replace({_FOOTER}, '\s', '', 'g') AS t FROM pages), h AS (SELECT page_id, host, md5(t) AS footer FROM f WHERE length(t) > 50)
 SELECT page_id, host, footer, page_id > min(page_id) OVER (PARTITION BY host, footer) AS seen_before FROM h""",
 }

@@ -57,7 +57,11 @@ def d15_reuse(spark, sf_dir):
 
 
 def d16_site_signals(spark, sf_dir):
-    a = contents(spark, sf_dir).withColumn("url", F.concat(F.lit("http://s/"), F.when(F.col("seq") % 9 == 0, "about").when(F.col("seq") % 9 == 1, "policy").otherwise("p")))
+    """Documents as pages of sites; some brands' global pages speak of people or disclose AI."""
+    k = F.col("seq") % 11
+    path = F.element_at(F.array(*map(F.lit, ["x", "About", "our-story", "team/1", "support", "help", "privacy", "legal", "editorial", "policy", "contact"])), (k + 1).cast("int"))
+    said = F.when((F.col("seq") % 7 < 3) & k.isin(1, 9), "Written with Artificial Intelligence. ").when((F.col("seq") % 7 == 3) & (k == 7), "generated by AI ").when((F.col("seq") % 7 > 4) & (k == 2), "The Team. ").when((F.col("seq") % 7 == 4) & (k == 3), "the team, Editor ").otherwise("")
+    a = contents(spark, sf_dir).withColumns({"url": F.concat(F.lit("http://s/"), path), "body": F.concat(said, F.col("body"))})
     return detectors.site_signals(a, RUN)
 
 
@@ -173,8 +177,10 @@ SELECT page_id, CASE WHEN s = 0 THEN path NOT IN ('', '/') AND NOT {_part('path'
 k AS (SELECT *, CASE WHEN regexp_replace(host, '^www[.]', '') IN ({', '.join(_q(d) for b in BRANDS for d in b[1])}) AND list_contains(CASE brand_id {' '.join(f"WHEN '{b[0]}' THEN {b[1]}" for b in BRANDS)} END, regexp_replace(host, '^www[.]', '')) THEN 'primary' ELSE 'subdomain' END AS kind FROM h WHERE ends_with(host, '.com') OR ends_with(host, '.us'))
 SELECT brand_id, url, pos, confidence, kind, row_number() OVER (PARTITION BY brand_id ORDER BY kind <> 'primary', confidence DESC, pos) AS rank FROM k QUALIFY rank <= 20""",
     "d15_reuse": "SELECT l_orderkey AS run_id, l_linenumber AS line, o_custkey AS brand_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate >= TIMESTAMP '1998-01-01' - INTERVAL 240 HOUR AND o_orderstatus <> 'F' AND trim(l_returnflag) <> ''",
-    "d16_site_signals": f"""WITH {CONTENT_SQL} SELECT brand_id, run_id, coalesce(bool_or(seq % 9 < 2 AND {_part('lower(body)', ['ai-generated', 'ai generated', 'ai-assisted', 'ai assisted', 'generated by ai', 'created with ai'])}), false) AS has_global_ai_disclosure,
- coalesce(bool_or(seq % 9 = 0 AND regexp_matches(body, 'Author|Editor|Team')), false) AS has_global_author_info, count(*) FILTER (WHERE seq % 9 = 0) AS about_pages FROM content GROUP BY ALL""",
+    "d16_site_signals": f"""WITH {CONTENT_SQL}, m AS (SELECT *, seq % 11 AS k,
+ CASE WHEN seq % 7 < 3 AND seq % 11 IN (1, 9) THEN 'ai' WHEN seq % 7 = 3 AND seq % 11 = 7 THEN 'ai' WHEN seq % 7 > 4 AND seq % 11 = 2 THEN 'people' ELSE '' END AS said FROM content)
+SELECT brand_id, run_id, bool_or(k IN (1, 2, 3, 6, 7, 8) AND (said = 'ai' OR contains(lower(body), 'ai-generated') OR contains(lower(body), 'generated by ai'))) AS has_global_ai_disclosure,
+ bool_or(k IN (1, 2, 3) AND (said = 'people' OR contains(body, 'Team'))) AS has_global_author_info, count(*) FILTER (WHERE k NOT IN (0, 9)) AS global_pages FROM m GROUP BY ALL""",
     "d17_quota": "SELECT 'brand_' || page_id % 3 AS query, greatest(0, 10000 - count(*)) AS remaining FROM pages GROUP BY ALL HAVING remaining > 0",
     "f5_multipliers": f"WITH {TYPED_SQL}, {LONG_SQL.replace('FROM cls', 'FROM typed')} SELECT content_id, dimension, content_type, round(least(1.0, score * {_MULT}), 9) AS adjusted FROM long",
     "f24_visual_signals": f"""WITH {CONTENT_SQL}, ok AS (SELECT * FROM content WHERE seq % 7 <> 0 AND seq % 5 <> 0)

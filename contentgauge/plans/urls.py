@@ -20,8 +20,24 @@ def brands(spark):
     return spark.createDataFrame(BRANDS, "brand_id string, brand_domains array<string>, brand_subdomains array<string>, brand_handles array<string>")
 
 
-def urls(spark, sf_dir):
+#: Urls in place of those of the pages whose id leaves so much of 20, with the id in them, and whether they are login pages.
+VARIED = [
+    (0, "https://login.example.com/in/", "", True), (1, "https://www.example.org/x/sign-in/", "", True), (2, "https://shop.example.com/x/", "/account.aspx", True), (3, "https://www.brand0.com/p/", "?action=login", True),
+    (4, "https://www.brand1.com/p/", "?next=%2Fhome", True), (5, "https://brand2.com/", "#/register", True), (6, "https://unknown.co.uk/about-us/", "?id=4#team", False), (7, "https://www.unknown.co.uk/deals/", "", False),
+    (8, "https://nytimes.com/a/", "", False), (9, "https://twitter.com/@brandzero/", "", False), (10, "https://brand1.com.au/stories/", "", False), (11, "https://g2.com/r/", "", False),
+    (12, "https://gartner.com:8080/", "", False), (13, "https://blog.example.com/", "", False),
+]
+
+
+def urls(spark, sf_dir, varied=False):
     p = table(spark, sf_dir, "pages")
+    if varied:
+        other = F.lit(None).cast("string")
+        for k, before, after, _ in VARIED:
+            other = F.when(F.col("page_id") % 20 == k, F.concat(F.lit(before), F.col("page_id"), F.lit(after))).otherwise(other)
+        # some titles of error pages, and some pages without much text
+        title = F.when(F.col("page_id") % 17 == 3, "<title>401 Unauthorised").when(F.col("page_id") % 17 == 5, "<title>Entry denied").when(F.col("page_id") % 17 == 7, "<title>Access Denied").otherwise(F.col("html"))
+        p = p.withColumns({"url": F.coalesce(other, F.col("url")), "html": F.when(F.col("page_id") % 17 == 9, F.substring("html", 1, 100)).otherwise(F.when(title == F.col("html"), title).otherwise(F.concat(title, F.col("html"))))})
     title = F.coalesce(F.regexp_extract("html", "<title>([^<]*)", 1), F.lit(""))
     return p.select(F.col("page_id"), "url", F.concat(F.lit("brand_"), (F.col("page_id") % 3).cast("string")).alias("brand_id"), title.alias("title"), F.length("html").alias("body_length"))
 
@@ -47,17 +63,21 @@ URLS_SQL = f"""u AS (SELECT page_id, url, 'brand_' || page_id % 3 AS brand_id, r
  string_split({_LOC}, '.') AS labels FROM pages),
 k AS (SELECT *, CASE WHEN len(labels) >= 3 AND length(labels[-1]) = 2 AND {_in('labels[-2]', U.SECOND_LEVEL)} THEN 3 ELSE least(len(labels), 2) END AS keep FROM u),
 parts AS (SELECT *, array_to_string(labels[len(labels) - keep + 1:], '.') AS domain, array_to_string(labels[1:len(labels) - keep], '.') AS subdomain FROM k)"""
+_PAGES = "(SELECT page_id, CASE page_id % 20 " + " ".join(f"WHEN {k} THEN '{a}' || page_id || '{b}'" for k, a, b, _ in VARIED) + """ ELSE url END AS url,
+ CASE page_id % 17 WHEN 3 THEN '<title>401 Unauthorised' || html WHEN 5 THEN '<title>Entry denied' || html WHEN 7 THEN '<title>Access Denied' || html WHEN 9 THEN substr(html, 1, 100) ELSE html END AS html FROM pages)"""
+VARIED_SQL = URLS_SQL.replace("FROM pages", f"FROM {_PAGES}")
 BRAND_SQL = "brand AS (" + " UNION ALL ".join(f"SELECT {_q(b)} AS brand_id, {_list(d)} AS domains, {_list(s)} AS subs, {_list(h)} AS handles" for b, d, s, h in BRANDS) + ")"
-CLASSIFIED_SQL = f"""WITH {URLS_SQL}, {BRAND_SQL},
+CLASSIFIED_SQL = f"""WITH {VARIED_SQL}, {BRAND_SQL},
 o AS (SELECT *, list_contains(domains, domain) OR list_contains(subs, CASE WHEN subdomain = '' THEN domain ELSE subdomain || '.' || domain END)
  OR list_contains(list_transform(domains, lambda d: {_LABEL('d')}), {_LABEL('domain')})
- OR (subdomain <> '' AND len(list_filter(subs, lambda s: len(string_split(s, '.')) >= 3 AND split_part(s, '.', 1) = subdomain AND {_LABEL("regexp_replace(s, '^[^.]*[.]', '')")} = {_LABEL('domain')})) > 0) AS owned FROM parts JOIN brand USING (brand_id)),
-c AS (SELECT *, CASE WHEN owned THEN 'brand_owned' ELSE 'third_party' END AS source_type,
- CASE WHEN owned THEN CASE WHEN subdomain IN ('', 'www') AND (path IN ('', '/') OR {_start('path', ['/about', '/products'])}) THEN 'primary_website' WHEN {_in('subdomain', U.HUB)} OR {_start('path', ['/' + x for x in U.HUB_PATHS])} THEN 'content_hub'
-  WHEN {_in('subdomain', U.SHOP)} OR {_start('path', ['/' + x for x in U.SHOP_PATHS])} THEN 'direct_to_consumer' ELSE 'primary_website' END
- WHEN {_in('domain', U.KNOWN['social'])} THEN 'user_generated' WHEN {_in('domain', U.KNOWN['news_media'])} THEN 'news_media' WHEN {_in('domain', U.KNOWN['review'])} THEN 'user_generated'
+ OR (subdomain <> '' AND len(list_filter(subs, lambda s: len(string_split(s, '.')) >= 3 AND split_part(s, '.', 1) = subdomain AND {_LABEL("regexp_replace(s, '^[^.]*[.]', '')")} = {_LABEL('domain')})) > 0) AS owned,
+ domain = 'twitter.com' AND brand_id = 'brand_0' AND starts_with(path, '/@brandzero/') AS official FROM parts JOIN brand USING (brand_id)),
+c AS (SELECT *, CASE WHEN owned OR official THEN 'brand_owned' ELSE 'third_party' END AS source_type,
+ CASE WHEN owned THEN CASE WHEN subdomain IN ('', 'www') AND (path IN ('', '/') OR {_start('path', ['/about', '/products'])}) THEN 'primary_website' WHEN {_in('subdomain', U.HUB)} OR {_start('path', U.HUB_PATHS)} THEN 'content_hub'
+  WHEN {_in('subdomain', U.SHOP)} OR {_start('path', U.SHOP_PATHS)} THEN 'direct_to_consumer' ELSE 'primary_website' END
+ WHEN official THEN 'brand_social' WHEN {_in('domain', U.KNOWN['social'])} THEN 'user_generated' WHEN {_in('domain', U.KNOWN['news_media'])} THEN 'news_media' WHEN {_in('domain', U.KNOWN['review'])} THEN 'user_generated'
  WHEN {_in('domain', U.KNOWN['marketplace'])} THEN 'marketplace' WHEN {_in('domain', U.KNOWN['expert'])} OR {_end('domain', ['.edu', '.gov', '.org'])} THEN 'expert_professional' ELSE 'user_generated' END AS tier FROM o)"""
-_LOGIN = f"({_start('host', [h + '.' for h in U.LOGIN_HOSTS])} OR {_part('lower(path)', ['/' + p for p in U.LOGIN_PATHS])})"
+_LOGIN = "page_id % 20 IN (" + ", ".join(str(k) for k, _, _, login in VARIED if login) + ")"
 _PROMO = f"({_start('lower(path)', ['/' + p for p in U.PROMOTIONAL])} OR {_part('lower(path)', U.PROMOTIONAL_WORDS)})"
 
 
@@ -66,7 +86,7 @@ def c1_domain_parts(spark, sf_dir):
 
 
 def _classified(spark, sf_dir):
-    return O.classify_urls(urls(spark, sf_dir), brands(spark))
+    return O.classify_urls(urls(spark, sf_dir, True), brands(spark))
 
 
 def c2_classify_urls(spark, sf_dir):
@@ -78,15 +98,15 @@ def c3_enforce_ratio(spark, sf_dir):
 
 
 def c4_collect_quota(spark, sf_dir):
-    return O.collect_quota(_classified(spark, sf_dir), ["brand_id"], "page_id", 100).select("brand_id", "page_id", "reason")
+    return O.collect_quota(_classified(spark, sf_dir), ["brand_id"], "page_id", 20).select("brand_id", "page_id", "reason")
 
 
 def c5_login_pages(spark, sf_dir):
-    return urls(spark, sf_dir).select("page_id", U.is_login(F.col("url")).alias("login"))
+    return urls(spark, sf_dir, True).select("page_id", U.is_login(F.col("url")).alias("login"))
 
 
 def c6_brand_pages(spark, sf_dir):
-    u = urls(spark, sf_dir).join(F.broadcast(brands(spark)), "brand_id")
+    u = urls(spark, sf_dir, True).join(F.broadcast(brands(spark)), "brand_id")
     return u.select("page_id", U.brand_page_kind(F.col("url"), F.col("brand_id"), F.col("brand_domains")).alias("kind"), U.is_core_domain(F.col("url"), F.col("brand_domains")).alias("core"))
 
 
@@ -100,11 +120,18 @@ def c7_main_urls(spark, sf_dir):
 
 
 def c8_promotional(spark, sf_dir):
-    return O.promo_quota(urls(spark, sf_dir), ["brand_id"], 40)
+    return O.promo_quota(urls(spark, sf_dir, True), ["brand_id"], 40)
+
+
+def c11_brand_owned(spark, sf_dir):
+    """Ownership of urls of brands of which some have no domains."""
+    bare = brands(spark).withColumn("brand_domains", F.when(F.col("brand_id") == "brand_1", F.array().cast("array<string>")).otherwise(F.col("brand_domains"))).withColumn("brand_id", F.replace("brand_id", F.lit("_"), F.lit("")))
+    u = urls(spark, sf_dir, True).withColumn("brand_id", F.replace("brand_id", F.lit("_"), F.lit("")))
+    return O.detect_brand_owned(u, bare).filter("brand_id = 'brand1'").select("page_id", "source_type", "tier")
 
 
 def c12_assemble(spark, sf_dir):
-    return O.assemble_urls(urls(spark, sf_dir), brands(spark), "page_id").select("brand_id", "url", "seen", "core", "source_type", "tier", "rank")
+    return O.assemble_urls(urls(spark, sf_dir, True), brands(spark), "page_id").select("brand_id", "url", "seen", "core", "source_type", "tier", "rank")
 
 
 def c15_subpages(spark, sf_dir):
@@ -112,7 +139,7 @@ def c15_subpages(spark, sf_dir):
     return O.add_primary_subpages(u, O.main_urls(u, "page_id"))
 
 
-QUERIES = {f.__name__: f for f in (c1_domain_parts, c2_classify_urls, c3_enforce_ratio, c4_collect_quota, c5_login_pages, c6_brand_pages, c7_locale, c7_main_urls, c8_promotional, c12_assemble, c15_subpages)}
+QUERIES = {f.__name__: f for f in (c1_domain_parts, c2_classify_urls, c3_enforce_ratio, c4_collect_quota, c5_login_pages, c6_brand_pages, c7_locale, c7_main_urls, c8_promotional, c11_brand_owned, c12_assemble, c15_subpages)}
 
 _BARE = "regexp_replace(host, '^www[.]', '')"
 _CORE = f"len(list_filter(domains, lambda d: d = {_BARE} OR (len(string_split(d, '.')) >= 2 AND len(string_split({_BARE}, '.')) IN (2, 3) AND split_part(d, '.', 1) = split_part({_BARE}, '.', 1)))) > 0"
@@ -123,14 +150,17 @@ ORACLES = {
     "c2_classify_urls": CLASSIFIED_SQL + " SELECT page_id, source_type, tier FROM c",
     "c3_enforce_ratio": CLASSIFIED_SQL + " SELECT brand_id, page_id, source_type, row_number() OVER (PARTITION BY brand_id, source_type ORDER BY page_id) AS place FROM c QUALIFY place <= CASE source_type WHEN 'brand_owned' THEN 15 ELSE 10 END",
     "c4_collect_quota": CLASSIFIED_SQL + """,
-a AS (SELECT *, CASE WHEN body_length < CASE source_type WHEN 'brand_owned' THEN 75 ELSE 200 END THEN 'thin' WHEN regexp_matches(lower(title), '404|not found|error|denied|forbidden') THEN 'error' END AS r FROM c),
-b AS (SELECT *, CASE WHEN r IS NULL AND count(*) FILTER (WHERE r IS NULL) OVER (PARTITION BY brand_id, domain ORDER BY page_id) > 20 THEN 'domain_cap' ELSE r END AS r2 FROM a)
-SELECT brand_id, page_id, coalesce(r2, CASE WHEN count(*) FILTER (WHERE r2 IS NULL) OVER (PARTITION BY brand_id, source_type ORDER BY page_id) > CASE source_type WHEN 'brand_owned' THEN 60 ELSE 40 END THEN 'pool_cap' ELSE 'kept' END) AS reason FROM b""",
-    "c5_login_pages": f"WITH {URLS_SQL} SELECT page_id, {_LOGIN} AS login FROM u",
-    "c6_brand_pages": f"WITH {URLS_SQL}, {BRAND_SQL} SELECT page_id, CASE WHEN {_BARE} <> '' AND (list_contains(domains, {_BARE}) OR starts_with({_BARE} || '.', regexp_replace(brand_id, '[^a-z0-9]', '', 'g') || '.')) THEN 'primary' ELSE 'subdomain' END AS kind, {_CORE} AS core FROM u JOIN brand USING (brand_id)",
+a AS (SELECT *, CASE WHEN body_length < CASE source_type WHEN 'brand_owned' THEN 75 ELSE 200 END THEN 'thin' WHEN regexp_matches(lower(title), '401|403|404|access denied|error|forbidden|not found') THEN 'error' END AS bad,
+ lower(regexp_extract(url, '://([^/?#]*)', 1)) AS place FROM c),
+b AS (SELECT *, bad IS NULL AND count(*) FILTER (WHERE bad IS NULL) OVER (PARTITION BY brand_id, place ORDER BY page_id) <= 4 AS fit FROM a),
+d AS (SELECT *, count(*) FILTER (WHERE fit) OVER (PARTITION BY brand_id, source_type ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS taken FROM b)
+SELECT brand_id, page_id, CASE WHEN bad IS NOT NULL THEN bad WHEN taken >= CASE source_type WHEN 'brand_owned' THEN 12 ELSE 8 END THEN 'pool_cap' WHEN NOT fit THEN 'domain_cap' ELSE 'kept' END AS reason FROM d""",
+    "c5_login_pages": f"WITH {VARIED_SQL} SELECT page_id, {_LOGIN} AS login FROM u",
+    "c6_brand_pages": f"WITH {VARIED_SQL}, {BRAND_SQL} SELECT page_id, CASE WHEN {_BARE} <> '' AND (list_contains(domains, {_BARE}) OR starts_with({_BARE} || '.', regexp_replace(brand_id, '[^a-z0-9]', '', 'g') || '.')) THEN 'primary' ELSE 'subdomain' END AS kind, {_CORE} AS core FROM u JOIN brand USING (brand_id)",
     "c7_locale": f"WITH {URLS_SQL} SELECT page_id, {_end('host', U.ENGLISH_SUFFIXES)} AS english, {_end('host', U.USA_SUFFIXES)} AS usa FROM u",
     "c7_main_urls": f"WITH {URLS_SQL}, {_MAIN} SELECT brand_id, main_url, abroad AND main_url IS NOT NULL AS has_variants FROM main",
-    "c8_promotional": f"WITH {URLS_SQL} SELECT brand_id, count(*) FILTER (WHERE {_PROMO}) AS promotional, 10 AS target, count(*) FILTER (WHERE {_PROMO}) >= 10 AS met FROM u GROUP BY brand_id",
+    "c8_promotional": f"WITH {VARIED_SQL} SELECT brand_id, count(*) FILTER (WHERE {_PROMO}) AS promotional, 10 AS target, count(*) FILTER (WHERE {_PROMO}) >= 10 AS met FROM u GROUP BY brand_id",
+    "c11_brand_owned": f"WITH {VARIED_SQL} SELECT page_id, CASE WHEN contains(host, 'brand1') THEN 'brand_owned' ELSE 'third_party' END AS source_type, CASE WHEN contains(host, 'brand1') THEN 'primary_website' ELSE 'user_generated' END AS tier FROM u WHERE page_id % 3 = 1",
     "c12_assemble": CLASSIFIED_SQL + f""", f AS (SELECT brand_id, url, min(page_id) AS seen FROM c WHERE NOT {_LOGIN} GROUP BY ALL),
 j AS (SELECT DISTINCT brand_id, url, seen, {_CORE} AS core, source_type, tier FROM f JOIN c USING (brand_id, url))
 SELECT *, row_number() OVER (PARTITION BY brand_id ORDER BY core DESC, source_type = 'brand_owned' DESC, url) AS rank FROM j""",
