@@ -55,3 +55,19 @@ def join_ids(df: DataFrame, ids: DataFrame, on: list[str], how: str = "left_semi
     """Joins df with a narrow table: broadcast up to BROADCAST_ROWS counted rows, else a shuffle join."""
     n = ids.count() if n_rows is None else n_rows
     return df.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids.hint("shuffle_hash"), on, how)
+
+
+#: A key with at least so small a part of all rows is hot; there are at most so many such keys.
+HOT_KEYS = 500
+
+
+def join_hot(rows: DataFrame, side: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Joins rows with side, which has one row for each key, and held, the number of rows with that key.
+
+    The hot keys' rows of side, at most HOT_KEYS, are broadcast, so that no task gets all rows of a common key; the
+    others meet in a shuffle join. side is read twice, so it should be a written table. held does not come along.
+    """
+    total = side.agg(F.sum("held")).first()[0] or 0
+    hot = F.broadcast(side.filter(F.col("held") * HOT_KEYS >= total).drop("held"))
+    rest = rows.join(hot.select(on), on, "left_anti").join(side.drop("held").hint("shuffle_hash"), on, how)
+    return rows.join(hot, on).unionByName(rest)

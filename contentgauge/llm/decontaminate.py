@@ -141,7 +141,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
         )
         merged = merged.withColumn("hits", _united("hits")).withColumn("spans", _united("spans"))
         same = merged["doc_id"].eqNullSafe(copies["doc_id"]) & (merged["row_key"] == copies["row_key"])
-        found = merged.join(copies, same).select(merged["*"], F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("col")
+        found = merged.join(copies.hint("shuffle_hash"), same).select(merged["*"], F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("col")
     n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda a, x: a + (x["end"] - x["start"]))
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "hits", "spans", (n_hit > 0).alias("contaminated"))
 
@@ -164,8 +164,8 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WI
     Rows of a doc_id go together; rows without text, or without a doc_id, are kept.
     """
     hit = materialize(scan_documents(docs, benchmark, window).filter("contaminated and doc_id is not null").select(F.col("doc_id").alias("_hit")).distinct())
-    marked = docs.withColumn("_hit", F.col("doc_id").cast("bigint"))
-    return join_ids(marked, hit, ["_hit"], "left_anti").select(*docs.columns)
+    marked = docs.select(F.col("doc_id").cast("bigint").alias("_hit"), F.struct(*docs.columns).alias("row"))  # whatever their names
+    return join_ids(marked, hit, ["_hit"], "left_anti").select("row.*")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentgauge.llm.common import join_ids, materialize
+from contentgauge.llm.common import HOT_KEYS, join_hot, join_ids, materialize
 from contentgauge.llm.components import connected_components
 
 COSINE = 0.98
@@ -24,6 +24,8 @@ COSINE = 0.98
 TABLES, PROBES, SCALE, SEED = 3, 2, 0.45, 8
 #: Vectors of a cell that are compared in one task step; a larger cell is dealt out in pairs of blocks.
 BLOCK = 2048
+#: Rows of a cell that are compared with the others at once.
+STRIP = 64
 
 
 def minimal_vectors() -> np.ndarray:
@@ -71,6 +73,7 @@ def cells(vectors: np.ndarray) -> np.ndarray:
 def unit(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     rows = flat.reshape(len(column), -1)
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)  # squares of very large or small numbers stay in range
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
@@ -99,37 +102,40 @@ def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(group: dict[str, np.ndarray], table: int, cell: int, crossed: bool) -> tuple[list, list]:
-    """Counts of links by vector and a spanning forest, for the pairs of one cell (or two blocks of it) that are counted here."""
+    """Counts of links by vector and a spanning forest, for the pairs of one cell (or two blocks of it) that are counted here.
+
+    The pairs are worked through in strips of STRIP rows, so that memory follows the cell's size and not its pairs.
+    """
     vectors, own, cid, n, block = group["vectors"], group["own"], group["cid"], group["n"], group["block"]
-    similar = vectors @ vectors.T >= COSINE
-    a, b = np.nonzero(np.triu(similar, 1))
-    if crossed:
-        a, b = a[block[a] != block[b]], b[block[a] != block[b]]
-    if not len(a):
-        return [], []
-    # cells in which the two meet, table by table: the own cell of the one, if the other is filed there
-    at_a = (own[b] == own[a][:, :, :1]).any(axis=2)
-    at_b = (own[a] == own[b][:, :, :1]).any(axis=2)
-    first = (at_a | at_b).argmax(axis=1)
-    rows = np.arange(len(a))
-    ca, cb = own[a, first, 0], own[b, first, 0]
-    where = np.where(at_a[rows, first] & at_b[rows, first], np.minimum(ca, cb), np.where(at_a[rows, first], ca, cb))
-    here = (at_a | at_b).any(axis=1) & (first == table) & (where == cell)
-    a, b = a[here], b[here]
-    counts = np.bincount(a, n[b], len(cid)) + np.bincount(b, n[a], len(cid))
-    parent = list(range(len(cid)))
-
-    def top(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    forest = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        if (p := top(x)) != (q := top(y)):
-            parent[p] = q
-            forest.append((x, y))
+    counts, component, forest = np.zeros(len(cid)), np.arange(len(cid)), []
+    for at in range(0, len(cid), STRIP):
+        similar = vectors[at : at + STRIP] @ vectors[at:].T >= COSINE
+        similar &= np.arange(similar.shape[1]) > np.arange(similar.shape[0])[:, None]
+        if crossed:
+            similar &= block[at : at + STRIP, None] != block[at:]
+        a, b = np.nonzero(similar)
+        if not len(a):
+            continue
+        a, b = a + at, b + at
+        # cells in which the two meet, table by table: the own cell of the one, if the other is filed there
+        at_a = (own[b] == own[a][:, :, :1]).any(axis=2)
+        at_b = (own[a] == own[b][:, :, :1]).any(axis=2)
+        first = (at_a | at_b).argmax(axis=1)
+        rows = np.arange(len(a))
+        ca, cb = own[a, first, 0], own[b, first, 0]
+        where = np.where(at_a[rows, first] & at_b[rows, first], np.minimum(ca, cb), np.where(at_a[rows, first], ca, cb))
+        here = (at_a | at_b).any(axis=1) & (first == table) & (where == cell)
+        a, b = a[here], b[here]
+        if not len(a):
+            continue
+        counts += np.bincount(a, n[b], len(cid)) + np.bincount(b, n[a], len(cid))
+        starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+        for s, e in zip(starts, [*starts[1:], len(a)], strict=True):
+            x, found = a[s], b[s:e]
+            new, place = np.unique(component[found], return_index=True)
+            joined = new != component[x]
+            forest += [(x, y) for y in found[place[joined]].tolist()]
+            component[np.isin(component, new[joined])] = component[x]
     linked = np.flatnonzero(counts)
     return [(int(cid[x]), None, int(counts[x])) for x in linked], [(int(cid[x]), int(cid[y]), None) for x, y in forest]
 
@@ -180,7 +186,7 @@ def link_vectors(embeddings: DataFrame) -> DataFrame:
     """
     rows = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("bigint").alias("label"), "embedding")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    fit = F.coalesce(F.col("label").isNotNull() & ~bad & (F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) > 0), F.lit(False))
+    fit = F.coalesce(F.col("label").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("embedding", F.when(fit, F.col("embedding")))
     usable = rows.filter("embedding is not null")
     classes = materialize(usable.groupBy("label", "embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("first")).withColumn("cid", F.monotonically_increasing_id()))
@@ -188,10 +194,15 @@ def link_vectors(embeddings: DataFrame) -> DataFrame:
     counts = links.filter("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("others"))
     roots = connected_components(links.filter("b is not null").select("a", "b")).withColumnRenamed("node", "cid")
     known = classes.join(roots.hint("shuffle_hash"), "cid", "left").join(counts.hint("shuffle_hash"), "cid", "left")
-    known = known.select("label", "embedding", "n", "first", F.coalesce("root", "cid").alias("root"), F.coalesce("others", F.lit(0)).alias("others"))
-    least = known.groupBy("root").agg(F.min("first").alias("component"))
-    known = known.join(least.hint("shuffle_hash"), "root").select("label", "embedding", F.col("n").alias("copies"), "others", "component")
-    found = usable.join(known.hint("shuffle_hash"), ["label", "embedding"]).select("vec_id", (F.col("copies") - 1 + F.col("others")).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    known = materialize(known.select("label", "embedding", "n", "first", F.coalesce("root", "cid").alias("root"), F.coalesce("others", F.lit(0)).alias("others")))
+    least = materialize(known.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("held")))
+    known = materialize(join_hot(known, least, "root").select("label", "embedding", F.col("n").alias("copies"), "others", "component"))
+    # vectors with so many copies that there are few of them are broadcast
+    common = F.col("copies") * HOT_KEYS >= (known.agg(F.sum("copies")).first()[0] or 0)
+    hot, rest = F.broadcast(known.filter(common)), known.filter(~common)
+    key = ["label", "embedding"]
+    found = usable.join(hot, key).unionByName(usable.join(hot.select(*key), key, "left_anti").join(rest.hint("shuffle_hash"), key))
+    found = found.select("vec_id", (F.col("copies") - 1 + F.col("others")).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     alone = rows.filter("embedding is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

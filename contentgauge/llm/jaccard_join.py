@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from contentgauge.llm.common import join_ids, materialize
+from contentgauge.llm.common import join_hot, join_ids, materialize
 from contentgauge.llm.components import connected_components
 from contentgauge.llm.substring_dedup import _BASES, _mix, _Rolling
 
@@ -176,8 +176,8 @@ def _candidates(rows: list[dict], crossed: bool, everything: bool) -> tuple[list
     """Pairs of a group that pass all filters and are not connected; whether these are all such pairs."""
     further = [[frozenset(np.frombuffer(r[c], np.uint16).tolist()) for r in rows] for c in _FURTHER]
     sketches = [(8 * len(r["sketch"]), int.from_bytes(r["sketch"], "little")) for r in rows]
-    root, size, block = ([r[c] for r in rows] for c in ("root", "n", "block"))
-    parent = {r: r for r in root}
+    root, size, block = (np.array([r[c] for r in rows], np.int64) for c in ("root", "n", "block"))
+    parent = {r: r for r in root.tolist()}
 
     def top(x):
         while parent[x] != x:
@@ -187,14 +187,13 @@ def _candidates(rows: list[dict], crossed: bool, everything: bool) -> tuple[list
 
     pairs, forest = [], []
     for i in range(1, len(rows)):
-        own, n, (bits, parity), part = root[i], size[i], sketches[i], block[i]
+        fit = (root[:i] != root[i]) & (WHOLE * np.minimum(size[:i], size[i]) >= PART * np.maximum(size[:i], size[i]))
+        if crossed:
+            fit &= block[:i] != block[i]
+        own, n, (bits, parity) = int(root[i]), int(size[i]), sketches[i]
         ours = [f[i] for f in further]
-        for j in range(i):
-            if root[j] == own or crossed and block[j] == part:
-                continue
-            m = size[j]
-            if WHOLE * min(n, m) < PART * max(n, m):
-                continue
+        for j in np.flatnonzero(fit).tolist():
+            m = int(size[j])
             for x, f in zip(ours, further, strict=True):
                 if x.isdisjoint(f[j]):
                     break
@@ -203,7 +202,7 @@ def _candidates(rows: list[dict], crossed: bool, everything: bool) -> tuple[list
                 if ((parity ^ other).bit_count() if b == bits else apart(sketches[i], sketches[j])) > most_apart(n, m):
                     continue
                 pairs.append((rows[i]["node"], rows[j]["node"]))
-                if (p := top(own)) != (q := top(root[j])):
+                if (p := top(own)) != (q := top(int(root[j]))):
                     parent[p] = q
                     forest.append(pairs[-1])
     whole = everything or len(pairs) <= DENSE * len(rows)
@@ -307,7 +306,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
 
     classes = materialize(own.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     # documents of which no row is its class's first
-    copies = own.join(classes.hint("shuffle_hash"), "node").groupBy("doc_id").agg(F.bool_and(F.coalesce(F.col("doc_id") != F.col("first"), F.lit(False))).alias("copy")).filter("copy").select("doc_id")
+    copies = join_hot(own, classes.withColumn("held", F.col("copies")), "node").groupBy("doc_id").agg(F.bool_and(F.coalesce(F.col("doc_id") != F.col("first"), F.lit(False))).alias("copy")).filter("copy").select("doc_id")
     single = join_ids(rows, materialize(copies), ["doc_id"], "left_anti")
     meeting = _meeting_rows(single, frequent)
 
@@ -338,10 +337,10 @@ def link_documents(docs: DataFrame) -> DataFrame:
             break
         meeting = materialize(meeting.join(open_groups.hint("shuffle_hash"), "token", "left_semi"))
 
-    known = classes.join(roots.hint("shuffle_hash"), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    least = known.groupBy("root").agg(F.min("first").alias("component"))
-    known = known.join(least.hint("shuffle_hash"), "root").select("node", "component")
-    return own.join(known.hint("shuffle_hash"), "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    known = materialize(classes.join(roots.hint("shuffle_hash"), "node", "left").select("node", "first", "copies", F.coalesce("root", "node").alias("root")))
+    least = materialize(known.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("held")))
+    known = materialize(join_hot(known, least, "root").select("node", "component", F.col("copies").alias("held")))
+    return join_hot(own, known, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
@@ -350,5 +349,5 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     Rows of a doc_id go together, if one of them is linked to a smaller doc_id; rows without a doc_id are kept.
     """
     gone = materialize(link_documents(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    marked = docs.withColumn("_gone", F.col("doc_id").cast("bigint"))
-    return join_ids(marked, gone, ["_gone"], "left_anti").select(*docs.columns)
+    marked = docs.select(F.col("doc_id").cast("bigint").alias("_gone"), F.struct(*docs.columns).alias("row"))  # whatever their names
+    return join_ids(marked, gone, ["_gone"], "left_anti").select("row.*")

@@ -8,6 +8,8 @@ import itertools
 import math
 import random
 import re
+import sys
+import subprocess
 
 import numpy as np
 import pytest
@@ -17,7 +19,7 @@ import __spark_entry__ as entry
 from contentgauge.llm import (
     components, decontaminate, embedding_dedup, html_extract, jaccard_join, line_dedup, piece_codec, pieces, quality, queries, substring_dedup, token_counts, url_filters, word_model,
 )
-from tests.conftest import SF, duck_rows, rows_of
+from tests.conftest import ROOT, SF, duck_rows, rows_of
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 #: Extra columns whose names the operators use inside.
@@ -258,6 +260,31 @@ def test_embeddings_of_nothing(spark):
     assert embedding_dedup.link_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
 
 
+def test_dense_cell_in_bounded_memory(tmp_path):
+    """Two full blocks of near copies in one cell: every pair is counted, in far less memory than the pairs would take."""
+    code = """
+import resource
+import numpy as np
+from contentgauge.llm import embedding_dedup as e
+r = np.random.default_rng(0)
+v = r.standard_normal(64) + 0.001 * r.standard_normal((2 * e.BLOCK, 64))
+v /= np.sqrt((v * v).sum(1, keepdims=True))
+own = e.cells(v)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+counts, forest = e._meet({"vectors": v, "own": own, "cid": np.arange(len(v)), "n": np.ones(len(v), int), "block": np.repeat([0, 1], e.BLOCK)}, 0, int(own[0, 0, 0]), True)
+assert (own == own[0]).all() and all(n == e.BLOCK for _, _, n in counts) and len(counts) == len(v) and len(forest) == len(v) - 1
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 150_000
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=ROOT)
+
+
+def test_vectors_out_of_range(spark):
+    """Finite doubles whose squares are not."""
+    rows = [(1, 0, [1e200, 1e200]), (2, 0, [2e200, 2e200]), (3, 0, [1e-200, 1e-200]), (4, 0, [1e-200, -1e-200]), (5, 0, [0.0, 0.0])]
+    got = embedding_dedup.link_vectors(spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>"))
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4), (5, 0, 5)]
+
+
 # 6 Jaccard join
 
 
