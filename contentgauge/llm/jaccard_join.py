@@ -176,8 +176,17 @@ def _candidates(rows: list[dict], crossed: bool, everything: bool) -> tuple[list
     """Pairs of a group that pass all filters and are not connected; whether these are all such pairs."""
     further = [[frozenset(np.frombuffer(r[c], np.uint16).tolist()) for r in rows] for c in _FURTHER]
     sketches = [(8 * len(r["sketch"]), int.from_bytes(r["sketch"], "little")) for r in rows]
-    root, size, block = (np.array([r[c] for r in rows], np.int64) for c in ("root", "n", "block"))
-    parent = {r: r for r in root.tolist()}
+    root, size, block = ([r[c] for r in rows] for c in ("root", "n", "block"))
+    roots, sizes, blocks = (np.array(x, np.int64) for x in (root, size, block))
+    parent = {r: r for r in root}
+
+    def partners(i):
+        """Rows before i that are not connected to it and near enough in size."""
+        own, n, part = root[i], size[i], block[i]
+        if i < 32:
+            return [j for j in range(i) if root[j] != own and WHOLE * min(n, size[j]) >= PART * max(n, size[j]) and not (crossed and block[j] == part)]
+        fit = (roots[:i] != own) & (WHOLE * np.minimum(sizes[:i], n) >= PART * np.maximum(sizes[:i], n))
+        return np.flatnonzero(fit & (blocks[:i] != part) if crossed else fit).tolist()
 
     def top(x):
         while parent[x] != x:
@@ -187,13 +196,10 @@ def _candidates(rows: list[dict], crossed: bool, everything: bool) -> tuple[list
 
     pairs, forest = [], []
     for i in range(1, len(rows)):
-        fit = (root[:i] != root[i]) & (WHOLE * np.minimum(size[:i], size[i]) >= PART * np.maximum(size[:i], size[i]))
-        if crossed:
-            fit &= block[:i] != block[i]
-        own, n, (bits, parity) = int(root[i]), int(size[i]), sketches[i]
+        own, n, (bits, parity) = root[i], size[i], sketches[i]
         ours = [f[i] for f in further]
-        for j in np.flatnonzero(fit).tolist():
-            m = int(size[j])
+        for j in partners(i):
+            m = size[j]
             for x, f in zip(ours, further, strict=True):
                 if x.isdisjoint(f[j]):
                     break
@@ -202,7 +208,7 @@ def _candidates(rows: list[dict], crossed: bool, everything: bool) -> tuple[list
                 if ((parity ^ other).bit_count() if b == bits else apart(sketches[i], sketches[j])) > most_apart(n, m):
                     continue
                 pairs.append((rows[i]["node"], rows[j]["node"]))
-                if (p := top(own)) != (q := top(int(root[j]))):
+                if (p := top(own)) != (q := top(root[j])):
                     parent[p] = q
                     forest.append(pairs[-1])
     whole = everything or len(pairs) <= DENSE * len(rows)
