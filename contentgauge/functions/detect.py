@@ -8,6 +8,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from contentgauge.functions.pages import names_in
 from contentgauge.functions.urls import location, path
 
 # fixed values: phrases of the rules
@@ -135,12 +136,13 @@ def provenance() -> list[Column]:
     named = F.trim(F.coalesce("author", F.lit("")))
     byline = (F.length(named) > 2) & ~F.lower(named).isin("admin", "editor", "staff", "unknown")
     schema = F.coalesce(meta("schema_org"), F.lit(""))
-    in_schema = lambda key: schema.rlike(rf'"{key}"\s*:\s*(\[\s*)?("[^"]+"|\{{[^}}]*"name"\s*:\s*"[^"]+")')
+    in_schema = lambda key: F.size(names_in(schema, key)) > 0
+    signed = F.exists(names_in(schema, "author"), lambda x: ~F.lower(x).isin("unknown", "anonymous"))
     writer = F.lower(F.coalesce(value_of("author"), F.lit("unknown")))
     short, about = F.length("_body") < 200, F.substring("_body", 1, 500).contains("about")
     # value, confidence, status of the first kind of attribution there is
     ladder = [
-        (byline, 10.0, 0.9, "present"), (in_schema("author") & ~schema.rlike('(?i)"(unknown|anonymous)"'), 8.0, 0.95, "present"), (~writer.isin("unknown", "anonymous"), 7.0, 0.9, "present"),
+        (byline, 10.0, 0.9, "present"), (signed, 8.0, 0.95, "present"), (~writer.isin("unknown", "anonymous"), 7.0, 0.9, "present"),
         (in_schema("publisher") | in_schema("contributor"), 7.0, 0.9, "present"), (value_of("maintained_by", "content_by", "team", "department").isNotNull(), 6.0, 0.85, "present"),
         (value_of("about_url", "credits_url", "team_url").isNotNull(), 6.0, 0.8, "present"), (is_true("has_global_author_info"), 8.0, 0.85, "present"), (about, 5.0, 0.5, "partial"), (short, 1.0, 0.5, "unknown"),
     ]

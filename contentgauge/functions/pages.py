@@ -86,6 +86,48 @@ def json_ld(html: Column) -> Column:
     return F.filter(blocks, lambda b: F.try_parse_json(b).isNotNull())
 
 
+def flat_json_ld(value: Column) -> Column:
+    """The objects of a JSON-LD variant: lists, @graph and json_ld are opened, four deep; what is no object is left out."""
+
+    def opened(x):
+        inside = lambda key: F.coalesce(F.try_variant_get(x, f"$['{key}']", "array<variant>"), F.when(F.try_variant_get(x, f"$['{key}']", "variant").isNotNull(), F.array(F.try_variant_get(x, f"$['{key}']", "variant"))))
+        return F.coalesce(F.try_variant_get(x, "$", "array<variant>"), inside("@graph"), inside("json_ld"), F.array(x))
+
+    items = F.when(value.isNotNull(), F.array(value)).otherwise(F.array().cast("array<variant>"))
+    for _ in range(4):
+        items = F.flatten(F.transform(items, opened))
+    return F.filter(items, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+
+
+def names_in(schema: Column, key: str) -> Column:
+    """Names that the objects of a JSON-LD text give under key: a text, an object with a name, or the first of a list of these."""
+    objects = flat_json_ld(F.try_parse_json(schema))
+
+    def name(o):
+        text = lambda at: F.when(F.schema_of_variant(F.try_variant_get(o, at, "variant")) == "STRING", F.try_variant_get(o, at, "string"))
+        return F.coalesce(text(f"$.{key}"), text(f"$.{key}.name"), text(f"$.{key}[0]"), text(f"$.{key}[0].name"))
+
+    return F.filter(F.transform(objects, name), lambda x: F.coalesce(x, F.lit("")) != "")
+
+
+def microdata_types(html: Column) -> Column:
+    """itemtype of every element that has one."""
+    marked = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)(<[a-z][^>]*\bitemtype\s*=[^>]*>)"), 1)
+    return F.transform(marked, lambda t: attribute(t, "itemtype"))
+
+
+def has_rdfa(html: Column) -> Column:
+    return F.coalesce(html, F.lit("")).rlike(r"(?is)<[a-z][^>]*\btypeof\s*=")
+
+
+def manifest(html: Column) -> Column:
+    """Where the page's content credentials are: a c2pa-manifest or cai-manifest link, a meta tag, a script's source or inline_blob for its text; else null."""
+    first = lambda name, key, value, held: F.try_element_at(F.filter(F.transform(tags(html, name), lambda t: F.when(F.lower(attribute(t, key)) == value, attribute(t, held))), lambda x: F.coalesce(x, F.lit("")) != ""), F.lit(1))
+    script = F.regexp_extract(F.coalesce(html, F.lit("")), r"""(?is)<script[^>]*application/c2pa-manifest\+json[^>]*>(.*?)</script>""", 1)
+    inline = F.when(F.trim(script) != "", "inline_blob")
+    return F.coalesce(first("link", "rel", "c2pa-manifest", "href"), first("link", "rel", "cai-manifest", "href"), first("meta", "name", "c2pa-manifest", "content"), first("script", "type", "application/c2pa-manifest+json", "src"), inline)
+
+
 def published(html: Column) -> Column:
     """Publication date: article:published_time, JSON-LD of an article, itemprop, meta names, og:updated_time."""
     value = lambda key, wanted: F.try_element_at(F.filter(F.transform(tags(html, "meta"), lambda t: F.when(F.lower(attribute(t, key)).isin(wanted), attribute(t, "content"))), lambda x: F.coalesce(x, F.lit("")) != ""), F.lit(1))

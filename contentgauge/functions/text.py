@@ -120,3 +120,24 @@ def normalize_rating(rating: Column, source: Column) -> Column:
 
 def truncate(text: Column, most: int = 10_000) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most - 3), F.lit("...")))
+
+
+# fixed values: what summaries leave out of a text
+UI_PHRASES = ["Learn more", "Read more", "Close", "Cookie settings", "Subscribe", "Sign in", "Log in", "What can I help with", "Show more"]
+
+
+def shortened(text: Column, most: int) -> Column:
+    """At most that many characters, up to a full stop in the second half or else to a word's end, and an ellipsis."""
+    t = F.trim(text)
+    cut = F.substring(t, 1, most)
+    stop = F.length(cut) - F.length(F.substring_index(cut, ".", -1))  # the place of the last full stop, from 1
+    words = F.regexp_replace(F.regexp_replace(cut, " [^ ]*$", ""), "[.,;:]+$", "")
+    return F.when(F.length(t) <= most, t).when(stop - 1 > most // 2, F.concat(F.trim(F.substring(cut, F.lit(1), stop)), F.lit("…"))).otherwise(F.concat(words, F.lit("…")))
+
+
+def without_interface(body: Column) -> Column:
+    """Text in single spaces without phrases of an interface and runs of short words."""
+    clean = F.trim(F.regexp_replace(body, r"(?U)\s+", " "))
+    for p in UI_PHRASES:
+        clean = F.replace(clean, F.lit(p), F.lit(""))
+    return F.trim(F.regexp_replace(F.regexp_replace(clean, r"(?:(?U:\b)[A-Za-z]{1,3}(?U:\b\s*)){1,4}", ""), "[-_=]{2,}", " "))

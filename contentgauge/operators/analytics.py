@@ -135,7 +135,3 @@ def usage_cost(log: DataFrame, prices: DataFrame, keys: list[str], default_model
     rolled = priced.groupingSets([[*map(F.col, [*keys, "model"])], [*map(F.col, keys)]], *keys, "model").agg(*sums)
     over = (F.col("prompt_tokens") > warn[0]) | (F.col("completion_tokens") > warn[1]) | (F.col("cost_usd") > warn[2])
     return rolled.withColumn("over_quota", over)
-
-
-def key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("n"))

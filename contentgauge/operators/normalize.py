@@ -23,13 +23,14 @@ def engagement():
 def dedup_content(df: DataFrame, order_col: str = "seq") -> DataFrame:
     """The row of most engagement of each fingerprint, the first seen of equals.
 
-    A first aggregate by (fingerprint, hash of the order) keeps the best of each part before the window, so a
-    fingerprint that very many rows share is reduced where they are.
+    A fingerprint's best row is an aggregate with map-side minima, so one that very many rows share is reduced where
+    they are; the narrow table of best rows meets the content again by fingerprint and order. Rows with equal order
+    and fingerprint all stay.
     """
     keyed = df.withColumn("fingerprint", T.fingerprint(T.text_of("title"), T.text_of("body")))
     best = F.struct((-engagement()).alias("e"), F.col(order_col).alias("o"))
-    first = keyed.groupBy("fingerprint").agg(F.min(best).alias("best")).select(F.col("best.o").alias(order_col))
-    return keyed.join(first.hint("shuffle_hash"), order_col, "left_semi")
+    first = keyed.groupBy("fingerprint").agg(F.min(best).alias("best")).select("fingerprint", F.col("best.o").alias(order_col))
+    return keyed.join(first.hint("shuffle_hash"), ["fingerprint", order_col], "left_semi")
 
 
 def validate_length(df: DataFrame, most: int = MAX_LENGTH, least: int = MIN_LENGTH) -> DataFrame:
@@ -84,5 +85,24 @@ def remaining_quota(queries: DataFrame, reused: DataFrame, limit: int) -> DataFr
     return queries.join(have, "query", "left").select("query", left.alias("remaining")).filter("remaining > 0")
 
 
-def first_occurrence(df: DataFrame, key: str, order_col: str) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order_col))).filter("_n = 1").drop("_n")
+def summarize(content: DataFrame, sentences: int = 2, most: int = 240) -> DataFrame:
+    """summary of each content row: its description if that has 30 characters, else the cleaned text if short, else its weightiest different sentences in their order.
+
+    A sentence weighs the sum over its different words of 1 / sqrt(frequency), times a tenth of its words, at most 1.5.
+    A null or empty body gives the empty summary; a null description is none. Nothing is shuffled.
+    """
+    df = content.withColumn("_clean", T.without_interface(F.coalesce("body", F.lit(""))))
+    split = F.transform(F.split("_clean", r"(?<=[.!?])(?U:\s+)"), F.trim)
+    df = df.withColumn("_parts", F.when(F.length("_clean") > most, F.filter(split, lambda s: F.length(s) > 10)).otherwise(F.array().cast("array<string>")))
+    words = F.transform("_parts", lambda s: F.regexp_extract_all(F.lower(s), F.lit(r"(?U)(\w+)"), 1))
+    rare = lambda ws: F.aggregate(F.array_distinct(ws), F.lit(0.0), lambda acc, w: acc + 1 / F.sqrt(F.size(F.filter(ws, lambda x: x == w))))
+    weights = F.transform(words, lambda ws: F.round(rare(ws) * F.least(F.lit(1.5), F.size(ws) / 10), 6))
+    order = F.array_sort(F.transform(F.arrays_zip("_parts", weights.alias("w")), lambda z, i: F.struct((-z["w"]).alias("w"), i.alias("i"), z["_parts"].alias("s"))))
+    df = df.withColumn("_top", F.transform(F.slice(order, 1, 3 * sentences), lambda r: r["s"]))
+    # columns that a lambda needs are used outside of it too, so that they are made once and not once for each element
+    df = df.withColumn("_chosen", F.slice(F.filter("_top", lambda s, i: ~F.exists(F.slice("_top", F.lit(1), i), lambda x: F.lower(x) == F.lower(s))), 1, sentences))
+    picked = F.when(F.size("_chosen") > 0, F.filter("_parts", lambda s: F.array_contains("_chosen", s)))
+    df = df.withColumn("_long", F.when(F.size("_parts") == 0, F.col("_clean")).when(F.size("_parts") <= sentences, F.array_join("_parts", " ")).otherwise(F.array_join(F.slice(picked, 1, sentences), " ")))
+    described = F.trim(F.coalesce("description", F.lit("")))
+    short = F.when(F.length(described) >= 30, T.shortened(described, most)).when(F.length("_clean") <= most, F.col("_clean")).otherwise(T.shortened(F.col("_long"), most))
+    return df.withColumn("summary", F.when(F.coalesce("body", F.lit("")) == "", "").otherwise(short)).drop("_clean", "_parts", "_top", "_chosen", "_long")

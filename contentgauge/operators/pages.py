@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contentgauge.functions import pages as P
@@ -18,7 +18,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     h, u = F.col("html"), F.col("url")
     return pages.select(
         "page_id", "url", P.title(h).alias("title"), P.canonical(h).alias("canonical"), P.open_graph(h).alias("og"), P.meta_tags(h).alias("tags"), F.size(P.json_ld(h)).alias("json_ld_blocks"),
-        P.published(h).alias("published_at"), P.has_visuals(h).alias("has_visuals"), P.channel(u, F.lit(None).cast("string")).alias("c"),
+        P.published(h).alias("published_at"), P.has_visuals(h).alias("has_visuals"), P.manifest(h).alias("c2pa_manifest"), P.microdata_types(h).alias("microdata_types"), P.has_rdfa(h).alias("has_rdfa"), P.channel(u, F.lit(None).cast("string")).alias("c"),
         P.modality(u, F.lit(""), F.lit(""), h).alias("modality"), P.region(h, "footer").alias("footer_text"), P.region(h, "header").alias("header_text"),
     ).select("*", "c.*").drop("c")
 
@@ -46,10 +46,22 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def enrich(content: DataFrame, features: DataFrame) -> DataFrame:
-    """Content rows with the features of their page: empty bodies and titles filled, metadata merged into meta."""
-    f = features.select(F.col("url"), F.col("title").alias("_title"), "canonical", "og", "tags", "published_at", "has_visuals")
-    w = f.withColumn("_n", F.row_number().over(Window.partitionBy("url").orderBy("_title"))).filter("_n = 1").drop("_n")
-    extra = F.map_concat(F.coalesce("og", F.create_map().cast("map<string,string>")), F.create_map(F.lit("canonical"), F.coalesce("canonical", F.lit("")), F.lit("has_significant_visuals"), F.coalesce("has_visuals", F.lit(False)).cast("string")))
-    joined = content.join(w, "url", "left")
-    meta = F.map_zip_with(F.coalesce("meta", F.create_map().cast("map<string,string>")), extra, lambda _, a, b: F.coalesce(a, b))
-    return joined.withColumns({"title": F.when(F.coalesce("title", F.lit("")) == "", F.col("_title")).otherwise(F.col("title")), "meta": meta}).drop("_title", "canonical", "og", "tags", "published_at", "has_visuals")
+    """Content rows with the features of their page by url.
+
+    Empty titles and bodies take the page's title and main_text (null where features have none); meta gets the page's
+    OpenGraph, tags, canonical url, publication date, manifest and visuals under keys it does not have yet. Of several
+    pages with one url the first title counts. A null url has no page; repeated rows stay.
+    """
+    main = F.col("main_text") if "main_text" in features.columns else F.lit(None).cast("string")
+    one = F.struct(F.col("title").alias("_title"), main.alias("_main"), "canonical", "og", "tags", "published_at", "c2pa_manifest", "has_visuals")
+    pages = features.filter("url is not null").groupBy("url").agg(F.min_by(one, F.struct("title", "page_id")).alias("_page"))
+    none = F.create_map().cast("map<string,string>")
+    more = F.array(
+        F.struct(F.lit("canonical").alias("k"), F.nullif("_page.canonical", F.lit("")).alias("v")), F.struct(F.lit("published_at").alias("k"), F.col("_page.published_at").alias("v")), F.struct(F.lit("c2pa_manifest").alias("k"), F.col("_page.c2pa_manifest").alias("v")),
+        F.struct(F.lit("has_c2pa_manifest").alias("k"), F.when(F.col("_page.c2pa_manifest").isNotNull(), "true").alias("v")), F.struct(F.lit("has_significant_visuals").alias("k"), F.when(F.col("_page.has_visuals"), "true").alias("v")),
+    )
+    extra = F.map_concat(F.coalesce("_page.og", none), F.coalesce("_page.tags", none), F.map_from_entries(F.filter(more, lambda e: e["v"].isNotNull())))
+    meta = F.map_zip_with(F.coalesce("meta", none), extra, lambda _, a, b: F.coalesce(a, b))
+    filled = lambda c, other: F.when(F.trim(F.coalesce(c, F.lit(""))) == "", other).otherwise(F.col(c))
+    joined = content.join(pages.hint("shuffle_hash"), "url", "left")
+    return joined.withColumns({"title": filled("title", F.col("_page._title")), "body": filled("body", F.col("_page._main")), "meta": meta}).drop("_page")

@@ -35,7 +35,7 @@ def e_provenance_branches(spark, sf_dir):
     body = F.when(n % 11 == 7, F.concat(F.lit("About us. "), phrase, F.repeat(F.lit(" words"), 60))).when(n % 11 == 8, phrase).otherwise(F.concat(phrase, F.repeat(F.lit(" words"), 60)))
     meta = _meta(
         author=_case(11, (1, "Jo")), has_c2pa_manifest=_case(5, (0, "true")), ai__generated=_case(7, (0, "true")), c2pa_manifest=_case(5, (0, "m")), c2pa_valid=_case(10, (0, "false")),
-        schema_org=_case(11, (2, '{"author": {"@type": "Person", "name": "Jo"}}'), (3, '{"publisher": "P"}')), team=_case(11, (4, "Core")), about_url=_case(11, (5, "/about")), has_global_author_info=_case(11, (6, "true")),
+        schema_org=_case(11, (2, '{"json_ld": [[1, {"@graph": [{"@type": "Page"}, {"author": [{"@type": "Person", "name": "Jo"}]}]}]]}'), (3, '[{"author": "Anonymous", "publisher": "P"}]')), team=_case(11, (4, "Core")), about_url=_case(11, (5, "/about")), has_global_author_info=_case(11, (6, "true")),
         whois_age_years=_case(9, (1, "12"), (2, "6.5"), (3, "2"), (4, "1"), (5, "0.5"), (6, "0.2"), (7, "x"), (8, "10")), whois_private=_case(4, (2, "true")), whois_org=_case(4, (3, "Org")),
         has_significant_visuals=_case(2, (0, "true")), canonical_url=canonical, fingerprint=_case(7, (3, "f")), exif_data=_case(8, (0, "e"), (1, "e"), (2, "e"), (3, "e")), exif_status=_case(8, (1, "stripped"), (2, "changed")),
         ssl_valid=_case(12, (1, "false"), (8, "true")), privacy=_case(12, (2, ""), (9, "/privacy")), has_privacy_policy=_case(12, (3, "false")), domain_age_days=_case(12, (4, "20"), (10, "400"), (11, "100")),

@@ -57,6 +57,12 @@ def d3_dedup_content(spark, sf_dir):
     return N.dedup_content(N.clean_content(contents(spark, sf_dir))).select("content_id", "fingerprint")
 
 
+def d13_summaries(spark, sf_dir):
+    """Two sentences of every document; some have a description. Its test holds it against brute force."""
+    described = F.when(F.col("seq") % 5 == 0, F.concat(F.lit("  A description of document "), F.col("seq"), F.lit(", ends."))).when(F.col("seq") % 5 == 1, F.lit("short"))
+    return N.summarize(contents(spark, sf_dir).withColumn("description", described)).select("content_id", "summary")
+
+
 def d4_validate_length(spark, sf_dir):
     return N.validate_length(contents(spark, sf_dir)).select("content_id", "src")
 
@@ -91,7 +97,7 @@ def d14_ratings(spark, sf_dir):
     return c.select("content_id", T.normalize_rating(F.col("rating"), F.col("channel")).alias("rating01"), F.md5("body").alias("content_hash"), F.length(T.truncate(F.col("body"), 500)).alias("n_truncated"))
 
 
-QUERIES = {f.__name__: f for f in (d1_clean_content, d3_dedup_content, d4_validate_length, d5_normalization_stats, d6_skip_reason, d7_language, d8_triage, d9_triage_score, d10_filter_keywords, d14_ratings)}
+QUERIES = {f.__name__: f for f in (d13_summaries, d1_clean_content, d3_dedup_content, d4_validate_length, d5_normalization_stats, d6_skip_reason, d7_language, d8_triage, d9_triage_score, d10_filter_keywords, d14_ratings)}
 
 _LOW = "lower(title || chr(10) || body)"
 ORACLES = {
