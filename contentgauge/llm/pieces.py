@@ -55,14 +55,14 @@ def words(text: str | None, vocabulary: Vocabulary) -> list[str]:
     return WORD.findall(text) if vocabulary.word_bound else [text]
 
 
-def chunks(column) -> Iterator[list[str | None]]:
-    """Runs of an Arrow column's texts of about CHUNK code points; a longer text is a run of its own."""
+def chunks(column, most: int = CHUNK) -> Iterator[list[str | None]]:
+    """Runs of an Arrow column's texts of about that many code points; a longer text is a run of its own."""
     part, size = [], 0
     for value in column:
         text = value.as_py()
         part.append(text)
         size += len(text or "")
-        if size >= CHUNK:
+        if size >= most:
             yield part
             part, size = [], 0
     if part:

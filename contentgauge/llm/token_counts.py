@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from contentgauge.llm import pieces
 
 LIMIT = 4096
+#: Code points whose words are worked on together: words in order share more beginnings the more there are.
+CHUNK = 3_000_000
 #: Words and token pairs whose results a task remembers at once.
 MEMO = 300_000
 
@@ -37,6 +39,7 @@ class PrefixCounter:
         self.halves: dict[str, tuple[str, str]] = {}
         self.fits: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def split(self, token: str) -> tuple[str, str] | None:
         """The two tokens whose merge makes this one; none for a single character."""
@@ -87,7 +90,7 @@ class PrefixCounter:
 
         Words are taken in order, so that the state of a beginning shared with the word before is kept.
         """
-        rank, sizes, compatible, short = self.rank, self.sizes, self.compatible, (2, 1)
+        rank, sizes, compatible, known, short = self.rank, self.sizes, self.compatible, self.fits.get, (2, 1)
         before, last, count = "", [""], [0]
         for word in sorted(words):
             n, shared = len(word), 0
@@ -102,10 +105,17 @@ class PrefixCounter:
                     if start < 0:
                         continue
                     token = word[start:end]
-                    if (size == 1 or token in rank) and (start == 0 or compatible(last[start], token)):
-                        last.append(token)
-                        count.append(count[start] + (len(token.encode()) if size == 1 and token not in rank else 1))
-                        break
+                    if size > 1 and token not in rank:
+                        continue
+                    if start:
+                        left = last[start]
+                        if (fits := known((left, token))) is None:
+                            fits = compatible(left, token)
+                        if not fits:
+                            continue
+                    last.append(token)
+                    count.append(count[start] + (len(token.encode()) if size == 1 and token not in rank else 1))
+                    break
             before = word
             self.known[word] = array("i", count[1:]).tobytes()
 
@@ -117,17 +127,21 @@ class PrefixCounter:
         cut = [pieces.words(t, self.vocabulary) for t in texts]
         new = {w for ws in cut for w in ws} - self.known.keys()
         if len(self.known) + len(new) > MEMO:
-            self.known.clear()
+            # words met since the last change are kept for another term, others go
+            self.before, self.known = self.known, {}
             new = {w for ws in cut for w in ws}
-        self.learn(list(new))
+        again = new & self.before.keys()
+        for w in again:
+            self.known[w] = self.before.pop(w)
+        self.learn(list(new - again))
         return [self._joined(ws) for ws in cut]
 
     def _joined(self, words: list[str]) -> np.ndarray:
         if not words:
             return np.zeros(1, np.int64)
-        got = [self.known[w] for w in words]
+        got = list(map(self.known.__getitem__, words))
         flat = np.frombuffer(b"".join(got), np.int32).astype(np.int64)
-        sizes = np.array([len(x) for x in got]) // 4
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
         ends = np.cumsum(sizes)
         flat += np.repeat(np.concatenate([[0], np.cumsum(flat[ends - 1])[:-1]]), sizes)
         flat[0] = 0  # the dummy prefix alone is the empty text
@@ -166,7 +180,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = LIMIT, keep_pref
         counter = PrefixCounter(handed.value)
         for b in batches:
             n_bytes, n_tokens, fit, packed = [], [], [], []
-            for texts in pieces.chunks(b.column("text")):
+            for texts in pieces.chunks(b.column("text"), CHUNK):
                 for text, counts in zip(texts, counter.texts(texts), strict=True):
                     n_bytes.append(len((text or "").encode()))
                     n_tokens.append(int(counts[-1]))
