@@ -102,6 +102,6 @@ def structured_body(elements: DataFrame, least: int = 100) -> DataFrame:
     units = elements.filter("tag in ('h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'p', 'li')").withColumn("role", semantic_role())
     main = units.filter("region = 'main' and length(text) > 5")
     enough = main.groupBy("page_id").agg(F.sum(F.length("text")).alias("n")).filter(F.col("n") >= least).select("page_id")
-    own = main.join(enough, "page_id", "left_semi")
-    rest = units.filter("tag = 'p'").withColumn("role", F.lit("body_text")).join(enough, "page_id", "left_anti")
+    own = main.join(enough.hint("shuffle_hash"), "page_id", "left_semi")
+    rest = units.filter("tag = 'p'").withColumn("role", F.lit("body_text")).join(enough.hint("shuffle_hash"), "page_id", "left_anti")
     return own.unionByName(rest).select("page_id", "pos", "tag", "role", "text")

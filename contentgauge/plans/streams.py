@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,7 +12,11 @@ from contentgauge.streaming import jobs
 
 
 def _shared(spark) -> str:
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="contentgauge-")
+    """A new folder in spark.checkpoint.dir; a temporary one only where a local session names none."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    folder = folder or tempfile.mkdtemp(prefix="contentgauge-")
     return f"{folder}/stream-{uuid.uuid4().hex}"
 
 
