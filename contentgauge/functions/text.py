@@ -12,17 +12,17 @@ from pyspark.sql import functions as F
 ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")]
 
 # fixed values: titles and phrases of error pages and login walls
-ERROR_TITLES = ["401", "403", "404", "500", "access denied", "bad request", "error", "forbidden", "not found", "page not found", "server error", "service unavailable", "unauthorized"]
-ERROR_TITLE_PARTS = ["401", "403", "404", "500", "denied", "error", "forbidden"]
+ERROR_TITLES = ["access denied", "error", "404", "403", "401", "500", "not found", "page not found", "forbidden", "unauthorized", "server error", "bad request", "service unavailable"]
+ERROR_TITLE_PARTS = ["error", "404", "403", "401", "500", "denied", "forbidden"]
 ERROR_BODY_PARTS = ["access denied", "error occurred"]
-LOGIN_TITLES = ["authentication required", "login", "please log in", "register", "sign in", "sign up"]
-LOGIN_TITLE_PARTS = ["auth", "login", "register", "sign in", "sign up"]
+LOGIN_TITLES = ["login", "sign in", "sign up", "register", "authentication required", "please log in"]
+LOGIN_TITLE_PARTS = ["login", "sign in", "sign up", "register", "auth"]
 LOGIN_BODY_PARTS = [
-    "authentication required", "captcha", "create account", "email or mobile number", "forgot password", "login to access",
-    "otp code", "please log in", "send otp", "sign in to continue", "username and password",
+    "email or mobile number", "username and password", "sign in to continue", "login to access", "please log in", "authentication required",
+    "otp code", "captcha", "send otp", "create account", "forgot password",
 ]
-FUNCTIONAL_TITLE_PARTS = ["cart", "checkout", "forgot password", "login", "register", "sign in", "sign up"]
-TRIAGE_ERROR_PARTS = ["404", "access denied", "internal server error", "page not found"]
+FUNCTIONAL_TITLE_PARTS = ["login", "sign in", "sign up", "register", "cart", "checkout", "forgot password"]
+TRIAGE_ERROR_PARTS = ["404", "page not found", "internal server error", "access denied"]
 
 # fixed values: indicators of a language, looked for in lower-cased text
 FRENCH = [

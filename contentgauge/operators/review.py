@@ -14,10 +14,10 @@ from contentgauge.operators.scoring import clamp
 from contentgauge.sources.tables import DIMENSIONS
 
 # fixed values: words that weaken a statement
-WEAK = ["actually", "basically", "believe", "honestly", "kind of", "literally", "maybe", "perhaps", "sort of", "think"]
+WEAK = ["maybe", "perhaps", "sort of", "kind of", "basically", "literally", "actually", "honestly", "believe", "think"]
 PASSIVE = r"(?iU)\b(am|is|are|was|were|be|been|being)\s+(\w+ed|\w+en)\b"
 # fixed values: registrars taken as reputable
-REGISTRARS = ["amazon", "cloudflare", "enom", "gandi", "godaddy", "google", "hover", "markmonitor", "name.com", "namecheap", "network solutions", "tucows", "verisign"]
+REGISTRARS = ["markmonitor", "godaddy", "namecheap", "cloudflare", "google", "amazon", "gandi", "name.com", "hover", "tucows", "enom", "network solutions", "verisign"]
 
 
 def verify_claims(claims: DataFrame, badges: DataFrame | None = None, most: int = 5) -> DataFrame:

@@ -97,7 +97,7 @@ def main_urls(urls: DataFrame, order_col: str) -> DataFrame:
 
 def add_primary_subpages(urls: DataFrame, mains: DataFrame) -> DataFrame:
     """Promotional sub-pages of each main url that are not among the brand's urls yet."""
-    made = mains.filter("main_url is not null").select("brand_id", F.explode(F.array(*[F.concat(F.regexp_extract("main_url", r"^([^:]*://[^/?#]*)", 1), F.lit(f"/{p}")) for p in U.PROMOTIONAL])).alias("url"))
+    made = mains.filter("main_url is not null").select("brand_id", F.explode(F.array(*[F.concat(F.regexp_extract("main_url", r"^([^:]*://[^/?#]*)", 1), F.lit(p)) for p in U.PROMOTIONAL])).alias("url"))
     return made.join(urls.select("brand_id", "url").hint("shuffle_hash"), ["brand_id", "url"], "left_anti")
 
 

@@ -190,7 +190,7 @@ UNION ALL SELECT content_id, 'vis_clutter_score', 'coherence', 0.10, 0.5, 0.5 FR
 g AS (SELECT DISTINCT brand_id, run_id, km.key_signal FROM attrs, km)
 SELECT brand_id, run_id, key_signal, round(mean, 9) AS mean, coalesce(n, 0) AS n, CASE WHEN mean >= 7 THEN 'pass' WHEN mean >= 4 THEN 'warn' WHEN mean IS NOT NULL THEN 'fail' ELSE 'no_data' END AS status FROM g LEFT JOIN m USING (brand_id, run_id, key_signal)""",
     # shares of a dimension add up to its rounded score
-    "g14_contributions": f"WITH {SIGNAL_SQL}, {_dims_sql('brand_id, run_id')} SELECT brand_id, run_id, dimension, round(value, 1) AS total FROM dims WHERE EXISTS (SELECT 1 FROM sig WHERE sig.brand_id = dims.brand_id AND sig.run_id = dims.run_id AND sig.dimension = dims.dimension)",
+    "g14_contributions": f"WITH {SIGNAL_SQL}, {_dims_sql('brand_id, run_id')} SELECT brand_id, run_id, dimension, round(round(value, 9), 1) AS total FROM dims WHERE EXISTS (SELECT 1 FROM sig WHERE sig.brand_id = dims.brand_id AND sig.run_id = dims.run_id AND sig.dimension = dims.dimension)",
     "c14_broken_links": r"""WITH s AS (SELECT url, min(page_id) AS k FROM pages WHERE page_id % 2 = 0 GROUP BY url), l AS (SELECT DISTINCT 'p' || page_id AS content_id, unnest([url, 'http://a.b/c']) AS url FROM pages)
 SELECT content_id, count(*) AS links, count(*) FILTER (WHERE k % 6 = 0 OR k % 10 = 0) AS broken FROM l LEFT JOIN s USING (url) GROUP BY content_id""",
     "d2_metadata": f"""WITH h AS (SELECT page_id, {_HOST} AS host FROM pages), b AS (SELECT *, replace(host, 'www.', '') AS bare FROM h)

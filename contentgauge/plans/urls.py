@@ -78,7 +78,7 @@ c AS (SELECT *, CASE WHEN owned OR official THEN 'brand_owned' ELSE 'third_party
  WHEN official THEN 'brand_social' WHEN {_in('domain', U.KNOWN['social'])} THEN 'user_generated' WHEN {_in('domain', U.KNOWN['news_media'])} THEN 'news_media' WHEN {_in('domain', U.KNOWN['review'])} THEN 'user_generated'
  WHEN {_in('domain', U.KNOWN['marketplace'])} THEN 'marketplace' WHEN {_in('domain', U.KNOWN['expert'])} OR {_end('domain', ['.edu', '.gov', '.org'])} THEN 'expert_professional' ELSE 'user_generated' END AS tier FROM o)"""
 _LOGIN = "page_id % 20 IN (" + ", ".join(str(k) for k, _, _, login in VARIED if login) + ")"
-_PROMO = f"({_start('lower(path)', ['/' + p for p in U.PROMOTIONAL])} OR {_part('lower(path)', U.PROMOTIONAL_WORDS)})"
+_PROMO = f"({_start('lower(path)', U.PROMOTIONAL)} OR {_part('lower(path)', U.PROMOTIONAL_WORDS)})"
 
 
 def c1_domain_parts(spark, sf_dir):
@@ -164,5 +164,5 @@ SELECT brand_id, page_id, CASE WHEN bad IS NOT NULL THEN bad WHEN taken >= CASE
     "c12_assemble": CLASSIFIED_SQL + f""", f AS (SELECT brand_id, url, min(page_id) AS seen FROM c WHERE NOT {_LOGIN} GROUP BY ALL),
 j AS (SELECT DISTINCT brand_id, url, seen, {_CORE} AS core, source_type, tier FROM f JOIN c USING (brand_id, url))
 SELECT *, row_number() OVER (PARTITION BY brand_id ORDER BY core DESC, source_type = 'brand_owned' DESC, url) AS rank FROM j""",
-    "c15_subpages": f"WITH {URLS_SQL}, {_MAIN}, m AS (SELECT brand_id, regexp_extract(main_url, '^([^:]*://[^/?#]*)', 1) || '/' || unnest({_list(U.PROMOTIONAL)}) AS url FROM main WHERE main_url IS NOT NULL) SELECT brand_id, url FROM m WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.brand_id = m.brand_id AND u.url = m.url)",
+    "c15_subpages": f"WITH {URLS_SQL}, {_MAIN}, m AS (SELECT brand_id, regexp_extract(main_url, '^([^:]*://[^/?#]*)', 1) || unnest({_list(U.PROMOTIONAL)}) AS url FROM main WHERE main_url IS NOT NULL) SELECT brand_id, url FROM m WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.brand_id = m.brand_id AND u.url = m.url)",
 }
