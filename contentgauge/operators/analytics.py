@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contentgauge.operators.scoring import band, dimension_weight
@@ -86,21 +86,49 @@ def attribute_gaps(perf: DataFrame, keys: list[str], threshold: float = 7.0, k:
     return ranked.withColumn("priority", F.when(F.col("rank") <= 3, "high").when(F.col("rank") <= 6, "medium").otherwise("low"))
 
 
+def top_lists(df: DataFrame, keys: list[str], lists: dict[str, tuple[Column, Column, int]]) -> DataFrame:
+    """Rows of several ranked lists in one shuffle; a list is what it takes, the number it is in the order of (ties by seq) and its length.
+
+    A row comes once for each list that takes it, with list and rank. Spark keeps no more than the longest list of each
+    key on either side of the shuffle. Null conditions take nothing.
+    """
+    longest = max(n for _, _, n in lists.values())
+    member = F.array_compact(F.array(*[F.when(takes, F.struct(F.lit(name).alias("list"), order.alias("_order"), F.lit(n).alias("_n"))) for name, (takes, order, n) in lists.items()]))
+    rows = df.withColumn("_in", F.explode(member)).select("*", "_in.*").drop("_in")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "list").orderBy("_order", "seq"))).filter(F.col("rank") <= longest)
+    return ranked.filter(F.col("rank") <= F.col("_n")).drop("_order", "_n")
+
+
+def with_best_dimensions(scores: DataFrame) -> DataFrame:
+    """strongest and weakest dimension of each item, the first by name among equals."""
+    by = lambda sign: F.array_sort(F.array(*[F.struct((F.col(f"score_{d}") * sign).alias("s"), F.lit(d).alias("d")) for d in DIMENSIONS]))[0]["d"]
+    return scores.withColumn("strongest", by(-1)).withColumn("weakest", by(1))
+
+
 def extremes(classified: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
     """The k best and k worst items of each key."""
-    w = Window.partitionBy(*keys)
-    ranked = classified.withColumn("best", F.row_number().over(w.orderBy(F.desc("overall"), "seq"))).withColumn("worst", F.row_number().over(w.orderBy("overall", "seq")))
-    return ranked.filter((F.col("best") <= k) | (F.col("worst") <= k))
+    return top_lists(classified, keys, {"best": (F.lit(True), -F.col("overall"), k), "worst": (F.lit(True), F.col("overall"), k)})
+
+
+def trust_lists(classified: DataFrame, keys: list[str], k: int = 10) -> DataFrame:
+    """Items of low and of moderate trust, worst first, k of each, and the notable ones: five of high trust and three of low."""
+    score, label = F.col("overall"), F.col("class_label")
+    low = (label == "inauthentic") | (score < 0.5)
+    lists = {"low": (low, score, k), "moderate": (~low & ((label == "suspect") | (score < 0.7)), score, k), "notable_high": (score >= 0.7, -score, 5), "notable_low": (score < 0.5, -score, 3)}
+    return top_lists(with_best_dimensions(classified), keys, lists)
+
+
+def egregious(classified: DataFrame, bound: float = 0.4) -> DataFrame:
+    """All items that are inauthentic or at the bound or below."""
+    return classified.filter((F.col("class_label") == "inauthentic") | (F.col("overall") <= bound))
 
 
 def dimension_examples(scores: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
     """For each dimension the share of items from 70 and below 40, and the k best and worst."""
     long = unpivoted(scores, [*keys, "content_id", "seq"])
-    w = Window.partitionBy(*keys, "dimension")
-    ranked = long.withColumn("best", F.row_number().over(w.orderBy(F.desc("score"), "seq"))).withColumn("worst", F.row_number().over(w.orderBy("score", "seq")))
-    picks = ranked.filter((F.col("best") <= k) | (F.col("worst") <= k)).select(*keys, "dimension", "content_id", "score", "best", "worst")
+    picks = top_lists(long, [*keys, "dimension"], {"best": (F.lit(True), -F.col("score"), k), "worst": (F.lit(True), F.col("score"), k)}).drop("seq")
     shares = long.groupBy(*keys, "dimension").agg((F.count_if(F.col("score") >= 0.7) / F.count("*")).alias("share_high"), (F.count_if(F.col("score") < 0.4) / F.count("*")).alias("share_low"))
-    return picks.join(shares, [*keys, "dimension"])
+    return picks.join(shares.hint("shuffle_hash"), [*keys, "dimension"])
 
 
 def run_presence(content: DataFrame, scores: DataFrame) -> DataFrame:
@@ -118,6 +146,14 @@ def ratio_trend(runs: DataFrame, keys: list[str], order: str, value: str) -> Dat
     return out.withColumn("direction", F.when(F.col("delta") > 0, "up").when(F.col("delta") < 0, "down").when(F.col("delta") == 0, "flat").otherwise("first"))
 
 
+def run_totals(runs: DataFrame, as_of: Column, windows: tuple[int, ...] = (7, 30, 90)) -> DataFrame:
+    """Runs, brands, items and mean rating (runs without items have none) of all runs and of those of the last days."""
+    spans = F.array(F.lit("all"), *[F.when(F.col("started_at") >= as_of - F.make_dt_interval(F.lit(d)), F.lit(f"{d} days")) for d in windows])
+    rows = runs.withColumn("window", F.explode(F.array_compact(spans)))
+    rating = F.when(F.col("items") > 0, F.col("rating"))
+    return rows.groupBy("window").agg(F.count("*").alias("runs"), F.count_distinct("brand_id").alias("brands"), F.sum("items").alias("items"), F.avg(rating).alias("average"))
+
+
 def usage_cost(log: DataFrame, prices: DataFrame, keys: list[str], default_model: str, warn: tuple[int, int, float] = (100_000, 50_000, 1.0)) -> DataFrame:
     """Tokens, calls and dollars by key and model, with totals (model null) and quota flags.
 

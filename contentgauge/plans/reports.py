@@ -85,8 +85,14 @@ def f24_visual_signals(spark, sf_dir):
 
 
 def g13_key_signals(spark, sf_dir):
-    mapping = spark.createDataFrame(P.key_signal_rows(), "attribute_id string, key_signal string")
-    return P.key_signal_status(attributes(spark, sf_dir), mapping, RUN).withColumn("mean", F.round("mean", 9))
+    """Attributes and signals with the item's number and one of five urls; some evidence is empty."""
+    own = {"seq": F.substring("content_id", 5, 20).cast("bigint")}
+    named = lambda df: df.withColumns(own).withColumn("url", F.concat(F.lit("u"), F.col("seq") % 5))
+    a = named(attributes(spark, sf_dir)).withColumn("evidence", F.when(F.col("seq") % 3 > 0, F.concat_ws(" ", "evidence", "attribute_id")).otherwise(""))
+    s = named(_signals(spark, sf_dir)).withColumn("evidence", F.concat(F.lit("signal "), "signal_id"))
+    maps = [spark.createDataFrame(rows, kind) for rows, kind in ((P.key_signal_rows(), "attribute_id string, key_signal string"), (list(P.SIGNAL_KEY_SIGNALS.items()), "signal_id string, key_signal string"), (P.expected_rows(), "dimension string, key_signal string"))]
+    found = P.key_signal_status(a, s, *maps, RUN)
+    return found.withColumns({"mean": F.round("mean", 9), "evidence": F.coalesce(F.array_join(F.transform("evidence", lambda x: F.concat_ws("@", x["evidence"], x["url"])), "; "), F.lit(""))})
 
 
 def g14_contributions(spark, sf_dir):
@@ -95,20 +101,48 @@ def g14_contributions(spark, sf_dir):
     return P.contributions(means, S.aggregate_dimensions(s, defs, RUN), RUN).groupBy(*RUN, "dimension").agg(F.round(F.sum("share"), 1).alias("total"))
 
 
+def _findings(spark, sf_dir):
+    """Attributes of documents on a hundred urls, labelled by their ids, and two rules for each document: one of a label that attributes have too."""
+    n = F.substring("content_id", 5, 20).cast("bigint")
+    url = F.concat(F.lit("u"), F.col("seq") % 100)
+    a = attributes(spark, sf_dir).withColumn("seq", n).select(*RUN, "content_id", "seq", "dimension", "attribute_id", url.alias("url"), F.substring_index("attribute_id", "_", 1).alias("label"), "value")
+    rule = lambda d, label, v: F.struct(F.lit(d).alias("dimension"), F.lit(label).alias("label"), v.cast("double").alias("value"))
+    both = F.array(rule("coherence", "broken", F.col("seq") % 11), rule("resonance", "thin page", F.col("seq") % 12))
+    rules = contents(spark, sf_dir).select(*RUN, "content_id", "seq", url.alias("url"), F.explode(both).alias("r")).select(*RUN, "content_id", "seq", "url", "r.*")
+    return P.findings(a, rules)
+
+
+def g15_findings(spark, sf_dir):
+    return _findings(spark, sf_dir).select(*RUN, "content_id", "dimension", "url", "label", "value", "kind", "origin")
+
+
 def g15_issues(spark, sf_dir):
-    return P.issues_and_successes(attributes(spark, sf_dir), RUN)
+    return P.finding_counts(_findings(spark, sf_dir), RUN)
 
 
 def g16_context(spark, sf_dir):
     return P.recommendation_context(scores(spark, sf_dir), RUN).withColumns({"average": F.round("average", 9), "gap": F.round("gap", 9)})
 
 
+def g16_run_context(spark, sf_dir):
+    return P.run_context(S.classify(scores(spark, sf_dir)), RUN).withColumn("average", F.round("average", 9))
+
+
+def g16_low_items(spark, sf_dir):
+    return P.low_items(S.classify(scores(spark, sf_dir)), RUN).select(*RUN, "content_id", "overall", "rank")
+
+
 def g17_targets(spark, sf_dir):
-    return P.success_targets(A.dimension_breakdown(scores(spark, sf_dir), RUN)).select(*RUN, "dimension", F.round("target", 9).alias("target"))
+    return P.success_targets(A.dimension_breakdown(scores(spark, sf_dir), RUN)).select(*RUN, "dimension", F.round("target", 9).alias("target"), "timeline")
+
+
+def g17_overall(spark, sf_dir):
+    return P.overall_targets(S.classify(scores(spark, sf_dir)), RUN).withColumns({"current": F.round("current", 9), "target": F.round("target", 9)})
 
 
 def g24_calibration(spark, sf_dir):
-    return P.calibration_summary(_typed(spark, sf_dir), RUN).select(*RUN, "n", *[F.round(f"high_{d}", 9).alias(f"high_{d}") for d in DIMENSIONS], F.round("marketing", 9).alias("marketing"))
+    sums = ["marketing", "coherence", "verification", "base_coherence", "base_verification"]
+    return P.calibration_summary(_typed(spark, sf_dir), RUN).select(*RUN, "n", *[F.round(c, 9).alias(c) for c in [*[f"high_{d}" for d in DIMENSIONS], *sums]])
 
 
 def g25_examples(spark, sf_dir):
@@ -143,15 +177,15 @@ def d2_metadata(spark, sf_dir):
 
 def g23_visual_snapshot(spark, sf_dir):
     n = F.col("seq")
-    items = contents(spark, sf_dir).select(*RUN, "content_id", (n % 7 != 0).alias("success"), F.when(n % 5 == 0, "denied").otherwise("done").alias("status"), F.when(n % 2 == 0, (n % 97) / 100.0).alias("design_score"), ((n * 7) % 89 / 100.0).alias("overall_visual_score"))
-    return P.visual_snapshot(items, RUN).select(*RUN, "content_id", "score", "best", "worst")
+    items = contents(spark, sf_dir).select(*RUN, "content_id", "seq", (n % 7 != 0).alias("success"), F.when(n % 5 == 0, "denied").otherwise("done").alias("status"), F.when(n % 2 == 0, (n % 97) / 100.0).alias("design_score"), ((n * 7) % 89 / 100.0).alias("overall_visual_score"))
+    return P.visual_snapshot(items, RUN).select(*RUN, "content_id", "score", "list", "rank")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        c9_national_urls, c10_expand_brands, c13_profiles, c16_candidates, d15_reuse, d16_site_signals, d17_quota, f5_multipliers, f24_visual_signals, g13_key_signals, g14_contributions, g15_issues, g16_context,
-        g17_targets, g23_visual_snapshot, g24_calibration, c14_broken_links, d2_metadata, g25_examples, g26_brand_score, g28_content_mix,
+        c9_national_urls, c10_expand_brands, c13_profiles, c16_candidates, d15_reuse, d16_site_signals, d17_quota, f5_multipliers, f24_visual_signals, g13_key_signals, g14_contributions, g15_findings, g15_issues, g16_context,
+        g16_run_context, g16_low_items, g17_targets, g17_overall, g23_visual_snapshot, g24_calibration, c14_broken_links, d2_metadata, g25_examples, g26_brand_score, g28_content_mix,
     )
 }
 
@@ -164,6 +198,11 @@ TYPED_SQL = CLASS_SQL + f", typed AS (SELECT cls.*, {_TYPE} AS content_type FROM
 _MULT = "CASE WHEN dimension = 'coherence' THEN CASE content_type WHEN 'landing_page' THEN 1.2 ELSE 1.1 END WHEN dimension = 'verification' AND content_type = 'other' THEN 1.3 ELSE 1.0 END"
 _BELOW = "CASE attribute_id WHEN 'author_brand_identity_verified' THEN 6 WHEN 'readability_grade_level_fit' THEN 7 ELSE 10 END"
 _FORMS = "CASE WHEN contains(n, ' ') THEN [replace(n, ' ', '-'), replace(n, ' ', '')] WHEN contains(n, '-') THEN [n, replace(n, '-', '')] ELSE [n] END"
+_LIFTED = "content_type IN ('landing_page', 'product_page', 'other')"
+FINDINGS_SQL = f"""{ATTR_SQL}, fa AS (SELECT brand_id, run_id, content_id, dimension, 'u' || CAST(content_id[5:] AS BIGINT) % 100 AS url, split_part(attribute_id, '_', 1) AS label, value, unnest(list_filter([CASE WHEN value < {_BELOW} THEN 'issue' END, CASE WHEN value >= 8 THEN 'success' END], lambda x: x IS NOT NULL)) AS kind FROM attrs),
+fr AS (SELECT brand_id, run_id, content_id, seq, 'coherence' AS dimension, 'u' || seq % 100 AS url, 'broken' AS label, CAST(seq % 11 AS DOUBLE) AS value FROM content UNION ALL SELECT brand_id, run_id, content_id, seq, 'resonance', 'u' || seq % 100, 'thin page', CAST(seq % 12 AS DOUBLE) FROM content),
+fk AS (SELECT *, 'issue' AS kind FROM fr WHERE value < 10 UNION ALL SELECT *, 'success' FROM fr WHERE value >= 8), fo AS (SELECT * FROM fk QUALIFY row_number() OVER (PARTITION BY dimension, url, label, kind ORDER BY value, seq) = 1),
+found AS (SELECT *, 'attribute' AS origin FROM fa UNION ALL SELECT brand_id, run_id, content_id, dimension, url, label, value, kind, 'rule' FROM fo ANTI JOIN fa USING (dimension, url, label, kind))"""
 ORACLES = {
     "c9_national_urls": r"SELECT page_id, regexp_replace(url, '://[^/]*[.]example[.](com|net|org)', '://www.brand0.au') AS national FROM pages",
     "c10_expand_brands": f"""WITH b AS (SELECT n_name AS brand_name FROM nation UNION ALL SELECT r_name || '-x' FROM region), f AS (SELECT brand_name, n, {_FORMS} AS forms FROM (SELECT brand_name, lower(trim(brand_name)) AS n FROM b))
@@ -186,9 +225,15 @@ SELECT brand_id, run_id, bool_or(k IN (1, 2, 3, 6, 7, 8) AND (said = 'ai' OR con
     "f24_visual_signals": f"""WITH {CONTENT_SQL}, ok AS (SELECT * FROM content WHERE seq % 7 <> 0 AND seq % 5 <> 0)
 SELECT content_id, 'vis_design_quality' AS signal_id, 'coherence' AS dimension, 0.15 AS weight, (seq % 101) / 100.0 AS value, 0.7 AS confidence FROM ok
 UNION ALL SELECT content_id, 'vis_clutter_score', 'coherence', 0.10, 0.5, 0.5 FROM ok""",
-    "g13_key_signals": f"""WITH {ATTR_SQL}, km AS (SELECT * FROM ({C.values_sql(P.key_signal_rows())}) AS t(attribute_id, key_signal)), m AS (SELECT brand_id, run_id, key_signal, avg(value) AS mean, count(*) AS n FROM attrs JOIN km USING (attribute_id) GROUP BY ALL),
-g AS (SELECT DISTINCT brand_id, run_id, km.key_signal FROM attrs, km)
-SELECT brand_id, run_id, key_signal, round(mean, 9) AS mean, coalesce(n, 0) AS n, CASE WHEN mean >= 7 THEN 'pass' WHEN mean >= 4 THEN 'warn' WHEN mean IS NOT NULL THEN 'fail' ELSE 'no_data' END AS status FROM g LEFT JOIN m USING (brand_id, run_id, key_signal)""",
+    "g13_key_signals": f"""WITH {SIGNAL_SQL}, km AS (SELECT * FROM ({C.values_sql(P.key_signal_rows())}) AS t(attribute_id, key_signal)), ks AS (SELECT * FROM ({C.values_sql(list(P.SIGNAL_KEY_SIGNALS.items()))}) AS t(signal_id, key_signal)),
+ex AS (SELECT * FROM ({C.values_sql(P.expected_rows())}) AS t(dimension, key_signal)),
+u AS (SELECT brand_id, run_id, dimension, key_signal, value, CASE WHEN seq % 3 > 0 THEN evidence || ' ' || attribute_id ELSE '' END AS evidence, 0 AS o, seq FROM (SELECT *, CAST(content_id[5:] AS BIGINT) AS seq FROM attrs) JOIN km USING (attribute_id)
+ UNION ALL SELECT brand_id, run_id, dimension, key_signal, value * 10, 'signal ' || signal_id, 1, CAST(content_id[5:] AS BIGINT) FROM sig JOIN ks USING (signal_id)),
+v AS (SELECT u.*, 'u' || seq % 5 AS url FROM u SEMI JOIN ex USING (dimension, key_signal)), m AS (SELECT brand_id, run_id, dimension, key_signal, avg(value) AS mean, count(*) AS n FROM v GROUP BY ALL),
+e AS (SELECT brand_id, run_id, dimension, key_signal, evidence, url, min((o, seq)) AS f FROM v WHERE evidence <> '' GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY brand_id, run_id, dimension, key_signal ORDER BY f, evidence, url) AS place FROM e QUALIFY place <= 3),
+t AS (SELECT brand_id, run_id, dimension, key_signal, string_agg(evidence || '@' || url, '; ' ORDER BY place) AS evidence FROM p GROUP BY ALL), g AS (SELECT DISTINCT brand_id, run_id, ex.dimension, ex.key_signal FROM attrs, ex)
+SELECT brand_id, run_id, dimension, key_signal, round(coalesce(mean, 0.0), 9) AS mean, coalesce(n, 0) AS n, coalesce(evidence, '') AS evidence, CASE WHEN round(mean, 9) >= 7 THEN 'pass' WHEN round(mean, 9) >= 4 THEN 'warn' ELSE 'fail' END AS status
+FROM g LEFT JOIN m USING (brand_id, run_id, dimension, key_signal) LEFT JOIN t USING (brand_id, run_id, dimension, key_signal)""",
     # shares of a dimension add up to its rounded score
     "g14_contributions": f"WITH {SIGNAL_SQL}, {_dims_sql('brand_id, run_id')} SELECT brand_id, run_id, dimension, round(round(value, 9), 1) AS total FROM dims WHERE EXISTS (SELECT 1 FROM sig WHERE sig.brand_id = dims.brand_id AND sig.run_id = dims.run_id AND sig.dimension = dims.dimension)",
     "c14_broken_links": r"""WITH s AS (SELECT url, min(page_id) AS k FROM pages WHERE page_id % 2 = 0 GROUP BY url), l AS (SELECT DISTINCT 'p' || page_id AS content_id, unnest([url, 'http://a.b/c']) AS url FROM pages)
@@ -196,13 +241,23 @@ SELECT content_id, count(*) AS links, count(*) FILTER (WHERE k % 6 = 0 OR k % 10
     "d2_metadata": f"""WITH h AS (SELECT page_id, {_HOST} AS host FROM pages), b AS (SELECT *, replace(host, 'www.', '') AS bare FROM h)
 SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'shopfeed' ELSE split_part(bare, '.', 1) END AS channel, CASE WHEN page_id % 2 = 0 AND {_part('bare', ['shop', 'store', 'buy', 'cart'])} THEN 'marketplace' WHEN page_id % 2 = 0 AND {_part('bare', ['social', 'community', 'forum'])} THEN 'social' ELSE 'owned' END AS platform_type,
  CASE WHEN page_id % 5 = 0 THEN 'video' ELSE 'text' END AS modality FROM b""",
-    "g23_visual_snapshot": f"""WITH {CONTENT_SQL}, i AS (SELECT brand_id, run_id, content_id, coalesce(CASE WHEN seq % 2 = 0 THEN (seq % 97) / 100.0 END, (seq * 7) % 89 / 100.0) AS score FROM content WHERE seq % 7 <> 0 AND seq % 5 <> 0)
-SELECT *, row_number() OVER (PARTITION BY brand_id, run_id ORDER BY score DESC, content_id) AS best, row_number() OVER (PARTITION BY brand_id, run_id ORDER BY score, content_id) AS worst FROM i QUALIFY best = 1 OR worst <= 2""",
-    "g15_issues": f"WITH {ATTR_SQL} SELECT brand_id, run_id, dimension, count(*) FILTER (WHERE value < {_BELOW}) AS issues, count(*) FILTER (WHERE value >= 8) AS successes, count(DISTINCT content_id) FILTER (WHERE value < {_BELOW}) AS items FROM attrs GROUP BY ALL",
+    "g23_visual_snapshot": f"""WITH {CONTENT_SQL}, i AS (SELECT brand_id, run_id, content_id, seq, coalesce(CASE WHEN seq % 2 = 0 THEN (seq % 97) / 100.0 END, (seq * 7) % 89 / 100.0) AS score FROM content WHERE seq % 7 <> 0 AND seq % 5 <> 0)
+SELECT brand_id, run_id, content_id, score, 'best' AS list, row_number() OVER (PARTITION BY brand_id, run_id ORDER BY score DESC, seq) AS rank FROM i QUALIFY rank = 1
+UNION ALL SELECT brand_id, run_id, content_id, score, 'worst', row_number() OVER (PARTITION BY brand_id, run_id ORDER BY score, seq) AS rank FROM i QUALIFY rank <= 2""",
+    "g15_findings": f"WITH {FINDINGS_SQL} SELECT * FROM found",
+    "g15_issues": f"WITH {FINDINGS_SQL} SELECT brand_id, run_id, dimension, count(*) FILTER (WHERE kind = 'issue') AS issues, count(*) FILTER (WHERE kind = 'success') AS successes, count(DISTINCT url) FILTER (WHERE kind = 'issue') AS pages FROM found GROUP BY ALL",
+    "g16_run_context": f"""WITH {CLASS_SQL}, {LONG_SQL}, m AS (SELECT brand_id, run_id, dimension, round(avg(score), 9) AS a, avg(score) AS e FROM long GROUP BY ALL),
+t AS (SELECT brand_id, run_id, avg(e) AS average, array_to_string(list(dimension ORDER BY a, dimension)[1:3], ',') AS weakest, array_to_string(list(dimension ORDER BY a DESC, dimension)[1:2], ',') AS strongest FROM m GROUP BY ALL),
+c AS (SELECT brand_id, run_id, count(*) FILTER (WHERE class_label = 'authentic') AS high_trust, count(*) FILTER (WHERE class_label = 'suspect') AS moderate_trust, count(*) FILTER (WHERE class_label = 'inauthentic') AS low_trust, count(DISTINCT src) AS sources, count(*) FILTER (WHERE overall < 0.6) AS low_items FROM cls GROUP BY ALL)
+SELECT c.*, round(average, 9) AS average, weakest, strongest, CASE WHEN average >= 0.8 THEN 'excellent' WHEN average >= 0.6 THEN 'good' WHEN average >= 0.4 THEN 'fair' ELSE 'poor' END AS band FROM t JOIN c USING (brand_id, run_id)""",
+    "g16_low_items": f"WITH {CLASS_SQL} SELECT brand_id, run_id, content_id, overall, row_number() OVER (PARTITION BY brand_id, run_id ORDER BY overall, seq) AS rank FROM cls WHERE overall < 0.6 QUALIFY rank <= 5",
+    "g17_overall": f"""WITH {CLASS_SQL}, m AS (SELECT brand_id, run_id, count(*) FILTER (WHERE overall < 0.5) AS low, avg(overall) AS a FROM cls GROUP BY ALL)
+SELECT brand_id, run_id, 'low trust items' AS metric, CAST(low AS DOUBLE) AS current, 0.0 AS target, '3 months' AS timeline FROM m UNION ALL SELECT brand_id, run_id, 'overall trust', round(a, 9), round(least(1.0, a + 0.04), 9), '6 months' FROM m""",
     "g16_context": f"""WITH {CLASS_SQL}, {LONG_SQL}, m AS (SELECT brand_id, run_id, dimension, avg(score) AS average, count(*) FILTER (WHERE score < 0.6) AS low_items, arg_min(content_id, (score, seq)) AS worst FROM long GROUP BY ALL)
 SELECT brand_id, run_id, dimension, round(average, 9) AS average, low_items, worst, round(greatest(0.0, 0.6 - average), 9) AS gap, row_number() OVER (PARTITION BY brand_id, run_id ORDER BY round(average, 9), dimension) AS rank FROM m""",
-    "g17_targets": f"WITH {CLASS_SQL}, {LONG_SQL}, m AS (SELECT brand_id, run_id, dimension, avg(score) AS a FROM long GROUP BY ALL) SELECT brand_id, run_id, dimension, round(least(1.0, a + CASE WHEN a < 0.55 THEN 0.075 WHEN a < 0.65 THEN 0.06 ELSE 0.024 END), 9) AS target FROM m",
-    "g24_calibration": f"WITH {TYPED_SQL} SELECT brand_id, run_id, count(*) AS n, " + ", ".join(f"round(count(*) FILTER (WHERE score_{d} >= 0.9) / count(*), 9) AS high_{d}" for d in DIMENSIONS) + ", round(count(*) FILTER (WHERE content_type = 'landing_page') / count(*), 9) AS marketing FROM typed GROUP BY ALL",
+    "g17_targets": f"WITH {CLASS_SQL}, {LONG_SQL}, m AS (SELECT brand_id, run_id, dimension, avg(score) AS a FROM long GROUP BY ALL) SELECT brand_id, run_id, dimension, round(least(1.0, a + CASE WHEN a < 0.55 THEN 0.075 WHEN a < 0.65 THEN 0.06 ELSE 0.024 END), 9) AS target, CASE WHEN a < 0.55 THEN '6 weeks' WHEN a < 0.65 THEN '3 months' ELSE '1 month' END AS timeline FROM m",
+    "g24_calibration": f"WITH {TYPED_SQL} SELECT brand_id, run_id, count(*) AS n, " + ", ".join(f"round(count(*) FILTER (WHERE score_{d} >= 0.9) / count(*), 9) AS high_{d}" for d in DIMENSIONS) + f""", round(count(*) FILTER (WHERE {_LIFTED}) / count(*), 9) AS marketing, round(avg(score_coherence), 9) AS coherence, round(avg(score_verification), 9) AS verification,
+ round(avg(CASE WHEN {_LIFTED} THEN score_coherence / 1.25 ELSE score_coherence END), 9) AS base_coherence, round(avg(CASE WHEN {_LIFTED} THEN score_verification / 1.3 ELSE score_verification END), 9) AS base_verification FROM typed GROUP BY ALL""",
     "g25_examples": f"""WITH {CLASS_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY brand_id, run_id, src ORDER BY seq) AS first FROM cls)
 SELECT brand_id, run_id, content_id, row_number() OVER (PARTITION BY brand_id, run_id ORDER BY first > 1, CASE WHEN first = 1 THEN src END, overall DESC, seq) AS rank FROM f QUALIFY rank <= 3""",
     "g26_brand_score": f"""WITH {SIGNAL_SQL}, {_dims_sql('content_id, brand_id')}, {_trust_sql('content_id, brand_id')}, m AS (SELECT brand_id, avg(overall) AS overall, avg(confidence) AS confidence, avg(coverage) AS coverage FROM trust GROUP BY ALL),

@@ -189,7 +189,15 @@ def g11_attribute_gaps(spark, sf_dir):
 
 
 def g12_extremes(spark, sf_dir):
-    return A.extremes(S.classify(scores(spark, sf_dir)), RUN).select(*RUN, "content_id", "overall", "best", "worst")
+    return A.extremes(S.classify(scores(spark, sf_dir)), RUN).select(*RUN, "content_id", "overall", "list", "rank")
+
+
+def g12_trust_lists(spark, sf_dir):
+    return A.trust_lists(S.classify(scores(spark, sf_dir)), RUN).select(*RUN, "content_id", "overall", "strongest", "weakest", "list", "rank")
+
+
+def g12_egregious(spark, sf_dir):
+    return A.egregious(S.classify(scores(spark, sf_dir))).select(*RUN, "content_id", "overall", "class_label")
 
 
 def g18_run_presence(spark, sf_dir):
@@ -201,6 +209,13 @@ def g19_trend(spark, sf_dir):
     return _rounded(A.ratio_trend(ratios, ["brand_id"], "run_id", "ratio_pct").select(*RUN, "ratio_pct", "previous", "delta", "direction"), "ratio_pct", "previous", "delta")
 
 
+def g19_totals(spark, sf_dir):
+    """Orders as runs of customers as brands: the key's last two digits are its items, the price its rating."""
+    o = table(spark, sf_dir, "orders")
+    runs = o.select(F.col("o_custkey").alias("brand_id"), F.col("o_orderdate").cast("timestamp").alias("started_at"), (F.col("o_orderkey") % 100).alias("items"), F.col("o_totalprice").alias("rating"))
+    return _rounded(A.run_totals(runs, F.to_timestamp(F.lit("1998-08-02"))), "average", places=4)
+
+
 MODELS = ["gpt-4o", "gpt-4o-mini-2024-07-18", "claude-3-opus-latest", "o1-mini", "other-model", "gemini-1.5-pro-002"]
 
 
@@ -226,7 +241,7 @@ QUERIES = {
     for f in (
         flagship, f1_map_signals, f2_freshness, f3_resonance, f10_adjust_scores, f11_dimension_scores, f12_run_trust, f14_ratings, f15_classify, f16_class_confidence, f18_top_uncertain, f20_ratio,
         f20_ratio_overall, f21_fallback, f22_asset_scores, g1_dimension_breakdown, g2_dimension_by_class, g3_correlations, g4_bands, g5_content_type_pct, g7_modality, g8_channels,
-        g9_attribute_performance, g10_critical_attributes, g11_attribute_gaps, g12_extremes, g18_run_presence, g19_trend, g20_usage_cost, g27_dimension_examples,
+        g9_attribute_performance, g10_critical_attributes, g11_attribute_gaps, g12_extremes, g12_trust_lists, g12_egregious, g18_run_presence, g19_trend, g19_totals, g20_usage_cost, g27_dimension_examples,
     )
 }
 
@@ -282,7 +297,15 @@ FROM i JOIN p USING (brand_id, run_id, modality) GROUP BY ALL""",
     "g10_critical_attributes": f"WITH {PERF_SQL} SELECT brand_id, run_id, attribute_id, round(impact, 9) AS impact, rank FROM (SELECT *, row_number() OVER (PARTITION BY brand_id, run_id ORDER BY impact DESC, attribute_id) AS rank FROM (SELECT *, round(abs(average - 5) * rate, 9) AS impact FROM perf)) WHERE rank <= 5",
     "g11_attribute_gaps": f"""WITH {PERF_SQL} SELECT brand_id, run_id, attribute_id, round(impact, 9) AS impact, rank, CASE WHEN rank <= 3 THEN 'high' WHEN rank <= 6 THEN 'medium' ELSE 'low' END AS priority
 FROM (SELECT *, row_number() OVER (PARTITION BY brand_id, run_id ORDER BY impact DESC, attribute_id) AS rank FROM (SELECT *, round((7 - average) * {WEIGHT_SQL} * rate, 9) AS impact FROM perf WHERE average < 7)) WHERE rank <= 8""",
-    "g12_extremes": f"WITH {CLASS_SQL} SELECT brand_id, run_id, content_id, overall, row_number() OVER (PARTITION BY brand_id, run_id ORDER BY overall DESC, seq) AS best, row_number() OVER (PARTITION BY brand_id, run_id ORDER BY overall, seq) AS worst FROM cls QUALIFY best <= 5 OR worst <= 5",
+    "g12_extremes": f"""WITH {CLASS_SQL}, x AS (SELECT *, 'best' AS list, -overall AS o FROM cls UNION ALL SELECT *, 'worst', overall FROM cls)
+SELECT brand_id, run_id, content_id, overall, list, row_number() OVER (PARTITION BY brand_id, run_id, list ORDER BY o, seq) AS rank FROM x QUALIFY rank <= 5""",
+    "g12_trust_lists": f"""WITH {CLASS_SQL}, {LONG_SQL}, d AS (SELECT content_id, arg_max(dimension, (score, -ascii(dimension), -ascii(dimension[3]))) AS strongest, arg_min(dimension, (score, dimension)) AS weakest FROM long GROUP BY content_id),
+x AS (SELECT *, 'low' AS list, overall AS o, 10 AS n FROM cls WHERE class_label = 'inauthentic' OR overall < 0.5 UNION ALL SELECT *, 'moderate', overall, 10 FROM cls WHERE overall >= 0.5 AND class_label <> 'inauthentic' AND (class_label = 'suspect' OR overall < 0.7)
+ UNION ALL SELECT *, 'notable_high', -overall, 5 FROM cls WHERE overall >= 0.7 UNION ALL SELECT *, 'notable_low', -overall, 3 FROM cls WHERE overall < 0.5),
+r AS (SELECT *, row_number() OVER (PARTITION BY brand_id, run_id, list ORDER BY o, seq) AS rank FROM x) SELECT brand_id, run_id, content_id, overall, strongest, weakest, list, rank FROM r JOIN d USING (content_id) WHERE rank <= n""",
+    "g12_egregious": f"WITH {CLASS_SQL} SELECT brand_id, run_id, content_id, overall, class_label FROM cls WHERE class_label = 'inauthentic' OR overall <= 0.4",
+    "g19_totals": """WITH w AS (SELECT 'all' AS "window", DATE '0001-01-01' AS since UNION ALL SELECT '7 days', DATE '1998-07-26' UNION ALL SELECT '30 days', DATE '1998-07-03' UNION ALL SELECT '90 days', DATE '1998-05-04')
+SELECT "window", count(*) AS runs, count(DISTINCT o_custkey) AS brands, CAST(sum(o_orderkey % 100) AS BIGINT) AS items, round(avg(o_totalprice) FILTER (WHERE o_orderkey % 100 > 0), 4) AS average FROM w JOIN orders ON o_orderdate >= since GROUP BY ALL""",
     "g18_run_presence": f"""WITH {SCORES_SQL}, n AS (SELECT run_id, brand_id, src, count(*) AS normalized_rows FROM content GROUP BY ALL), s AS (SELECT run_id, brand_id, src, count(*) AS scores_rows FROM scores WHERE seq % 9 < 4 GROUP BY ALL)
 SELECT run_id, brand_id, src, normalized_rows, scores_rows, normalized_rows IS NOT NULL AS in_normalized, scores_rows IS NOT NULL AS in_scores FROM n FULL JOIN s USING (run_id, brand_id, src)""",
     "g19_trend": f"""WITH {RATIO_SQL}, l AS (SELECT brand_id, run_id, ratio_pct, lag(ratio_pct) OVER (PARTITION BY brand_id ORDER BY run_id) AS previous FROM total), d AS (SELECT *, round(ratio_pct - previous, 9) AS delta FROM l)
@@ -294,7 +317,8 @@ best AS (SELECT model, max_by(input, length(known_model)) AS input, max_by(outpu
 priced AS (SELECT *, p / 1e6 * coalesce(input, 0.15) + c / 1e6 * coalesce(output, 0.6) AS cost FROM used LEFT JOIN best USING (model)),
 rolled AS (SELECT run_id, model, CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(c) AS BIGINT) AS completion_tokens, CAST(sum(calls) AS BIGINT) AS calls, sum(cost) AS cost_usd FROM priced GROUP BY GROUPING SETS ((run_id, model), (run_id)))
 SELECT * REPLACE (round(cost_usd, 9) AS cost_usd), prompt_tokens > 100000 OR completion_tokens > 50000 OR cost_usd > 1.0 AS over_quota FROM rolled""",
-    "g27_dimension_examples": f"""WITH {CLASS_SQL}, {LONG_SQL}, r AS (SELECT brand_id, run_id, dimension, content_id, score, row_number() OVER (PARTITION BY brand_id, run_id, dimension ORDER BY score DESC, seq) AS best,
- row_number() OVER (PARTITION BY brand_id, run_id, dimension ORDER BY score, seq) AS worst FROM long), s AS (SELECT brand_id, run_id, dimension, count(*) FILTER (WHERE score >= 0.7) / count(*) AS share_high, count(*) FILTER (WHERE score < 0.4) / count(*) AS share_low FROM long GROUP BY ALL)
-SELECT r.*, round(share_high, 9) AS share_high, round(share_low, 9) AS share_low FROM r JOIN s USING (brand_id, run_id, dimension) WHERE best <= 5 OR worst <= 5""",
+    "g27_dimension_examples": f"""WITH {CLASS_SQL}, {LONG_SQL}, x AS (SELECT *, 'best' AS list, -score AS o FROM long UNION ALL SELECT *, 'worst', score FROM long),
+r AS (SELECT brand_id, run_id, dimension, content_id, score, list, row_number() OVER (PARTITION BY brand_id, run_id, dimension, list ORDER BY o, seq) AS rank FROM x QUALIFY rank <= 5),
+s AS (SELECT brand_id, run_id, dimension, count(*) FILTER (WHERE score >= 0.7) / count(*) AS share_high, count(*) FILTER (WHERE score < 0.4) / count(*) AS share_low FROM long GROUP BY ALL)
+SELECT r.*, round(share_high, 9) AS share_high, round(share_low, 9) AS share_low FROM r JOIN s USING (brand_id, run_id, dimension)""",
 }
