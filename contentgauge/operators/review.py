@@ -70,15 +70,30 @@ def verify_quotes(issues: DataFrame, content: DataFrame) -> DataFrame:
     return joined.withColumn("valid", F.forall("_quotes", lambda q: F.col("_text").contains(q) | F.col("_flat").contains(squeezed(q)))).drop("_quotes", "_text", "_flat")
 
 
-def merge_issues(attributes: DataFrame, issues: DataFrame, type_map: DataFrame) -> DataFrame:
-    """Attributes with issues of the same item: agreement lifts the confidence by a fifth each, to 1 at most; an issue without attribute becomes one of value 5."""
-    mapped = issues.drop("dimension").join(F.broadcast(type_map), "type").groupBy("content_id", "attribute_id", "dimension").agg(F.count("*").alias("agree"), F.max("confidence").alias("issue_confidence"))
-    both = attributes.join(mapped.hint("shuffle_hash").withColumnRenamed("dimension", "issue_dimension"), ["content_id", "attribute_id"], "full")
-    lifted = F.least(F.lit(1.0), F.col("confidence") * F.pow(F.lit(1.2), F.coalesce("agree", F.lit(0))))
-    return both.select(
-        "content_id", "attribute_id", F.coalesce("dimension", "issue_dimension").alias("dimension"), F.coalesce("value", F.lit(5.0)).alias("value"), F.when(F.col("confidence").isNull(), F.col("issue_confidence")).otherwise(lifted).alias("confidence"),
-        F.when(F.col("value").isNull(), "issue").when(F.col("agree") > 0, "both").otherwise("rule").alias("origin"),
+def merge_issues(attributes: DataFrame, issues: DataFrame, broken: DataFrame, type_map: DataFrame) -> DataFrame:
+    """Attributes with the issues found in the same item beside them, and the issues that no attribute has as attributes of value 5.
+
+    issues(content_id, issue_no, type, dimension, confidence, evidence, suggestion), broken(content_id, urls). Issues of
+    links need a broken link in their item, whose first three are then the evidence; issues of unknown types go. Each
+    agreement lifts an attribute's confidence by a fifth, to 1 at most, adds its evidence if it is new, and the last
+    suggestion stays. Equal notes of an item meet as one row before they are put into its text.
+    """
+    by, links = ["content_id", "attribute_id"], F.col("type").isin("broken_links", "outdated_links")
+    found = issues.join(broken.select("content_id", F.array_join(F.slice("urls", 1, 3), ", ").alias("_links")).hint("shuffle_hash"), "content_id", "left").filter(~links | (F.col("_links") != ""))
+    mapped = found.withColumn("evidence", F.when(links, F.concat(F.lit("Verified broken links: "), "_links")).otherwise(F.col("evidence"))).drop("_links").join(F.broadcast(type_map), "type")
+    last = F.max(F.when(F.col("suggestion") != "", F.struct("issue_no", "suggestion"))).alias("last")
+    notes = mapped.groupBy(*by, "evidence").agg(F.count("*").alias("n"), F.min("issue_no").alias("first"), last)
+    said = notes.groupBy(*by).agg(F.sum("n").alias("_agree"), F.max("last")["suggestion"].alias("suggestion"), F.array_sort(F.collect_list(F.struct("first", "evidence"))).alias("_notes"))
+    both = attributes.join(said.hint("shuffle_hash"), by, "left")
+    add_note = lambda text, x: F.when((F.coalesce(x["evidence"], F.lit("")) == "") | text.contains(x["evidence"]), text).otherwise(F.concat(text, F.lit(" | LLM Note: "), x["evidence"]))
+    text = F.aggregate(F.coalesce("_notes", F.array().cast("array<struct<first:bigint,evidence:string>>")), F.coalesce("evidence", F.lit("")), add_note)
+    lifted = F.least(F.lit(1.0), F.col("confidence") * F.pow(F.lit(1.2), F.coalesce("_agree", F.lit(0))))
+    old = both.select(*by, "dimension", "value", lifted.alias("confidence"), text.alias("evidence"), F.lit(None).cast("string").alias("label"), "suggestion", F.when(F.col("_agree") > 0, "both").otherwise("rule").alias("origin"))
+    new = mapped.join(attributes.select(*by).distinct().hint("shuffle_hash"), by, "left_anti").select(
+        *by, "dimension", F.lit(5.0).alias("value"), F.coalesce("confidence", F.lit(0.8)).alias("confidence"), F.coalesce("evidence", F.lit("Detected by AI analysis")).alias("evidence"),
+        F.initcap(F.replace("type", F.lit("_"), F.lit(" "))).alias("label"), "suggestion", F.lit("issue").alias("origin"),
     )
+    return old.unionByName(new)
 
 
 def rubric_scores(scores: DataFrame, rules: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -101,13 +116,27 @@ def rubric_scores(scores: DataFrame, rules: DataFrame, weights: dict[str, float]
     return out.withColumn("label", F.when(F.round("final", 9) >= 75, "authentic").when(F.round("final", 9) >= 40, "suspect").otherwise("inauthentic"))
 
 
-def merge_labels(scores: DataFrame, labels: DataFrame, scale: float = 20.0) -> DataFrame:
-    """External labels override the class; a confident authentic or inauthentic one moves all dimensions by (confidence - 0.5) * scale / 100."""
-    joined = scores.join(labels.withColumnsRenamed({"label": "_label", "confidence": "_confidence"}).hint("shuffle_hash"), "content_id", "left")
+def merge_labels(scores: DataFrame, labels: DataFrame, weights: dict[str, float], scale: float = 20.0) -> DataFrame:
+    """External labels override the class; a confident authentic or inauthentic one moves all dimensions by (confidence - 0.5) * scale / 100.
+
+    final is then the weighted mean of the moved dimensions x 100 with what base (0 to 100, the score with rules) had
+    beyond that of the old ones, in 0 to 100; without a move it is base.
+    """
+    total = lambda: 100 * reduce(add, [F.col(f"score_{d}") * w for d, w in weights.items()])
+    joined = scores.join(labels.withColumnsRenamed({"label": "_label", "confidence": "_confidence"}).hint("shuffle_hash"), "content_id", "left").withColumn("_before", total())
     sign = F.when(F.col("_confidence") > 0, F.when(F.col("_label") == "authentic", 1.0).when(F.col("_label") == "inauthentic", -1.0))
     delta = F.coalesce(sign * (F.col("_confidence") - 0.5) * scale / 100, F.lit(0.0))
-    moved = joined.withColumns({f"score_{d}": clamp(F.col(f"score_{d}") + delta) for d in DIMENSIONS})
-    return moved.withColumn("class_label", F.coalesce("_label", "class_label")).withColumn("is_authentic", F.col("class_label") == "authentic").drop("_label", "_confidence")
+    moved = joined.withColumn("_moved", sign.isNotNull()).withColumns({f"score_{d}": clamp(F.col(f"score_{d}") + delta) for d in DIMENSIONS})
+    final = F.when(F.col("_moved"), clamp(total() + F.col("base") - F.col("_before"), 0.0, 100.0)).otherwise(F.col("base"))
+    out = moved.withColumns({"final": final, "class_label": F.coalesce("_label", "class_label")})
+    return out.withColumn("is_authentic", F.col("class_label") == "authentic").drop("_label", "_confidence", "_before", "_moved")
+
+
+def fallback_labels(scores: DataFrame) -> DataFrame:
+    """Labels by final score where no external one is at hand: authentic from 75, suspect from 40; null counts as 0."""
+    final = F.round(F.coalesce("final", F.lit(0.0)), 9)
+    label = F.when(final >= 75, "authentic").when(final >= 40, "suspect").otherwise("inauthentic")
+    return scores.select("content_id", label.alias("label"), F.when(label == "suspect", 0.6).otherwise(0.7).alias("confidence"))
 
 
 def whois_signals(registry: DataFrame, as_of: Column) -> DataFrame:

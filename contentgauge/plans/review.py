@@ -11,7 +11,7 @@ from contentgauge.plans.scores import ATTR_SQL, CLASS_SQL, attributes
 from contentgauge.sources.tables import CONTENT_SQL, DIMENSIONS, contents, scores, table
 
 STATUSES = ["supported", "CONTRADICTED", "unverified", "unclear"]
-TYPES = {"broken_link": ("broken_link_rate", "coherence"), "inconsistent_voice": ("brand_voice_consistency_score", "coherence"), "missing_author": ("author_brand_identity_verified", "provenance"), "no_contact": ("contact_info_availability", "transparency")}
+TYPES = {"broken_links": "coherence", "inconsistent_voice": "coherence", "unclear_authorship": "provenance", "missing_privacy_policy": "transparency"}
 RULES = [("long", "bonus", 5.0, ["words"], ">=", 40.0), ("short", "penalty", 8.0, ["words"], "<", 10.0), ("named", "bonus", 3.0, ["author", "editor"], None, None)]
 
 
@@ -27,7 +27,7 @@ def issues(spark, sf_dir):
     kinds = list(TYPES)
     said = F.when(n % 2 == 0, F.substring("body", 3, 30)).otherwise(F.lit("words that are not there"))
     return contents(spark, sf_dir).filter(n % 3 == 0).select(
-        "content_id", F.element_at(F.array(*map(F.lit, kinds)), (n % 4 + 1).cast("int")).alias("type"), F.element_at(F.array(*[F.lit(TYPES[k][1]) for k in kinds]), (n % 4 + 1).cast("int")).alias("dimension"),
+        "content_id", F.element_at(F.array(*map(F.lit, kinds)), (n % 4 + 1).cast("int")).alias("type"), F.element_at(F.array(*[F.lit(TYPES[k]) for k in kinds]), (n % 4 + 1).cast("int")).alias("dimension"),
         F.when(n % 5 != 0, (n % 10) / 10.0).alias("confidence"), F.lit(None).cast("string").alias("severity"), F.concat(F.lit("EXACT QUOTE: '"), F.regexp_replace(said, "'", ""), F.lit("'")).alias("evidence"),
         F.when(n % 11 != 0, "Change 'tiny' -> 'small'").alias("suggestion"),
     )
@@ -51,10 +51,20 @@ def f8_quotes(spark, sf_dir):
     return V.verify_quotes(issues(spark, sf_dir), contents(spark, sf_dir)).select("content_id", "type", "valid")
 
 
+def merged_issues(spark, sf_dir):
+    """Filtered issues, and two more of some documents: one of a known type and one of an unknown; every ninth document has four broken links."""
+    n = F.col("seq")
+    first = V.filter_issues(issues(spark, sf_dir)).withColumn("issue_no", F.lit(1)).withColumn("evidence", F.concat(F.lit("issue of "), "type"))
+    more = lambda no, kind, keep: contents(spark, sf_dir).filter(keep).select(
+        "content_id", F.lit(kind).alias("type"), F.lit("coherence").alias("dimension"), F.lit(0.9).alias("confidence"), F.lit("medium").alias("severity"), F.when(n % 4 == 0, "tone").alias("evidence"), F.concat(F.lit("better "), n).alias("suggestion"), F.lit(no).alias("issue_no")
+    )
+    rows = first.unionByName(more(2, "tone_shift", n % 6 == 0)).unionByName(more(3, "vocabulary", n % 12 == 0)).unionByName(more(4, "no such type", n % 5 == 0))
+    broken = contents(spark, sf_dir).filter(n % 9 == 0).select("content_id", F.array(*[F.lit(f"http://x/{k}") for k in range(4)]).alias("urls"))
+    return V.merge_issues(attributes(spark, sf_dir), rows, broken, C.issue_map(spark))
+
+
 def f9_merge_issues(spark, sf_dir):
-    types = spark.createDataFrame([(t, a, d) for t, (a, d) in TYPES.items()], "type string, attribute_id string, dimension string")
-    merged = V.merge_issues(attributes(spark, sf_dir), V.filter_issues(issues(spark, sf_dir)), types)
-    return merged.withColumn("confidence", F.round("confidence", 9))
+    return merged_issues(spark, sf_dir).withColumn("confidence", F.round("confidence", 9))
 
 
 def f17_rubric(spark, sf_dir):
@@ -67,8 +77,13 @@ def f17_rubric(spark, sf_dir):
 def f19_merge_labels(spark, sf_dir):
     n = F.col("seq")
     ext = contents(spark, sf_dir).filter(n % 4 == 1).select("content_id", F.when(n % 3 == 0, "authentic").when(n % 3 == 1, "suspect").otherwise("inauthentic").alias("label"), ((n % 6) / 5.0).alias("confidence"))
-    found = V.merge_labels(S.classify(scores(spark, sf_dir)), ext)
-    return found.select("content_id", "class_label", "is_authentic", *[F.round(f"score_{d}", 9).alias(d) for d in DIMENSIONS])
+    base = S.classify(scores(spark, sf_dir)).withColumn("base", S.clamp(F.col("overall") * 100 + n % 9 - 4, 0.0, 100.0))
+    found = V.merge_labels(base, ext, C.DIMENSION_WEIGHTS)
+    return found.select("content_id", "class_label", "is_authentic", F.round("final", 9).alias("final"), *[F.round(f"score_{d}", 9).alias(d) for d in DIMENSIONS])
+
+
+def f19_fallback_labels(spark, sf_dir):
+    return V.fallback_labels(S.classify(scores(spark, sf_dir)).withColumn("final", F.col("overall") * 100))
 
 
 def f25_whois(spark, sf_dir):
@@ -91,13 +106,24 @@ def d12_chunks(spark, sf_dir):
     return V.chunk_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (f4_confidences, f6_claims, f7_filter_issues, f8_quotes, f9_merge_issues, f17_rubric, f19_merge_labels, f25_whois, d11_text_stats, d12_chunks)}
+QUERIES = {f.__name__: f for f in (f4_confidences, f6_claims, f7_filter_issues, f8_quotes, f9_merge_issues, f17_rubric, f19_merge_labels, f19_fallback_labels, f25_whois, d11_text_stats, d12_chunks)}
 
-_KINDS, _DIMS = str(list(TYPES)), str([d for _, d in TYPES.values()])
+_KINDS, _DIMS = str(list(TYPES)), str(list(TYPES.values()))
 ISSUE_SQL = f"""iss AS (SELECT content_id, title, body, {_KINDS}[seq % 4 + 1] AS type, {_DIMS}[seq % 4 + 1] AS dimension, CASE WHEN seq % 5 <> 0 THEN (seq % 10) / 10.0 END AS confidence,
  replace(CASE WHEN seq % 2 = 0 THEN substr(body, 3, 30) ELSE 'words that are not there' END, '''', '') AS quote, CASE WHEN seq % 11 <> 0 THEN 1 END AS suggestion FROM content WHERE seq % 3 = 0),
 good AS (SELECT content_id, type, coalesce(confidence, 0.8) AS confidence, 'medium' AS severity FROM iss WHERE suggestion IS NOT NULL AND (dimension <> 'coherence' OR coalesce(confidence, 0.8) >= 0.7))"""
 _move = lambda d: f"round(least(1.0, greatest(0.0, score_{d} + CASE WHEN conf > 0 AND label = 'authentic' THEN 1 WHEN conf > 0 AND label = 'inauthentic' THEN -1 ELSE 0 END * coalesce(conf - 0.5, 0) * 0.2)), 9) AS {d}"
+_total = lambda name: "100 * (" + " + ".join(f"{name(d)} * {w}" for d, w in C.DIMENSION_WEIGHTS.items()) + ")"
+# the twin writes the text of each case out: an issue of the first kind, then of tone, then of vocabulary
+MERGED_SQL = f"""{ATTR_SQL}, {ISSUE_SQL}, im AS (SELECT * FROM ({C.values_sql(list(C.ISSUE_ATTRIBUTES.items()))}) AS t(type, attribute_id)),
+al AS (SELECT content_id, 1 AS no, type, dimension, confidence, CASE WHEN type = 'broken_links' THEN 'Verified broken links: http://x/0, http://x/1, http://x/2' ELSE 'issue of ' || type END AS evidence, replace('Change "tiny" -> "small"', '"', chr(39)) AS suggestion
+  FROM (SELECT g.*, iss.dimension, CAST(g.content_id[5:] AS BIGINT) AS seq FROM good AS g JOIN iss USING (content_id)) WHERE type <> 'broken_links' OR seq % 9 = 0
+ UNION ALL SELECT content_id, 2, 'tone_shift', 'coherence', 0.9, CASE WHEN seq % 4 = 0 THEN 'tone' END, 'better ' || seq FROM content WHERE seq % 6 = 0
+ UNION ALL SELECT content_id, 3, 'vocabulary', 'coherence', 0.9, CASE WHEN seq % 4 = 0 THEN 'tone' END, 'better ' || seq FROM content WHERE seq % 12 = 0),
+mp AS (SELECT al.*, attribute_id FROM al JOIN im USING (type)),
+gr AS (SELECT content_id, attribute_id, count(*) AS agree, arg_max(suggestion, no) AS suggestion, coalesce(string_agg(DISTINCT ' | LLM Note: ' || evidence, '' ORDER BY ' | LLM Note: ' || evidence), '') AS added FROM mp GROUP BY ALL),
+merged AS (SELECT content_id, attribute_id, dimension, value, least(1.0, confidence * pow(1.2, coalesce(agree, 0))) AS confidence, evidence || coalesce(added, '') AS evidence, CAST(NULL AS VARCHAR) AS label, suggestion, CASE WHEN agree > 0 THEN 'both' ELSE 'rule' END AS origin FROM attrs LEFT JOIN gr USING (content_id, attribute_id)
+ UNION ALL SELECT content_id, attribute_id, dimension, 5.0, confidence, coalesce(evidence, 'Detected by AI analysis'), array_to_string(list_transform(string_split(type, '_'), lambda w: upper(w[1]) || w[2:]), ' '), suggestion, 'issue' FROM mp ANTI JOIN attrs USING (content_id, attribute_id))"""
 ORACLES = {
     "f4_confidences": f"""WITH {CONTENT_SQL} SELECT content_id, CASE WHEN length(body) < 200 THEN 0.6 ELSE 1.0 END AS provenance, CASE WHEN seq % 5 = 0 THEN 0.3 WHEN seq % 5 < 3 THEN 0.7 ELSE 1.0 END AS verification,
  CASE WHEN length(body) < 300 THEN 0.7 ELSE 1.0 END AS transparency, CASE WHEN seq % 2 = 0 THEN 1.0 ELSE 0.6 END AS coherence, 1.0 AS resonance FROM content""",
@@ -107,16 +133,15 @@ SELECT *, round(least(1.0, greatest(0.0, 0.5 + 0.1 * supported - 0.2 * contradic
     "f7_filter_issues": f"WITH {CONTENT_SQL}, {ISSUE_SQL} SELECT * FROM good",
     "f8_quotes": f"""WITH {CONTENT_SQL}, {ISSUE_SQL}, q AS (SELECT content_id, type, lower(trim(quote)) AS q, lower(title || ' ' || body) AS t FROM iss)
 SELECT content_id, type, length(q) < 10 OR contains(t, q) OR contains(trim(regexp_replace(t, '\\s+', ' ', 'g')), trim(regexp_replace(q, '\\s+', ' ', 'g'))) AS valid FROM q""",
-    "f9_merge_issues": f"""WITH {ATTR_SQL}, {ISSUE_SQL}, tm AS (SELECT * FROM ({C.values_sql([(t, a, d) for t, (a, d) in TYPES.items()])}) AS t(type, attribute_id, idim)),
-m AS (SELECT content_id, attribute_id, idim, count(*) AS agree, max(confidence) AS ic FROM good JOIN tm USING (type) GROUP BY ALL)
-SELECT content_id, attribute_id, coalesce(dimension, idim) AS dimension, coalesce(value, 5.0) AS value, round(CASE WHEN value IS NULL THEN ic ELSE least(1.0, confidence * pow(1.2, coalesce(agree, 0))) END, 9) AS confidence,
- CASE WHEN value IS NULL THEN 'issue' WHEN agree > 0 THEN 'both' ELSE 'rule' END AS origin FROM attrs FULL JOIN m USING (content_id, attribute_id)""",
+    "f9_merge_issues": f"WITH {MERGED_SQL} SELECT * REPLACE (round(confidence, 9) AS confidence) FROM merged",
     "f17_rubric": f"""WITH {CLASS_SQL}, b AS (SELECT content_id, seq, 100 * ({' + '.join(f'score_{d} * {w}' for d, w in C.DIMENSION_WEIGHTS.items())}) AS base FROM scores),
 f AS (SELECT content_id, base, array_to_string(list_filter([CASE WHEN seq % 60 >= 40 THEN 'long' END, CASE WHEN seq % 60 < 10 THEN 'short' END, CASE WHEN seq % 4 = 0 THEN 'named' END], lambda x: x IS NOT NULL), ',') AS applied,
  least(100.0, greatest(0.0, base + CASE WHEN seq % 60 >= 40 THEN 5 ELSE 0 END - CASE WHEN seq % 60 < 10 THEN 8 ELSE 0 END + CASE WHEN seq % 4 = 0 THEN 3 ELSE 0 END)) AS final FROM b)
 SELECT content_id, round(base, 9) AS base, applied, round(final, 9) AS final, CASE WHEN round(final, 9) >= 75 THEN 'authentic' WHEN round(final, 9) >= 40 THEN 'suspect' ELSE 'inauthentic' END AS label FROM f""",
-    "f19_merge_labels": f"""WITH {CLASS_SQL}, e AS (SELECT *, CASE WHEN seq % 4 = 1 THEN CASE seq % 3 WHEN 0 THEN 'authentic' WHEN 1 THEN 'suspect' ELSE 'inauthentic' END END AS label, CASE WHEN seq % 4 = 1 THEN (seq % 6) / 5.0 END AS conf FROM cls)
-SELECT content_id, coalesce(label, class_label) AS class_label, coalesce(label, class_label) = 'authentic' AS is_authentic, {', '.join(map(_move, DIMENSIONS))} FROM e""",
+    "f19_merge_labels": f"""WITH {CLASS_SQL}, e AS (SELECT *, CASE WHEN seq % 4 = 1 THEN CASE seq % 3 WHEN 0 THEN 'authentic' WHEN 1 THEN 'suspect' ELSE 'inauthentic' END END AS label, CASE WHEN seq % 4 = 1 THEN (seq % 6) / 5.0 END AS conf, least(100.0, greatest(0.0, overall * 100 + seq % 9 - 4)) AS base FROM cls),
+m AS (SELECT content_id, base, coalesce(conf, 0) > 0 AND label <> 'suspect' AS hit, {_total(lambda d: 'score_' + d)} AS before, coalesce(label, class_label) AS class_label, coalesce(label, class_label) = 'authentic' AS is_authentic, {', '.join(map(_move, DIMENSIONS))} FROM e)
+SELECT content_id, class_label, is_authentic, round(CASE WHEN hit THEN least(100.0, greatest(0.0, {_total(str)} + base - before)) ELSE base END, 9) AS final, {', '.join(DIMENSIONS)} FROM m""",
+    "f19_fallback_labels": f"WITH {CLASS_SQL} SELECT content_id, CASE WHEN overall >= 0.75 THEN 'authentic' WHEN overall >= 0.4 THEN 'suspect' ELSE 'inauthentic' END AS label, CASE WHEN overall >= 0.4 AND overall < 0.75 THEN 0.6 ELSE 0.7 END AS confidence FROM cls",
     "f25_whois": """WITH o AS (SELECT o_orderkey AS k, datediff('day', CAST(o_orderdate AS DATE), DATE '1998-12-01') / 365.25 AS y, o_orderkey % 800 - 50 AS days FROM orders), r AS (SELECT *, round(y, 1) AS years FROM o)
 SELECT 'd' || k AS domain, CASE WHEN years >= 10 THEN 10.0 WHEN years >= 5 THEN 8.0 WHEN years >= 2 THEN 6.0 WHEN years >= 1 THEN 4.0 WHEN years >= 0.5 THEN 3.0 ELSE 2.0 END AS age_score,
  CASE WHEN k % 3 = 0 THEN 4.0 WHEN k % 2 = 0 THEN 8.0 ELSE 6.0 END AS privacy_score, CASE WHEN days < 0 THEN 1.0 WHEN days < 30 THEN 2.0 WHEN days < 90 THEN 5.0 WHEN days < 365 THEN 7.0 ELSE 9.0 END AS expiry_score,

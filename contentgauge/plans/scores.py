@@ -213,7 +213,7 @@ def g19_totals(spark, sf_dir):
     """Orders as runs of customers as brands: the key's last two digits are its items, the price its rating."""
     o = table(spark, sf_dir, "orders")
     runs = o.select(F.col("o_custkey").alias("brand_id"), F.col("o_orderdate").cast("timestamp").alias("started_at"), (F.col("o_orderkey") % 100).alias("items"), F.col("o_totalprice").alias("rating"))
-    return _rounded(A.run_totals(runs, F.to_timestamp(F.lit("1998-08-02"))), "average", places=4)
+    return _rounded(A.run_totals(runs, F.to_timestamp(F.lit("2001-08-02"))), "average", places=4)
 
 
 MODELS = ["gpt-4o", "gpt-4o-mini-2024-07-18", "claude-3-opus-latest", "o1-mini", "other-model", "gemini-1.5-pro-002"]
@@ -304,7 +304,7 @@ x AS (SELECT *, 'low' AS list, overall AS o, 10 AS n FROM cls WHERE class_label
  UNION ALL SELECT *, 'notable_high', -overall, 5 FROM cls WHERE overall >= 0.7 UNION ALL SELECT *, 'notable_low', -overall, 3 FROM cls WHERE overall < 0.5),
 r AS (SELECT *, row_number() OVER (PARTITION BY brand_id, run_id, list ORDER BY o, seq) AS rank FROM x) SELECT brand_id, run_id, content_id, overall, strongest, weakest, list, rank FROM r JOIN d USING (content_id) WHERE rank <= n""",
     "g12_egregious": f"WITH {CLASS_SQL} SELECT brand_id, run_id, content_id, overall, class_label FROM cls WHERE class_label = 'inauthentic' OR overall <= 0.4",
-    "g19_totals": """WITH w AS (SELECT 'all' AS "window", DATE '0001-01-01' AS since UNION ALL SELECT '7 days', DATE '1998-07-26' UNION ALL SELECT '30 days', DATE '1998-07-03' UNION ALL SELECT '90 days', DATE '1998-05-04')
+    "g19_totals": """WITH w AS (SELECT 'all' AS "window", DATE '0001-01-01' AS since UNION ALL SELECT '7 days', DATE '2001-07-26' UNION ALL SELECT '30 days', DATE '2001-07-03' UNION ALL SELECT '90 days', DATE '2001-05-04')
 SELECT "window", count(*) AS runs, count(DISTINCT o_custkey) AS brands, CAST(sum(o_orderkey % 100) AS BIGINT) AS items, round(avg(o_totalprice) FILTER (WHERE o_orderkey % 100 > 0), 4) AS average FROM w JOIN orders ON o_orderdate >= since GROUP BY ALL""",
     "g18_run_presence": f"""WITH {SCORES_SQL}, n AS (SELECT run_id, brand_id, src, count(*) AS normalized_rows FROM content GROUP BY ALL), s AS (SELECT run_id, brand_id, src, count(*) AS scores_rows FROM scores WHERE seq % 9 < 4 GROUP BY ALL)
 SELECT run_id, brand_id, src, normalized_rows, scores_rows, normalized_rows IS NOT NULL AS in_normalized, scores_rows IS NOT NULL AS in_scores FROM n FULL JOIN s USING (run_id, brand_id, src)""",
