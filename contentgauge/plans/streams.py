@@ -8,16 +8,17 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from contentgauge.plans.normalization import CLEAN_SQL, LANGUAGE_SQL, SKIP_SQL
 from contentgauge.streaming import jobs
 
 
-def _shared(spark) -> str:
+def shared_folder(spark, name: str = "stream") -> str:
     """A new folder in spark.checkpoint.dir; a temporary one only where a local session names none."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     folder = folder or tempfile.mkdtemp(prefix="contentgauge-")
-    return f"{folder}/stream-{uuid.uuid4().hex}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def _stream(spark, sf_dir, name):
@@ -31,7 +32,7 @@ def _events(df):
 
 
 def s3_daily_ratio(spark, sf_dir):
-    out = _shared(spark)
+    out = shared_folder(spark)
     daily = jobs.daily_ratio(_events(_stream(spark, sf_dir, "events")))
     query = daily.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/rows")).start()
     query.awaitTermination()
@@ -41,7 +42,7 @@ def s3_daily_ratio(spark, sf_dir):
 
 def s1_daily_dedup(spark, sf_dir):
     """Documents as they would arrive in one day: one of each fingerprint stays."""
-    out = _shared(spark)
+    out = shared_folder(spark)
     d = _stream(spark, sf_dir, "documents")
     content = d.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("content_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 3600).alias("event_time"))
     query = jobs.dedup_stream(content).select("fingerprint").writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{out}/rows")
@@ -49,9 +50,26 @@ def s1_daily_dedup(spark, sf_dir):
     return spark.read.parquet(f"{out}/rows")
 
 
-QUERIES = {f.__name__: f for f in (s1_daily_dedup, s3_daily_ratio)}
+def s2_quality_gate(spark, sf_dir):
+    """Documents through the gate in micro-batches; gated rows and the number of attributes of those that pass are appended."""
+    out = shared_folder(spark)
+    content = _stream(spark, sf_dir, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("content_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"), *_UNKNOWN)
+
+    def sink(gated, attributes, number):
+        gated.select("content_id", "skip_reason", "language").write.mode("overwrite").parquet(f"{out}/gated/batch={number}")
+        attributes.select("content_id", "attribute_id").write.mode("overwrite").parquet(f"{out}/attributes/batch={number}")
+
+    jobs.run_gate(content, sink, f"{out}/checkpoint").awaitTermination()
+    found = spark.read.parquet(f"{out}/attributes").groupBy("content_id").agg(F.count_distinct("attribute_id").alias("n"))
+    rows = spark.read.parquet(f"{out}/gated").join(found.hint("shuffle_hash"), "content_id", "left")
+    return rows.select("content_id", "skip_reason", "language", (F.coalesce("n", F.lit(0)) > 0).alias("has_attributes"))
+
+
+_UNKNOWN = [F.lit(v).cast(kind).alias(c) for c, kind, v in [("src", "string", "web"), ("modality", "string", "text"), ("channel", "string", "web"), ("helpful_count", "double", None), ("url", "string", None), ("meta", "map<string,string>", None)]]
+QUERIES = {f.__name__: f for f in (s1_daily_dedup, s2_quality_gate, s3_daily_ratio)}
 _FP = r"md5(array_to_string(list_transform(list_filter(regexp_split_to_array(lower(split_part(text, chr(10), 1) || ' ' || text), '\s+'), lambda w: w <> '')[1:50], lambda w: md5(w)), ''))"
 ORACLES = {
+    "s2_quality_gate": CLEAN_SQL + f", g AS (SELECT content_id, {SKIP_SQL} AS skip_reason, {LANGUAGE_SQL} AS language FROM cleaned) SELECT *, skip_reason IS NULL AS has_attributes FROM g",
     "s1_daily_dedup": f"SELECT DISTINCT {_FP} AS fingerprint FROM documents",
     "s3_daily_ratio": "SELECT 'brand_' || user_id % 7 AS brand_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(100.0 * count(*) FILTER (WHERE event_id % 3 = 0) / count(*), 9) AS ratio_pct FROM events GROUP BY ALL",
 }

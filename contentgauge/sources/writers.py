@@ -46,7 +46,7 @@ def run_manifest(content: DataFrame, scores: DataFrame) -> DataFrame:
 
 def prune_runs(tables: dict[str, DataFrame], as_of, days: int) -> tuple[dict[str, DataFrame], int]:
     """runs, assets, scores and summary without runs that started more than days before as_of; how many runs went."""
-    old = tables["runs"].filter(F.col("started_at") < F.lit(as_of) - F.expr(f"INTERVAL {days} DAYS")).select("run_id")
+    old = tables["runs"].filter(F.col("started_at") < F.lit(as_of) - F.make_dt_interval(F.lit(days))).select("run_id")
     gone = tables["assets"].join(old, "run_id", "left_semi").select("asset_id")
     kept = {n: tables[n].join(old, "run_id", "left_anti") for n in ("runs", "assets", "summary") if n in tables}
     kept["scores"] = tables["scores"].join(gone, "asset_id", "left_anti")
