@@ -25,11 +25,34 @@ def blocked_urls(items: DataFrame, keys: list[str]) -> DataFrame:
     return gated.groupBy(*keys, "skip_reason").agg(F.count("*").alias("n"), F.min("content_id").alias("first"))
 
 
-def report_data(runs: DataFrame, assets: DataFrame, scores: DataFrame) -> DataFrame:
-    """Assets of runs with the first score of each, by score_id; assets without a score stay."""
-    first = Window.partitionBy("asset_id").orderBy("score_id")
-    one = scores.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    return assets.join(runs, "run_id").join(one.hint("shuffle_hash"), "asset_id", "left")
+def report_data(runs: DataFrame, assets: DataFrame, scores: DataFrame, summary: DataFrame) -> DataFrame:
+    """Assets of runs with the first score of each (by score_id), the page's url and title in meta, and the run's averages.
+
+    assets(asset_id, run_id, url, title, screenshot_path, meta), scores(asset_id, score_id, overall, rationale),
+    summary(run_id, avg_*). meta keeps a source_url and title of its own and gets the rationale's detected attributes as
+    JSON text; a missing screenshot is the rationale's. final_score is 0 to 100, null without a score and 0 for a score
+    without a number. Runs without a summary have averages of null, summaries without a number of 0.
+    """
+    first = F.min_by(F.struct("overall", "rationale"), "score_id").alias("_score")
+    one = scores.groupBy("asset_id").agg(first, F.min("score_id").alias("score_id"))
+    averages = [F.coalesce(c, F.lit(0.0)).alias(c) for c in summary.columns if c.startswith("avg_")]
+    joined = assets.join(runs.join(summary.select("run_id", *averages), "run_id", "left"), "run_id").join(one.hint("shuffle_hash"), "asset_id", "left")
+    own = F.coalesce("meta", F.create_map().cast("map<string,string>"))
+    found = F.get_json_object("_score.rationale", "$.detected_attributes")
+    extra = F.array(F.struct(F.lit("source_url").alias("k"), F.col("url").alias("v")), F.struct(F.lit("title").alias("k"), F.col("title").alias("v")))
+    filled = F.map_zip_with(F.map_filter(own, lambda k, v: (v != "") | ~k.isin("source_url", "title")), F.map_from_entries(F.filter(extra, lambda e: e["v"] != "")), lambda _, a, b: F.coalesce(a, b))
+    kept = F.map_filter(filled, lambda k, _: (k != "detected_attributes") | found.isNull())
+    with_found = F.when(found.isNull(), kept).otherwise(F.map_concat(kept, F.create_map(F.lit("detected_attributes"), found)))
+    shot = F.coalesce(F.nullif("screenshot_path", F.lit("")), F.get_json_object("_score.rationale", "$.screenshot_path"))
+    final = F.when(F.col("score_id").isNotNull(), F.coalesce("_score.overall", F.lit(0.0)) * 100)
+    return joined.withColumns({"meta": with_found, "screenshot_path": shot, "final_score": final}).drop("_score")
+
+
+def denied_pages(report: DataFrame) -> DataFrame:
+    """Rows of report_data whose page denied access: url and title with what stands for missing ones, and the reason."""
+    denied = report.filter(F.lower(F.coalesce(F.col("meta")["access_denied"], F.lit(""))).isin("true", "1"))
+    url = F.coalesce(F.nullif(F.col("meta")["source_url"], F.lit("")), F.nullif(F.col("meta")["url"], F.lit("")), F.lit("Unknown URL"))
+    return denied.select("run_id", "asset_id", url.alias("url"), F.coalesce(F.nullif("title", F.lit("")), F.lit("Access Denied")).alias("title"), F.lit("Anti-bot protection (Access Denied)").alias("reason"))
 
 
 def run_summary(dimensions: DataFrame, asset_scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,10 +79,18 @@ def valid_suggestion(suggestion: Column) -> Column:
 
 
 def score_content(content: DataFrame, attributes: DataFrame, attr_map: DataFrame, defs: DataFrame) -> DataFrame:
-    """One row for each item that is not skipped: its dimension scores (0 to 1), overall score and rating band; attributes decide."""
+    """One row for each item that is not skipped: dimension scores (0 to 1), overall score, rating band and what they rest on as JSON.
+
+    attributes(content_id, attribute_id, dimension, value, confidence, status, evidence) decide, merged with issues
+    beforehand where there are any (review.merge_issues). meta holds scores by dimension and the item's attributes by id.
+    Items without attributes of a signal have no row.
+    """
     kept = normalize.with_skip_reason(content).filter("skip_reason is null").select("content_id")
-    signals = scoring.map_signals(attributes, attr_map, defs)
-    dims = scoring.aggregate_dimensions(signals, defs, ["content_id"])
-    wide = dims.groupBy("content_id").pivot("dimension", DIMENSIONS).agg(F.first(F.col("value") / 10))
-    out = kept.join(wide.hint("shuffle_hash"), "content_id").join(scoring.trust_score(dims, ["content_id"]).hint("shuffle_hash"), "content_id")
-    return out.withColumn("band", scoring.band(F.round("overall", 9)))
+    own = attributes.join(kept.hint("shuffle_hash"), "content_id", "left_semi")
+    dims = scoring.aggregate_dimensions(scoring.map_signals(own, attr_map, defs), defs, ["content_id"])
+    wide = dims.groupBy("content_id").agg(*[F.max(F.when(F.col("dimension") == d, F.col("value") / 10)).alias(d) for d in DIMENSIONS], *scoring.trust_columns())
+    # an item has at most one row of each attribute and of each issue of its text
+    listed = own.groupBy("content_id").agg(F.array_sort(F.collect_list(F.struct("attribute_id", "dimension", F.round("value", 9).alias("value"), F.round("confidence", 9).alias("confidence"), "evidence"))).alias("_listed"))
+    out = wide.join(listed.hint("shuffle_hash"), "content_id")
+    payload = F.to_json(F.struct(F.struct(*[F.round(d, 9).alias(d) for d in DIMENSIONS]).alias("dimensions"), F.col("_listed").alias("detected_attributes")))
+    return out.withColumns({"band": scoring.band(F.round("overall", 9)), "meta": payload}).drop("_listed")

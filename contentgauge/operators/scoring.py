@@ -66,11 +66,15 @@ def dimension_weight() -> Column:
     return reduce(lambda c, d: c.when(F.col("dimension") == d[0], d[1]), list(DIMENSION_WEIGHTS.items())[1:], F.when(F.col("dimension") == "provenance", DIMENSION_WEIGHTS["provenance"])).otherwise(0.2)
 
 
-def trust_score(dimensions: DataFrame, keys: list[str]) -> DataFrame:
-    """Overall score (0 to 100), confidence and coverage; dimensions without score and coverage don't count."""
+def trust_columns() -> list[Column]:
+    """Aggregates of dimension rows: overall score (0 to 100), confidence and coverage; dimensions without score and coverage don't count."""
     w = F.when((F.col("value") > 0) | (F.col("coverage") > 0), dimension_weight())
     mean = lambda c: F.coalesce(F.try_divide(F.sum(F.col(c) * w), F.sum(w)), F.lit(0.0))
-    return dimensions.groupBy(*keys).agg((mean("value") * 10).alias("overall"), mean("confidence").alias("confidence"), mean("coverage").alias("coverage"))
+    return [(mean("value") * 10).alias("overall"), mean("confidence").alias("confidence"), mean("coverage").alias("coverage")]
+
+
+def trust_score(dimensions: DataFrame, keys: list[str]) -> DataFrame:
+    return dimensions.groupBy(*keys).agg(*trust_columns())
 
 
 def freshness(published: Column, as_of: Column) -> Column:

@@ -8,13 +8,27 @@ from contentgauge.functions import config as C
 from contentgauge.operators import runs as O
 from contentgauge.operators import scoring as S
 from contentgauge.plans.normalization import SKIP_SQL
-from contentgauge.plans.scores import _BAND, CLASS_SQL, RUN, SIGNAL_SQL, _dims_sql, _signals, _trust_sql, attributes
-from contentgauge.sources.tables import CONTENT_SQL, DIMENSIONS, contents, scores, table
+from contentgauge.plans.review import MERGED_SQL, merged_issues
+from contentgauge.plans.scores import _BAND, CLASS_SQL, DEFS_SQL, RUN, SIGNAL_SQL, _dims_sql, _signals, _trust_sql, attributes
+from contentgauge.sources.tables import CONTENT_SQL, DIMENSIONS, contents, scores
+
+
+def _scored(found):
+    shown = lambda path: F.get_json_object("meta", path)
+    return found.select(
+        "content_id", *[F.round(d, 9).alias(d) for d in DIMENSIONS], F.round("overall", 9).alias("overall"), "band", F.json_array_length(shown("$.detected_attributes")).alias("n_attributes"),
+        shown("$.detected_attributes[0].attribute_id").alias("first_attribute"), shown("$.dimensions.coherence").cast("double").alias("meta_coherence"),
+    )
 
 
 def f13_score_content(spark, sf_dir):
-    found = O.score_content(contents(spark, sf_dir), attributes(spark, sf_dir), C.attribute_map(spark), C.signal_defs(spark))
-    return found.select("content_id", *[F.round(d, 9).alias(d) for d in DIMENSIONS], F.round("overall", 9).alias("overall"), "band")
+    return _scored(O.score_content(contents(spark, sf_dir), attributes(spark, sf_dir), C.attribute_map(spark), C.signal_defs(spark)))
+
+
+def f13_with_issues(spark, sf_dir):
+    """The same from attributes with issues merged."""
+    found = merged_issues(spark, sf_dir).withColumn("status", F.lit("present"))
+    return _scored(O.score_content(contents(spark, sf_dir), found, C.attribute_map(spark), C.signal_defs(spark)))
 
 
 def f23_run_summary(spark, sf_dir):
@@ -44,27 +58,56 @@ def g21_blocked(spark, sf_dir):
     return O.blocked_urls(contents(spark, sf_dir), RUN)
 
 
+def _report(spark, sf_dir):
+    """Documents as assets of their runs with two scores each; some have meta, screenshots or rationales of their own, some no score, one run no summary."""
+    n = F.col("seq")
+    c = contents(spark, sf_dir)
+    meta = F.map_filter(F.create_map(F.lit("source_url"), F.when(n % 3 == 0, F.concat(F.lit("http://own/"), n)).otherwise(""), F.lit("access_denied"), F.when(n % 10 == 0, "true"), F.lit("kept"), F.lit("x")), lambda _, v: v.isNotNull())
+    assets = c.select(F.col("content_id").alias("asset_id"), "seq", "run_id", F.when(n % 4 > 0, F.concat(F.lit("http://a/"), n)).alias("url"), F.when(n % 5 > 0, F.concat(F.lit("T"), n)).alias("title"), F.when(n % 6 == 0, "shot.png").alias("screenshot_path"), F.when(n % 7 > 0, meta).alias("meta"))
+    rationale = F.when(n % 2 == 0, F.concat(F.lit('{"detected_attributes": [{"id": '), n, F.lit('}], "screenshot_path": "r.png"}'))).when(n % 3 == 0, "{broken")
+    score = c.filter(n % 8 > 0).select(F.col("content_id").alias("asset_id"), F.explode(F.array(n * 2 + 1, n * 2)).alias("score_id"), "seq", rationale.alias("rationale")).withColumn("overall", F.when(n % 9 > 0, (F.col("score_id") % 100) / 100.0)).drop("seq")
+    runs = c.groupBy("run_id").agg(F.count("*").alias("assets"))
+    summary = c.filter("run_id <> 'run_3'").groupBy("run_id").agg(F.avg("rating").alias("avg_provenance"), F.avg(F.when(F.col("run_id") == "run_1", F.col("rating"))).alias("avg_coherence"))
+    return O.report_data(runs, assets, score, summary)
+
+
 def g22_report_data(spark, sf_dir):
-    """Orders as runs, line items as assets, and each part's first supplier number as its score."""
-    o, item = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    runs = o.select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("brand_id"))
-    assets = item.select(F.col("l_orderkey").alias("run_id"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("asset_id")).distinct()
-    score = item.filter("l_quantity > 10").select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("asset_id"), F.col("l_suppkey").alias("score_id"))
-    return O.report_data(runs, assets, score)
+    m = F.col("meta")
+    return _report(spark, sf_dir).select(
+        "asset_id", "run_id", "assets", "score_id", F.round("final_score", 9).alias("final_score"), "screenshot_path", m["source_url"].alias("source_url"), m["title"].alias("title"), m["kept"].alias("kept"),
+        m["detected_attributes"].alias("detected"), F.round("avg_provenance", 9).alias("avg_provenance"), F.round("avg_coherence", 9).alias("avg_coherence"),
+    )
 
 
-QUERIES = {f.__name__: f for f in (f13_score_content, f23_run_summary, f26_visual_scope, f27_suggestions, g6_item_summary, g21_blocked, g22_report_data)}
+def g21_denied(spark, sf_dir):
+    return O.denied_pages(_report(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (f13_score_content, f13_with_issues, f23_run_summary, f26_visual_scope, f27_suggestions, g6_item_summary, g21_blocked, g21_denied, g22_report_data)}
 
 _pivot = lambda src: ", ".join(f"max(value / 10) FILTER (WHERE dimension = '{d}') AS {d}" for d in DIMENSIONS)
 _rounded = ", ".join(f"round({d}, 9) AS {d}" for d in DIMENSIONS)
+
+
+def _scored_sql(source: str) -> str:
+    return f"""{_dims_sql('content_id')}, {_trust_sql('content_id')}, w AS (SELECT content_id, {_pivot('dims')} FROM dims GROUP BY content_id),
+na AS (SELECT content_id, count(*) AS n_attributes, min(attribute_id) AS first_attribute FROM {source} GROUP BY content_id)
+SELECT content_id, {_rounded}, round(overall, 9) AS overall, {_BAND('round(overall, 9)')} AS band, n_attributes, first_attribute, round(coherence, 9) AS meta_coherence
+FROM content JOIN w USING (content_id) JOIN trust USING (content_id) JOIN na USING (content_id) WHERE {SKIP_SQL} IS NULL"""
+
+
 ORACLES = {
-    "f13_score_content": f"""WITH {SIGNAL_SQL}, {_dims_sql('content_id')}, {_trust_sql('content_id')}, w AS (SELECT content_id, {_pivot('dims')} FROM dims GROUP BY content_id)
-SELECT content_id, {_rounded}, round(overall, 9) AS overall, {_BAND('round(overall, 9)')} AS band FROM content JOIN w USING (content_id) JOIN trust USING (content_id) WHERE {SKIP_SQL} IS NULL""",
+    "f13_score_content": f"WITH {SIGNAL_SQL}, {_scored_sql('attrs')}",
+    "f13_with_issues": f"WITH {MERGED_SQL}, {DEFS_SQL}, sig AS (SELECT content_id, signal_id, d.dimension, d.weight, least(1.0, greatest(0.0, value / 10)) AS value, confidence, 'present' AS status FROM merged JOIN amap USING (attribute_id) JOIN defs AS d USING (signal_id)), {_scored_sql('merged')}",
     "f23_run_summary": f"WITH {SIGNAL_SQL}, {_dims_sql('brand_id, run_id')}, {_trust_sql('brand_id, run_id')}, w AS (SELECT brand_id, run_id, {_pivot('dims')} FROM dims GROUP BY brand_id, run_id) SELECT brand_id, run_id, {_rounded}, round(overall / 100, 9) AS overall FROM w JOIN trust USING (brand_id, run_id)",
     "f26_visual_scope": f"WITH {CONTENT_SQL} SELECT content_id FROM content WHERE seq % 4 = 0 OR channel = 'youtube'",
     "f27_suggestions": f"WITH {CONTENT_SQL} SELECT content_id, seq % 6 IN (0, 3) AS valid FROM content",
     "g6_item_summary": f"WITH {CLASS_SQL} SELECT content_id, round(CASE WHEN cls.seq % 5 = 0 THEN cls.seq % 100 ELSE overall * 100 END, 9) AS final_score, CASE WHEN trim(title) <> '' THEN title ELSE substr(body, 1, 60) || '...' END AS shown_title FROM cls JOIN content USING (content_id)",
     "g21_blocked": f"WITH {CONTENT_SQL}, s AS (SELECT *, {SKIP_SQL} AS skip_reason FROM content) SELECT brand_id, run_id, skip_reason, count(*) AS n, min(content_id) AS first FROM s WHERE skip_reason IN ('error_page', 'login_wall') GROUP BY ALL",
-    "g22_report_data": """WITH a AS (SELECT DISTINCT l_orderkey AS run_id, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS asset_id FROM lineitem), s AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS asset_id, min(l_suppkey) AS score_id FROM lineitem WHERE l_quantity > 10 GROUP BY ALL)
-SELECT asset_id, run_id, o_custkey AS brand_id, score_id FROM a JOIN orders ON run_id = o_orderkey LEFT JOIN s USING (asset_id)""",
+    "g22_report_data": f"""WITH {CONTENT_SQL}, v AS (SELECT run_id, avg(rating) AS p, coalesce(avg(rating) FILTER (WHERE run_id = 'run_1'), 0.0) AS c FROM content WHERE run_id <> 'run_3' GROUP BY ALL), r AS (SELECT run_id, count(*) AS assets FROM content GROUP BY ALL)
+SELECT content_id AS asset_id, run_id, assets, CASE WHEN seq % 8 > 0 THEN seq * 2 END AS score_id, round(CASE WHEN seq % 8 > 0 THEN CASE WHEN seq % 9 > 0 THEN (seq * 2 % 100) / 100.0 ELSE 0.0 END * 100 END, 9) AS final_score,
+ CASE WHEN seq % 6 = 0 THEN 'shot.png' WHEN seq % 8 > 0 AND seq % 2 = 0 THEN 'r.png' END AS screenshot_path, CASE WHEN seq % 7 > 0 AND seq % 3 = 0 THEN 'http://own/' || seq WHEN seq % 4 > 0 THEN 'http://a/' || seq END AS source_url, CASE WHEN seq % 5 > 0 THEN 'T' || seq END AS title,
+ CASE WHEN seq % 7 > 0 THEN 'x' END AS kept, CASE WHEN seq % 8 > 0 AND seq % 2 = 0 THEN '[{{"id":' || seq || '}}]' END AS detected, round(p, 9) AS avg_provenance, round(c, 9) AS avg_coherence FROM content JOIN r USING (run_id) LEFT JOIN v USING (run_id)""",
+    "g21_denied": f"""WITH {CONTENT_SQL} SELECT run_id, content_id AS asset_id, CASE WHEN seq % 3 = 0 THEN 'http://own/' || seq WHEN seq % 4 > 0 THEN 'http://a/' || seq ELSE 'Unknown URL' END AS url, CASE WHEN seq % 5 > 0 THEN 'T' || seq ELSE 'Access Denied' END AS title,
+ 'Anti-bot protection (Access Denied)' AS reason FROM content WHERE seq % 10 = 0 AND seq % 7 > 0""",
 }
