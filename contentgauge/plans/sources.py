@@ -9,12 +9,12 @@ from contentgauge.sources import readers as R
 from contentgauge.sources import writers as W
 from contentgauge.sources.tables import CONTENT_SQL, SCORES_SQL, contents, scores, table
 
-META = F.array_join(F.array_sort(F.transform(F.map_entries("meta"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
 ROW = ["content_id", "src", "platform_id", "author", "title", "body", "rating", "upvotes", "helpful_count", "event_ts", "url", "modality", "channel", "platform_type"]
 
 
 def _shown(df):
-    return df.select(*ROW, META.alias("meta"))
+    meta = F.array_join(F.array_sort(F.transform(F.map_entries("meta"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
+    return df.select(*ROW, meta.alias("meta"))
 
 
 def a1_assets(spark, sf_dir):

@@ -53,7 +53,7 @@ def s1_daily_dedup(spark, sf_dir):
 def s2_quality_gate(spark, sf_dir):
     """Documents through the gate in micro-batches; gated rows and the number of attributes of those that pass are appended."""
     out = shared_folder(spark)
-    content = _stream(spark, sf_dir, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("content_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"), *_UNKNOWN)
+    content = _stream(spark, sf_dir, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("content_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"), *[F.lit(v).cast(kind).alias(c) for c, kind, v in _UNKNOWN])
 
     def sink(gated, attributes, number):
         gated.select("content_id", "skip_reason", "language").write.mode("overwrite").parquet(f"{out}/gated/batch={number}")
@@ -65,7 +65,7 @@ def s2_quality_gate(spark, sf_dir):
     return rows.select("content_id", "skip_reason", "language", (F.coalesce("n", F.lit(0)) > 0).alias("has_attributes"))
 
 
-_UNKNOWN = [F.lit(v).cast(kind).alias(c) for c, kind, v in [("src", "string", "web"), ("modality", "string", "text"), ("channel", "string", "web"), ("helpful_count", "double", None), ("url", "string", None), ("meta", "map<string,string>", None)]]
+_UNKNOWN = [("src", "string", "web"), ("modality", "string", "text"), ("channel", "string", "web"), ("helpful_count", "double", None), ("url", "string", None), ("meta", "map<string,string>", None)]
 QUERIES = {f.__name__: f for f in (s1_daily_dedup, s2_quality_gate, s3_daily_ratio)}
 _FP = r"md5(array_to_string(list_transform(list_filter(regexp_split_to_array(lower(split_part(text, chr(10), 1) || ' ' || text), '\s+'), lambda w: w <> '')[1:50], lambda w: md5(w)), ''))"
 ORACLES = {
