@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contentgauge.llm import decontaminate, embedding_dedup, html_extract, jaccard_join, line_dedup, piece_codec, quality, substring_dedup, token_counts, url_filters
+from contentgauge.llm import decontaminate, embedding_dedup, html_extract, jaccard_join, line_dedup, periodic_runs, piece_codec, quality, substring_dedup, token_counts, token_files, url_filters, vector_codes
 from contentgauge.llm.common import table
 
-MODEL = "piece_bpe_32k.model"
+MODEL, TOKENIZER = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 
 def model_path(name: str = MODEL) -> str:
@@ -59,11 +60,55 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(*vector_codes.encode_vectors(table(spark, sf_dir, "embeddings")))
+
+
+def repeat_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """A tenth of all documents, by a checksum of the id, repeat the words from some place on; a null id is none of them."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + k % p] for k in range(n - a)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.find_runs(table(spark, sf_dir, "documents"), repeat_tail, digests=True)
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.write_tokens(token_files.encode_documents(table(spark, sf_dir, "documents"), model_path(TOKENIZER)))
+    return token_files.read_documents(spark, path)
+
+
+def _vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every round written out: the nearest entry by squared distance, then floored means; entries without parts stay."""
+    nearest = """a{k} AS MATERIALIZED (SELECT vec_id, j, x, arg_min(i, (d, i)) AS i, min(d) AS d FROM (
+    SELECT p.vec_id, p.j, p.x, b.i, list_sum(list_transform(list_zip(p.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN b{k} AS b ON p.j = b.j) GROUP BY vec_id, j, x),"""
+    moved = """s{k} AS (SELECT j, i, m, sum(c) AS s, count(*) AS n FROM (SELECT j, i, unnest(x) AS c, generate_subscripts(x, 1) AS m FROM a{k}) GROUP BY j, i, m),
+m{k} AS (SELECT j, i, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY m) AS c FROM s{k} GROUP BY j, i),
+b{n} AS MATERIALIZED (SELECT b.j, b.i, coalesce(m.c, b.c) AS c FROM b{k} AS b LEFT JOIN m{k} AS m USING (j, i)),"""
+    steps = "\n".join(nearest.format(k=k) + "\n" + moved.format(k=k, n=k + 1) for k in range(rounds)) + "\n" + nearest.format(k=rounds)
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, j, q[j * len(q) // {parts} + 1:(j + 1) * len(q) // {parts}] AS x FROM v, range({parts}) AS r(j)),
+b0 AS MATERIALIZED (SELECT j, dense_rank() OVER (ORDER BY vec_id) - 1 AS i, x AS c FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {entries})),
+{steps}
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY j, i)) AS codebooks_sha256 FROM b{rounds}),
+e AS (SELECT vec_id, string_agg(printf('%02x', i), '' ORDER BY j) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT e.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256, label FROM e JOIN v USING (vec_id), h"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_token_counts, op3_sentencepiece, op4_substring_dedup, op5_embedding_dedup,
         op6_jaccard_join, op7_url_filters, op8_html_extract, op9_line_dedup, op10_quality_classifier,
+        op11_vector_codes, op12_periodic_runs, op13_token_files,
     )
 }
 
@@ -114,4 +159,5 @@ f AS (SELECT *, length(key) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY ke
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM f GROUP BY doc_id""",
+    "op11_vector_codes": _vector_codes_sql(),
 }

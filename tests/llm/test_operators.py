@@ -10,6 +10,8 @@ import random
 import re
 import sys
 import subprocess
+import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from contentgauge.llm import (
-    components, decontaminate, embedding_dedup, html_extract, jaccard_join, line_dedup, piece_codec, pieces, quality, queries, substring_dedup, token_counts, url_filters, word_model,
+    components, decontaminate, embedding_dedup, html_extract, jaccard_join, line_dedup, periodic_runs, piece_codec, pieces, quality, queries, substring_dedup, token_counts, token_files, url_filters, vector_codes, word_model,
 )
 from tests.conftest import ROOT, SF, duck_rows, rows_of
 
@@ -602,3 +604,203 @@ def test_quality_edges(spark, docs, empty):
     clash = docs.withColumn("_lang", F.lit("x")).withColumn("_key", F.lit(1)).withColumn("c0", F.lit(2))
     again = quality.without_rejected(clash, labels)
     assert again.columns == clash.columns and again.filter("_lang = 'x' and _key = 1 and c0 = 2").count() == again.count() == quality.without_rejected(docs, labels).count()
+
+
+# 11 vector codes
+
+
+def brute_codes(rows, parts=8, entries=16, rounds=6):
+    kept = sorted((i, [math.floor(4096 * x) for x in e], label) for i, e, label in rows if e is not None and all(x is not None and math.isfinite(x) for x in e))
+    if not kept:
+        return []
+    x = np.array([k[1] for k in kept]).reshape(len(kept), parts, -1)
+    book = x[:entries].transpose(1, 0, 2).copy()
+    for turn in range(rounds + 1):
+        away = ((x[:, :, None, :] - book[None]) ** 2).sum(axis=3)
+        nearest = away.argmin(axis=2)
+        for j, k in itertools.product(range(parts), range(book.shape[1])) if turn < rounds else ():
+            if (own := nearest[:, j] == k).any():
+                book[j, k] = x[own, j].sum(axis=0) // own.sum()
+    errors, by_label = away.min(axis=2).sum(axis=1).tolist(), collections.Counter()
+    for (*_, label), e in zip(kept, errors, strict=True):
+        by_label[label] += e
+    digest = sha(",".join(map(str, book.ravel().tolist())))
+    return sorted((k[0], "".join(f"{c:02x}" for c in near), e, by_label[k[2]], digest) for k, near, e in zip(kept, nearest.tolist(), errors, strict=True))
+
+
+def coded(df):
+    return sorted((r.vec_id, r.code, r.error, r.label_error, r.codebooks_sha256) for r in df.collect())
+
+
+@pytest.mark.parametrize("n", [0, 3, 16, 400])
+def test_vector_codes_equal_brute_force(spark, n):
+    """Null, zero, broken and repeated vectors, ties, null labels, fewer vectors than entries, extra columns."""
+    r = np.random.default_rng(n)
+    rows = [(int(i) * 3, np.round(r.normal(size=16), 1).tolist(), int(r.integers(0, 3)) or None) for i in r.permutation(n)]
+    rows += [(1, None, 1), (2, [None] + [0.0] * 15, 1), (4, [math.nan] * 16, 1), (5, [math.inf] + [0.0] * 15, 2)]
+    rows += [(6 * n + 1, [0.0] * 16, 7), (6 * n + 2, [0.0] * 16, None), (6 * n + 3, [-50.0] * 16, None)] if n else []
+    df = spark.createDataFrame([(*x, "q", 1) for x in rows], "vec_id bigint, embedding array<double>, label int, q string, error int").repartition(3)
+    assert coded(vector_codes.digest(*vector_codes.encode_vectors(df))) == brute_codes(rows)
+
+
+@pytest.mark.parametrize("kind", ["normal", "grid", "copies"])
+def test_cover_trees_assign_like_all_comparisons(kind):
+    r = np.random.default_rng(5)
+    x = {"normal": r.normal(size=(3000, 8)) * 1000, "grid": r.integers(-2, 3, (3000, 8)) * 1000, "copies": np.repeat(r.normal(size=(30, 8)) * 1000, 100, axis=0)}[kind].astype(np.int64)
+    entries = x[r.integers(0, 3000, 16)]
+    entries[3] = entries[1]
+    tree = vector_codes.Tree.unpack(vector_codes.Tree.build(x).pack())
+    nearest = ((x[:, None] - entries[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert (tree.codes(x, entries) == nearest).all()
+    counts, sums = tree.sums(x, entries)
+    assert counts.tolist() == np.bincount(nearest, minlength=16).tolist() and all((sums[k] == x[nearest == k].sum(axis=0)).all() for k in range(16))
+    compared = []
+    tree.assign(x, entries, lambda start, end, to: compared.append(len(start) if end is None else 0))
+    assert sum(compared) < len(x) or kind == "grid"  # whole subtrees go without their points
+
+
+def test_codes_decode_to_near_vectors(spark):
+    r = np.random.default_rng(9)
+    rows = [(i, r.normal(size=16).tolist(), 0) for i in range(100)]
+    codes, book = vector_codes.encode_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"))
+    for c in codes.collect():
+        assert ((vector_codes.decode(c.code, book) - np.floor(4096 * np.array(rows[c.vec_id][1]))) ** 2).sum() == c.error
+
+
+def test_vectors_that_do_not_divide_are_refused(spark):
+    with pytest.raises(ValueError, match="equal parts"):
+        vector_codes.encode_vectors(spark.createDataFrame([(1, [1.0] * 10, 0)], "vec_id bigint, embedding array<double>, label int"))
+
+
+# 12 periodic runs
+
+
+def brute_runs(w, least_words=24, least_periods=3):
+    found = []
+    for q in range(1, len(w) // least_periods + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            length = j - i + q
+            if j > i and length >= max(least_words, least_periods * q):
+                own = w[i : i + length]
+                if not any(own[d:] == own[:-d] for d in range(1, q)):
+                    found.append((i, length, q))
+            i = max(j, i + 1)
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def repeating(seed):
+    """Short texts of few words with planted repetitions, so that many runs touch and overlap."""
+    r = random.Random(seed)
+    w = [r.choice("abcde"[: r.choice([1, 2, 2, 3, 5])]).encode() for _ in range(r.randrange(90))]
+    for _ in range(r.randrange(3) if len(w) > 3 else 0):
+        a, p = r.randrange(len(w)), r.randrange(1, 12)
+        for i in range(a + p, min(len(w), a + r.randrange(10, 70))):
+            w[i] = w[i - p]
+    return w
+
+
+def test_runs_equal_brute_force():
+    texts = [repeating(k) for k in range(800)]
+    for w, got in zip(texts, periodic_runs.runs_of(texts), strict=True):
+        assert list(map(tuple, got.tolist())) == brute_runs(w)
+        if w:
+            every = periodic_runs.find_in([x[0] for x in w], 2, 2)
+            assert list(map(tuple, every.tolist())) == brute_runs(w, 2, 2)
+
+
+def test_runs_query_equals_brute_force(spark):
+    """The whole table: digests, greatest run and collapsed text of every document, planted tails included."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in entry.queries()["op12_periodic_runs"](spark, SF).collect()}
+    assert got.keys() == texts.keys()
+    met = 0
+    for i, text in texts.items():
+        w = queries.repeat_tail(i, [x.encode() for x in SPACE.findall(text or "")])
+        if len(w) > 3000:
+            continue  # the brute force takes squares; long texts are in the next test
+        runs, r = brute_runs(w), got[i]
+        best = min(runs, key=lambda x: (-Fraction(x[1], x[2]), x[0], x[2]), default=(None,) * 3)
+        gone = {k for s, n, p in runs for k in range(s + p, s + n)}
+        met += len(runs)
+        assert (r.n_runs, r.start, r.length, r.period) == (len(runs), *best) and r.exponent_milli == (best[1] and 1000 * best[1] // best[2])
+        assert r.runs_sha256 == sha("".join(f"{s},{n},{p}\n" for s, n, p in runs))
+        assert r.collapsed_sha256 == hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()
+    assert met > 5
+
+
+def test_runs_of_odd_texts(spark, docs, empty):
+    """Nulls, white space, one word thousands of times, a long text of one period, repeated rows and clashing names."""
+    got = {(r.doc_id, r.n_runs, r.length, r.period, r.collapsed_text) for r in periodic_runs.find_runs(docs).collect()}
+    assert {(5, 0, None, None, ""), (6, 0, None, None, ""), (7, 0, None, None, ""), (12, 1, 120, 2, "A a"), (None, 0, None, None, "")} <= got
+    long = documents(spark, [(1, "x " * 50_000), (2, " ".join(words(5000, 3) * 4)), (3, "é\x00b " * 8), (4, "a b " * 12 + "a c")])
+    got = {r.doc_id: [tuple(x) for x in r.runs] for r in periodic_runs.find_runs(long).collect()}
+    assert got == {1: [(0, 50_000, 1)], 2: [(0, 20_000, 5000)], 3: [], 4: [(0, 25, 2)]}
+    assert periodic_runs.find_runs(empty).count() == 0
+
+
+# 13 token files
+
+
+def library_ids(texts):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.model_path(queries.TOKENIZER))
+    return [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_equals_the_library():
+    """All kinds of white space and marks at every border, special tokens inside words, contractions."""
+    r = random.Random(3)
+    letters = list(" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0 　​ab'sS1٣é漢😀.,!?<") + ["<|endoftext|>", "  ", " ", " ", " ", "'s", "'ll", "word", "word."]
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(30))) for _ in range(5000)] + [None, "", " ", "a" * 3000, "the end. " * 2000, "x\n\ny " * 50]
+    encoder = token_files.Encoder(queries.model_path(queries.TOKENIZER))
+    for _ in range(2):  # with and without remembered words
+        assert [x.tolist() for x in encoder.texts(texts)] == library_ids(texts)
+
+
+@pytest.mark.parametrize("widths", [(1, 1, 2), (2, 2), (4,), (1, 1, 1, 1)])
+def test_direct_codes_go_round(widths):
+    r = np.random.default_rng(1)
+    for n, high in itertools.product((0, 1, 511, 512, 513, 3000), (1, 256, 257, 50257, 1 << 32)):
+        ids = r.integers(0, high, n, dtype=np.uint64).astype(np.uint32)
+        ids[: n // 3] = 3
+        r.shuffle(ids)
+        codes = token_files.Codes(token_files.pack(ids, widths))
+        assert len(codes) == n and (codes.all() == ids).all() and all(codes.at(k) == ids[k] for k in range(n))
+    with pytest.raises(IndexError):
+        codes.at(n)
+    with pytest.raises(ValueError, match="do not fit"):
+        token_files.pack(np.array([70_000]), (1, 1))
+
+
+def numbered(rows):
+    """doc_id, start, n_tokens and checksum by definition; null ids come first, equal ids by length and checksum."""
+    found = sorted(((-1 if i is None else i), len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4")), i) for i, x in rows)
+    starts = itertools.accumulate((n for _, n, *_ in found), initial=0)
+    return [(i, s, n, c) for (_, n, c, i), s in zip(found, starts, strict=False)]
+
+
+def test_token_files_query_equals_the_library(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = [tuple(r) for r in entry.queries()["op13_token_files"](spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect()]
+    assert sorted(got, key=lambda r: r[1]) == numbered(zip([r.doc_id for r in rows], library_ids([r.text for r in rows]), strict=True))
+
+
+def test_token_files_of_odd_texts(spark, docs, empty, monkeypatch):
+    """Nulls, repeated ids, many parts and segments; any place is read on its own."""
+    monkeypatch.setattr(token_files, "PART", 5000)
+    path = token_files.write_tokens(token_files.encode_documents(docs, queries.model_path(queries.TOKENIZER)))
+    texts = corpus()
+    ids = library_ids([t for _, t in texts])
+    got = sorted(token_files.read_documents(spark, path, with_ids=True).collect(), key=lambda r: r.start)
+    assert [tuple(r)[:4] for r in got] == numbered(zip([i for i, _ in texts], ids, strict=True))
+    flat = [x for r in got for x in r.ids]
+    places = [0, 1, 777, 5000, len(flat) - 1, len(flat), -1]
+    assert sorted(map(tuple, token_files.read_at(spark, path, places).collect())) == [(p, flat[p]) for p in places if 0 <= p < len(flat)]
+    assert spark.read.parquet(f"{path}/directory").count() > 2
+    path = token_files.write_tokens(token_files.encode_documents(empty, queries.model_path(queries.TOKENIZER)))
+    assert token_files.read_documents(spark, path).count() == 0 and token_files.read_at(spark, path, []).count() == 0
