@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contentgauge.functions import pages as P
-from contentgauge.operators import page_text
 from contentgauge.operators import pages as O
 from contentgauge.operators import urls as U
 from contentgauge.sources.tables import table
@@ -75,16 +74,7 @@ def b15_footers(spark, sf_dir):
     return O.footer_seen(table(spark, sf_dir, "pages"))
 
 
-def b10_segments(spark, sf_dir):
-    """Main, header and footer text of every page."""
-    return page_text.segments(page_text.page_elements(table(spark, sf_dir, "pages")))
-
-
-def b16_structured_body(spark, sf_dir):
-    return page_text.structured_body(page_text.page_elements(table(spark, sf_dir, "pages")))
-
-
-QUERIES = {f.__name__: f for f in (b_extract_pages, b12_policy_links, b13_page_links, b15_footers, b3_markup, b11_enrich, b10_segments, b16_structured_body)}
+QUERIES = {f.__name__: f for f in (b_extract_pages, b12_policy_links, b13_page_links, b15_footers, b3_markup, b11_enrich)}
 
 _q = lambda s: "'" + s + "'"
 _part = lambda x, xs: "(" + " OR ".join(f"contains({x}, {_q(s)})" for s in xs) + ")"

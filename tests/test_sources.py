@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contentgauge.functions import pages as P
-from contentgauge.operators import detectors, page_text, review
+from contentgauge.operators import detectors, page_tree, review
 from contentgauge.sources import readers, writers
 from contentgauge.streaming import jobs
 
@@ -146,12 +146,37 @@ def test_streams(spark, tmp_path):
     assert got[0] == ({"a": "insufficient_content", "b": "insufficient_content", "c": None, "d": "insufficient_content"}, {"c"}) and got[1] == ({"e": None}, {"e"})
 
 
-def test_page_segments(spark):
+def test_page_trees_of_odd_markup(spark):
+    """Null and empty pages, text without tags, elements that are never closed or closed twice, the title of a page without a body, scripts and comments within text."""
     html = "<header>Top <nav>menu</nav></header><main><h1 class=x>Head line one</h1><p>Some text <b>bold</b> here.</p><ul><li class=price>Price 5 dollars</li></ul>" + "<p>Long enough paragraph of text.</p>" * 3 + "</main><div class='site-info'>Foot &copy;</div>"
-    pages = spark.createDataFrame([(1, html), (2, "<p>only this</p><script>x</script>"), (3, None)], "page_id bigint, html string")
-    elements = page_text.page_elements(pages).cache()
-    got = {r["page_id"]: r for r in page_text.segments(elements).collect()}
-    assert got[1]["header_text"] == "Top menu" and got[1]["footer_text"] == "Foot ©" and got[1]["main_text"].startswith("Head line one Some text bold here. Price 5 dollars Long")
-    assert got[2]["main_text"] == "only this" and 3 not in got
-    rows = [(r["tag"], r["role"], r["text"]) for r in page_text.structured_body(elements).orderBy("page_id", "pos").collect()]
-    assert rows[:3] == [("h1", "headline", "Head line one"), ("p", "body_text", "Some text bold here."), ("li", "product_info", "Price 5 dollars")] and rows[-1] == ("p", "body_text", "only this")
+    pages = [(1, html), (2, "<title>T</title><p>only <!-- x -->this</p></i><script>x</script>"), (3, None), (4, ""), (5, "bare < text"), (6, "<body><article><header><h1>Title</h1></header>Text.</article>"), (None, "<div>a" * 300)]
+    trees = page_tree.page_trees(spark.createDataFrame([(i, f"https://x.example/{i}", h, "n") for i, h in pages], "page_id bigint, url string, html string, runs string")).cache()
+    got = {r.page_id: r for r in page_tree.segments(trees).collect()}
+    assert got[1].header_text == "Top menu" and got[1].footer_text == "Foot ©" and got[1].main_text.startswith("Head line one Some text bold here. Price 5 dollars Long")
+    assert (got[6].main_text, got[6].header_text) == ("Title Text.", "Title")  # text of a header within an article is in both
+    assert got[2].main_text == got[3].main_text == ""  # no body
+    units = sorted((r.page_id or 0, r.pos, r.tag, r.role, r.text) for r in page_tree.structured_body(trees).collect())
+    assert units[0][2:] == ("div", "body_text", " ".join(["a"] * 299)) and [u[2:] for u in units if u[0] == 1][:3] == [("h1", "headline", "Head line one"), ("p", "body_text", "Some text bold here."), ("li", "product_info", "Price 5 dollars")]
+    assert [u[2:] for u in units if u[0] == 2] == [("p", "body_text", "only this")] and {u[0] for u in units} == {0, 1, 2}
+    bodies = {r.page_id: (r.step, r.body) for r in page_tree.body_text(trees).collect()}
+    assert bodies[2] == ("body", "only \n this") and bodies[3] == bodies[4] == ("body", "") and bodies[5] == ("body", "bare < text") and bodies[None][0] == "longest"
+
+
+def test_page_trees_with_cards_and_nesting(spark):
+    """Nested cards each count, at most 20 are listed, and the longest div that is no sidebar wins, the first of equals."""
+    card = "<div class='product-card'><h3>Name {0}</h3><p class='cost'>{0} EUR</p></div>"
+    grid = "<body><div class='product-grid'>" + "".join(card.format(k) for k in range(25)) + "</div></body>"
+    few = "<body>" + card.format(1) * 2 + "<div class='x'>" + "long text " * 12 + "</div><div class='y'>" + "text long " * 12 + "</div></body>"
+    trees = page_tree.page_trees(spark.createDataFrame([(1, grid), (2, few)], "page_id bigint, html string").withColumn("url", F.lit(None).cast("string")))
+    units = [(r.page_id, r.tag, r.role, r.text) for r in page_tree.structured_body(trees).orderBy("page_id", "pos").collect()]
+    assert units[:20] == [(1, "product_card", "product_listing", f"Name {k} ({k} EUR)") for k in range(20)]
+    bodies = {r.page_id: r for r in page_tree.body_text(trees).collect()}
+    # cards of the part "card" are also those with the name of the whole grid in them
+    assert bodies[1].step == "grid" and bodies[1].body.count("\n") == 24 and bodies[2].step == "longest" and bodies[2].body.startswith("long text")
+
+
+def test_badges_follow_the_url(spark):
+    pages = [(1, "https://X.com/a", '<svg data-testid="icon-verified"></svg>'), (2, "https://www.linkedin.com/company/a", '<use href="#verified-medium"></use>'), (3, None, '<b title="verified">v</b>'), (4, "https://instagram.com/a", None)]
+    trees = page_tree.page_trees(spark.createDataFrame(pages, "page_id bigint, url string, html string"))
+    got = {r.page_id: (r.verified, r.platform, r.badge_type) for r in page_tree.verification_badges(trees).collect()}
+    assert got == {1: (True, "twitter", "gold_checkmark"), 2: (True, "linkedin", "verified_account"), 3: (True, "unknown", "verification_badge"), 4: (False, "instagram", "")}
