@@ -22,6 +22,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -41,8 +42,8 @@ BLOCK = 512
 SEGMENT, CHUNK = 1 << 18, 2_000_000
 #: Ids of a part; there are at most so many parts, larger ones beyond, so that the directory stays small.
 PART, PARTS = 1 << 23, 100_000
-#: Words whose ids a task remembers.
-MEMO = 1_000_000
+#: Words whose ids a worker remembers, twice: those of the present term and of the one before.
+MEMO = 700_000
 _HEAD, _LEVEL = struct.Struct("<4sIQ"), struct.Struct("<IQ")
 
 
@@ -146,15 +147,19 @@ class Encoder:
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # a byte-level vocabulary writes the space so
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def texts(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [(t or "").split(" ") for t in texts]
         heads = [x.pop(0) for x in cut]
         seen = set().union(*cut)
-        new = list(seen - self.known.keys())
+        new = seen - self.known.keys()
         if len(self.known) + len(new) > MEMO:
-            self.known, new = {}, list(seen)
-        self._learn(new)
+            # words met since the last change are kept for another term, others go
+            self.before, self.known, new = self.known, {}, seen
+        again = new & self.before.keys()
+        self.known.update(zip(again, map(self.before.pop, again), strict=True))
+        self._learn(list(new - again))
         first = dict(zip(heads, self._apart(heads), strict=True))
         get, out = self.known.__getitem__, []
         for head, words, t in zip(heads, cut, texts, strict=True):
@@ -193,6 +198,12 @@ class Encoder:
             self.known.update(zip(some, [data[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
 
 
+@cache
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this worker, whose words are remembered from task to task."""
+    return Encoder(path)
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2) -> DataFrame:
     """doc_id, n_tokens, crc32 and ids (zstd over 16 or 32 bits an id) of every whole text, written out once; one row per input row.
 
@@ -200,7 +211,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, codec = Encoder(tokenizer_path), pa.Codec("zstd", 1)
+        encoder, codec = encoder_of(tokenizer_path), pa.Codec("zstd", 1)
         end = np.array([] if end_id is None else [end_id], encoder.type)
         for b in batches:
             column, at = b.column("text"), 0
