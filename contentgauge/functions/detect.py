@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from contentgauge.functions.pages import names_in
+from contentgauge.functions.pages import author_kinds, names_in
 from contentgauge.functions.urls import location, path
 
 # fixed values: phrases of the rules
@@ -110,11 +110,12 @@ def readability() -> Column:
 def provenance() -> list[Column]:
     score = F.lit(0)
     # the first phrase that occurs counts, more in header or footer than in the text
-    says = lambda parts: F.coalesce(*[F.when(F.col("_margin").contains(p), 4).when(F.col("_body").contains(p), 3) for p in parts], F.lit(0))
-    parts = [F.when(is_true("has_c2pa_manifest"), 5).otherwise(0), F.when(F.coalesce(meta("author"), F.lit("")) != "", 2).otherwise(0), F.when(is_true("ai-generated"), 5).otherwise(0), says(HUMAN), says(AI_MADE)]
+    says = lambda parts: F.coalesce(*[F.when(F.col("_margin").contains(p), 4).when(F.col("_main").contains(p), 3) for p in parts], F.lit(0))
+    by_kind = F.coalesce(F.exists(author_kinds(F.coalesce(meta("schema_org"), F.lit(""))), lambda k: k.isin("Person", "Organization")), F.lit(False))
+    parts = [F.when(by_kind, 4).otherwise(0), F.when(is_true("has_c2pa_manifest"), 5).otherwise(0), F.when(F.coalesce(meta("author"), F.lit("")) != "", 2).otherwise(0), F.when(is_true("ai-generated"), 5).otherwise(0), says(HUMAN), says(AI_MADE)]
     for p in parts:
         score = score + p
-    label = F.when(score >= 4, F.least(F.lit(10.0), F.greatest(F.lit(5.0), score.cast("double")))).when(contains_any(F.col("_body"), AI_TRACES), 1.0)
+    label = F.when(score >= 4, F.least(F.lit(10.0), F.greatest(F.lit(5.0), score.cast("double")))).when(contains_any(F.col("_main"), AI_TRACES), 1.0)
     manifest = F.when(has_key("c2pa_manifest", "cai_manifest", "content_credentials"), F.when(F.coalesce(meta("c2pa_valid"), F.lit("")) == "false", 5.0).otherwise(10.0)).when(
         (F.col("modality") != "text") | is_true("has_significant_visuals"), 1.0
     )
@@ -123,9 +124,8 @@ def provenance() -> list[Column]:
     same_page = F.rtrim(canonical, F.lit("/")) == F.rtrim(source, F.lit("/"))
     match = F.when(F.coalesce(canonical, F.lit("")).__ne__("") & F.coalesce(source, F.lit("")).__ne__(""), F.when(same_page | ((bare(canonical) == bare(source)) & (path(canonical) == path(source))), 10.0).when(bare(canonical) == bare(source), 5.0).otherwise(1.0))
     age = F.try_to_number(meta("domain_age_days"), F.lit("999999"))
-    flags = F.coalesce(
-        (meta("ssl_valid") == "false") | (F.map_contains_key("meta", "privacy") & (meta("privacy") == "")) | (meta("has_privacy_policy") == "false") | (age < 30) | (meta("malware_detected") == "true"), F.lit(False)
-    )
+    signs = [meta("ssl_valid") == "false", F.map_contains_key("meta", "privacy") & (meta("privacy") == ""), meta("has_privacy_policy") == "false", age < 30, meta("malware_detected") == "true", meta("spam_score").try_cast("double") > 7]
+    flags = reduce(or_, [F.coalesce(f, F.lit(False)) for f in signs])
     trusted = reduce(lambda c, kv: c.when(F.lower("src") == kv[0], kv[1]), list(TRUSTED_SOURCES.items())[1:], F.when(F.lower("src") == "amazon", 8.0))
     domain = F.coalesce(meta("domain"), F.lit(""))
     institution = reduce(or_, [domain.endswith(s) for s in TRUSTED_SUFFIXES])

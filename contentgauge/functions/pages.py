@@ -110,6 +110,18 @@ def names_in(schema: Column, key: str) -> Column:
     return F.filter(F.transform(objects, name), lambda x: F.coalesce(x, F.lit("")) != "")
 
 
+def author_kinds(schema: Column) -> Column:
+    """@type of every author that the objects of a JSON-LD text have, or of their creators where there is no author."""
+    part = lambda o, at: F.try_variant_get(o, at, "variant")
+    kind = lambda v: F.schema_of_variant(v)
+    given = lambda v: F.when(v.isNotNull() & ~kind(v).isin("VOID", "ARRAY<VOID>") & (F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("")) != ""), v)
+    writer = lambda o: F.coalesce(given(part(o, "$.author")), given(part(o, "$.creator")))
+    each = lambda v: F.when(kind(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
+    named = lambda v: F.when(kind(part(v, "$['@type']")) == "STRING", F.try_variant_get(v, "$['@type']", "string"))
+    writers = F.filter(F.transform(flat_json_ld(F.try_parse_json(schema)), writer), lambda v: v.isNotNull())
+    return F.transform(F.flatten(F.transform(writers, each)), named)
+
+
 def microdata_types(html: Column) -> Column:
     """itemtype of every element that has one."""
     marked = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)(<[a-z][^>]*\bitemtype\s*=[^>]*>)"), 1)

@@ -21,13 +21,13 @@ def _strip(x: Column) -> Column:
 
 
 def with_text(df: DataFrame) -> DataFrame:
-    """Lower-cased text once for all detectors: _body, _low (body and title), _margin (footer and header), _url; columns that are not there are null."""
+    """Lower-cased text once for all detectors: _body, _main (the page's main text, else the body), _low (body and title), _margin (footer and header), _url; columns that are not there are null."""
     part = lambda c: F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("")
     meta = {} if "meta" in df.columns else {"meta": F.create_map().cast("map<string,string>")}
     kinds = {"url": "string", "author": "string", "platform_type": "string", "source_type": "string", "upvotes": "int", "rating": "double", "helpful_count": "double"}
     more = {c: F.lit(None).cast(kind) for c, kind in kinds.items() if c not in df.columns}
     return df.withColumns(meta | more).withColumns(
-        {"_url": F.lower(F.coalesce("url", F.lit(""))), "_body": F.lower(part("body")), "_low": F.lower(F.concat(part("body"), F.lit(" "), part("title"))), "_margin": F.lower(F.concat(part("footer_text"), F.lit(" "), part("header_text")))}
+        {"_url": F.lower(F.coalesce("url", F.lit(""))), "_body": F.lower(part("body")), "_main": F.lower(F.coalesce(F.nullif(part("main_text"), F.lit("")), part("body"))), "_low": F.lower(F.concat(part("body"), F.lit(" "), part("title"))), "_margin": F.lower(F.concat(part("footer_text"), F.lit(" "), part("header_text")))}
     )
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentgauge.operators import normalize, scoring
 from contentgauge.sources.tables import DIMENSIONS
 
-# fixed values: prompt phrases that a suggestion must not repeat
-ECHOES = ["concrete rewrite", "exact quote", "explain why", "suggested improvement"]
+# fixed values: sentences of the prompt that a suggestion must not repeat
+ECHOES = ["why didn't i get 100%", "what specific thing could make this even better", "what is one small thing i could do to make this perfect", "the client wants to know"]
+# fixed values: parts of the names of issues whose items need an explanation
+EXPLAINED = ["improvement", "opportunity", "vocabulary", "tone", "voice"]
 
 
 def item_summary(classified: DataFrame, adjusted: DataFrame) -> DataFrame:
@@ -64,18 +69,30 @@ def run_summary(dimensions: DataFrame, asset_scores: DataFrame, keys: list[str])
     return joined.select(*keys, *[F.coalesce(d, f"mean_{d}").alias(d) for d in DIMENSIONS], F.coalesce("trust", "mean_overall").alias("overall"))
 
 
-def in_visual_scope(content: DataFrame, scopes: list[str]) -> DataFrame:
-    """Content whose screenshots are judged: owned sources, or a content type of the scope."""
-    return content.filter((F.coalesce("source_type", F.lit("")) == "brand_owned") | F.col("content_type").isin(scopes))
+def in_visual_scope(content: DataFrame, scopes: list[str] = ["brand_owned", "landing_page"]) -> DataFrame:  # noqa: B006
+    """Content whose screenshots are judged: owned sources in either spelling, or a content type of the scope; without regard to case."""
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    return content.filter(low("source_type").isin("brand_owned", "brand-owned") | low("content_type").isin([s.strip().lower() for s in scopes]))
+
 
+def valid_suggestion(issue_type: Column, suggestion: Column, evidence: Column) -> Column:
+    """Whether an issue's item is listed beside the suggestions that were taken.
 
-def valid_suggestion(suggestion: Column) -> Column:
-    """A suggestion that is no echo of the prompt and no bare quote, and names an aspect or a rewrite."""
-    s = F.trim(F.coalesce(suggestion, F.lit("")))
-    echo = s == ""
-    for e in ECHOES:
-        echo = echo | F.lower(s).contains(e)
-    return ~echo & ~s.rlike("^['\"][^'\"]*['\"]$") & (F.substring(s, 1, 60).contains(":") | s.contains("->") | s.contains("Change '"))
+    Issues of improvements, vocabulary, tone and voice need an aspect (a colon among the first 60 characters, not that
+    of a quote) or a rewrite (Change '...'), and no sentence of the prompt. Without a suggestion of that kind there is
+    none to list; evidence that is only a quote doesn't replace it. Items of other issues are always listed.
+    """
+    s, e = F.coalesce(suggestion, F.lit("")), F.coalesce(evidence, F.lit(""))
+    t = F.btrim(s, F.lit(" \t\n\r"))
+    quote = t.startswith("EXACT QUOTE")
+    echo = reduce(or_, [F.lower(s).contains(x) for x in ECHOES])
+    colon = F.instr(s, ":")
+    aspect = (colon > 0) & (colon <= 60) & ~quote
+    rewrite = s.contains("Change '")
+    bare = ~aspect & ~rewrite & ((F.length(s) < 100) | s.contains("EXACT QUOTE:")) & (t.startswith("EXACT QUOTE:") | t.startswith("'"))
+    only_quoted = (s == "") & (F.length(e) < 100) & ((e.contains("EXACT QUOTE:") & F.trim(e).startswith("EXACT QUOTE:")) | F.trim(e).startswith("'"))
+    needed = reduce(or_, [F.lower(F.coalesce(issue_type, F.lit(""))).contains(x) for x in EXPLAINED])
+    return ~needed | (~only_quoted & ~echo & ~bare & (aspect | rewrite))
 
 
 def score_content(content: DataFrame, attributes: DataFrame, attr_map: DataFrame, defs: DataFrame) -> DataFrame:

@@ -35,14 +35,14 @@ def e_provenance_branches(spark, sf_dir):
     body = F.when(n % 11 == 7, F.concat(F.lit("About us. "), phrase, F.repeat(F.lit(" words"), 60))).when(n % 11 == 8, phrase).otherwise(F.concat(phrase, F.repeat(F.lit(" words"), 60)))
     meta = _meta(
         author=_case(11, (1, "Jo")), has_c2pa_manifest=_case(5, (0, "true")), ai__generated=_case(7, (0, "true")), c2pa_manifest=_case(5, (0, "m")), c2pa_valid=_case(10, (0, "false")),
-        schema_org=_case(11, (2, '{"json_ld": [[1, {"@graph": [{"@type": "Page"}, {"author": [{"@type": "Person", "name": "Jo"}]}]}]]}'), (3, '[{"author": "Anonymous", "publisher": "P"}]')), team=_case(11, (4, "Core")), about_url=_case(11, (5, "/about")), has_global_author_info=_case(11, (6, "true")),
+        schema_org=F.coalesce(_case(22, (20, '{"author": "", "creator": {"@type": "Organization"}}'), (9, '{"author": {"@type": "Robot"}, "creator": {"@type": "Person"}}')), _case(11, (2, '{"json_ld": [[1, {"@graph": [{"@type": "Page"}, {"author": [{"@type": "Person", "name": "Jo"}]}]}]]}'), (3, '[{"author": "Anonymous", "publisher": "P"}]'))), team=_case(11, (4, "Core")), about_url=_case(11, (5, "/about")), has_global_author_info=_case(11, (6, "true")),
         whois_age_years=_case(9, (1, "12"), (2, "6.5"), (3, "2"), (4, "1"), (5, "0.5"), (6, "0.2"), (7, "x"), (8, "10")), whois_private=_case(4, (2, "true")), whois_org=_case(4, (3, "Org")),
         has_significant_visuals=_case(2, (0, "true")), canonical_url=canonical, fingerprint=_case(7, (3, "f")), exif_data=_case(8, (0, "e"), (1, "e"), (2, "e"), (3, "e")), exif_status=_case(8, (1, "stripped"), (2, "changed")),
         ssl_valid=_case(12, (1, "false"), (8, "true")), privacy=_case(12, (2, ""), (9, "/privacy")), has_privacy_policy=_case(12, (3, "false")), domain_age_days=_case(12, (4, "20"), (10, "400"), (11, "100")),
-        malware_detected=_case(12, (5, "true")), domain=_case(12, (6, "city.gov"), (7, "nytimes.com")), badge_verified=_case(14, (0, "true")),
+        malware_detected=_case(12, (5, "true")), spam_score=_case(17, (1, "7.5"), (2, "7"), (3, "none")), domain=_case(12, (6, "city.gov"), (7, "nytimes.com")), badge_verified=_case(14, (0, "true")),
     )
     c = contents(spark, sf_dir).withColumns(
-        {"url": url, "author": _case(11, (0, "Ann Lee"), (1, "admin")), "src": _or(_case(13, (0, "reddit"), (1, "amazon"), (2, "youtube")), "web"), "meta": meta, "body": body, "title": F.lit("T"), "footer_text": _or(_case(6, (3, "Human-led newsroom")), "")}
+        {"url": url, "author": _case(11, (0, "Ann Lee"), (1, "admin")), "src": _or(_case(13, (0, "reddit"), (1, "amazon"), (2, "youtube")), "web"), "meta": meta, "body": body, "title": F.lit("T"), "footer_text": _or(_case(6, (3, "Human-led newsroom")), ""), "main_text": _case(10, (3, "Plain."), (7, ""))}
     )
     return O.detect_attributes(c, ["content_id"], dimensions=("provenance",))
 
@@ -99,15 +99,16 @@ def _sql(dimension: str | None, *rows: tuple[str, ...]) -> str:
     return "WITH d AS (SELECT doc_id AS n, doc_id % 400 AS votes, (doc_id % 50) / 10.0 AS rating, doc_id % 23 AS helpful FROM documents) SELECT * FROM (" + " UNION ALL ".join(one.format(*r) for r in filled) + ") WHERE value IS NOT NULL"
 
 
-_SAID = "(CASE WHEN n % 5 = 0 THEN 5 ELSE 0 END + CASE WHEN n % 11 = 1 THEN 2 ELSE 0 END + CASE WHEN n % 7 = 0 THEN 5 ELSE 0 END + CASE n % 6 WHEN 1 THEN 3 WHEN 2 THEN 3 WHEN 3 THEN 4 ELSE 0 END)"
-_FLAGGED = "n % 12 IN (1, 2, 3, 4, 5)"
+# of the structured authors only the list with a Person has a kind; main text, where there is some, stands for the body
+_SAID = "(CASE WHEN n % 11 = 2 OR n % 11 = 9 AND n % 2 = 0 THEN 4 ELSE 0 END + CASE WHEN n % 5 = 0 THEN 5 ELSE 0 END + CASE WHEN n % 11 = 1 THEN 2 ELSE 0 END + CASE WHEN n % 7 = 0 THEN 5 ELSE 0 END + CASE WHEN n % 6 IN (1, 2) AND n % 10 <> 3 THEN 3 WHEN n % 6 = 3 THEN 4 ELSE 0 END)"
+_FLAGGED = "(n % 12 IN (1, 2, 3, 4, 5) OR n % 17 = 1)"
 _CITED = "CASE WHEN n % 3 = 1 THEN CASE WHEN n % 9 = 1 THEN 10 ELSE 2 END END"
 _STUDY = "CASE WHEN n % 4 = 2 THEN CASE WHEN n % 8 = 2 THEN 10 ELSE 2 END END"
 _NOINDEX, _ALLOWED, _MAPPED = "n % 7 = 0", "n % 8 <> 3", "(n % 4 = 0 OR n % 9 = 0)"
 ORACLES = {
     "e_provenance_branches": _sql(
         "provenance",
-        ("ai_vs_human_labeling_clarity", f"CASE WHEN {_SAID} >= 4 THEN least(10, greatest(5, {_SAID})) WHEN n % 6 = 4 THEN 1 END", f"CASE WHEN {_SAID} >= 4 THEN least(1.0, {_SAID} / 10 + 0.2) ELSE 0.9 END", f"CASE WHEN {_SAID} >= 4 THEN 'present' ELSE 'absent' END"),
+        ("ai_vs_human_labeling_clarity", f"CASE WHEN {_SAID} >= 4 THEN least(10, greatest(5, {_SAID})) WHEN n % 6 = 4 AND n % 10 <> 3 THEN 1 END", f"CASE WHEN {_SAID} >= 4 THEN least(1.0, {_SAID} / 10 + 0.2) ELSE 0.9 END", f"CASE WHEN {_SAID} >= 4 THEN 'present' ELSE 'absent' END"),
         ("author_brand_identity_verified", "[10, 7, 8, 7, 6, 6, 8, 5, 1, 1, 1][n % 11 + 1]", "[0.9, 0.9, 0.95, 0.9, 0.85, 0.8, 0.85, 0.5, 0.5, 0.8, 0.8][n % 11 + 1]", "CASE WHEN n % 11 = 7 THEN 'partial' WHEN n % 11 = 8 THEN 'unknown' WHEN n % 11 > 8 THEN 'absent' ELSE 'present' END"),
         ("domain_age", "CASE WHEN n % 13 > 2 THEN [NULL, 10, 8, 6, 4, 3, 2, NULL, 10][n % 9 + 1] END", "0.9"),
         ("whois_privacy", "CASE WHEN n % 13 > 2 THEN CASE n % 4 WHEN 2 THEN 4 WHEN 3 THEN 8 END END", "CASE WHEN n % 4 = 2 THEN 0.85 ELSE 0.9 END"),

@@ -38,14 +38,26 @@ def f23_run_summary(spark, sf_dir):
 
 
 def f26_visual_scope(spark, sf_dir):
-    c = contents(spark, sf_dir).withColumns({"source_type": F.when(F.col("seq") % 4 == 0, "brand_owned"), "content_type": F.col("channel")})
-    return O.in_visual_scope(c, ["youtube"]).select("content_id")
+    """Sources in both spellings and cases; content types by channel."""
+    source = F.element_at(F.array(F.lit("Brand_Owned"), F.lit("brand-owned"), F.lit("third_party"), F.lit("user_generated"), F.lit(None).cast("string")), (F.col("seq") % 5 + 1).cast("int"))
+    kind = F.when(F.col("channel") == "youtube", "LANDING_page").otherwise(F.when(F.col("seq") % 3 > 0, F.col("channel")))
+    return O.in_visual_scope(contents(spark, sf_dir).withColumns({"source_type": source, "content_type": kind})).select("content_id", "source_type", "content_type")
+
+
+#: Suggestions and evidence by doc_id % 14, and whether an issue that needs an explanation lists them.
+SUGGESTIONS = [
+    ("Tone: too formal. EXACT QUOTE: 'x'", "", True), ("'just a quote'", "", False), ("EXACT QUOTE: 'some text'", "", False), ("Change 'a' -> 'b'", "", True), ("Improve this", "", False), ("", "EXACT QUOTE: 'x'", False),
+    ("The client wants to know: Change 'a' -> 'b'", "", False), ("a -> b", "", False), ("EXACT QUOTE: 'x'. Change 'x' -> 'y'", "", True), ("It would be good to say much more than this about the product and: why", "", False),
+    ("Voice: what specific thing could make this even better", "", False), ("", "A long explanation without a suggestion", False), ("'Tone': plain words", "", True), ("Clarity: say it", "'x'", True),
+]
 
 
 def f27_suggestions(spark, sf_dir):
-    forms = ["Tone: use plainer words", "'just a quote'", "Please give an exact quote: here", "Change 'a' -> 'b'", "Improve this", ""]
-    s = F.element_at(F.array(*map(F.lit, forms)), (F.col("seq") % 6 + 1).cast("int"))
-    return contents(spark, sf_dir).select("content_id", O.valid_suggestion(s).alias("valid"))
+    """Each suggestion under an issue that needs an explanation and, of every third document, under one that does not."""
+    n = F.col("seq")
+    pick = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in SUGGESTIONS]), (n % 14 + 1).cast("int"))
+    kind = F.when(n % 3 == 0, "missing_privacy_policy").otherwise(F.element_at(F.array(*map(F.lit, ["Improvement", "inconsistent_voice", "tone_shift", "vocabulary", "Opportunity"])), (n % 5 + 1).cast("int")))
+    return contents(spark, sf_dir).select("content_id", "title", O.valid_suggestion(kind, pick(0), pick(1)).alias("valid"))
 
 
 def g6_item_summary(spark, sf_dir):
@@ -100,8 +112,8 @@ ORACLES = {
     "f13_score_content": f"WITH {SIGNAL_SQL}, {_scored_sql('attrs')}",
     "f13_with_issues": f"WITH {MERGED_SQL}, {DEFS_SQL}, sig AS (SELECT content_id, signal_id, d.dimension, d.weight, least(1.0, greatest(0.0, value / 10)) AS value, confidence, 'present' AS status FROM merged JOIN amap USING (attribute_id) JOIN defs AS d USING (signal_id)), {_scored_sql('merged')}",
     "f23_run_summary": f"WITH {SIGNAL_SQL}, {_dims_sql('brand_id, run_id')}, {_trust_sql('brand_id, run_id')}, w AS (SELECT brand_id, run_id, {_pivot('dims')} FROM dims GROUP BY brand_id, run_id) SELECT brand_id, run_id, {_rounded}, round(overall / 100, 9) AS overall FROM w JOIN trust USING (brand_id, run_id)",
-    "f26_visual_scope": f"WITH {CONTENT_SQL} SELECT content_id FROM content WHERE seq % 4 = 0 OR channel = 'youtube'",
-    "f27_suggestions": f"WITH {CONTENT_SQL} SELECT content_id, seq % 6 IN (0, 3) AS valid FROM content",
+    "f26_visual_scope": f"WITH {CONTENT_SQL}, c AS (SELECT content_id, ['Brand_Owned', 'brand-owned', 'third_party', 'user_generated', NULL][seq % 5 + 1] AS source_type, CASE WHEN channel = 'youtube' THEN 'LANDING_page' WHEN seq % 3 > 0 THEN channel END AS content_type, seq FROM content) SELECT content_id, source_type, content_type FROM c WHERE seq % 5 < 2 OR content_type = 'LANDING_page'",
+    "f27_suggestions": f"WITH {CONTENT_SQL} SELECT content_id, title, seq % 3 = 0 OR seq % 14 IN (0, 3, 8, 12, 13) AS valid FROM content",
     "g6_item_summary": f"WITH {CLASS_SQL} SELECT content_id, round(CASE WHEN cls.seq % 5 = 0 THEN cls.seq % 100 ELSE overall * 100 END, 9) AS final_score, CASE WHEN trim(title) <> '' THEN title ELSE substr(body, 1, 60) || '...' END AS shown_title FROM cls JOIN content USING (content_id)",
     "g21_blocked": f"WITH {CONTENT_SQL}, s AS (SELECT *, {SKIP_SQL} AS skip_reason FROM content) SELECT brand_id, run_id, skip_reason, count(*) AS n, min(content_id) AS first FROM s WHERE skip_reason IN ('error_page', 'login_wall') GROUP BY ALL",
     "g22_report_data": f"""WITH {CONTENT_SQL}, v AS (SELECT run_id, avg(rating) AS p, coalesce(avg(rating) FILTER (WHERE run_id = 'run_1'), 0.0) AS c FROM content WHERE run_id <> 'run_3' GROUP BY ALL), r AS (SELECT run_id, count(*) AS assets FROM content GROUP BY ALL)
