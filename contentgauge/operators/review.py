@@ -20,31 +20,67 @@ PASSIVE = r"(?iU)\b(am|is|are|was|were|be|been|being)\s+(\w+ed|\w+en)\b"
 REGISTRARS = ["markmonitor", "godaddy", "namecheap", "cloudflare", "google", "amazon", "gandi", "name.com", "hover", "tucows", "enom", "network solutions", "verisign"]
 
 
+def with_badges(claims: DataFrame, badges: DataFrame | None = None) -> DataFrame:
+    """claims(content_id, claim_no, status and, where known, claim, confidence, reasoning) with status settled; a badge is a supported claim without a number."""
+    status = F.upper(F.trim(F.coalesce("status", F.lit(""))))
+    given = lambda c, kind: F.col(c).cast(kind) if c in claims.columns else F.lit(None).cast(kind).alias(c)
+    more = [given(c, kind) for c, kind in (("claim", "string"), ("confidence", "double"), ("reasoning", "string"))]
+    rows = claims.select("content_id", "claim_no", F.when(status.isin("SUPPORTED", "CONTRADICTED"), status).otherwise("UNVERIFIED").alias("status"), *more)
+    return rows if badges is None else rows.unionByName(badges.select("content_id", F.lit("SUPPORTED").alias("status")), allowMissingColumns=True)
+
+
+def first_claims(claims: DataFrame, most: int = 5) -> DataFrame:
+    """The first claims of each item, up to most, and its badges."""
+    badge = F.col("claim_no").isNull()
+    place = F.row_number().over(Window.partitionBy("content_id", badge).orderBy("claim_no"))
+    return claims.withColumn("_n", place).filter(badge | (F.col("_n") <= most)).drop("_n")
+
+
+def claim_issue() -> Column:
+    """What is to be said about a claim: null for a supported one."""
+    why = F.coalesce("reasoning", F.lit(""))
+    said = F.concat(F.lit("Claim: '"), F.coalesce("claim", F.lit("")), F.lit("'\nVerdict: "), F.col("status"), F.lit("\n"), why)
+    row = lambda severity, confidence, suggestion: F.struct(F.lit("unverified_claims").alias("type"), F.lit(severity).alias("severity"), confidence.alias("confidence"), said.alias("evidence"), suggestion.alias("suggestion"))
+    wrong = row("high", F.coalesce("confidence", F.lit(0.8)), F.concat(F.lit("Remove or correct this claim: "), why))
+    return F.when(F.col("status") == "CONTRADICTED", wrong).when(F.col("status") == "UNVERIFIED", row("medium", F.lit(0.8), F.lit("Add a citation or source for this claim.")))
+
+
+def claim_issues(claims: DataFrame, most: int = 5) -> DataFrame:
+    """A row for each of an item's first claims that is contradicted or unverified: type, severity, confidence, evidence, suggestion."""
+    rows = first_claims(with_badges(claims), most).withColumn("_issue", claim_issue()).filter("_issue is not null")
+    return rows.select("content_id", "claim_no", "_issue.*")
+
+
+def claim_results(claims: DataFrame, most: int = 5) -> DataFrame:
+    """Counts, claim_score and claim_issues of each item from rows of with_badges."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    issues = F.array_sort(F.collect_list(F.when(claim_issue().isNotNull(), F.struct("claim_no", claim_issue().alias("i")))))
+    counts = [n("SUPPORTED").alias("supported"), n("CONTRADICTED").alias("contradicted"), n("UNVERIFIED").alias("unverified")]
+    found = first_claims(claims, most).groupBy("content_id").agg(*counts, F.transform(issues, lambda x: x["i"]).alias("claim_issues"))
+    return found.withColumn("claim_score", clamp(0.5 + 0.1 * F.col("supported") - 0.2 * F.col("contradicted") - 0.05 * F.col("unverified")))
+
+
 def verify_claims(claims: DataFrame, badges: DataFrame | None = None, most: int = 5) -> DataFrame:
     """Score of each item's claims: 0.5, 0.1 more for each supported, 0.2 less for each contradicted, 0.05 less for each unverified.
 
     The first claims of an item count, up to most; a badge is one supported claim more. Other statuses are unverified.
     """
-    status = F.upper(F.trim(F.coalesce("status", F.lit(""))))
-    rows = claims.withColumn("s", F.when(status.isin("SUPPORTED", "CONTRADICTED"), status).otherwise("UNVERIFIED"))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("content_id").orderBy("claim_no"))).filter(F.col("_n") <= most).select("content_id", "s")
-    if badges is not None:
-        rows = rows.unionByName(badges.select("content_id", F.lit("SUPPORTED").alias("s")))
-    n = lambda s: F.count_if(F.col("s") == s)
-    counts = rows.groupBy("content_id").agg(n("SUPPORTED").alias("supported"), n("CONTRADICTED").alias("contradicted"), n("UNVERIFIED").alias("unverified"))
-    return counts.withColumn("score", clamp(0.5 + 0.1 * F.col("supported") - 0.2 * F.col("contradicted") - 0.05 * F.col("unverified")))
+    return claim_results(with_badges(claims, badges), most).select("content_id", "supported", "contradicted", "unverified", F.col("claim_score").alias("score"))
 
 
-def confidences(content: DataFrame) -> DataFrame:
+def confidence_columns() -> dict[str, Column]:
     """Confidence of each dimension's score from what is known of the item; n_sources counts the pages that verify it."""
     size = F.length(F.coalesce("body", F.lit("")))
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     none = F.coalesce(F.col("rating").isNull() & F.col("upvotes").isNull() & F.col("helpful_count").isNull(), F.lit(False))
-    return content.select(
-        "content_id", (F.when(size < 200, 0.6).otherwise(1.0) * F.when(empty("author") & empty("src"), 0.8).otherwise(1.0)).alias("provenance"),
-        F.when(F.col("n_sources") == 0, 0.3).when(F.col("n_sources") < 3, 0.7).otherwise(1.0).alias("verification"), F.when(size < 300, 0.7).otherwise(1.0).alias("transparency"),
-        F.when(F.col("has_guidelines"), 1.0).otherwise(0.6).alias("coherence"), F.when(none, 0.5).otherwise(1.0).alias("resonance"),
-    )
+    return {
+        "provenance": F.when(size < 200, 0.6).otherwise(1.0) * F.when(empty("author") & empty("src"), 0.8).otherwise(1.0), "verification": F.when(F.col("n_sources") == 0, 0.3).when(F.col("n_sources") < 3, 0.7).otherwise(1.0),
+        "transparency": F.when(size < 300, 0.7).otherwise(1.0), "coherence": F.when(F.col("has_guidelines"), 1.0).otherwise(0.6), "resonance": F.when(none, 0.5).otherwise(1.0),
+    }
+
+
+def confidences(content: DataFrame) -> DataFrame:
+    return content.select("content_id", *[c.alias(d) for d, c in confidence_columns().items()])
 
 
 def quotes(text: Column) -> Column:

@@ -84,7 +84,7 @@ def freshness(published: Column, as_of: Column) -> Column:
 
 def engagement_resonance(src: Column, rating: Column, upvotes: Column, helpful: Column) -> Column:
     by_rating = F.when(src == "amazon", (rating - 3) * 0.1).when(src == "reddit", (rating - 0.5) * 0.2).otherwise(0.0)
-    parts = [F.coalesce(by_rating, F.lit(0.0)), F.coalesce(F.log10(F.greatest(F.lit(1.0), upvotes.cast("double"))) / 3 * 0.1, F.lit(0.0)), F.coalesce(F.least(helpful / 20, F.lit(1.0)) * 0.1, F.lit(0.0))]
+    parts = [F.coalesce(by_rating, F.lit(0.0)), F.coalesce(F.log10(F.greatest(F.lit(1.0), upvotes.cast("double"))) / 3 * 0.1, F.lit(0.0)), F.when(helpful.isNotNull(), F.least(helpful / 20, F.lit(1.0)) * 0.1).otherwise(0.0)]
     return clamp(reduce(add, parts, F.lit(0.5)))
 
 

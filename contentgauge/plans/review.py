@@ -43,6 +43,18 @@ def f6_claims(spark, sf_dir):
     return found.withColumn("score", F.round("score", 9))
 
 
+def told_claims(spark, sf_dir):
+    """The same claims in words, with the first words of the document as their reasons; some have no confidence or reason."""
+    n = F.col("seq")
+    said = contents(spark, sf_dir).select("content_id", F.substring("body", 1, 40).alias("words"), "seq")
+    c = claims(spark, sf_dir).join(said.hint("shuffle_hash"), "content_id")
+    return c.select("content_id", "claim_no", "status", F.concat(F.lit("claim "), "claim_no").alias("claim"), F.when(n % 3 > 0, (n % 10) / 10.0).alias("confidence"), F.when(n % 4 > 0, F.col("words")).alias("reasoning"))
+
+
+def f6_issues(spark, sf_dir):
+    return V.claim_issues(told_claims(spark, sf_dir))
+
+
 def f7_filter_issues(spark, sf_dir):
     return V.filter_issues(issues(spark, sf_dir)).select("content_id", "type", "confidence", "severity")
 
@@ -106,7 +118,7 @@ def d12_chunks(spark, sf_dir):
     return V.chunk_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (f4_confidences, f6_claims, f7_filter_issues, f8_quotes, f9_merge_issues, f17_rubric, f19_merge_labels, f19_fallback_labels, f25_whois, d11_text_stats, d12_chunks)}
+QUERIES = {f.__name__: f for f in (f4_confidences, f6_claims, f6_issues, f7_filter_issues, f8_quotes, f9_merge_issues, f17_rubric, f19_merge_labels, f19_fallback_labels, f25_whois, d11_text_stats, d12_chunks)}
 
 _KINDS, _DIMS = str(list(TYPES)), str(list(TYPES.values()))
 ISSUE_SQL = f"""iss AS (SELECT content_id, title, body, {_KINDS}[seq % 4 + 1] AS type, {_DIMS}[seq % 4 + 1] AS dimension, CASE WHEN seq % 5 <> 0 THEN (seq % 10) / 10.0 END AS confidence,
@@ -124,7 +136,12 @@ mp AS (SELECT al.*, attribute_id FROM al JOIN im USING (type)),
 gr AS (SELECT content_id, attribute_id, count(*) AS agree, arg_max(suggestion, no) AS suggestion, coalesce(string_agg(DISTINCT ' | LLM Note: ' || evidence, '' ORDER BY ' | LLM Note: ' || evidence), '') AS added FROM mp GROUP BY ALL),
 merged AS (SELECT content_id, attribute_id, dimension, value, least(1.0, confidence * pow(1.2, coalesce(agree, 0))) AS confidence, evidence || coalesce(added, '') AS evidence, CAST(NULL AS VARCHAR) AS label, suggestion, CASE WHEN agree > 0 THEN 'both' ELSE 'rule' END AS origin FROM attrs LEFT JOIN gr USING (content_id, attribute_id)
  UNION ALL SELECT content_id, attribute_id, dimension, 5.0, confidence, coalesce(evidence, 'Detected by AI analysis'), array_to_string(list_transform(string_split(type, '_'), lambda w: upper(w[1]) || w[2:]), ' '), suggestion, 'issue' FROM mp ANTI JOIN attrs USING (content_id, attribute_id))"""
+CLAIM_SQL = f"""clm AS (SELECT content_id, seq, k AS claim_no, {STATUSES}[(seq + k) % 4 + 1] AS status, CASE WHEN seq % 3 > 0 THEN (seq % 10) / 10.0 END AS confidence, CASE WHEN seq % 4 > 0 THEN substr(body, 1, 40) ELSE '' END AS reason FROM (SELECT content_id, seq, body, unnest(generate_series(0, least(seq % 7, 4))) AS k FROM content)),
+cis AS (SELECT content_id, claim_no, 'unverified_claims' AS type, CASE WHEN status = 'CONTRADICTED' THEN 'high' ELSE 'medium' END AS severity, CASE WHEN status = 'CONTRADICTED' THEN coalesce(confidence, 0.8) ELSE 0.8 END AS confidence,
+ 'Claim: ' || chr(39) || 'claim ' || claim_no || chr(39) || chr(10) || 'Verdict: ' || CASE WHEN status = 'CONTRADICTED' THEN status ELSE 'UNVERIFIED' END || chr(10) || reason AS evidence,
+ CASE WHEN status = 'CONTRADICTED' THEN 'Remove or correct this claim: ' || reason ELSE 'Add a citation or source for this claim.' END AS suggestion FROM clm WHERE status <> 'supported')"""
 ORACLES = {
+    "f6_issues": f"WITH {CONTENT_SQL}, {CLAIM_SQL} SELECT * FROM cis",
     "f4_confidences": f"""WITH {CONTENT_SQL} SELECT content_id, CASE WHEN length(body) < 200 THEN 0.6 ELSE 1.0 END AS provenance, CASE WHEN seq % 5 = 0 THEN 0.3 WHEN seq % 5 < 3 THEN 0.7 ELSE 1.0 END AS verification,
  CASE WHEN length(body) < 300 THEN 0.7 ELSE 1.0 END AS transparency, CASE WHEN seq % 2 = 0 THEN 1.0 ELSE 0.6 END AS coherence, 1.0 AS resonance FROM content""",
     "f6_claims": f"""WITH {CONTENT_SQL}, c AS (SELECT content_id, upper({STATUSES}[(seq + k) % 4 + 1]) AS s FROM (SELECT content_id, seq, unnest(generate_series(0, least(seq % 7, 4))) AS k FROM content) UNION ALL SELECT content_id, 'SUPPORTED' FROM content WHERE seq % 6 = 0),

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contentgauge.functions import config as C
+from contentgauge.operators import assembly
 from contentgauge.operators import runs as O
 from contentgauge.operators import scoring as S
 from contentgauge.plans.normalization import SKIP_SQL
-from contentgauge.plans.review import MERGED_SQL, merged_issues
+from contentgauge.plans.reports import _TYPE, MULTIPLIERS, f24_visual_signals
+from contentgauge.plans.review import CLAIM_SQL, MERGED_SQL, merged_issues, told_claims
 from contentgauge.plans.scores import _BAND, CLASS_SQL, DEFS_SQL, RUN, SIGNAL_SQL, _dims_sql, _signals, _trust_sql, attributes
-from contentgauge.sources.tables import CONTENT_SQL, DIMENSIONS, contents, scores
+from contentgauge.sources.tables import CONTENT_SQL, DIMENSIONS, FACTORS, contents, scores, table
 
 
 def _scored(found):
@@ -31,6 +33,31 @@ def f13_with_issues(spark, sf_dir):
     return _scored(O.score_content(contents(spark, sf_dir), found, C.attribute_map(spark), C.signal_defs(spark)))
 
 
+def _assembled(spark, sf_dir):
+    """Documents with the url of the page of their id, told claims, badges, attributes, visual signals and raw scores from their ids; some parts are missing for some."""
+    n = F.col("seq")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), "url")
+    c = contents(spark, sf_dir).join(pages.hint("shuffle_hash"), "seq", "left").withColumns({
+        "author": F.when(n % 3 == 0, "Ann"), "published": F.when(n % 6 > 0, F.timestamp_seconds(F.lit(1_700_000_000) - (n % 500) * 86_400)), "has_guidelines": n % 2 == 0, "rating": F.when(n % 8 > 0, F.col("rating")), "upvotes": F.when(n % 8 > 0, F.col("upvotes")),
+        "helpful_count": F.when(n % 8 > 0, F.col("helpful_count")), "src": F.when(n % 5 == 0, "amazon").when(n % 5 == 1, "reddit").otherwise(F.col("src")),
+    })
+    raw = scores(spark, sf_dir).filter(n % 11 > 0).select("content_id", *[F.col(f"score_{d}").alias(d) for d in DIMENSIONS])
+    badges = contents(spark, sf_dir).filter(n % 6 == 0).select("content_id")
+    factors = spark.createDataFrame(MULTIPLIERS, "dimension string, content_type string, multiplier double")
+    as_of = F.timestamp_seconds(F.lit(1_700_000_000))
+    return assembly.score_rows(c, raw, told_claims(spark, sf_dir), badges, attributes(spark, sf_dir).filter("content_id not like '%7'"), f24_visual_signals(spark, sf_dir), C.attribute_map(spark), C.signal_defs(spark), factors, as_of)
+
+
+def f13_score_rows(spark, sf_dir):
+    """Score rows with all their parts; of the payload, what each part has put there."""
+    shown = lambda path, kind="double": F.get_json_object("meta", path).cast(kind)
+    return _assembled(spark, sf_dir).select(
+        "content_id", *[F.round(d, 9).alias(d) for d in DIMENSIONS], *[F.round(x, 9).alias(x) for x in ("overall", "confidence", "coverage")], "band", "content_type", "supported", "contradicted", "unverified", "n_attributes",
+        shown("$.score_debug.verification.multiplier").alias("multiplier"), shown("$.score_debug.coherence.adjusted_score").alias("multiplied_coherence"), shown("$.adjusted.resonance").alias("moved_resonance"), shown("$.adjusted.verification").alias("moved_verification"),
+        F.json_array_length(F.get_json_object("meta", "$.claim_issues")).alias("n_issues"), shown("$.claim_issues[0].suggestion", "string").alias("first_issue"), shown("$.detected_attributes[0].attribute_id", "string").alias("first_attribute"), shown("$.dimensions.coherence.level", "string").alias("coherence_level"),
+    )
+
+
 def f23_run_summary(spark, sf_dir):
     dims = S.aggregate_dimensions(_signals(spark, sf_dir), C.signal_defs(spark), RUN)
     found = O.run_summary(dims, S.classify(scores(spark, sf_dir)), RUN)
@@ -95,7 +122,7 @@ def g21_denied(spark, sf_dir):
     return O.denied_pages(_report(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (f13_score_content, f13_with_issues, f23_run_summary, f26_visual_scope, f27_suggestions, g6_item_summary, g21_blocked, g21_denied, g22_report_data)}
+QUERIES = {f.__name__: f for f in (f13_score_content, f13_with_issues, f13_score_rows, f23_run_summary, f26_visual_scope, f27_suggestions, g6_item_summary, g21_blocked, g21_denied, g22_report_data)}
 
 _pivot = lambda src: ", ".join(f"max(value / 10) FILTER (WHERE dimension = '{d}') AS {d}" for d in DIMENSIONS)
 _rounded = ", ".join(f"round({d}, 9) AS {d}" for d in DIMENSIONS)
@@ -108,7 +135,37 @@ SELECT content_id, {_rounded}, round(overall, 9) AS overall, {_BAND('round(overa
 FROM content JOIN w USING (content_id) JOIN trust USING (content_id) JOIN na USING (content_id) WHERE {SKIP_SQL} IS NULL"""
 
 
+# engagement of an item, and what moves a dimension's score, by the definitions
+_ENGAGED = "least(1.0, greatest(0.0, 0.5 + CASE WHEN seq % 8 = 0 THEN 0 WHEN seq % 5 = 0 THEN (rating - 3) * 0.1 WHEN seq % 5 = 1 THEN (rating - 0.5) * 0.2 ELSE 0 END + CASE WHEN seq % 8 = 0 THEN 0 ELSE log10(greatest(1.0, upvotes)) / 3 * 0.1 + least(helpful_count / 20, 1.0) * 0.1 END))"
+_moved = lambda d: f"CASE WHEN mv.{d} IS NULL THEN b.{d} ELSE least(100.0, greatest(0.0, 70 * b.{d} + 0.3 * least(100.0, greatest(0.0, b.{d} * 100 + mv.{d})))) / 100 END"
+_raw = lambda d: f"CASE WHEN seq % 11 > 0 THEN score_{d} ELSE 0.5 END"
+_move = lambda d: f"sum((value - 5.5) * 9 * confidence) FILTER (WHERE dimension = '{d}') / sum(confidence) FILTER (WHERE dimension = '{d}') AS {d}"
+_AGED = "CASE WHEN seq % 6 = 0 THEN 0.5 WHEN seq % 500 < 30 THEN 1.0 WHEN seq % 500 < 90 THEN 0.9 WHEN seq % 500 < 180 THEN 0.8 WHEN seq % 500 < 365 THEN 0.6 ELSE 0.4 END"
+_BASE_ROWS = [
+    ("prov_source_clarity", "provenance", 0.2, "b.provenance", "CASE WHEN size < 200 THEN 0.6 ELSE 1.0 END"), ("prov_date_freshness", "provenance", 0.2, _AGED, "1.0"),
+    ("ver_fact_accuracy", "verification", 0.4, "b.verification", "CASE WHEN n_claims < 3 THEN 0.7 ELSE 1.0 END"), ("trans_disclosures", "transparency", 0.4, "b.transparency", "CASE WHEN size < 300 THEN 0.7 ELSE 1.0 END"),
+    ("coh_voice_consistency", "coherence", 0.4, "b.coherence", "CASE WHEN seq % 2 = 0 THEN 1.0 ELSE 0.6 END"), ("res_cultural_fit", "resonance", 0.4, "b.resonance", "CASE WHEN seq % 8 = 0 THEN 0.5 ELSE 1.0 END"),
+]
+_COUNTED = "count(*) FILTER (WHERE status = 'supported') + CAST(max(CASE WHEN seq % 6 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS supported, count(*) FILTER (WHERE status = 'CONTRADICTED') AS contradicted, count(*) FILTER (WHERE status NOT IN ('supported', 'CONTRADICTED')) AS unverified"
+ROWS_SQL = f"""{SIGNAL_SQL}, {CLAIM_SQL}, sc AS (SELECT content_id, {', '.join(f'(seq * {FACTORS[d]} % 101) / 100.0 AS score_{d}' for d in DIMENSIONS)} FROM content),
+nc AS (SELECT content_id, {_COUNTED} FROM clm GROUP BY content_id),
+it AS (SELECT c.*, {_TYPE} AS content_type FROM content AS c LEFT JOIN (SELECT page_id, url FROM pages) ON page_id = seq WHERE {SKIP_SQL} IS NULL),
+b0 AS (SELECT it.content_id, it.seq, length(body) AS size, content_type, supported, contradicted, unverified, supported + contradicted + unverified AS n_claims, least(1.0, greatest(0.0, 0.5 + 0.1 * supported - 0.2 * contradicted - 0.05 * unverified)) AS claim,
+ CASE content_type WHEN 'other' THEN 1.3 ELSE 1.0 END AS multiplier, {_raw('provenance')} AS provenance, {_raw('transparency')} AS transparency, least(1.0, {_raw('coherence')} * CASE content_type WHEN 'landing_page' THEN 1.2 ELSE 1.1 END) AS coherence,
+ least(1.0, greatest(0.0, 0.7 * ({_raw('resonance')}) + 0.3 * {_ENGAGED})) AS resonance FROM it JOIN sc USING (content_id) JOIN nc USING (content_id)),
+b AS (SELECT *, CASE WHEN multiplier = 1 THEN claim ELSE least(1.0, claim * multiplier) END AS verification FROM b0),
+sg AS ({' UNION ALL '.join(f"SELECT content_id, '{k}' AS signal_id, '{d}' AS dimension, {w} AS weight, {v} AS value, {c} AS confidence, 'present' AS status FROM b" for k, d, w, v, c in _BASE_ROWS)}
+ UNION ALL SELECT content_id, signal_id, dimension, weight, value, confidence, status FROM sig JOIN it USING (content_id) WHERE content_id NOT LIKE '%7' AND NOT (it.seq % 2 = 0 AND signal_id = 'coh_voice_consistency')
+ UNION ALL SELECT content_id, 'vis_design_quality', 'coherence', 0.15, (seq % 101) / 100.0, 0.7, 'present' FROM it WHERE seq % 7 <> 0 AND seq % 5 <> 0 UNION ALL SELECT content_id, 'vis_clutter_score', 'coherence', 0.10, 0.5, 0.5, 'present' FROM it WHERE seq % 7 <> 0 AND seq % 5 <> 0),
+mv AS (SELECT content_id, {', '.join(map(_move, DIMENSIONS))} FROM attrs WHERE content_id NOT LIKE '%7' AND NOT (evidence LIKE 'LLM:%' AND value < 5.5) GROUP BY content_id),
+na AS (SELECT content_id, count(*) AS n_attributes, min(attribute_id) AS first_attribute FROM attrs WHERE content_id NOT LIKE '%7' GROUP BY content_id),
+ni AS (SELECT content_id, count(*) AS n_issues, arg_min(suggestion, claim_no) AS first_issue FROM cis GROUP BY content_id),
+{_dims_sql('content_id', 'sg')}, {_trust_sql('content_id')}, w AS (SELECT content_id, {_pivot('dims')}, max(level) FILTER (WHERE dimension = 'coherence') AS coherence_level FROM dims GROUP BY content_id)"""
+
 ORACLES = {
+    "f13_score_rows": f"""WITH {ROWS_SQL} SELECT b.content_id, {', '.join(f'round(w.{d}, 9) AS {d}' for d in DIMENSIONS)}, round(overall, 9) AS overall, round(trust.confidence, 9) AS confidence, round(coverage, 9) AS coverage, {_BAND('round(overall, 9)')} AS band, content_type, supported, contradicted, unverified,
+ coalesce(n_attributes, 0) AS n_attributes, multiplier, round(b.coherence, 9) AS multiplied_coherence, round({_moved('resonance')}, 9) AS moved_resonance, round({_moved('verification')}, 9) AS moved_verification, coalesce(n_issues, 0) AS n_issues, first_issue, first_attribute, coherence_level
+ FROM b JOIN w USING (content_id) JOIN trust USING (content_id) LEFT JOIN mv USING (content_id) LEFT JOIN na USING (content_id) LEFT JOIN ni USING (content_id)""",
     "f13_score_content": f"WITH {SIGNAL_SQL}, {_scored_sql('attrs')}",
     "f13_with_issues": f"WITH {MERGED_SQL}, {DEFS_SQL}, sig AS (SELECT content_id, signal_id, d.dimension, d.weight, least(1.0, greatest(0.0, value / 10)) AS value, confidence, 'present' AS status FROM merged JOIN amap USING (attribute_id) JOIN defs AS d USING (signal_id)), {_scored_sql('merged')}",
     "f23_run_summary": f"WITH {SIGNAL_SQL}, {_dims_sql('brand_id, run_id')}, {_trust_sql('brand_id, run_id')}, w AS (SELECT brand_id, run_id, {_pivot('dims')} FROM dims GROUP BY brand_id, run_id) SELECT brand_id, run_id, {_rounded}, round(overall / 100, 9) AS overall FROM w JOIN trust USING (brand_id, run_id)",

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from contentgauge.functions import config, text, urls
-from contentgauge.operators import normalize, scoring
+from contentgauge.functions import config as C
+from contentgauge.operators import assembly, normalize, scoring
+from contentgauge.operators import scoring as S
+from contentgauge.plans import scores as scores_plan
+from contentgauge.sources.tables import DIMENSIONS
+from tests.conftest import SF
 
 
 def _signals(spark, rows):
@@ -68,3 +75,55 @@ def test_domain_parts(spark):
     df = spark.createDataFrame([("https://www.brand.com.au/p",), ("http://blog.brand.com/a",), ("http://brand.com",), ("nothing",)], "u string")
     got = [tuple(r[0]) for r in df.select(urls.domain_parts(F.col("u"))).collect()]
     assert got == [("brand.com.au", "www", "/p"), ("brand.com", "blog", "/a"), ("brand.com", "", ""), ("", "", "")]
+
+
+def _assembled(spark):
+    """An item that no other input knows, one with repeated attributes and a badge only, one that is skipped; clashing names."""
+    body = "Some words that are long enough to be judged. " * 20
+    columns = "content_id string, title string, body string, url string, src string, channel string, author string, published timestamp, rating double, upvotes int, helpful_count double, has_guidelines boolean, n int, _defs int"
+    content = spark.createDataFrame([("a", "T", body, *[None] * 9, 1, 1), ("b", "T", body, "https://x.example/blog/1", "web", "web", "Ann", None, None, None, None, True, 1, 1), ("c", "T", "", *[None] * 9, 1, 1)], columns)
+    none = lambda schema: spark.createDataFrame([], schema)
+    attribute = ("b", "author_brand_identity_verified", "provenance", 10.0, 0.9, "present", "rule")
+    attributes = spark.createDataFrame([attribute, attribute], "content_id string, attribute_id string, dimension string, value double, confidence double, status string, evidence string")
+    badges = spark.createDataFrame([("b",)], "content_id string")
+    claims = none("content_id string, claim_no int, claim string, status string, confidence double, reasoning string")
+    raw, visual = none("content_id string, provenance double, transparency double, coherence double, resonance double"), none("content_id string, signal_id string, dimension string, weight double, value double, confidence double")
+    factors = none("dimension string, content_type string, multiplier double")
+    return assembly.score_rows(content, raw, claims, badges, attributes, visual, C.attribute_map(spark), C.signal_defs(spark), factors, F.current_timestamp())
+
+
+def test_score_rows_deal_each_input_once(spark):
+    """Content, raw scores, claims with badges, attributes and visual signals: five exchanges, whatever is joined and counted after them."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.optimizer.excludedRules", "org.apache.spark.sql.catalyst.optimizer.PropagateEmptyRelation")
+    try:
+        plan = _assembled(spark)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.optimizer.excludedRules")
+    own = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(own) == 5 and all("REPARTITION_BY_COL" in line for line in own)
+
+
+def test_score_rows_with_missing_parts(spark):
+    got = {r.content_id: r for r in _assembled(spark).collect()}
+    assert got.keys() == {"a", "b"}
+    assert (got["a"].supported, got["a"].n_attributes, got["a"].content_type) == (0, 0, "other") and json.loads(got["a"].meta)["claim_issues"] == []
+    assert (got["b"].supported, got["b"].n_attributes, got["b"].content_type) == (1, 1, "blog") and json.loads(got["b"].meta)["score_debug"]["verification"]["base_score"] == 0.6
+    assert got["b"].provenance > got["a"].provenance
+
+
+def test_dimension_scores_in_the_row_equal_the_grouped_ones(spark):
+    """The same signals through assembly.dimension_score and scoring.aggregate_dimensions."""
+    signals = S.map_signals(scores_plan.attributes(spark, SF), C.attribute_map(spark), C.signal_defs(spark))
+    grouped = {(r.content_id, r.dimension): r for r in S.aggregate_dimensions(signals, C.signal_defs(spark), ["content_id"]).collect()}
+    listed = signals.groupBy("content_id").agg(F.collect_list(F.struct("signal_id", "dimension", "weight", "value", "confidence", (F.col("status") != "unknown").alias("known"), F.lit(1).cast("bigint").alias("n"))).alias("s"))
+    defs = C.signal_defs(spark).agg(F.map_from_entries(F.collect_list(F.struct("signal_id", F.struct("dimension", "weight", "required", "knockout", "multiplier")))).alias("d"))
+    rows = listed.join(F.broadcast(defs), F.lit(True)).withColumns({f"_core_{d}": assembly._core(d, F.col("s"), F.col("d")) for d in DIMENSIONS})
+    met = 0
+    for r in rows.select("content_id", *[assembly.dimension_score(d, F.col("s"), F.col("d")).alias(d) for d in DIMENSIONS]).collect():
+        for d in DIMENSIONS:
+            own, other = r[d], grouped[r.content_id, d]
+            assert (own.level, pytest.approx(own.value), pytest.approx(own.confidence), own.coverage) == (other.level, other.value, other.confidence, pytest.approx(other.coverage))
+            met += 1
+    assert met == len(grouped) > 100
