@@ -177,9 +177,11 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """The ids of words as they are behind a space; words that begin or end with white space, or are none, are left out."""
-        plain = [w for w in words if w.split() == [w]]
+        plain = [w for w in words if w and w.isprintable()]
         if len(plain) < len(words):
-            inner = [w for w in words if len(w.split()) > 1 and not (w[0].isspace() or w[-1].isspace())]
+            odd = [w for w in words if not w.isprintable()]
+            plain += [w for w in odd if w.split() == [w]]
+            inner = [w for w in odd if len(w.split()) > 1 and not (w[0].isspace() or w[-1].isspace())]
             self.known.update(zip(inner, self._apart([f" {w}" for w in inner]), strict=True))
         marked = [w for w in plain if w[-1] in MARKS and w[-2:-1].isalpha()]
         stems = {w[:-1] for w in marked}
