@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contentgauge.functions import urls as U
+from contentgauge.sources.stage import numbered, written
 
 
 def with_domain_parts(df: DataFrame) -> DataFrame:
@@ -53,7 +54,16 @@ def enforce_ratio(classified: DataFrame, keys: list[str], order_col: str, n: int
     owned, third = targets(n, owned_ratio, third_ratio)
     place = F.row_number().over(Window.partitionBy(*keys, "source_type").orderBy(order_col))
     limit = F.when(F.col("source_type") == "brand_owned", owned).otherwise(third)
-    return classified.withColumn("place", place).filter(F.col("place") <= limit)
+    return classified.withColumn("place", place).filter(F.col("place") <= max(owned, third)).filter(F.col("place") <= limit)
+
+
+def ratio_stats(classified: DataFrame, enforced: DataFrame, keys: list[str], n: int, owned_ratio: float = 0.6, third_ratio: float = 0.4) -> DataFrame:
+    """For each key what there was, what was aimed at and what was taken of either pool, and the shares of what was taken (0 without any)."""
+    owned, third = targets(n, owned_ratio, third_ratio)
+    count = lambda df, tail: df.groupBy(*keys).agg(F.count("*").alias(f"total_{tail}"), F.count_if(F.col("source_type") == "brand_owned").alias(f"owned_{tail}"), F.count_if(F.col("source_type") != "brand_owned").alias(f"third_{tail}"))
+    both = count(classified, "available").join(count(enforced, "taken").hint("shuffle_hash"), keys, "left").na.fill(0)
+    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("total_taken")), F.lit(0.0))
+    return both.withColumns({"target_owned": F.lit(owned), "target_third": F.lit(third), "owned_share": share("owned_taken"), "third_share": share("third_taken")})
 
 
 # fixed values: words of the titles of error pages
@@ -61,22 +71,34 @@ ERROR_TITLES = ["access denied", "forbidden", "403", "401", "error", "not found"
 
 
 def collect_quota(classified: DataFrame, keys: list[str], order_col: str, n: int, owned_ratio: float = 0.6, min_owned: int = 75, min_third: int = 200) -> DataFrame:
-    """reason for every candidate: thin, error, pool_cap, domain_cap or kept, in the order of the candidates.
+    """reason for every candidate: thin, error, pool_cap, domain_cap or kept, in the order of the candidates, of equals by url.
 
     A pool takes candidates up to its target; while it is open, a host and port may fill a fifth of n (no bound if the
-    owned share is 0.8 or more). A null title is no error page, a null length is thin.
+    owned share is 0.8 or more). A null title is no error page, a null length is thin. What decides is the place of the
+    last good candidate that a host, and then a pool, has room for: Spark keeps a bound's length of rows of each key
+    before it shuffles them, so no brand, pool or host is gathered in one task.
     """
-    owned, third = targets(n, owned_ratio, 1 - owned_ratio)
+    owned, third = targets(n, owned_ratio, round(1 - owned_ratio, 9))
     least = F.when(F.col("source_type") == "brand_owned", min_owned).otherwise(min_third)
     error = U.any_part(F.lower(F.coalesce("title", F.lit(""))), ERROR_TITLES)
-    df = classified.withColumn("_bad", F.when(F.coalesce("body_length", F.lit(0)) < least, "thin").when(error, "error")).withColumn("_place", U.location(F.col("url")))
+    df = classified.withColumn("_bad", F.when(F.coalesce("body_length", F.lit(0)) < least, "thin").when(error, "error")).withColumns({"_host": U.location(F.col("url")), "_place": F.struct(order_col, "url")})
     cap = max(1, int(0.2 * n)) if owned_ratio < 0.8 else n
-    in_domain = F.count_if(F.col("_bad").isNull()).over(Window.partitionBy(*keys, "_place").orderBy(order_col))
-    df = df.withColumn("_fit", F.col("_bad").isNull() & (in_domain <= cap))
-    taken = F.coalesce(F.count_if("_fit").over(Window.partitionBy(*keys, "source_type").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    good = df.filter("_bad is null").select(*keys, "source_type", "_host", "_place")
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*keys, *by).orderBy("_place"))
+    fit = good.withColumn("_k", rank("_host")).filter(F.col("_k") <= cap)
+    full_host = fit.filter(F.col("_k") == cap).select(*keys, "_host", F.col("_place").alias("_host_end"))
+    first = fit.select(*keys, "source_type", "_place").withColumn("_k", rank("source_type")).filter(F.col("_k") <= max(owned, third))
     limit = F.when(F.col("source_type") == "brand_owned", owned).otherwise(third)
-    reason = F.when(F.col("_bad").isNotNull(), F.col("_bad")).when(taken >= limit, "pool_cap").when(~F.col("_fit"), "domain_cap").otherwise("kept")
-    return df.withColumn("reason", reason).drop("_bad", "_place", "_fit")
+    full_pool = first.filter(F.col("_k") == limit).select(*keys, "source_type", F.col("_place").alias("_pool_end"))  # two rows for each of the few keys
+    rows = df.join(full_host.hint("shuffle_hash"), [*keys, "_host"], "left").join(F.broadcast(full_pool), [*keys, "source_type"], "left")
+    closed = F.coalesce(F.col("_place") > F.col("_pool_end"), F.lit(False)) | (limit == 0)
+    reason = F.when(F.col("_bad").isNotNull(), F.col("_bad")).when(closed, "pool_cap").when(F.col("_place") > F.col("_host_end"), "domain_cap").otherwise("kept")
+    return rows.select(*classified.columns, reason.alias("reason"))
+
+
+def quota_counts(judged: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidates of each key and reason."""
+    return judged.groupBy(*keys, "reason").agg(F.count("*").alias("n"))
 
 
 def promo_quota(urls: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -101,12 +123,27 @@ def add_primary_subpages(urls: DataFrame, mains: DataFrame) -> DataFrame:
     return made.join(urls.select("brand_id", "url").hint("shuffle_hash"), ["brand_id", "url"], "left_anti")
 
 
-def assemble_urls(results: DataFrame, brands: DataFrame, order_col: str) -> DataFrame:
-    """First-seen urls that are no login pages, classified, core domains first, then owned ones, then by url."""
-    first = results.groupBy("brand_id", "url").agg(F.min(order_col).alias("seen")).filter(~U.is_login(F.col("url")))
-    df = classify_urls(first, brands).withColumn("core", U.is_core_domain(F.col("url"), F.col("brand_domains")))
-    order = Window.partitionBy("brand_id").orderBy(F.desc("core"), F.desc(F.col("source_type") == "brand_owned"), "url")
-    return df.withColumn("rank", F.row_number().over(order))
+def assemble_urls(results: DataFrame, brands: DataFrame, order_col: str, strategy: str = "both") -> DataFrame:
+    """First-seen urls that are no login pages, classified, core domains first, then owned ones, then by url; configured sites that are not among them on top, by url.
+
+    strategy brand_controlled keeps owned urls, third_party the others; another keeps both. Sites are a brand's domains
+    and subdomains, as https addresses unless they name their scheme; they are owned primary websites without seen.
+    rank numbers a brand's urls; no brand is sorted in one task.
+    """
+    # written, as the rules on urls below name the url so often that it must be a column, not an expression
+    first = written(results.groupBy("brand_id", "url").agg(F.min(order_col).alias("seen"))).filter(~U.is_login(F.col("url")))
+    core = lambda df: df.withColumn("core", U.is_core_domain(F.col("url"), F.col("brand_domains")))
+    wanted = {"brand_controlled": F.col("source_type") == "brand_owned", "third_party": F.col("source_type") != "brand_owned"}.get(strategy, F.lit(True))
+    columns = ["brand_id", "url", "seen", "core", "source_type", "tier"]
+    kept = written(core(classify_urls(first, brands)).filter(wanted).select(*columns, F.lit(1).alias("_added")))
+    none = F.array().cast("array<string>")
+    sites = F.concat(F.coalesce("brand_domains", none), F.coalesce("brand_subdomains", none))
+    named = F.array_distinct(F.transform(sites, lambda d: F.when(F.trim(d).rlike("^https?://"), F.trim(d)).otherwise(F.concat(F.lit("https://"), F.trim(d)))))
+    own = written(brands.select("brand_id", "brand_domains", F.explode(named).alias("url")))
+    missing = core(own).join(kept.select("brand_id", "url").hint("shuffle_hash"), ["brand_id", "url"], "left_anti")
+    added = missing.select("brand_id", "url", F.lit(None).cast(kept.schema["seen"].dataType).alias("seen"), "core", F.lit("brand_owned").alias("source_type"), F.lit("primary_website").alias("tier"), F.lit(0).alias("_added"))
+    by_kind = [F.when(F.col("_added") == 0, 0).when(F.col("core"), 1).otherwise(2).alias("a"), ((F.col("_added") == 1) & (F.col("source_type") != "brand_owned")).alias("b")]
+    return numbered(kept.unionByName(added), ["brand_id"], [*by_kind, "url"]).drop("_added")
 
 
 # fixed values: parts of the paths of links that lead to no content

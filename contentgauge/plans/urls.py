@@ -101,6 +101,18 @@ def c4_collect_quota(spark, sf_dir):
     return O.collect_quota(_classified(spark, sf_dir), ["brand_id"], "page_id", 20).select("brand_id", "page_id", "reason")
 
 
+def c3_ratio_stats(spark, sf_dir):
+    """What the ratio took of each brand's pools, once with small and once with large targets."""
+    c = _classified(spark, sf_dir)
+    some = lambda n: O.ratio_stats(c, O.enforce_ratio(c, ["brand_id"], "page_id", n), ["brand_id"], n).withColumn("n", F.lit(n))
+    found = some(25).unionByName(some(90))
+    return found.withColumns({c: F.round(c, 9) for c in ("owned_share", "third_share")})
+
+
+def c4_quota_counts(spark, sf_dir):
+    return O.quota_counts(O.collect_quota(_classified(spark, sf_dir), ["brand_id"], "page_id", 20, 0.8), ["brand_id"])
+
+
 def c5_login_pages(spark, sf_dir):
     return urls(spark, sf_dir, True).select("page_id", U.is_login(F.col("url")).alias("login"))
 
@@ -131,7 +143,13 @@ def c11_brand_owned(spark, sf_dir):
 
 
 def c12_assemble(spark, sf_dir):
-    return O.assemble_urls(urls(spark, sf_dir, True), brands(spark), "page_id").select("brand_id", "url", "seen", "core", "source_type", "tier", "rank")
+    return O.assemble_urls(urls(spark, sf_dir, True), brands(spark), "page_id")
+
+
+def c12_strategies(spark, sf_dir):
+    """The same with either strategy."""
+    some = lambda s: O.assemble_urls(urls(spark, sf_dir, True), brands(spark), "page_id", s).withColumn("strategy", F.lit(s))
+    return some("brand_controlled").unionByName(some("third_party")).select("strategy", "brand_id", "url", "rank")
 
 
 def c15_subpages(spark, sf_dir):
@@ -139,13 +157,24 @@ def c15_subpages(spark, sf_dir):
     return O.add_primary_subpages(u, O.main_urls(u, "page_id"))
 
 
-QUERIES = {f.__name__: f for f in (c1_domain_parts, c2_classify_urls, c3_enforce_ratio, c4_collect_quota, c5_login_pages, c6_brand_pages, c7_locale, c7_main_urls, c8_promotional, c11_brand_owned, c12_assemble, c15_subpages)}
+QUERIES = {f.__name__: f for f in (c1_domain_parts, c2_classify_urls, c3_enforce_ratio, c3_ratio_stats, c4_collect_quota, c4_quota_counts, c5_login_pages, c6_brand_pages, c7_locale, c7_main_urls, c8_promotional, c11_brand_owned, c12_assemble, c12_strategies, c15_subpages)}
 
 _BARE = "regexp_replace(host, '^www[.]', '')"
 _CORE = f"len(list_filter(domains, lambda d: d = {_BARE} OR (len(string_split(d, '.')) >= 2 AND len(string_split({_BARE}, '.')) IN (2, 3) AND split_part(d, '.', 1) = split_part({_BARE}, '.', 1)))) > 0"
 _MAIN = f"""main AS (SELECT brand_id, arg_min(url, page_id) FILTER (WHERE ends_with(host, '.com') AND (contains(host, regexp_replace(brand_id, '[^a-z0-9]', '', 'g')) OR starts_with(host, 'www.'))) AS main_url,
  bool_or({_end('host', [s for s in U.ENGLISH_SUFFIXES if s != '.com'])}) AS abroad FROM u GROUP BY brand_id)"""
+# classified first-seen urls, and the configured sites that are not among them
+ASSEMBLED_SQL = CLASSIFIED_SQL + f""", f AS (SELECT brand_id, url, min(page_id) AS seen FROM c WHERE NOT {_LOGIN} GROUP BY ALL), j AS (SELECT DISTINCT brand_id, url, seen, {_CORE} AS core, source_type, tier FROM f JOIN c USING (brand_id, url)),
+named AS (SELECT DISTINCT brand_id, domains, 'https://' || unnest(list_concat(domains, subs)) AS url FROM brand), sites AS (SELECT brand_id, url, CAST(NULL AS BIGINT) AS seen, {_CORE.replace("regexp_replace(host, '^www[.]', '')", "regexp_replace(url[9:], '^www[.]', '')")} AS core, 'brand_owned' AS source_type, 'primary_website' AS tier FROM named),
+x AS (SELECT * FROM sites ANTI JOIN j USING (brand_id, url))"""
 ORACLES = {
+    "c3_ratio_stats": CLASSIFIED_SQL + """, a AS (SELECT brand_id, count(*) AS total_available, count(*) FILTER (WHERE source_type = 'brand_owned') AS owned_available, count(*) FILTER (WHERE source_type <> 'brand_owned') AS third_available FROM c GROUP BY ALL),
+t(n, target_owned, target_third) AS (VALUES (25, 15, 10), (90, 54, 36)), z AS (SELECT *, least(owned_available, target_owned) AS owned_taken, least(third_available, target_third) AS third_taken FROM a, t)
+SELECT *, owned_taken + third_taken AS total_taken, round(owned_taken / (owned_taken + third_taken), 9) AS owned_share, round(third_taken / (owned_taken + third_taken), 9) AS third_share FROM z""",
+    # no bound on hosts; of the pools' 16 and 4
+    "c4_quota_counts": CLASSIFIED_SQL + """, a AS (SELECT *, CASE WHEN body_length < CASE source_type WHEN 'brand_owned' THEN 75 ELSE 200 END THEN 'thin' WHEN regexp_matches(lower(title), '401|403|404|access denied|error|forbidden|not found') THEN 'error' END AS bad FROM c),
+b AS (SELECT *, count(*) FILTER (WHERE bad IS NULL) OVER (PARTITION BY brand_id, source_type ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS taken FROM a)
+SELECT brand_id, CASE WHEN taken >= CASE source_type WHEN 'brand_owned' THEN 16 ELSE 4 END THEN coalesce(bad, 'pool_cap') ELSE coalesce(bad, 'kept') END AS reason, count(*) AS n FROM b GROUP BY ALL""",
     "c1_domain_parts": f"WITH {URLS_SQL} SELECT page_id, domain, subdomain, path FROM parts",
     "c2_classify_urls": CLASSIFIED_SQL + " SELECT page_id, source_type, tier FROM c",
     "c3_enforce_ratio": CLASSIFIED_SQL + " SELECT brand_id, page_id, source_type, row_number() OVER (PARTITION BY brand_id, source_type ORDER BY page_id) AS place FROM c QUALIFY place <= CASE source_type WHEN 'brand_owned' THEN 15 ELSE 10 END",
@@ -161,8 +190,8 @@ SELECT brand_id, page_id, CASE WHEN bad IS NOT NULL THEN bad WHEN taken >= CASE
     "c7_main_urls": f"WITH {URLS_SQL}, {_MAIN} SELECT brand_id, main_url, abroad AND main_url IS NOT NULL AS has_variants FROM main",
     "c8_promotional": f"WITH {VARIED_SQL} SELECT brand_id, count(*) FILTER (WHERE {_PROMO}) AS promotional, 10 AS target, count(*) FILTER (WHERE {_PROMO}) >= 10 AS met FROM u GROUP BY brand_id",
     "c11_brand_owned": f"WITH {VARIED_SQL} SELECT page_id, CASE WHEN contains(host, 'brand1') THEN 'brand_owned' ELSE 'third_party' END AS source_type, CASE WHEN contains(host, 'brand1') THEN 'primary_website' ELSE 'user_generated' END AS tier FROM u WHERE page_id % 3 = 1",
-    "c12_assemble": CLASSIFIED_SQL + f""", f AS (SELECT brand_id, url, min(page_id) AS seen FROM c WHERE NOT {_LOGIN} GROUP BY ALL),
-j AS (SELECT DISTINCT brand_id, url, seen, {_CORE} AS core, source_type, tier FROM f JOIN c USING (brand_id, url))
-SELECT *, row_number() OVER (PARTITION BY brand_id ORDER BY core DESC, source_type = 'brand_owned' DESC, url) AS rank FROM j""",
+    "c12_assemble": ASSEMBLED_SQL + " SELECT brand_id, url, seen, core, source_type, tier, row_number() OVER (PARTITION BY brand_id ORDER BY added, core DESC, source_type = 'brand_owned' DESC, url) AS rank FROM (SELECT *, 1 AS added FROM j UNION ALL SELECT *, 0 FROM x)".replace("added, core DESC", "added, CASE WHEN added = 1 THEN core END DESC"),
+    "c12_strategies": ASSEMBLED_SQL + " SELECT strategy, brand_id, url, row_number() OVER (PARTITION BY strategy, brand_id ORDER BY added, CASE WHEN added = 1 THEN core END DESC, url) AS rank FROM (SELECT *, 1 AS added, CASE source_type WHEN 'brand_owned' THEN 'brand_controlled' ELSE 'third_party' END AS strategy FROM j UNION ALL SELECT x.*, 0, s FROM x, (VALUES ('brand_controlled')) AS t(s)"
+    " UNION ALL SELECT *, 0, 'third_party' FROM (SELECT * FROM sites EXCEPT SELECT * REPLACE (CAST(NULL AS BIGINT) AS seen, core AS core, 'brand_owned' AS source_type, 'primary_website' AS tier) FROM j WHERE source_type <> 'brand_owned'))",
     "c15_subpages": f"WITH {URLS_SQL}, {_MAIN}, m AS (SELECT brand_id, regexp_extract(main_url, '^([^:]*://[^/?#]*)', 1) || unnest({_list(U.PROMOTIONAL)}) AS url FROM main WHERE main_url IS NOT NULL) SELECT brand_id, url FROM m WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.brand_id = m.brand_id AND u.url = m.url)",
 }
