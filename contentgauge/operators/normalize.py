@@ -78,6 +78,16 @@ def reuse_recent(assets: DataFrame, runs: DataFrame, as_of, hours: int = 24) ->
     return assets.filter(F.coalesce(F.trim("raw_content"), F.lit("")) != "").join(fresh.select("run_id", "brand_id"), "run_id")
 
 
+def reused_by_query(reused: DataFrame) -> DataFrame:
+    """Assets that are used again, by the query they were found with; those of no query don't count."""
+    return reused.filter(F.coalesce("query", F.lit("")) != "").groupBy("query").agg(F.count("*").alias("reused"))
+
+
+def exclude_known(candidates: DataFrame, reused: DataFrame) -> DataFrame:
+    """Candidates whose url no reused asset has; candidates without a url stay, repeated ones too."""
+    return candidates.join(reused.filter("url <> ''").select("url").distinct().hint("shuffle_hash"), "url", "left_anti")
+
+
 def remaining_quota(queries: DataFrame, reused: DataFrame, limit: int) -> DataFrame:
     """What each query may still collect; queries with nothing left are dropped."""
     have = reused.groupBy("query").agg(F.count("*").alias("have"))

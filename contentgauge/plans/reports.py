@@ -48,12 +48,29 @@ def c16_candidates(spark, sf_dir):
     return P.rank_candidates(c, brands(spark), 20)
 
 
-def d15_reuse(spark, sf_dir):
-    """Orders as assets of customers as runs: those of the last day of the data."""
+def _reused(spark, sf_dir):
+    """Orders as runs of customers, line items as assets found by their ship mode under their part's url; some have no query or url."""
     o = table(spark, sf_dir, "orders")
     runs = o.select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("brand_id"), F.col("o_orderdate").cast("timestamp").alias("started_at"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("done").alias("status"))
-    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("raw_content"))
-    return normalize.reuse_recent(items, runs, F.to_timestamp(F.lit("1998-01-01")), 240).select("run_id", "line", "brand_id")
+    k = F.col("l_partkey")
+    items = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("raw_content"), F.when(k % 7 > 0, F.col("l_returnflag")).alias("query"), F.when(k % 5 > 0, F.concat(F.lit("https://p/"), k)).alias("url")
+    )
+    return normalize.reuse_recent(items, runs, F.to_timestamp(F.lit("1998-01-01")), 240)
+
+
+def d15_reuse(spark, sf_dir):
+    return _reused(spark, sf_dir).select("run_id", "line", "brand_id")
+
+
+def d15_by_query(spark, sf_dir):
+    return normalize.reused_by_query(_reused(spark, sf_dir))
+
+
+def d15_new_candidates(spark, sf_dir):
+    """Parts as candidates whose pages no reused asset has; every tenth has no url."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 10 > 0, F.concat(F.lit("https://p/"), "p_partkey")).alias("url"))
+    return normalize.exclude_known(p, _reused(spark, sf_dir)).select("p_partkey", "url")
 
 
 def d16_site_signals(spark, sf_dir):
@@ -184,7 +201,7 @@ def g23_visual_snapshot(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        c9_national_urls, c10_expand_brands, c13_profiles, c16_candidates, d15_reuse, d16_site_signals, d17_quota, f5_multipliers, f24_visual_signals, g13_key_signals, g14_contributions, g15_findings, g15_issues, g16_context,
+        c9_national_urls, c10_expand_brands, c13_profiles, c16_candidates, d15_reuse, d15_by_query, d15_new_candidates, d16_site_signals, d17_quota, f5_multipliers, f24_visual_signals, g13_key_signals, g14_contributions, g15_findings, g15_issues, g16_context,
         g16_run_context, g16_low_items, g17_targets, g17_overall, g23_visual_snapshot, g24_calibration, c14_broken_links, d2_metadata, g25_examples, g26_brand_score, g28_content_mix,
     )
 }
@@ -203,6 +220,8 @@ FINDINGS_SQL = f"""{ATTR_SQL}, fa AS (SELECT brand_id, run_id, content_id, dimen
 fr AS (SELECT brand_id, run_id, content_id, seq, 'coherence' AS dimension, 'u' || seq % 100 AS url, 'broken' AS label, CAST(seq % 11 AS DOUBLE) AS value FROM content UNION ALL SELECT brand_id, run_id, content_id, seq, 'resonance', 'u' || seq % 100, 'thin page', CAST(seq % 12 AS DOUBLE) FROM content),
 fk AS (SELECT *, 'issue' AS kind FROM fr WHERE value < 10 UNION ALL SELECT *, 'success' FROM fr WHERE value >= 8), fo AS (SELECT * FROM fk QUALIFY row_number() OVER (PARTITION BY dimension, url, label, kind ORDER BY value, seq) = 1),
 found AS (SELECT *, 'attribute' AS origin FROM fa UNION ALL SELECT brand_id, run_id, content_id, dimension, url, label, value, kind, 'rule' FROM fo ANTI JOIN fa USING (dimension, url, label, kind))"""
+REUSED_SQL = """WITH ru AS (SELECT l_orderkey AS run_id, l_linenumber AS line, o_custkey AS brand_id, l_partkey AS k, CASE WHEN l_partkey % 7 > 0 THEN l_returnflag END AS query FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+ WHERE o_orderdate >= TIMESTAMP '1998-01-01' - INTERVAL 240 HOUR AND o_orderstatus <> 'F' AND trim(l_returnflag) <> '')"""
 ORACLES = {
     "c9_national_urls": r"SELECT page_id, regexp_replace(url, '://[^/]*[.]example[.](com|net|org)', '://www.brand0.au') AS national FROM pages",
     "c10_expand_brands": f"""WITH b AS (SELECT n_name AS brand_name FROM nation UNION ALL SELECT r_name || '-x' FROM region), f AS (SELECT brand_name, n, {_FORMS} AS forms FROM (SELECT brand_name, lower(trim(brand_name)) AS n FROM b))
@@ -215,7 +234,9 @@ SELECT page_id, CASE WHEN s = 0 THEN path NOT IN ('', '/') AND NOT {_part('path'
     "c16_candidates": f"""WITH u AS (SELECT 'brand_' || page_id % 3 AS brand_id, url, min(page_id) AS pos, arg_min(page_id % 5, page_id) AS confidence FROM pages GROUP BY ALL), h AS (SELECT *, {_HOST} AS host FROM u),
 k AS (SELECT *, CASE WHEN regexp_replace(host, '^www[.]', '') IN ({', '.join(_q(d) for b in BRANDS for d in b[1])}) AND list_contains(CASE brand_id {' '.join(f"WHEN '{b[0]}' THEN {b[1]}" for b in BRANDS)} END, regexp_replace(host, '^www[.]', '')) THEN 'primary' ELSE 'subdomain' END AS kind FROM h WHERE ends_with(host, '.com') OR ends_with(host, '.us'))
 SELECT brand_id, url, pos, confidence, kind, row_number() OVER (PARTITION BY brand_id ORDER BY kind <> 'primary', confidence DESC, pos) AS rank FROM k QUALIFY rank <= 20""",
-    "d15_reuse": "SELECT l_orderkey AS run_id, l_linenumber AS line, o_custkey AS brand_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate >= TIMESTAMP '1998-01-01' - INTERVAL 240 HOUR AND o_orderstatus <> 'F' AND trim(l_returnflag) <> ''",
+    "d15_reuse": REUSED_SQL + " SELECT run_id, line, brand_id FROM ru",
+    "d15_by_query": REUSED_SQL + " SELECT query, count(*) AS reused FROM ru WHERE query IS NOT NULL GROUP BY query",
+    "d15_new_candidates": REUSED_SQL + " SELECT p_partkey, CASE WHEN p_partkey % 10 > 0 THEN 'https://p/' || p_partkey END AS url FROM part WHERE p_partkey % 10 = 0 OR p_partkey NOT IN (SELECT k FROM ru WHERE k % 5 > 0)",
     "d16_site_signals": f"""WITH {CONTENT_SQL}, m AS (SELECT *, seq % 11 AS k,
  CASE WHEN seq % 7 < 3 AND seq % 11 IN (1, 9) THEN 'ai' WHEN seq % 7 = 3 AND seq % 11 = 7 THEN 'ai' WHEN seq % 7 > 4 AND seq % 11 = 2 THEN 'people' ELSE '' END AS said FROM content)
 SELECT brand_id, run_id, bool_or(k IN (1, 2, 3, 6, 7, 8) AND (said = 'ai' OR contains(lower(body), 'ai-generated') OR contains(lower(body), 'generated by ai'))) AS has_global_ai_disclosure,

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentgauge.plans.streams import shared_folder
 from contentgauge.sources import readers as R
 from contentgauge.sources import writers as W
+from contentgauge.sources.stage import shared_folder
 from contentgauge.sources.tables import CONTENT_SQL, SCORES_SQL, contents, scores, table
 
 ROW = ["content_id", "src", "platform_id", "author", "title", "body", "rating", "upvotes", "helpful_count", "event_ts", "url", "modality", "channel", "platform_type"]
@@ -122,7 +125,22 @@ def a11_prune(spark, sf_dir):
     return kept["scores"]
 
 
-QUERIES = {f.__name__: f for f in (a1_assets, a2_reddit, a3_amazon, a4_youtube, a5_web, a6_write_content, a7_write_scores, a8_export_run, a9_export_raw, a10_manifest, a11_prune)}
+def a11_prune_written(spark, sf_dir):
+    """The same on tables partitioned by the year of the run: rows deleted, and rows and years left of each table."""
+    o, i = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    year = F.year("o_orderdate").alias("year")
+    runs = o.select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").cast("timestamp").alias("started_at"), year)
+    assets = i.join(o.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("asset_id"), F.col("l_orderkey").alias("run_id"), year)
+    out = shared_folder(spark, "lake")
+    for name, df in {"runs": runs, "assets": assets, "scores": assets.drop("run_id"), "summary": runs.drop("started_at")}.items():
+        df.hint("rebalance", "year").write.partitionBy("year").parquet(f"{out}/{name}")
+    names = ["runs", "assets", "scores", "summary"]
+    counts = W.prune_written(spark, out, dict.fromkeys(names, ["year"]), F.to_timestamp(F.lit("2001-08-02")), 1000)
+    left = lambda name: spark.read.parquet(f"{out}/{name}").agg(F.count("*").alias("n_left"), F.count_distinct("year").alias("years")).select(F.lit(name).alias("table"), F.lit(counts[name]).cast("bigint").alias("deleted"), "n_left", "years")
+    return reduce(DataFrame.unionByName, map(left, names))
+
+
+QUERIES = {f.__name__: f for f in (a1_assets, a2_reddit, a3_amazon, a4_youtube, a5_web, a6_write_content, a7_write_scores, a8_export_run, a9_export_raw, a10_manifest, a11_prune, a11_prune_written)}
 
 _NULL, _DOUBLE = "CAST(NULL AS VARCHAR)", "CAST(NULL AS DOUBLE)"
 _INT = "CAST(NULL AS INTEGER)"
@@ -152,5 +170,8 @@ SELECT 'web_' || md5(url) AS content_id, 'web' AS src, url AS platform_id, 'web'
     "a8_export_run": f"""WITH {SCORES_SQL}, r AS (SELECT run_id, min(seq) AS k FROM content GROUP BY ALL)
 SELECT content_id AS asset_id, score_coherence, CASE WHEN run_id = 'run_1' AND k = 1 THEN 'slug-of-brand_1' ELSE 'unknown' END AS brand_slug, '2024-03-0' || (k + 1) AS day FROM scores JOIN r USING (run_id) WHERE run_id IN ('run_1', 'run_2')""",
     "a9_export_raw": f"WITH {CONTENT_SQL} SELECT content_id AS asset_id, run_id, channel AS source_type, 'b' AS brand_slug FROM content",
+    "a11_prune_written": """WITH r AS (SELECT o_orderkey AS k, year(o_orderdate) AS y, o_orderdate < TIMESTAMP '2001-08-02' - INTERVAL 1000 DAY AS old FROM orders), n AS (SELECT count(*) FILTER (WHERE old) AS deleted, count(*) FILTER (WHERE NOT old) AS n_left, count(DISTINCT y) FILTER (WHERE NOT old) AS years FROM r),
+i AS (SELECT count(*) FILTER (WHERE old) AS deleted, count(*) FILTER (WHERE NOT old) AS n_left, count(DISTINCT y) FILTER (WHERE NOT old) AS years FROM lineitem JOIN r ON l_orderkey = k)
+SELECT t AS "table", n.* FROM n, unnest(['runs', 'summary']) AS x(t) UNION ALL SELECT t, i.* FROM i, unnest(['assets', 'scores']) AS x(t)""",
     "a11_prune": "SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS asset_id FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '2001-08-02' - INTERVAL 1000 DAY)",
 }

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contentgauge.sources import stage
+
 
 def _write(df: DataFrame, path: str, by: list[str]) -> None:
     """Only the partitions that df has are replaced. Rows meet by partition, so that files don't multiply; AQE splits a large one."""
@@ -51,3 +53,35 @@ def prune_runs(tables: dict[str, DataFrame], as_of, days: int) -> tuple[dict[str
     kept = {n: tables[n].join(old, "run_id", "left_anti") for n in ("runs", "assets", "summary") if n in tables}
     kept["scores"] = tables["scores"].join(gone, "asset_id", "left_anti")
     return kept, old.count()
+
+
+def delete_rows(spark: SparkSession, path: str, gone: DataFrame, on: str, by: list[str]) -> int:
+    """Deletes the rows of a table, partitioned by some columns, whose key is in gone; returns how many went.
+
+    Only partitions that hold such rows are written again, and swapped by Spark's committer; those that hold nothing else
+    are removed; the files of all others stay as they are. gone must not read the table. Doing it again deletes nothing.
+    """
+    df = spark.read.parquet(path)
+    marked = df.join(gone.select(on).distinct().withColumn("_gone", F.lit(True)).hint("shuffle_hash"), on, "left")
+    held = marked.groupBy(*by).agg(F.count("*").alias("_n"), F.count_if(F.col("_gone")).alias("_old")).filter("_old > 0")
+    touched = stage.written(held.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_n", "_old"))  # a row for each partition
+    emptied = touched.filter("_n = _old").select(*[F.col(f"_by_{c}").alias(c) for c in by]).collect()
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    rest = df.join(F.broadcast(touched.filter("_n > _old")), same, "left_semi").join(gone.select(on).distinct().hint("shuffle_hash"), on, "left_anti")
+    _write(rest, path, by)
+    for part in emptied:
+        stage.delete_path(spark, "/".join([path, *(f"{c}={'__HIVE_DEFAULT_PARTITION__' if part[c] is None else part[c]}" for c in by)]))
+    return touched.agg(F.sum("_old")).first()[0] or 0
+
+
+def prune_written(spark: SparkSession, root: str, by: dict[str, list[str]], as_of, days: int) -> dict[str, int]:
+    """Deletes runs that started more than days before as_of, with their assets, scores and summary, from the tables under root; rows deleted by table.
+
+    by has the partition columns of each table, whose values need no escaping in a path. Scores go first and runs last,
+    so a cascade that was cut off is carried on by the next call.
+    """
+    read = lambda name: spark.read.parquet(f"{root}/{name}")
+    old = stage.written(read("runs").filter(F.col("started_at") < F.lit(as_of) - F.make_dt_interval(F.lit(days))).select("run_id"))
+    gone = stage.written(read("assets").join(old.hint("shuffle_hash"), "run_id", "left_semi").select("asset_id"))
+    ids = {"scores": (gone, "asset_id"), "assets": (old, "run_id"), "summary": (old, "run_id"), "runs": (old, "run_id")}
+    return {name: delete_rows(spark, f"{root}/{name}", *ids[name], by[name]) for name in ids if name in by}

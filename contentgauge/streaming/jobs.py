@@ -4,18 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from contentgauge.functions import text as T
 from contentgauge.operators import detectors, normalize
 
 
-def dedup_stream(content: DataFrame, hours: int = 24) -> DataFrame:
-    """The first of each fingerprint within the hours; state older than the watermark is dropped."""
-    keyed = content.withColumn("fingerprint", T.fingerprint(T.text_of("title"), T.text_of("body")))
-    return keyed.withWatermark("event_time", f"{hours} hours").dropDuplicatesWithinWatermark(["fingerprint"])
+#: Hours for which a fingerprint is known, and how late rows may be.
+KNOWN_HOURS, LATE = 24, "1 hour"
+_SEEN = "fingerprint string, content_id string, event_time timestamp"
+
+
+def dedup_stream(content: DataFrame, hours: int = KNOWN_HOURS, late: str = LATE) -> DataFrame:
+    """fingerprint, content_id and event_time of the first row of each fingerprint within the hours, by event time.
+
+    A row that comes out is known for the hours; the next one after them comes out again. Of a fingerprint's rows in one
+    trigger the earliest is first, of equals the smallest content_id. Rows later than the watermark are dropped, and a
+    fingerprint's state, one timestamp, goes when the watermark has passed the time until which it is known. A null title
+    or text is an empty one.
+    """
+    known = hours * 3_600_000
+
+    def first(key, groups, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(groups).sort_values(["event_time", "content_id"])
+        until, out = (state.get[0] if state.exists else None), []
+        for content_id, at in zip(rows["content_id"], rows["event_time"], strict=True):
+            now = int(at.timestamp() * 1000)
+            if until is None or now >= until:
+                out.append((key[0], content_id, at))
+                until = now + known
+        if until > state.getCurrentWatermarkMs():
+            state.update((until,))
+            state.setTimeoutTimestamp(until)
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["fingerprint", "content_id", "event_time"])
+
+    keyed = content.select(T.fingerprint(T.text_of("title"), T.text_of("body")).alias("fingerprint"), "content_id", "event_time").withWatermark("event_time", late)
+    return keyed.groupBy("fingerprint").applyInPandasWithState(first, _SEEN, "until bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def quality_gate(content: DataFrame) -> DataFrame:
@@ -35,7 +70,40 @@ def run_gate(content: DataFrame, sink: Callable[[DataFrame, DataFrame, int], Non
 
 
 def daily_ratio(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Volume and share of authentic items of each brand and day; rows later than the watermark are dropped."""
+    """Volume and share of authentic items of each brand and day, for update mode: a day's row comes again when it changes.
+
+    Rows later than the watermark are dropped, and with them the state of days that the watermark has passed.
+    """
     return events.withWatermark("event_time", late).groupBy("brand_id", F.window("event_time", "1 day").alias("w")).agg(
         F.count("*").alias("n"), (100.0 * F.count_if(F.col("is_authentic")) / F.count("*")).alias("ratio_pct")
     ).select("brand_id", F.col("w.start").alias("day"), "n", "ratio_pct")
+
+
+def upsert(rows: DataFrame, root: str, keys: list[str], by: str) -> None:
+    """Puts rows in place of those with the same keys in a table under root, which is partitioned by a key.
+
+    Only the partitions that rows have are read and written, and Spark's committer swaps them. Doing the same batch again
+    changes nothing, so a batch that is repeated after a failure is safe.
+    """
+    spark = rows.sparkSession
+    try:
+        before = spark.read.parquet(root)
+    except AnalysisException:  # no table yet
+        before = None
+    if before is not None:
+        touched = rows.select(by).distinct()
+        kept = before.join(F.broadcast(touched), by, "left_semi").join(rows.select(*keys).hint("shuffle_hash"), keys, "left_anti")
+        rows = kept.select(*rows.columns).unionByName(rows)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(root)
+
+
+def run_ratio(events: DataFrame, root: str, checkpoint: str, late: str = "1 day") -> StreamingQuery:
+    """The daily ratios in update mode into a table under root, partitioned by date."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        changed = df.withColumn("date", F.date_format("day", "yyyy-MM-dd")).persist()
+        if not changed.isEmpty():
+            upsert(changed, root, ["brand_id", "date"], "date")
+        changed.unpersist()
+
+    return daily_ratio(events, late).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

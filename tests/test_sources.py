@@ -63,6 +63,25 @@ def test_export_and_retention(spark, tmp_path):
     assert gone == 1 and all(df.count() == 1 for df in kept.values())
 
 
+def test_retention_rewrites_only_what_it_must(spark, tmp_path):
+    """Years with old runs only go, the year with both is written again, others keep their files; a second call deletes nothing."""
+    root, day = str(tmp_path / "lake"), dt.datetime(2024, 3, 5)
+    runs = spark.createDataFrame([("r1", day, 2024), ("r2", day - dt.timedelta(days=400), 2023), ("r3", day - dt.timedelta(days=100), 2023), ("r4", None, None)], "run_id string, started_at timestamp, year int")
+    assets = spark.createDataFrame([("a1", "r1", 2024), ("a2", "r2", 2023), ("a3", "r3", 2023), ("a4", "r2", 2022), ("a5", "r4", None), (None, "r2", 2022)], "asset_id string, run_id string, year int")
+    for name, df in {"runs": runs, "assets": assets, "scores": assets.drop("run_id")}.items():
+        df.repartition("year").write.partitionBy("year").parquet(f"{root}/{name}")
+    files = lambda: {str(f.relative_to(tmp_path)) for f in (tmp_path / "lake").rglob("*.parquet")}
+    before = files()
+    by = dict.fromkeys(["runs", "assets", "scores"], ["year"])
+    assert writers.prune_written(spark, root, by, day, 365) == {"scores": 2, "assets": 3, "runs": 1}
+    assert {r.asset_id for r in spark.read.parquet(f"{root}/assets").collect()} == {"a1", "a3", "a5"}
+    assert {r.asset_id for r in spark.read.parquet(f"{root}/scores").collect()} == {"a1", "a3", "a5", None}  # a score without an id belongs to no run
+    kept = before & files()
+    assert all(f in kept for f in before if "year=2024" in f or "HIVE_DEFAULT" in f) and not any("year=2023" in f for f in kept) and not (tmp_path / "lake/assets/year=2022").exists()
+    after = files()
+    assert writers.prune_written(spark, root, by, day, 365) == {"scores": 0, "assets": 0, "runs": 0} and files() == after
+
+
 @pytest.mark.parametrize("size", [50, 200])
 def test_chunks(spark, size):
     text = "A sentence here. Another one follows! " * 40
@@ -127,14 +146,49 @@ def _files(spark, path, rows):
     spark.createDataFrame(rows, "content_id string, title string, body string, event_time timestamp, src string, modality string, channel string, helpful_count double").coalesce(1).write.mode("append").parquet(path)
 
 
+def test_fingerprints_are_known_for_a_day(spark, tmp_path):
+    """An hour later the same text is known, 25 hours later it comes out again; what is older than a day has no state left; null text and ties."""
+    now, path, rows = dt.datetime(2024, 1, 1), str(tmp_path / "in"), str(tmp_path / "out")
+    row = lambda i, body, hours: (i, "t", body, now + dt.timedelta(hours=hours), "web", "text", "web", 0.0)
+    states = []
+    for part in ([row("b", "same", 0), row("a", "same", 0), row("c", "other", 0.5), row("n", None, 0)], [row("d", "same", 1)], [row("e", "same", 25), row("late", "new but late", 2)], [row("f", "same", 25.5), row("g", "x", 60)], [row("h", "y", 120)]):
+        _files(spark, path, part)
+        stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+        query = jobs.dedup_stream(stream).writeStream.format("parquet").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start(rows)
+        query.awaitTermination()
+        states.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert sorted(r.content_id for r in spark.read.parquet(rows).collect()) == ["a", "c", "e", "g", "h", "late", "n"]
+    assert states[0] == states[1] == 3 and states[-1] < max(states) and states[-1] <= 2
+
+
+def test_daily_ratios_are_put_in_place(spark, tmp_path):
+    """A day's row changes with new events, a repeated batch changes nothing, rows beyond the watermark are dropped with their state."""
+    path, root = str(tmp_path / "in"), str(tmp_path / "rows")
+    event = lambda day, hour, ok: ("b", dt.datetime(2024, 1, day, hour), ok)
+    read = lambda: sorted((r.day.day, r.n, r.ratio_pct) for r in spark.read.parquet(root).collect())
+    states = []
+    for part in ([event(1, 1, True), event(1, 2, False)], [event(1, 3, True), event(2, 1, True)], [event(9, 1, True)], [event(1, 4, True), event(9, 2, False)], [event(20, 1, True)]):
+        spark.createDataFrame(part, "brand_id string, event_time timestamp, is_authentic boolean").coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema("brand_id string, event_time timestamp, is_authentic boolean").parquet(path)
+        query = jobs.run_ratio(stream, root, str(tmp_path / "c"))
+        query.awaitTermination()
+        states.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        if len(states) == 2:
+            assert read() == [(1, 3, pytest.approx(200 / 3)), (2, 1, 100.0)]
+    assert read() == [(1, 3, pytest.approx(200 / 3)), (2, 1, 100.0), (9, 2, 50.0), (20, 1, 100.0)] and states[-1] == 1
+    rows = spark.read.parquet(root)
+    again = spark.createDataFrame(rows.filter("date = '2024-01-09'").collect(), rows.schema)
+    before = read()
+    jobs.upsert(again, root, ["brand_id", "date"], "date")
+    assert read() == before
+
+
 def test_streams(spark, tmp_path):
     now = dt.datetime(2024, 1, 1)
     path = str(tmp_path / "in")
     row = lambda i, body, hours: (i, "t", body, now + dt.timedelta(hours=hours), "web", "text", "web", 0.0)
     _files(spark, path, [row("a", "same body", 0), row("b", "same body", 1), row("c", "x" * 150, 2), row("d", "", 3)])
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    jobs.dedup_stream(stream).select("fingerprint").writeStream.format("memory").queryName("dedup").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c1")).start().awaitTermination()
-    assert spark.table("dedup").count() == 3
     got = {}
 
     def sink(gated, attributes, number):
