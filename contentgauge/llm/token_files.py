@@ -17,6 +17,7 @@ blocks) and rank directory (u4 for each block).
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -27,6 +28,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +41,7 @@ WIDTHS = (1, 1, 2)
 #: Bits of a bitmap between two entries of its rank directory.
 BLOCK = 512
 #: Ids from which a segment is closed, and code points of texts that are encoded together.
-SEGMENT, CHUNK = 1 << 18, 2_000_000
+SEGMENT, CHUNK = 1 << 18, 12_000_000
 #: Ids of a part; there are at most so many parts, larger ones beyond, so that the directory stays small.
 PART, PARTS = 1 << 23, 100_000
 #: Words whose ids a worker remembers, twice: those of the present term and of the one before.
@@ -139,6 +141,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work; idle threads would only cost
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
@@ -150,26 +153,35 @@ class Encoder:
         self.before: dict[str, bytes] = {}
 
     def texts(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [(t or "").split(" ") for t in texts]
-        heads = [x.pop(0) for x in cut]
-        seen = set().union(*cut)
-        new = seen - self.known.keys()
+        """Words are told apart and numbered by Arrow; per word, Python sees the different ones only."""
+        cut = pc.split_pattern(pa.array([t or "" for t in texts], pa.large_string()), " ")
+        told, ends = cut.flatten().dictionary_encode(), cut.offsets.to_numpy()
+        numbers, words = told.indices.to_numpy().astype(np.int64), told.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = set(words) - self.known.keys()
         if len(self.known) + len(new) > MEMO:
             # words met since the last change are kept for another term, others go
-            self.before, self.known, new = self.known, {}, seen
+            self.before, self.known, new = self.known, {}, set(words)
         again = new & self.before.keys()
         self.known.update(zip(again, map(self.before.pop, again), strict=True))
         self._learn(list(new - again))
-        first = dict(zip(heads, self._apart(heads), strict=True))
-        get, out = self.known.__getitem__, []
-        for head, words, t in zip(heads, cut, texts, strict=True):
-            try:
-                got = b"".join([first[head], *map(get, words)])
-                if head[-1:].isspace():
-                    raise KeyError(head)
-            except KeyError:  # other white space at a border: only some spaces are places to cut at
-                got = b"".join(self._apart(BORDER.split(t)))
-            out.append(np.frombuffer(got, self.type))
+        # the first word of a text has no space before it, so it is an entry of its own
+        heads = [words[k] for k in numbers[ends[:-1]].tolist()] if texts else []
+        own = dict.fromkeys(heads)
+        place = {h: len(words) + k for k, h in enumerate(own)}
+        numbers[ends[:-1]] = [place[h] for h in heads]
+        data = [*map(self.known.get, words), *self._apart(list(own))]
+        odd = np.array([x is None for x in data[: len(words)]] + [h[-1:].isspace() for h in own], bool)
+        data = [x or b"" for x in data]
+        sizes = np.fromiter(map(len, data), np.int64, len(data)) // self.type.itemsize
+        flat, starts = np.frombuffer(b"".join(data), self.type), np.cumsum(sizes) - sizes
+        n = sizes[numbers]
+        done = np.cumsum(n)
+        ids = flat[np.repeat(starts[numbers] - (done - n), n) + np.arange(int(n.sum()))]
+        bounds = np.concatenate([[0], done[ends[1:] - 1]]).tolist()
+        out = [ids[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
+        # other white space at a border: only some spaces are places to cut at
+        for k in np.flatnonzero(np.logical_or.reduceat(odd[numbers], ends[:-1])).tolist() if texts else ():
+            out[k] = np.frombuffer(b"".join(self._apart(BORDER.split(texts[k]))), self.type)
         return out
 
     def _apart(self, words: list[str]) -> list[bytes]:
