@@ -41,11 +41,11 @@ WIDTHS = (1, 1, 2)
 #: Bits of a bitmap between two entries of its rank directory.
 BLOCK = 512
 #: Ids from which a segment is closed, and code points of texts that are encoded together.
-SEGMENT, CHUNK = 1 << 18, 12_000_000
+SEGMENT, CHUNK = 1 << 18, 3_000_000
 #: Ids of a part; there are at most so many parts, larger ones beyond, so that the directory stays small.
 PART, PARTS = 1 << 23, 100_000
 #: Words whose ids a worker remembers, twice: those of the present term and of the one before.
-MEMO = 700_000
+MEMO = 400_000
 _HEAD, _LEVEL = struct.Struct("<4sIQ"), struct.Struct("<IQ")
 
 
