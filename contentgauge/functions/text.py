@@ -41,6 +41,19 @@ ENGLISH = [
 MIN_BODY, SPACE = 100, r"(?U)\s+"
 
 
+# fixed values: names of languages by code
+LANGUAGES = {
+    "en": "English", "fr": "French", "es": "Spanish", "de": "German", "it": "Italian", "pt": "Portuguese", "nl": "Dutch", "pl": "Polish", "ru": "Russian", "ja": "Japanese", "zh": "Chinese", "ko": "Korean",
+    "ar": "Arabic", "unknown": "Unknown",
+}
+
+
+def language_name(code: Column) -> Column:
+    """The name of a language, or the code in capitals."""
+    names = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
+    return F.coalesce(F.try_element_at(names, code), F.upper(code))
+
+
 def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

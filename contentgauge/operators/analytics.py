@@ -50,13 +50,41 @@ def share_of(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     return counts.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
 
 
+def trust_status(score: Column) -> Column:
+    return F.when(score >= 0.8, "excellent").when(score >= 0.6, "good").when(score >= 0.4, "moderate").otherwise("poor")
+
+
 def modality_breakdown(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """Share, pooled mean and best and worst dimension of each modality."""
+    """Share, pooled mean with its status, and best and worst dimension of each modality."""
     items = share_of(scores, keys, "modality")
-    per = unpivoted(scores, [*keys, "modality"]).groupBy(*keys, "modality", "dimension").agg(F.avg("score").alias("a"), F.sum("score").alias("s"), F.count("*").alias("c"))
+    per = unpivoted(scores, [*keys, "modality"]).groupBy(*keys, "modality", "dimension").agg(F.avg("score").alias("a"), F.sum("score").alias("s"), F.count("score").alias("c"))
     order = F.struct(F.round("a", 9), "dimension")
-    pooled = per.groupBy(*keys, "modality").agg((F.sum("s") / F.sum("c")).alias("mean_trust"), F.max_by("dimension", order).alias("best"), F.min_by("dimension", order).alias("worst"))
-    return items.join(pooled, [*keys, "modality"])
+    pooled = per.groupBy(*keys, "modality").agg(F.try_divide(F.sum("s"), F.sum("c")).alias("mean_trust"), F.max_by("dimension", order).alias("best"), F.min_by("dimension", order).alias("worst"))
+    return items.join(pooled.hint("shuffle_hash"), [*keys, "modality"]).withColumn("status", trust_status(F.round("mean_trust", 9)))
+
+
+def modality_dimensions(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """Average, least, greatest and number of each modality's scores of each dimension; scores that are missing don't count."""
+    per = unpivoted(scores, [*keys, "modality"]).groupBy(*keys, "modality", "dimension")
+    return per.agg(F.avg("score").alias("average"), F.min("score").alias("low"), F.max("score").alias("high"), F.count("score").alias("samples")).filter("samples > 0")
+
+
+def modality_insights(breakdown: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows of modality_breakdown, the strongest, weakest and most common modality of each key, of equals the first by name; null where there is only one modality."""
+    some = breakdown.groupBy(*keys).agg(
+        F.min_by("modality", F.struct(-F.round("mean_trust", 9), "modality")).alias("strongest"), F.min_by("modality", F.struct(F.round("mean_trust", 9), "modality")).alias("weakest"), F.min_by("modality", F.struct(-F.col("n"), "modality")).alias("most_common"), F.count("*").alias("modalities"),
+    )
+    return some.withColumns({c: F.when(F.col("modalities") > 1, F.col(c)) for c in ("strongest", "weakest")})
+
+
+def place_breakdown(scores: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """Items, different channels, mean of each dimension and of these means with its status, for each channel or platform type, and their order by items, then name."""
+    mean = {d: F.avg(f"score_{d}") for d in DIMENSIONS}
+    rows = scores.withColumn(by, F.coalesce(F.nullif(by, F.lit("")), F.lit("unknown"))).groupBy(*keys, by).agg(F.count("*").alias("n"), F.count_distinct(F.coalesce("channel", F.lit("unknown"))).alias("channels"), *[m.alias(d) for d, m in mean.items()])
+    there = F.array_compact(F.array(*DIMENSIONS))
+    overall = F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(there), F.lit(0))
+    order = Window.partitionBy(*keys).orderBy(F.desc("n"), by)
+    return rows.withColumn("overall", F.coalesce(overall, F.lit(0.0))).withColumns({"status": trust_status(F.round("overall", 9)), "place": F.row_number().over(order)})
 
 
 def channel_breakdown(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,7 +97,7 @@ def channel_breakdown(scores: DataFrame, keys: list[str]) -> DataFrame:
 def attribute_performance(attributes: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
     perf = attributes.groupBy(*keys, "dimension", "attribute_id").agg(F.avg("value").alias("average"), F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("detections"))
     totals = items.groupBy(*keys).agg(F.count("*").alias("items"))
-    return perf.join(totals, keys).withColumn("rate", F.col("detections") / F.col("items"))
+    return perf.join(totals.hint("shuffle_hash"), keys).withColumn("rate", F.col("detections") / F.col("items"))
 
 
 def critical_attributes(perf: DataFrame, keys: list[str], k: int = 5) -> DataFrame:

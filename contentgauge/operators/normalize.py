@@ -55,7 +55,9 @@ def with_skip_reason(df: DataFrame) -> DataFrame:
 
 
 def with_language(df: DataFrame) -> DataFrame:
-    return df.withColumn("language", T.language(F.col("body")))
+    """language, its name, and whether the text is in another one than English; text without a language is not."""
+    lang = df.withColumn("language", T.language(F.col("body")))
+    return lang.withColumns({"language_name": T.language_name(F.col("language")), "non_english": ~F.col("language").isin("en", "unknown")})
 
 
 def with_triage(df: DataFrame) -> DataFrame:

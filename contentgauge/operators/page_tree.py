@@ -249,8 +249,8 @@ def _longest_div(sep: str = " \n ") -> Column:
     return F.try_element_at(F.col("elements"), 1 - best["at"])
 
 
-def body_text(trees: DataFrame) -> DataFrame:
-    """page_id, step and body: the text of the first step that gives enough.
+def body_text(trees: DataFrame, *keep: str) -> DataFrame:
+    """page_id, url, step and body, and columns to keep: the text of the first step that gives enough.
 
     grid (100 characters), lists (150), tables (150), article (100), main (100), content (150), paragraphs (100), longest
     (100), else body. Lists have two items of over five characters, tables two rows. A page without anything has an
@@ -279,7 +279,16 @@ def body_text(trees: DataFrame) -> DataFrame:
     out = trees.withColumn("_found", F.lit(None).cast("struct<step:string,body:string>"))
     for name, least, text in steps:  # a step is worked out only where those before gave too little
         out = out.withColumn("_found", F.when(F.col("_found").isNotNull(), F.col("_found")).otherwise(_if_enough(name, least, text)))
-    return out.select("page_id", "url", "_found.step", "_found.body")
+    return out.select("page_id", "url", *keep, "_found.step", "_found.body")
+
+
+def page_bodies(trees: DataFrame, thin: int = 200) -> DataFrame:
+    """body_text, or the page's OpenGraph description (step description) where the text has under 200 characters and there is one."""
+    described = trees.withColumn("_description", attr(first_of(every(lambda e: (e["tag"] == "meta") & (attr(e, "property") == "og:description"))), "content"))
+    text = F.btrim("_description", F.lit(" \t\r\n"))
+    use = (F.length("body") < thin) & (F.col("_description") != "")
+    found = body_text(described, "_description")
+    return found.select("page_id", "url", F.when(use, "description").otherwise(F.col("step")).alias("step"), F.when(use, text).otherwise(F.col("body")).alias("body"))
 
 
 def _if_enough(name: str, least: int, text: Column) -> Column:

@@ -24,6 +24,11 @@ def item_summary(classified: DataFrame, adjusted: DataFrame) -> DataFrame:
     return joined.withColumns({"final_score": F.coalesce("adjusted", F.col("overall") * 100), "shown_title": title}).drop("adjusted")
 
 
+def mean_ratio(items: DataFrame, keys: list[str]) -> DataFrame:
+    """The score-based ratio of each key: the mean of its items' final scores, and their number."""
+    return items.groupBy(*keys).agg(F.avg("final_score").alias("ratio_pct"), F.count("final_score").alias("items"))
+
+
 def blocked_urls(items: DataFrame, keys: list[str]) -> DataFrame:
     """Items whose page answered with an error or a wall, and their number by key."""
     gated = normalize.with_skip_reason(items).filter("skip_reason in ('error_page', 'login_wall')")

@@ -290,7 +290,7 @@ SELECT brand_id, run_id, x.band, coalesce(n, 0) AS n, round(100.0 * coalesce(n,
     "g5_content_type_pct": f"WITH {SCORES_SQL} SELECT brand_id, run_id, channel, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY brand_id, run_id), 9) AS pct FROM scores GROUP BY brand_id, run_id, channel",
     "g7_modality": f"""WITH {CLASS_SQL}, {LONG_SQL}, i AS (SELECT brand_id, run_id, modality, count(*) AS n, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY brand_id, run_id) AS pct FROM cls GROUP BY brand_id, run_id, modality),
 p AS (SELECT brand_id, run_id, modality, dimension, avg(score) AS a, sum(score) AS s, count(*) AS c FROM long GROUP BY ALL)
-SELECT brand_id, run_id, modality, n, round(pct, 9) AS pct, round(sum(s) / sum(c), 9) AS mean_trust, max_by(dimension, (round(a, 9), dimension)) AS best, min_by(dimension, (round(a, 9), dimension)) AS worst
+SELECT brand_id, run_id, modality, n, round(pct, 9) AS pct, round(sum(s) / sum(c), 9) AS mean_trust, CASE WHEN round(sum(s) / sum(c), 9) >= 0.8 THEN 'excellent' WHEN round(sum(s) / sum(c), 9) >= 0.6 THEN 'good' WHEN round(sum(s) / sum(c), 9) >= 0.4 THEN 'moderate' ELSE 'poor' END AS status, max_by(dimension, (round(a, 9), dimension)) AS best, min_by(dimension, (round(a, 9), dimension)) AS worst
 FROM i JOIN p USING (brand_id, run_id, modality) GROUP BY ALL""",
     "g8_channels": f"WITH {SCORES_SQL} SELECT brand_id, run_id, channel, modality, count(*) AS n, count(DISTINCT src) AS sources, round({_ALLSCORES}, 9) AS mean_score FROM scores GROUP BY GROUPING SETS ((brand_id, run_id, channel, modality), (brand_id, run_id, channel))",
     "g9_attribute_performance": f"WITH {PERF_SQL} SELECT * REPLACE (round(average, 9) AS average, round(rate, 9) AS rate) FROM perf",

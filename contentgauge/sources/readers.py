@@ -71,11 +71,31 @@ def from_youtube(df: DataFrame, include_comments: bool = False, k: int = 20) ->
 
 
 def from_web(df: DataFrame) -> DataFrame:
-    """Pages(url, title, body, and where known terms, privacy, brand_owned) as content."""
+    """Pages(url, title, body, and where known terms, privacy, brand_owned, badge) as content; badge is a map of what the page shows."""
     optional = [F.map_filter(strings(**{c: F.col(c)}), lambda _, v: v != "") for c in ("terms", "privacy") if c in df.columns]
+    optional += [F.coalesce("badge", F.create_map().cast("map<string,string>"))] if "badge" in df.columns else []
     owned = F.coalesce(F.col("brand_owned").cast("string"), F.lit("false")) if "brand_owned" in df.columns else F.lit("false")
     meta = F.map_concat(strings(source_url=F.col("url"), description=F.substring("body", 1, 200), is_brand_owned=owned, content_type=F.lit("web")), *optional)
     return content_row(
         df, content_id=F.concat(F.lit("web_"), F.md5("url")), src=F.lit("web"), platform_id=F.col("url"), author=F.lit("web"), title=F.col("title"), body=F.col("body"), url=F.col("url"),
         modality=F.lit("text"), channel=F.lit("web"), platform_type=F.when(owned == "true", "owned").otherwise("web"), meta=meta,
     )
+
+
+#: What a collected page says of its certificate and its legal links.
+_PROPAGATED = ["ssl_valid", "ssl_issuer", "ssl_expiry_days", "ssl_error", "privacy", "terms"]
+
+
+def from_collector(df: DataFrame) -> DataFrame:
+    """Collected pages(query, url, title, body, and where known access_denied, page_meta and the certificate's and legal columns) as assets.
+
+    meta_info has the query, the first 500 characters as description, whether access was denied, what the page's own
+    metadata says (over the former), and certificate and legal links (over all); what is not known has no key.
+    """
+    known = lambda c: F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+    present = lambda m: F.map_filter(m, lambda _, v: v.isNotNull())
+    own = strings(query=F.col("query"), source_url=F.col("url"), title=F.col("title"), description=F.substring(F.coalesce("body", F.lit("")), 1, 500), access_denied=F.coalesce(known("access_denied"), F.lit("false")))
+    page = F.coalesce("page_meta", F.create_map().cast("map<string,string>")) if "page_meta" in df.columns else F.create_map().cast("map<string,string>")
+    told = F.create_map(*[x for c in _PROPAGATED for x in (F.lit(c), known(c))])
+    over = lambda a, b: F.map_zip_with(a, b, lambda _, x, y: F.coalesce(y, x))
+    return df.select(F.lit("brave").alias("source_type"), F.lit("web").alias("channel"), "url", "title", F.col("body").alias("raw_content"), F.col("body").alias("normalized_content"), present(over(over(own, page), told)).alias("meta_info"))
