@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contentgauge.llm import word_model
-from contentgauge.llm.common import join_ids, materialize
+from contentgauge.llm.common import BROADCAST_ROWS, join_ids, materialize
 
 #: Quantile of a language's held-out trusted documents beyond which a document is rejected, for perplexity and for marking words.
 UPPER = 0.999
-#: Documents from which a language's own quantile is taken alone.
-ENOUGH = 5000
+#: Documents with which a language's own quantile weighs as much as what all languages show.
+HALF = 5000
 #: Documents that the mean of the languages counts as, in the deviation of a language with few.
 SHARED = 10
 #: Words at the language's median that every text is scored with, so that the chance of few words rejects nothing.
@@ -42,7 +42,10 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ids = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
     ids = ids.filter("q = 1").select("doc_id", (F.col("t") != 0).alias("_toxic"))
     held = ~F.col("_toxic") & (F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0)
-    return join_ids(docs, ids, ["doc_id"], "left").withColumn("_held", F.coalesce(held, F.lit(False)))
+    n = ids.count()
+    found = join_ids(docs, ids, ["doc_id"], "left", n).withColumn("_held", F.coalesce(held, F.lit(False)))
+    # the model's chunks are numbered by the order of rows, which a shuffle doesn't give again on a retry
+    return found if n <= BROADCAST_ROWS else materialize(found)
 
 
 def with_prior(score: str, middle: str):
@@ -58,9 +61,10 @@ def share_repeated():
 def limits(held_out: DataFrame) -> DataFrame:
     """_lang, middle, most, most_toxic, most_repeats from held_out(_lang, n, score, toxic, repeats); the row with a null _lang is for languages without trusted documents.
 
-    The quantile of a language with fewer than ENOUGH documents, which they can't show, is at least that of all, taken
-    from each one's median, and that of a normal distribution about it with the deviation of the documents above it
-    (copies pull those below down) and of SHARED more with the mean of all languages.
+    A language's limit is its own quantile, weighted with its documents, and HALF documents' weight of the greatest of
+    this, of the quantile of all, taken from each one's median, and of that of a normal distribution about it with the
+    deviation of the documents above it (copies pull those below down) and of SHARED more with the mean of all languages:
+    few documents can't show a high quantile, many do.
     """
     by = held_out.groupBy("_lang").agg(F.percentile_approx("score", 0.5, 10_000).alias("middle"))
     overall = held_out.agg(F.lit(None).cast("string").alias("_lang"), F.percentile_approx("score", 0.5, 10_000).alias("middle"))
@@ -72,8 +76,9 @@ def limits(held_out: DataFrame) -> DataFrame:
     shared = own.agg(F.coalesce(F.avg("square"), F.lit(0.0)).alias("shared"))
     square = (F.col("v") * F.coalesce("square", "shared") + SHARED * F.col("shared")) / (F.col("v") + SHARED)
     own = own.crossJoin(F.broadcast(shared)).withColumn("normal", NormalDist().inv_cdf(UPPER) * F.sqrt(square))
-    few = F.coalesce(F.col("docs"), F.lit(0)) < ENOUGH
-    most = lambda a, *more: F.when(few, F.greatest(a, *more)).otherwise(F.col(a))
+    docs = F.coalesce("docs", F.lit(0))
+    # the row of all languages has no documents of its own
+    most = lambda a, *more: (F.coalesce(F.col(a) * docs, F.lit(0.0)) + F.greatest(a, *more) * HALF) / (docs + HALF)
     found = by.unionByName(overall).join(F.broadcast(own), "_lang", "left").crossJoin(F.broadcast(pooled))
     return found.select("_lang", "middle", (F.col("middle") + most("own", "all", "normal")).alias("most"), most("own_toxic", "all_toxic").alias("most_toxic"), F.when(F.col("middle").isNotNull(), F.greatest(most("own_repeats", "all_repeats"), F.lit(LEAST_REPEATS))).alias("most_repeats"))
 
