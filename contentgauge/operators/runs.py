@@ -70,7 +70,7 @@ def run_summary(dimensions: DataFrame, asset_scores: DataFrame, keys: list[str])
     by_signal = dimensions.groupBy(*keys).pivot("dimension", DIMENSIONS).agg(F.first(F.col("value") / 10))
     means = asset_scores.groupBy(*keys).agg(*[F.avg(f"score_{d}").alias(f"mean_{d}") for d in DIMENSIONS], F.avg("overall").alias("mean_overall"))
     overall = scoring.trust_score(dimensions, keys).select(*keys, (F.col("overall") / 100).alias("trust"))
-    joined = means.join(by_signal, keys, "left").join(overall, keys, "left")
+    joined = means.join(by_signal.hint("shuffle_hash"), keys, "left").join(overall.hint("shuffle_hash"), keys, "left")
     return joined.select(*keys, *[F.coalesce(d, f"mean_{d}").alias(d) for d in DIMENSIONS], F.coalesce("trust", "mean_overall").alias("overall"))
 
 
