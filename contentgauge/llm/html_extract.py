@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -55,19 +56,24 @@ def _marked(value: str, marks: frozenset[str]) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, path, linked) for every block outside silent elements; path: numbers of the open elements; linked: characters in links."""
+    """Collects every block outside silent elements: its texts, tags and path (numbers of the open elements).
 
-    def __init__(self, released: frozenset[int] = frozenset()):
+    A form or marked element is soft: whether it is silent is seen when the page has been read. A text has the number of
+    the innermost soft element around it, or -1, and whether it is in a link.
+    """
+
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.released = released  # numbers of forms and marked elements that are not silent
-        self.soft: dict[int, list[int]] = {}  # by number of the others: characters, and whether an article or main is inside
-        self.loud = 0  # characters outside silent elements
-        self.open: list[tuple[str, int, bool]] = []  # name, number, silent
+        self.outer: dict[int, int] = {}  # of soft elements: the soft element around, or -1
+        self.size: dict[int, int] = {-1: 0}  # characters whose innermost soft element it is
+        self.holds: dict[int, bool] = {}  # whether an article or main element is inside
+        self.in_article: dict[int, bool] = {}  # whether some of those characters are in an article or main element
+        self.open: list[tuple[str, int, bool, int]] = []  # name, number, silent, innermost soft element
         self.names: list[str] = []  # by number
-        self.lines: list[tuple[str, int, tuple[int, ...], int]] = []
-        self.text: list[str] = []
-        self.tags = self.linked = 0
-        self.inside = 0  # open article and main elements
+        self.blocks: list[tuple[list[tuple[str, int, bool]], int, tuple[int, ...]]] = []
+        self.text: list[tuple[str, int, bool]] = []
+        self.tags = 0
+        self.inside = self.links = 0  # open article and main elements, and links
 
     def _silent(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in ("html", "body", "article", "main"):
@@ -86,19 +92,21 @@ class _Lines(HTMLParser):
         return tag == "form" or a.get("role", "").lower() == "form" or _marked(a.get("class", ""), marks) or _marked(a.get("id", ""), marks)
 
     def _flush(self) -> None:
-        if text := " ".join("".join(self.text).split()):
-            self.lines.append((text, max(self.tags, 1), tuple(n for _, n, _ in self.open), min(self.linked, len(text))))
-        self.text, self.tags, self.linked = [], 0, 0
+        if self.text:
+            self.blocks.append((self.text, max(self.tags, 1), tuple(n for _, n, *_ in self.open)))
+        self.text, self.tags = [], 0
 
     def _close(self, at: int) -> None:
-        if any(name in _BLOCK for name, _, _ in self.open[at:]):
+        names = [name for name, *_ in self.open[at:]]
+        if not _BLOCK.isdisjoint(names):
             self._flush()
-        self.inside -= sum(name in ("article", "main") for name, _, _ in self.open[at:])
+        self.inside -= sum(name in ("article", "main") for name in names)
+        self.links -= names.count("a")
         del self.open[at:]
 
     def _end_head(self) -> None:
-        for at, (name, _, _) in enumerate(self.open):
-            if name == "head" and not any(n in ("template", "noscript") for n, _, _ in self.open[at:]):
+        for at, (name, *_) in enumerate(self.open):
+            if name == "head" and not any(n in ("template", "noscript") for n, *_ in self.open[at:]):
                 self._close(at)
                 return
 
@@ -116,17 +124,22 @@ class _Lines(HTMLParser):
             self._flush()
         self.tags += 1
         if tag == "br":
-            self.text.append("\n")
+            self.text.append(("\n", -1, False))
         if tag in _VOID:
             return
+        soft = self.open[-1][3] if self.open else -1
         silent = bool(self.open and self.open[-1][2]) or self._silent(tag, attrs)
-        if not silent and self._soft(tag, attrs) and len(self.names) not in self.released:
-            self.soft[len(self.names)] = [0, 0]
         if not silent and tag in ("article", "main"):
-            for n in self._muted():
-                self.soft[n][1] = 1
+            n = soft
+            while n >= 0 and not self.holds[n]:
+                self.holds[n] = True
+                n = self.outer[n]
+        if not silent and self._soft(tag, attrs):
+            self.outer[len(self.names)], soft = soft, len(self.names)
+            self.size[soft], self.holds[soft] = 0, False
         self.inside += tag in ("article", "main")
-        self.open.append((tag, len(self.names), silent))
+        self.links += tag == "a"
+        self.open.append((tag, len(self.names), silent, soft))
         self.names.append(tag)
 
     def handle_startendtag(self, tag, attrs):
@@ -141,21 +154,15 @@ class _Lines(HTMLParser):
                 self._close(at)
                 return
 
-    def _muted(self) -> list[int]:
-        return [n for _, n, _ in self.open if n in self.soft] if self.soft else []
-
     def handle_data(self, data):
         if self.open and self.open[-1][0] == "head" and data.strip():
             self._end_head()
         if not (self.open and self.open[-1][2]):
-            if muted := self._muted():
-                for n in muted:
-                    self.soft[n][0] += len(data.strip())
-            else:
-                self.text.append(data)
-                if any(name == "a" for name, _, _ in self.open):
-                    self.linked += len(data.strip())
-                self.loud += len(data.strip())
+            soft, n = self.open[-1][3] if self.open else -1, len(data.strip())
+            self.text.append((data, soft, self.links > 0))
+            self.size[soft] += n
+            if n and self.inside:
+                self.in_article[soft] = True
 
     def parse_marked_section(self, i, report=1):
         end = self.rawdata.find(">", i + 3)
@@ -168,31 +175,53 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
     return np.convolve(ratios, kernel)[RADIUS:-RADIUS] / np.convolve(np.ones(len(ratios)), kernel)[RADIUS:-RADIUS]
 
 
-def _parsed(html: str, released: frozenset[int]) -> _Lines:
-    parser = _Lines(released)
+def _heard(parser: _Lines) -> set[int]:
+    """The soft elements that are not silent, and -1.
+
+    One by one, those that wrap the page speak: with nearly all of its text, or with its only article or main element.
+    Texts are heard when all soft elements around them speak.
+    """
+    total = dict.fromkeys(parser.outer, 0)
+    for n in sorted(parser.outer, reverse=True):  # inner ones have the larger numbers
+        total[n] += parser.size[n]
+        if parser.outer[n] >= 0:
+            total[parser.outer[n]] += total[n]
+    heard, loud, article, speak = {-1}, parser.size[-1], parser.in_article.get(-1, False), set()
+    silent = dict(sorted(total.items(), key=lambda x: (not parser.holds[x[0]], -x[1], x[0])))
+    while silent and not article:
+        n = next(iter(silent))
+        if not silent[n] or not (parser.holds[n] or silent[n] >= _WRAPPER * (loud + silent[n])):
+            break
+        del silent[n]
+        speak.add(n)
+        if parser.outer[n] in heard:
+            fresh = [n]
+            while fresh:  # with n, those within it that spoke before
+                k = fresh.pop()
+                heard.add(k)
+                loud, article = loud + parser.size[k], article or parser.in_article.get(k, False)
+                fresh += [x for x in speak - heard if parser.outer[x] == k]
+    return heard
+
+
+def _lines(html: str) -> tuple[_Lines, list[tuple[str, int, tuple[int, ...], int]]]:
+    """The parser, and text, tags, path and characters in links of every block with text that is heard."""
+    parser = _Lines()
     parser.feed(html)
     parser.close()
     parser._close(0)
     parser._flush()
-    return parser
-
-
-def _wrappers(parser: _Lines) -> frozenset[int]:
-    """Silent forms and marked elements that wrap the page: with nearly all of its text, or with its only article or main element."""
-    if not parser.soft:
-        return frozenset()
-    texts = [t for t, _, path, _ in parser.lines if any(parser.names[n] in ("article", "main") for n in path)]
-    n, (size, article) = max(parser.soft.items(), key=lambda x: (x[1][1], x[1][0], -x[0]))
-    total = parser.loud + size
-    return frozenset([n]) if size and (article and not texts or not texts and size >= _WRAPPER * total) else frozenset()
+    heard, out = _heard(parser), []
+    for texts, tags, path in parser.blocks:
+        texts = [x for x in texts if x[1] in heard]
+        if text := " ".join("".join([x for x, *_ in texts]).split()):
+            out.append((text, tags, path, min(sum(len(x.strip()) for x, _, link in texts if link), len(text))))
+    return parser, out
 
 
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by single spaces; empty if there are none."""
-    parser = _parsed(html or "", frozenset())
-    while outer := _wrappers(parser):
-        parser = _parsed(html or "", parser.released | outer)
-    lines = parser.lines
+    parser, lines = _lines(html or "")
     if not lines:
         return ""
     ratio = smoothed(np.array([(len(t) - linked) / n for t, n, _, linked in lines]))
@@ -203,7 +232,7 @@ def main_text(html: str | None) -> str:
         if region := {n for path in paths for n in [next((n for n in path if parser.names[n] == name), None)] if n is not None}:
             break
     else:
-        shared = [n for n in paths[0] if parser.names[n] in _HOLDERS and all(n in path for path in paths)] if paths else []
+        shared = [n for n in commonprefix(paths) if parser.names[n] in _HOLDERS]
         region = set(shared[-1:])
     kept = [(t, path) for (t, _, path, linked), chosen in zip(lines, content, strict=True) if chosen or linked < LINKED * len(t)]
     return " ".join(t for t, path in kept if not region or not region.isdisjoint(path))
