@@ -41,11 +41,11 @@ WIDTHS = (1, 1, 2)
 #: Bits of a bitmap between two entries of its rank directory.
 BLOCK = 512
 #: Ids from which a segment is closed, and code points of texts that are encoded together.
-SEGMENT, CHUNK = 1 << 18, 3_000_000
+SEGMENT, CHUNK = 1 << 18, 5_000_000
 #: Ids of a part; there are at most so many parts, larger ones beyond, so that the directory stays small.
 PART, PARTS = 1 << 23, 100_000
 #: Words whose ids a worker remembers, twice: those of the present term and of the one before.
-MEMO = 400_000
+MEMO = 700_000
 _HEAD, _LEVEL = struct.Struct("<4sIQ"), struct.Struct("<IQ")
 
 
@@ -157,13 +157,15 @@ class Encoder:
         cut = pc.split_pattern(pa.array([t or "" for t in texts], pa.large_string()), " ")
         told, ends = cut.flatten().dictionary_encode(), cut.offsets.to_numpy()
         numbers, words = told.indices.to_numpy().astype(np.int64), told.dictionary.to_numpy(zero_copy_only=False).tolist()
-        new = set(words) - self.known.keys()
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > MEMO:
             # words met since the last change are kept for another term, others go
-            self.before, self.known, new = self.known, {}, set(words)
-        again = new & self.before.keys()
-        self.known.update(zip(again, map(self.before.pop, again), strict=True))
-        self._learn(list(new - again))
+            self.before, self.known, new = self.known, {}, words
+        known, before = self.known, self.before
+        for w in new:
+            if w in before:
+                known[w] = before.pop(w)
+        self._learn([w for w in new if w not in known])
         # the first word of a text has no space before it, so it is an entry of its own
         heads = [words[k] for k in numbers[ends[:-1]].tolist()] if texts else []
         own = dict.fromkeys(heads)
@@ -205,7 +207,7 @@ class Encoder:
         size = self.type.itemsize
         for k in range(0, len(words), 10_000):
             some = words[k : k + 10_000]
-            lines = [" " + " ".join(some[j : j + 50]) for j in range(0, len(some), 50)]
+            lines = [" " + " ".join(some[j : j + 30]) for j in range(0, len(some), 30)]
             ids = np.array(list(chain.from_iterable([x.ids for x in self.library.encode_batch_fast(lines, add_special_tokens=False)])), self.type)
             ends = (np.append(np.flatnonzero(self.spaced[ids]), len(ids)) * size).tolist()
             data = ids.tobytes()
