@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from contentgauge.functions import config as C
 from contentgauge.functions import pages as P
 from contentgauge.operators import analytics as A
 from contentgauge.operators import normalize as N
@@ -14,7 +15,8 @@ from contentgauge.operators import runs as O
 from contentgauge.operators import scoring as S
 from contentgauge.operators import urls as U
 from contentgauge.plans.normalization import LANGUAGE_SQL
-from contentgauge.plans.scores import CLASS_SQL, RUN
+from contentgauge.plans import scores as scores_plan
+from contentgauge.plans.scores import CLASS_SQL, RUN, usage
 from contentgauge.plans.urls import _MAIN, VARIED_SQL, urls
 from contentgauge.sources import readers
 from contentgauge.sources.tables import CONTENT_SQL, DIMENSIONS, SCORES_SQL, contents, scores, table
@@ -82,6 +84,16 @@ def g18_gaps(spark, sf_dir):
     return A.run_presence(contents(spark, sf_dir).filter("brand_id <> 'brand_2'"), scores(spark, sf_dir).filter("run_id <> 'run_1'"))
 
 
+#: Tokens of prompts and completions and dollars beyond which a run or model is over its quota.
+QUOTA = (9_000, 5_000, 0.02)
+
+
+def g20_over_quota(spark, sf_dir):
+    """Usage against a quota that some runs and models are over."""
+    found = A.usage_cost(usage(spark, sf_dir), C.prices(spark), ["run_id"], C.DEFAULT_MODEL, QUOTA)
+    return found.withColumn("cost_usd", F.round("cost_usd", 9))
+
+
 def g6_ratio(spark, sf_dir):
     items = S.classify(scores(spark, sf_dir)).select("content_id", *RUN, "overall").join(contents(spark, sf_dir).select("content_id", "title", "body").hint("shuffle_hash"), "content_id")
     adjusted = contents(spark, sf_dir).filter("seq % 5 = 0").select("content_id", (F.col("seq") % 100).cast("double").alias("adjusted"))
@@ -158,7 +170,7 @@ def a5_collector(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        d6_branches, d8_branches, g21_branches, d2_channels, c7_varied_urls, c16_domains, g18_gaps, g6_ratio, g7_dimensions, g7_insights, g8_channel_dimensions, g8_platforms, f24_results, b19_descriptions, d7_names,
+        d6_branches, d8_branches, g21_branches, d2_channels, c7_varied_urls, c16_domains, g18_gaps, g20_over_quota, g6_ratio, g7_dimensions, g7_insights, g8_channel_dimensions, g8_platforms, f24_results, b19_descriptions, d7_names,
         d11_reading_time, a5_collector,
     )
 }
@@ -193,6 +205,7 @@ d AS (SELECT brand_id, page_id AS pos, CASE page_id % 8 WHEN 0 THEN host WHEN 2
 SELECT brand_id, domain, pos, row_number() OVER (PARTITION BY brand_id ORDER BY pos, domain) AS rank FROM f QUALIFY rank <= 15""",
     "g18_gaps": f"""WITH {SCORES_SQL}, n AS (SELECT run_id, brand_id, src, count(*) AS normalized_rows FROM content WHERE brand_id <> 'brand_2' GROUP BY ALL), s AS (SELECT run_id, brand_id, src, count(*) AS scores_rows FROM scores WHERE run_id <> 'run_1' GROUP BY ALL)
 SELECT *, normalized_rows IS NOT NULL AS in_normalized, scores_rows IS NOT NULL AS in_scores FROM n FULL JOIN s USING (run_id, brand_id, src)""",
+    "g20_over_quota": scores_plan.ORACLES["g20_usage_cost"].replace("prompt_tokens > 100000 OR completion_tokens > 50000 OR cost_usd > 1.0", f"prompt_tokens > {QUOTA[0]} OR completion_tokens > {QUOTA[1]} OR cost_usd > {QUOTA[2]}"),
     "g6_ratio": f"WITH {CLASS_SQL} SELECT brand_id, run_id, round(avg(CASE WHEN seq % 5 = 0 THEN seq % 100 ELSE overall * 100 END), 9) AS ratio_pct, count(*) AS items FROM cls GROUP BY ALL",
     "g7_dimensions": f"WITH {_MISSING}, {_UNPIVOTED} SELECT brand_id, run_id, modality, dimension, round(avg(score), 9) AS average, min(score) AS low, max(score) AS high, count(score) AS samples FROM long GROUP BY ALL HAVING count(score) > 0",
     "g7_insights": f"""WITH {_MISSING}, {_UNPIVOTED}, x AS (SELECT * REPLACE (CASE WHEN brand_id = 'brand_3' THEN 'video' ELSE modality END AS modality) FROM long), m AS (SELECT brand_id, run_id, modality, round(sum(score) / count(score), 9) AS t, count(*) / 5 AS n FROM x GROUP BY ALL)

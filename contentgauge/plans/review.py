@@ -22,11 +22,11 @@ def claims(spark, sf_dir):
 
 
 def issues(spark, sf_dir):
-    """Of every third document: its first words as a quote, or a quote that it does not have."""
+    """Of every document: its first words as a quote, or a quote that it does not have."""
     n = F.col("seq")
     kinds = list(TYPES)
     said = F.when(n % 2 == 0, F.substring("body", 3, 30)).otherwise(F.lit("words that are not there"))
-    return contents(spark, sf_dir).filter(n % 3 == 0).select(
+    return contents(spark, sf_dir).select(
         "content_id", F.element_at(F.array(*map(F.lit, kinds)), (n % 4 + 1).cast("int")).alias("type"), F.element_at(F.array(*[F.lit(TYPES[k]) for k in kinds]), (n % 4 + 1).cast("int")).alias("dimension"),
         F.when(n % 5 != 0, (n % 10) / 10.0).alias("confidence"), F.lit(None).cast("string").alias("severity"), F.concat(F.lit("EXACT QUOTE: '"), F.regexp_replace(said, "'", ""), F.lit("'")).alias("evidence"),
         F.when(n % 11 != 0, "Change 'tiny' -> 'small'").alias("suggestion"),
@@ -122,7 +122,7 @@ QUERIES = {f.__name__: f for f in (f4_confidences, f6_claims, f6_issues, f7_filt
 
 _KINDS, _DIMS = str(list(TYPES)), str(list(TYPES.values()))
 ISSUE_SQL = f"""iss AS (SELECT content_id, title, body, {_KINDS}[seq % 4 + 1] AS type, {_DIMS}[seq % 4 + 1] AS dimension, CASE WHEN seq % 5 <> 0 THEN (seq % 10) / 10.0 END AS confidence,
- replace(CASE WHEN seq % 2 = 0 THEN substr(body, 3, 30) ELSE 'words that are not there' END, '''', '') AS quote, CASE WHEN seq % 11 <> 0 THEN 1 END AS suggestion FROM content WHERE seq % 3 = 0),
+ replace(CASE WHEN seq % 2 = 0 THEN substr(body, 3, 30) ELSE 'words that are not there' END, '''', '') AS quote, CASE WHEN seq % 11 <> 0 THEN 1 END AS suggestion FROM content),
 good AS (SELECT content_id, type, coalesce(confidence, 0.8) AS confidence, 'medium' AS severity FROM iss WHERE suggestion IS NOT NULL AND (dimension <> 'coherence' OR coalesce(confidence, 0.8) >= 0.7))"""
 _move = lambda d: f"round(least(1.0, greatest(0.0, score_{d} + CASE WHEN conf > 0 AND label = 'authentic' THEN 1 WHEN conf > 0 AND label = 'inauthentic' THEN -1 ELSE 0 END * coalesce(conf - 0.5, 0) * 0.2)), 9) AS {d}"
 _total = lambda name: "100 * (" + " + ".join(f"{name(d)} * {w}" for d, w in C.DIMENSION_WEIGHTS.items()) + ")"
@@ -140,7 +140,13 @@ CLAIM_SQL = f"""clm AS (SELECT content_id, seq, k AS claim_no, {STATUSES}[(seq +
 cis AS (SELECT content_id, claim_no, 'unverified_claims' AS type, CASE WHEN status = 'CONTRADICTED' THEN 'high' ELSE 'medium' END AS severity, CASE WHEN status = 'CONTRADICTED' THEN coalesce(confidence, 0.8) ELSE 0.8 END AS confidence,
  'Claim: ' || chr(39) || 'claim ' || claim_no || chr(39) || chr(10) || 'Verdict: ' || CASE WHEN status = 'CONTRADICTED' THEN status ELSE 'UNVERIFIED' END || chr(10) || reason AS evidence,
  CASE WHEN status = 'CONTRADICTED' THEN 'Remove or correct this claim: ' || reason ELSE 'Add a citation or source for this claim.' END AS suggestion FROM clm WHERE status <> 'supported')"""
+_W = r"[\p{L}\p{N}_]"
 ORACLES = {
+    # RE2 knows words of ASCII letters only, so their borders are written out
+    "d11_text_stats": rf"""WITH {CONTENT_SQL}, s AS (SELECT content_id, body, lower(body) AS low, list_filter(list_transform(string_split_regex(body, '[.!?]+'), lambda x: trim(x, E' \t\n\r\x0b\x0c')), lambda x: x <> '') AS ss FROM content),
+k AS (SELECT *, greatest(len(regexp_extract_all(body, '{_W}+')), 1) AS words, greatest(len(ss), 1) AS n, greatest(len(regexp_extract_all(low, '[aeiouyáàâäãéèêëíìîïóòôöõúùûü]+')), 1) AS syllables FROM s)
+SELECT content_id, CAST(least(5, len(list_filter(ss, lambda x: regexp_matches(x, '(?i)(^|[^\p{{L}}\p{{N}}_])(am|is|are|was|were|be|been|being)\s+{_W}+(ed|en)($|[^\p{{L}}\p{{N}}_])')))) AS INTEGER) AS n_passive,
+ array_to_string(list_filter({V.WEAK}, lambda w: contains(low, ' ' || w || ' ')), ',') AS weak_words, round(206.835 - 1.015 * words / n - 84.6 * syllables / words, 6) AS reading_ease, round(0.39 * words / n + 11.8 * syllables / words - 15.59, 6) AS grade FROM k""",
     "f6_issues": f"WITH {CONTENT_SQL}, {CLAIM_SQL} SELECT * FROM cis",
     "f4_confidences": f"""WITH {CONTENT_SQL} SELECT content_id, CASE WHEN length(body) < 200 THEN 0.6 ELSE 1.0 END AS provenance, CASE WHEN seq % 5 = 0 THEN 0.3 WHEN seq % 5 < 3 THEN 0.7 ELSE 1.0 END AS verification,
  CASE WHEN length(body) < 300 THEN 0.7 ELSE 1.0 END AS transparency, CASE WHEN seq % 2 = 0 THEN 1.0 ELSE 0.6 END AS coherence, 1.0 AS resonance FROM content""",

@@ -65,14 +65,14 @@ def a4_youtube(spark, sf_dir):
 
 def a5_web(spark, sf_dir):
     n = F.col("page_id")
-    p = table(spark, sf_dir, "pages").select("url", F.lit("T").alias("title"), F.substring("html", 1, 300).alias("body"), F.when(n % 3 == 0, "http://terms").alias("terms"), F.when(n % 4 == 0, "http://privacy").otherwise("").alias("privacy"), (n % 2 == 0).alias("brand_owned"))
+    p = table(spark, sf_dir, "pages").select("url", F.lit("T").alias("title"), F.col("html").alias("body"), F.when(n % 3 == 0, "http://terms").alias("terms"), F.when(n % 4 == 0, "http://privacy").otherwise("").alias("privacy"), (n % 2 == 0).alias("brand_owned"))
     return _shown(R.from_web(p)).withColumn("body", F.md5("body")).withColumn("meta", F.md5("meta"))
 
 
 def _lake(spark, sf_dir) -> str:
     out = shared_folder(spark, "lake")
     W.write_content(contents(spark, sf_dir), out)
-    W.write_scores(scores(spark, sf_dir).filter("seq % 3 > 0"), out)
+    W.write_scores(scores(spark, sf_dir), out)
     return out
 
 
@@ -161,12 +161,12 @@ SELECT 'amazon_' || id AS content_id, 'amazon' AS src, id AS platform_id, 'c' ||
  'video' AS modality, 'youtube' AS channel, 'social' AS platform_type, 'channel_title=' || source || ';comment_count=' || CASE WHEN doc_id % 4 = 0 THEN 25 ELSE 0 END || ';content_type=video;like_count=' || doc_id % 10 || ';source_url=' || {_LINK} || ';url=' || {_LINK} || ';view_count=' || doc_id % 100 AS meta FROM documents
 UNION ALL SELECT 'youtube_comment_' || doc_id || '-' || k, 'youtube', doc_id || '-' || k, 'u' || k, '', 'said ' || k, NULL, CAST(CASE WHEN k % 2 = 0 THEN k ELSE 0 END AS INTEGER), NULL, '2024-01-02', {_LINK}, 'text', 'youtube', 'social',
  'content_type=comment;like_count=' || CASE WHEN k % 2 = 0 THEN k ELSE 0 END || ';source_url=' || {_LINK} || ';video_id=' || doc_id || ';video_title=' || split_part(text, chr(10), 1) || ';video_url=' || {_LINK} FROM documents, range(20) AS r(k) WHERE doc_id % 4 = 0""",
-    "a5_web": f"""WITH p AS (SELECT *, substr(html, 1, 300) AS body, CASE WHEN page_id % 2 = 0 THEN 'true' ELSE 'false' END AS owned FROM pages)
+    "a5_web": f"""WITH p AS (SELECT *, html AS body, CASE WHEN page_id % 2 = 0 THEN 'true' ELSE 'false' END AS owned FROM pages)
 SELECT 'web_' || md5(url) AS content_id, 'web' AS src, url AS platform_id, 'web' AS author, 'T' AS title, md5(body) AS body, {_DOUBLE} AS rating, {_INT} AS upvotes, {_DOUBLE} AS helpful_count, {_NULL} AS event_ts, url, 'text' AS modality, 'web' AS channel, CASE WHEN owned = 'true' THEN 'owned' ELSE 'web' END AS platform_type,
  md5('content_type=web;description=' || substr(body, 1, 200) || ';is_brand_owned=' || owned || CASE WHEN page_id % 4 = 0 THEN ';privacy=http://privacy' ELSE '' END || ';source_url=' || url || CASE WHEN page_id % 3 = 0 THEN ';terms=http://terms' ELSE '' END) AS meta FROM p""",
     "a6_write_content": f"WITH {CONTENT_SQL} SELECT content_id, brand_id, src, run_id, md5(body) AS body FROM content",
-    "a7_write_scores": f"WITH {SCORES_SQL} SELECT content_id, brand_id, src, run_id, score_provenance, score_resonance FROM scores WHERE seq % 3 > 0",
-    "a10_manifest": f"""WITH {SCORES_SQL} SELECT 'content' AS "table", run_id, brand_id, src, count(*) AS n FROM content GROUP BY ALL UNION ALL SELECT 'scores', run_id, brand_id, src, count(*) FROM scores WHERE seq % 3 > 0 GROUP BY ALL""",
+    "a7_write_scores": f"WITH {SCORES_SQL} SELECT content_id, brand_id, src, run_id, score_provenance, score_resonance FROM scores",
+    "a10_manifest": f"""WITH {SCORES_SQL} SELECT 'content' AS "table", run_id, brand_id, src, count(*) AS n FROM content GROUP BY ALL UNION ALL SELECT 'scores', run_id, brand_id, src, count(*) FROM scores GROUP BY ALL""",
     "a8_export_run": f"""WITH {SCORES_SQL}, r AS (SELECT run_id, min(seq) AS k FROM content GROUP BY ALL)
 SELECT content_id AS asset_id, score_coherence, CASE WHEN run_id = 'run_1' AND k = 1 THEN 'slug-of-brand_1' ELSE 'unknown' END AS brand_slug, '2024-03-0' || (k + 1) AS day FROM scores JOIN r USING (run_id) WHERE run_id IN ('run_1', 'run_2')""",
     "a9_export_raw": f"WITH {CONTENT_SQL} SELECT content_id AS asset_id, run_id, channel AS source_type, 'b' AS brand_slug FROM content",
