@@ -166,7 +166,7 @@ _UNITS = _by_layout(
 )
 
 _SPACE, _BREAK = "' '", "' ' || chr(10) || ' '"
-_PLAIN = "replace(replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&')"
+_PLAIN = "regexp_replace(regexp_replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&quot;?', chr(34), 'g'), '&amp;?', '&', 'g')"
 
 
 def _runs(x: str, sep: str) -> str:
@@ -174,7 +174,7 @@ def _runs(x: str, sep: str) -> str:
     return f"array_to_string(list_filter(list_transform(string_split_regex({x}, '<[^>]*>'), lambda r: trim({_PLAIN.format(x='r')})), lambda r: r <> ''), {sep})"
 
 
-_GIVEN = "g AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS article, regexp_extract(html, '(?s)<footer>(.*)</footer>', 1) AS footer, regexp_replace(regexp_extract(html, '(?s)<body>(.*)</body>', 1), '<!--.*?-->', '', 'g') AS body FROM pages)"
+_GIVEN = "g AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS article, regexp_extract(html, '(?s)<footer>(.*)</footer>', 1) AS footer, regexp_replace(regexp_extract(html, '(?s)<body>(.*)', 1), '<!--.*?-->', '', 'g') AS body FROM pages)"
 ORACLES = {
     "b10_segments": f"WITH {_GIVEN} SELECT page_id, {_runs('article', _SPACE)} AS main_text, '' AS header_text, {_runs('footer', _SPACE)} AS footer_text FROM g",
     # the navigation's list is too short, so the article is next, or all there is
