@@ -19,17 +19,25 @@ def shared_folder(spark: SparkSession, name: str = "stream") -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
+def _store(spark: SparkSession, path: str):
+    """The path and its store, whichever Spark can write to."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a table of files, so that what is not the same on a retry (partition numbers) is fixed."""
+    """df as a table of files, so that what is not the same on a retry (partition numbers) is fixed; the files go when the application ends."""
     path = shared_folder(df.sparkSession, "stage")
     df.write.parquet(path)
+    at, store = _store(df.sparkSession, path)
+    store.deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
-    """Removes a file or folder of any store that Spark can write to."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    """Removes a file or folder."""
+    at, store = _store(spark, path)
+    store.delete(at, True)
 
 
 def numbered(df: DataFrame, keys: list[str], order: list, name: str = "rank") -> DataFrame:
