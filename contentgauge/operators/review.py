@@ -136,11 +136,13 @@ def rubric_scores(scores: DataFrame, rules: DataFrame, weights: dict[str, float]
     """Weighted dimensions x 100, moved by the rules that the item's meta triggers, in 0 to 100; label by 75 and 40.
 
     rules(rule_id, effect, points, keys, op, threshold) is small: a rule with a threshold compares the first of its
-    keys whose number satisfies it, one without is triggered by any key with a value.
+    keys whose number satisfies it, one without is triggered by any key with a value. applied is in the order of
+    rule_no, if rules have one, or else of rule_id, however the rules are dealt over partitions.
     """
     base = 100 * reduce(add, [F.col(f"score_{d}") * w for d, w in weights.items()]) / sum(weights.values())
     items = scores.select("content_id", base.alias("base"), "meta")
-    table = F.broadcast(rules.agg(F.collect_list(F.struct(*rules.columns)).alias("rules")))
+    place = "rule_no" if "rule_no" in rules.columns else "rule_id"
+    table = F.broadcast(rules.agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("place"), *[c for c in rules.columns if c != "rule_no"]))).alias("rules")))
     joined = items.join(table, F.lit(True))
     value = lambda k: F.try_element_at("meta", k)
     number = lambda k: value(k).try_cast("double")

@@ -81,7 +81,7 @@ def f9_merge_issues(spark, sf_dir):
 
 def f17_rubric(spark, sf_dir):
     meta = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("content_id"), F.create_map(F.lit("words"), (F.col("doc_id") % 60).cast("string"), F.lit("editor"), F.when(F.col("doc_id") % 4 == 0, "x").otherwise("")).alias("meta"))
-    rules = spark.createDataFrame(RULES, "rule_id string, effect string, points double, keys array<string>, op string, threshold double")
+    rules = spark.createDataFrame([(k, *r) for k, r in enumerate(RULES)], "rule_no int, rule_id string, effect string, points double, keys array<string>, op string, threshold double")
     found = V.rubric_scores(scores(spark, sf_dir).join(meta.hint("shuffle_hash"), "content_id"), rules, C.DIMENSION_WEIGHTS)
     return found.select("content_id", F.round("base", 9).alias("base"), F.array_join("applied", ",").alias("applied"), F.round("final", 9).alias("final"), "label")
 

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from contentgauge.operators import review
 from contentgauge.plans import trees
+from contentgauge.sources.tables import DIMENSIONS
 from tests.conftest import duck_rows, rows_of
 
 
@@ -21,3 +25,15 @@ def test_structured_body_of_short_articles(spark, tmp_path):
     assert rows_of(found) == duck_rows(c, __spark_entry__.oracle_sql()["b16_structured_body"])
     assert [r.text for r in found.filter("page_id = 2").orderBy("pos").collect()] == ["Ou.", "y" * 97]
     assert [(r.tag, r.text) for r in found.filter("page_id = 6").collect()] == [("div", "An advert's text.")]
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_rules_apply_in_their_own_order(spark, parts):
+    """However rules are dealt over partitions, applied has them by rule_no, or by rule_id without one."""
+    names = ["long", "short", "named"]
+    rules = [(k, n, "bonus", 1.0, ["a"], None, None) for k, n in enumerate(names)]
+    dealt = spark.createDataFrame(rules[::-1], "rule_no int, rule_id string, effect string, points double, keys array<string>, op string, threshold double").repartition(parts)
+    item = spark.range(1).select(F.lit("c").alias("content_id"), *[F.lit(0.5).alias(f"score_{d}") for d in DIMENSIONS], F.create_map(F.lit("a"), F.lit("x")).alias("meta"))
+    weights = dict.fromkeys(DIMENSIONS, 0.2)
+    assert review.rubric_scores(item, dealt, weights).first()["applied"] == names
+    assert review.rubric_scores(item, dealt.drop("rule_no"), weights).first()["applied"] == sorted(names)
