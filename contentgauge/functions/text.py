@@ -72,8 +72,8 @@ def clean_text(text: Column) -> Column:
 
 
 def fingerprint(title: Column, body: Column) -> Column:
-    """MD5 of the joined MD5s of the first 50 words of the lower-cased title and body."""
-    words = F.filter(F.split(F.lower(F.concat(title, F.lit(" "), body)), SPACE), lambda w: w != "")
+    """MD5 of the joined MD5s of the first 50 words of the lower-cased title and body; the text behind them is not split."""
+    words = F.filter(F.split(F.lower(F.concat(title, F.lit(" "), body)), SPACE, 52), lambda w: w != "")  # at most one is empty, and the last is the rest
     return F.md5(F.array_join(F.transform(F.slice(words, 1, 50), F.md5), ""))
 
 

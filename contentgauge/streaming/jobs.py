@@ -15,42 +15,45 @@ from contentgauge.functions import text as T
 from contentgauge.operators import detectors, normalize
 
 
-#: Hours for which a fingerprint is known, and how late rows may be.
-KNOWN_HOURS, LATE = 24, "1 hour"
+#: Hours for which a fingerprint is known, how late rows may be, and groups that fingerprints are dealt into by hash.
+KNOWN_HOURS, LATE, GROUPS = 24, "1 hour", 1024
 _SEEN = "fingerprint string, content_id string, event_time timestamp"
 
 
-def dedup_stream(content: DataFrame, hours: int = KNOWN_HOURS, late: str = LATE) -> DataFrame:
+def dedup_stream(content: DataFrame, hours: int = KNOWN_HOURS, late: str = LATE, groups: int = GROUPS) -> DataFrame:
     """fingerprint, content_id and event_time of the first row of each fingerprint within the hours, by event time.
 
     A row that comes out is known for the hours; the next one after them comes out again. Of a fingerprint's rows in one
     trigger the earliest is first, of equals the smallest content_id. Rows later than the watermark are dropped, and a
     fingerprint's state, one timestamp, goes when the watermark has passed the time until which it is known. A null title
     or text is an empty one.
+
+    A call of the function takes a group of fingerprints with one state, the times until which each is known, as calls
+    and states by fingerprint cost far more than their rows. groups stays the same for a checkpoint; the more
+    fingerprints a day has, the more of them should be.
     """
     known = hours * 3_600_000
 
-    def first(key, groups, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(groups).sort_values(["event_time", "content_id"])
-        until, out = (state.get[0] if state.exists else None), []
-        for content_id, at in zip(rows["content_id"], rows["event_time"], strict=True):
-            now = int(at.timestamp() * 1000)
-            if until is None or now >= until:
-                out.append((key[0], content_id, at))
-                until = now + known
-        if until > state.getCurrentWatermarkMs():
-            state.update((until,))
-            state.setTimeoutTimestamp(until)
+    def first(key, parts, state):
+        rows = None if state.hasTimedOut else pd.concat(parts).sort_values(["at", "content_id"])
+        seen, out = (dict(state.get[0]) if state.exists else {}), []
+        if rows is not None:
+            for fingerprint, now, content_id, at in zip(rows["fingerprint"], rows["at"].tolist(), rows["content_id"], rows["event_time"], strict=True):
+                if now >= seen.get(fingerprint, now):
+                    out.append((fingerprint, content_id, at))
+                    seen[fingerprint] = now + known
+        watermark = state.getCurrentWatermarkMs()
+        if seen := {k: until for k, until in seen.items() if until > watermark}:
+            state.update((seen,))
+            state.setTimeoutTimestamp(min(seen.values()))
         elif state.exists:
             state.remove()
         if out:
             yield pd.DataFrame(out, columns=["fingerprint", "content_id", "event_time"])
 
     keyed = content.select(T.fingerprint(T.text_of("title"), T.text_of("body")).alias("fingerprint"), "content_id", "event_time").withWatermark("event_time", late)
-    return keyed.groupBy("fingerprint").applyInPandasWithState(first, _SEEN, "until bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    dealt = keyed.withColumns({"at": F.unix_millis("event_time"), "dealt": F.pmod(F.hash("fingerprint"), F.lit(groups))})
+    return dealt.groupBy("dealt").applyInPandasWithState(first, _SEEN, "until map<string,bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def quality_gate(content: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ import __spark_entry__
 from contentgauge.operators import review
 from contentgauge.plans import trees
 from contentgauge.sources.tables import DIMENSIONS
+from contentgauge.streaming import jobs
 from tests.conftest import duck_rows, rows_of
 
 
@@ -37,3 +40,17 @@ def test_rules_apply_in_their_own_order(spark, parts):
     weights = dict.fromkeys(DIMENSIONS, 0.2)
     assert review.rubric_scores(item, dealt, weights).first()["applied"] == names
     assert review.rubric_scores(item, dealt.drop("rule_no"), weights).first()["applied"] == sorted(names)
+
+
+def test_fingerprints_share_states(spark, tmp_path):
+    """All fingerprints in one group's state: each is known for its own day, and goes on its own."""
+    now, path, rows = dt.datetime(2024, 1, 1), str(tmp_path / "in"), str(tmp_path / "out")
+    schema, states = "content_id string, title string, body string, event_time timestamp", []
+    row = lambda i, body, hours: (i, "t", body, now + dt.timedelta(hours=hours))
+    for part in ([row("b", "same", 0), row("a", "same", 0), row("c", "other", 20)], [row("d", "same", 23), row("e", "other", 43)], [row("f", "same", 43), row("g", "other", 44)], [row("h", "x", 200)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = jobs.dedup_stream(spark.readStream.schema(schema).parquet(path), groups=1)
+        query = stream.writeStream.format("parquet").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start(rows)
+        query.awaitTermination()
+        states.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert sorted(r.content_id for r in spark.read.parquet(rows).collect()) == ["a", "c", "f", "g", "h"] and states == [1, 1, 1, 1]
