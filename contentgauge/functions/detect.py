@@ -52,9 +52,9 @@ def contains_any(text: Column, parts: list[str]) -> Column:
     return reduce(or_, [text.contains(p) for p in parts])
 
 
-def matches_any(text: Column, patterns: list[str]) -> Column:
-    """Case-insensitive and Unicode-aware, in one pass."""
-    return text.rlike("(?iU)" + "|".join(f"(?:{p})" for p in patterns))
+def matches_any(text: Column, patterns: list[str], starts: str) -> Column:
+    """Case-insensitive and Unicode-aware, in one pass; starts is the class of characters with which some pattern begins, so that most places are left at once."""
+    return text.rlike(f"(?iU)(?={starts})(?:" + "|".join(f"(?:{p})" for p in patterns) + ")")
 
 
 def meta(key: str) -> Column:
@@ -81,6 +81,27 @@ def low_text() -> Column:
     return F.col("_low")
 
 
+def marks() -> dict[str, Column]:
+    """What is looked for in whole texts, as columns: a detector uses a mark in value, confidence and status, but the text is searched once.
+
+    Costly patterns are tried only where they matter: citations with a claim, addresses with an @, stars with reviews.
+    """
+    low, body, text = low_text(), F.col("_body"), F.coalesce("body", F.lit(""))
+    clash = reduce(or_, [(F.instr(body, a) > 0) & (F.instr(body, b) > 0) & (F.abs(F.instr(body, a) - F.instr(body, b)) < 100) for a, b in CONTRADICTIONS])
+    claims = matches_any(text, CLAIMS, r"[\d$srdaf]")
+    reviews = low.contains("reviews")
+    return {
+        "_slang": contains_any(low, [f" {w} " for w in SLANG]), "_clash": clash,
+        "_links": F.when(low.contains("://"), F.size(F.regexp_extract_all(low, F.lit("(https?://[!$-_a-z]+)"), 1))).otherwise(0),
+        "_uses": contains_any(low, AI_FEATURES), "_explained": contains_any(low, EXPLAINED), "_disclosed": contains_any(low, AI_DISCLOSED), "_private": contains_any(low, PRIVACY),
+        "_contact": contains_any(low, CONTACT) | (low.contains("@") & low.rlike(r"(?U)[\w.-]+@[\w.-]+\.\w+")), "_hidden": contains_any(low, COMMERCIAL) & ~contains_any(low, AD_LABELS),
+        # 0 without a claim, 1 with one, 2 with a citation too
+        "_cited": F.when(claims, F.when(matches_any(text, CITATIONS, r"[\[(ascr]"), 2).otherwise(1)).otherwise(0),
+        # 0 without reviews, 1 with, 2 with stars too
+        "_reviews": F.when(reviews, F.when(low.rlike(r"[0-9](\.[0-9])?\s*(out of|/)\s*5"), 2).otherwise(1)).otherwise(0),
+    }
+
+
 def content_type() -> Column:
     """blog, news, article or landing_page by url; else the type in meta or in schema.org; else by channel."""
     low, kind = F.col("_url"), F.lower(F.coalesce(meta("type"), F.lit("")))
@@ -172,11 +193,7 @@ def resonance() -> list[Column]:
 
 
 def coherence() -> list[Column]:
-    low = low_text()
-    slang = contains_any(low, [f" {w} " for w in SLANG])
-    body = F.col("_body")
-    clash = reduce(or_, [(F.instr(body, a) > 0) & (F.instr(body, b) > 0) & (F.abs(F.instr(body, a) - F.instr(body, b)) < 100) for a, b in CONTRADICTIONS])
-    links = F.size(F.regexp_extract_all(low, F.lit("(https?://[!$-_a-z]+)"), 1))
+    slang, clash, links = F.col("_slang"), F.col("_clash"), F.col("_links")
     rate = F.coalesce(F.try_to_number(meta("broken_links"), F.lit("999999")).cast("double"), F.lit(0.0)) / links
     broken = F.when(links > 0, F.when(rate < 0.01, 10.0).when(rate < 0.05, 7.0).when(rate < 0.1, 4.0).otherwise(1.0))
     votes, rating = F.coalesce("upvotes", F.lit(0)), F.coalesce("rating", F.lit(0.0))
@@ -190,20 +207,18 @@ def coherence() -> list[Column]:
 
 
 def citations() -> tuple[Column, Column]:
-    body = F.coalesce("body", F.lit(""))
-    cited = matches_any(body, CITATIONS)
-    return F.when(matches_any(body, CLAIMS), F.when(cited, 10.0).otherwise(2.0)), F.when(cited, 0.85).otherwise(0.8)
+    cited = F.col("_cited")
+    return F.when(cited > 0, F.when(cited == 2, 10.0).otherwise(2.0)), F.when(cited == 2, 0.85).otherwise(0.8)
 
 
 def transparency() -> list[Column]:
-    low = low_text()
-    uses = contains_any(low, AI_FEATURES) | is_true("uses_ai") | is_true("has_recommendations")
-    explained = contains_any(low, EXPLAINED)
-    disclosed, site = contains_any(low, AI_DISCLOSED) | is_true("ai_generated"), is_true("has_global_ai_disclosure")
-    contact = has_key("contact_url", "email", "phone", "address") | low.rlike(r"(?U)[\w.-]+@[\w.-]+\.\w+") | contains_any(low, CONTACT)
+    uses = F.col("_uses") | is_true("uses_ai") | is_true("has_recommendations")
+    explained = F.col("_explained")
+    disclosed, site = F.col("_disclosed") | is_true("ai_generated"), is_true("has_global_ai_disclosure")
+    contact = has_key("contact_url", "email", "phone", "address") | F.col("_contact")
     value, confidence = citations()
     policy = contains_any(F.col("_url"), ["privacy", "legal", "terms"])
-    linked = has_key("privacy_policy_url", "privacy_url", "privacy_policy_link") | contains_any(low, PRIVACY)
+    linked = has_key("privacy_policy_url", "privacy_url", "privacy_policy_link") | F.col("_private")
     missed = content_type().isin("landing_page", "other") & (F.lower(F.coalesce("platform_type", F.lit(""))) == "owned")
     return [
         found("privacy_policy_link_availability_clarity", "transparency", F.when(policy | linked, 10.0).when(missed, 2.0), F.when(policy, 0.95).when(linked, 0.9).otherwise(0.7)),
@@ -216,14 +231,12 @@ def transparency() -> list[Column]:
 
 
 def verification() -> list[Column]:
-    low = low_text()
     value, confidence = citations()
-    hidden = contains_any(low, COMMERCIAL) & ~contains_any(low, AD_LABELS)
+    hidden = F.col("_hidden")
     verified, amazon, helpful = is_true("verified_purchase"), F.col("src") == "amazon", F.coalesce("helpful_count", F.lit(0.0))
     votes = F.coalesce("upvotes", F.lit(0))
     engaged = F.when(content_type().isin("blog", "article", "news", "social_post"), F.when((votes > 100) | (helpful > 10), 9.0).when(votes > 10, 7.0).otherwise(5.0))
-    reviews = low.contains("reviews")
-    stars = low.rlike(r"[0-9](\.[0-9])?\s*(out of|/)\s*5")
+    reviews, stars = F.col("_reviews") > 0, F.col("_reviews") == 2
     review = F.when(amazon, F.when(verified & (helpful > 5), 10.0).when(verified, 8.0).otherwise(5.0)).when(reviews & stars, 8.0).when(reviews, 6.0)
     return [
         found("claim_to_source_traceability", "verification", value, confidence), found("ad_sponsored_label_consistency", "verification", F.when(hidden, 1.0), 0.8),

@@ -53,9 +53,9 @@ def detect_attributes(content: DataFrame, keys: list[str], enabled: list[str] |
     """A row for each content row (keys) and attribute found: attribute_id, dimension, value (1 to 10), confidence, status.
 
     content has body, title, src, modality, channel and, where known, url, meta, platform_type, source_type, upvotes,
-    rating, helpful_count, footer_text and header_text. Rules are columns of one projection over text lower-cased once; nothing is shuffled.
+    rating, helpful_count, footer_text and header_text. Rules are columns of one projection over text lower-cased and searched once; nothing is shuffled.
     """
-    df = with_text(content)
+    df = with_text(content).withColumns(D.marks())
     if "resonance" in dimensions:
         df = with_sentences(df)
     found = F.array_compact(F.concat(*[F.array(*(BY_DIMENSION | OPTIONAL)[d]()) for d in dimensions]))

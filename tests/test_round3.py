@@ -9,11 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from contentgauge.functions import text
 from contentgauge.operators import review
-from contentgauge.plans import trees
+from contentgauge.plans import attributes, trees
 from contentgauge.sources.tables import DIMENSIONS
 from contentgauge.streaming import jobs
-from tests.conftest import duck_rows, rows_of
+from tests.conftest import SF, duck_rows, rows_of
 
 
 def test_structured_body_of_short_articles(spark, tmp_path):
@@ -54,3 +55,16 @@ def test_fingerprints_share_states(spark, tmp_path):
         query.awaitTermination()
         states.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
     assert sorted(r.content_id for r in spark.read.parquet(rows).collect()) == ["a", "c", "f", "g", "h"] and states == [1, 1, 1, 1]
+
+
+def test_texts_are_searched_once(spark):
+    """Each costly pattern stands once in the plan, however many attributes and columns use what it finds."""
+    plan = attributes.e_attributes(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(p) for p in ("billion", "cited by", "out of", "@[")] == [1, 1, 1, 1] and plan.count("https?:") == 1
+
+
+def test_white_space_is_squeezed(spark):
+    """Every run of white space becomes a space, also where a run begins with one."""
+    texts = ["a b", "a  b", " a \n\tb\u00a0c\u2003 d ", "\n a", "a \u3000", "", "   "]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string").select("k", text.squeeze(F.col("x")).alias("y")).orderBy("k").collect()
+    assert [r.y for r in rows] == [" ".join(x.split()) for x in texts]
