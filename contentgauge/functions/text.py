@@ -59,7 +59,8 @@ def text_of(column: str | Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, SPACE, " "))
+    """Runs of white space as one space, trimmed; a single space, which most runs are, is left where it is."""
+    return F.trim(F.regexp_replace(text, r"(?U)(?: \s|[\s&&[^ ]])\s*", " "))
 
 
 def clean_text(text: Column) -> Column:
@@ -77,6 +78,11 @@ def fingerprint(title: Column, body: Column) -> Column:
     return F.md5(F.array_join(F.transform(F.slice(words, 1, 50), F.md5), ""))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def has_any(text: Column, parts: list[str]) -> Column:
     return reduce(or_, [text.contains(p) for p in parts])
 
@@ -87,21 +93,20 @@ def count_of(text: Column, parts: list[str]) -> Column:
 
 def skip_reason(title: Column, body: Column) -> Column:
     """error_page before login_wall before insufficient_content; null for content to score."""
-    title, low = F.lower(F.trim(F.coalesce(title, F.lit("")))), F.lower(F.coalesce(body, F.lit("")))
-    error = title.isin(ERROR_TITLES) | has_any(title, ERROR_TITLE_PARTS) | has_any(F.substring(low, 1, 500), ERROR_BODY_PARTS)
-    login = title.isin(LOGIN_TITLES) | has_any(title, LOGIN_TITLE_PARTS) | has_any(F.substring(low, 1, 1000), LOGIN_BODY_PARTS)
-    short = F.length(F.coalesce(body, F.lit(""))) < MIN_BODY
-    return F.when(error, "error_page").when(login, "login_wall").when(short, "insufficient_content")
+    start = bound(F.lower(F.coalesce(body, F.lit(""))), lambda low: F.struct(F.substring(low, 1, 500).alias("few"), F.substring(low, 1, 1000).alias("more")))
+    texts = F.struct(F.lower(F.trim(F.coalesce(title, F.lit("")))).alias("title"), start.alias("low"), F.length(F.coalesce(body, F.lit(""))).alias("n"))
+    error = lambda x: x["title"].isin(ERROR_TITLES) | has_any(x["title"], ERROR_TITLE_PARTS) | has_any(x["low"]["few"], ERROR_BODY_PARTS)
+    login = lambda x: x["title"].isin(LOGIN_TITLES) | has_any(x["title"], LOGIN_TITLE_PARTS) | has_any(x["low"]["more"], LOGIN_BODY_PARTS)
+    return bound(texts, lambda x: F.when(error(x), "error_page").when(login(x), "login_wall").when(x["n"] < MIN_BODY, "insufficient_content"))
 
 
 def language(text: Column) -> Column:
     """unknown below ten characters; French or Spanish by more than three indicators, and more than English has; else English."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    french, spanish, english = (count_of(low, x) for x in (FRENCH, SPANISH, ENGLISH))
-    return (
-        F.when(F.length(F.trim(low)) < 10, "unknown")
-        .when((french > 3) & (french > english), "fr").when((spanish > 3) & (spanish > english), "es").otherwise("en")
-    )
+    counts = lambda low: F.struct(F.length(F.trim(low)).alias("n"), *[count_of(low, x).alias(c) for c, x in (("fr", FRENCH), ("es", SPANISH), ("en", ENGLISH))])
+    return bound(
+        bound(F.lower(F.coalesce(text, F.lit(""))), counts),
+        lambda c: F.when(c["n"] < 10, "unknown").when((c["fr"] > 3) & (c["fr"] > c["en"]), "fr").when((c["es"] > 3) & (c["es"] > c["en"]), "es").otherwise("en"),
+    )
 
 
 def triage(title: Column, body: Column) -> Column:

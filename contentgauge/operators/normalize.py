@@ -11,8 +11,11 @@ MAX_LENGTH, MIN_LENGTH = 10_000, 10
 
 
 def clean_content(df: DataFrame) -> DataFrame:
-    cleaned = df.withColumns({"title": T.clean_text(F.col("title")), "body": T.clean_text(F.col("body"))})
-    return cleaned.filter("title <> '' or body <> ''")
+    """title and body cleaned; rows with neither go. A filter on cleaned columns would be pushed below them and clean each text twice, so the rows come out of an explode."""
+    cleaned = F.struct(T.clean_text(F.col("title")).alias("title"), T.clean_text(F.col("body")).alias("body"))
+    kept = F.filter(F.array(cleaned), lambda c: (c["title"] != "") | (c["body"] != ""))
+    rows = df.select("*", F.explode_outer(kept).alias("_cleaned")).where("_cleaned is not null")
+    return rows.withColumns({"title": F.col("_cleaned.title"), "body": F.col("_cleaned.body")}).drop("_cleaned")
 
 
 def engagement():
@@ -20,22 +23,33 @@ def engagement():
     return value("rating") * 10 + value("upvotes") + value("helpful_count") * 2
 
 
+def with_fingerprint(df: DataFrame) -> DataFrame:
+    return df.withColumn("fingerprint", T.fingerprint(T.text_of("title"), T.text_of("body")))
+
+
+def with_length(df: DataFrame) -> DataFrame:
+    """n_text, the characters of title and body; validate_length takes it where the texts are left behind."""
+    return df.withColumn("n_text", F.length(T.text_of("title")) + F.length(T.text_of("body")))
+
+
 def dedup_content(df: DataFrame, order_col: str = "seq") -> DataFrame:
     """The row of most engagement of each fingerprint, the first seen of equals.
 
     A fingerprint's best row is an aggregate with map-side minima, so one that very many rows share is reduced where
     they are; the narrow table of best rows meets the content again by fingerprint and order. Rows with equal order
-    and fingerprint all stay.
+    and fingerprint all stay. Both sides need the fingerprint, so where df is costly to make, a written table of it with
+    its fingerprint (with_fingerprint) is better.
     """
-    keyed = df.withColumn("fingerprint", T.fingerprint(T.text_of("title"), T.text_of("body")))
+    keyed = df if "fingerprint" in df.columns else with_fingerprint(df)
     best = F.struct((-engagement()).alias("e"), F.col(order_col).alias("o"))
     first = keyed.groupBy("fingerprint").agg(F.min(best).alias("best")).select("fingerprint", F.col("best.o").alias(order_col))
     return keyed.join(first.hint("shuffle_hash"), ["fingerprint", order_col], "left_semi")
 
 
 def validate_length(df: DataFrame, most: int = MAX_LENGTH, least: int = MIN_LENGTH) -> DataFrame:
-    size = F.length(T.text_of("title")) + F.length(T.text_of("body"))
-    return df.filter(size.between(least, most))
+    sized = df if "n_text" in df.columns else with_length(df)
+    kept = sized.filter(F.col("n_text").between(least, most))
+    return kept.select(*df.columns)
 
 
 def normalization_stats(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:

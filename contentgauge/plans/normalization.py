@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from contentgauge.functions import text as T
 from contentgauge.operators import normalize as N
+from contentgauge.sources import stage
 from contentgauge.sources.tables import CONTENT_SQL, contents
 
 KEYWORDS = ["theating", "wh", "éau"]
@@ -68,8 +69,10 @@ def d4_validate_length(spark, sf_dir):
 
 
 def d5_normalization_stats(spark, sf_dir):
+    """Texts are cleaned once, into a written table of their fingerprints and lengths, and are not shuffled."""
     raw = contents(spark, sf_dir)
-    return N.normalization_stats(raw, N.validate_length(N.dedup_content(N.clean_content(raw))), ["src"])
+    narrow = stage.written(N.with_length(N.with_fingerprint(N.clean_content(raw))).select("seq", "src", "rating", "upvotes", "helpful_count", "fingerprint", "n_text"))
+    return N.normalization_stats(raw, N.validate_length(N.dedup_content(narrow)), ["src"])
 
 
 def d6_skip_reason(spark, sf_dir):

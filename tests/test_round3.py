@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from contentgauge.functions import text
-from contentgauge.operators import review
+from contentgauge.operators import normalize, review
 from contentgauge.plans import attributes, trees
 from contentgauge.sources.tables import DIMENSIONS
 from contentgauge.streaming import jobs
@@ -68,3 +68,14 @@ def test_white_space_is_squeezed(spark):
     texts = ["a b", "a  b", " a \n\tb\u00a0c\u2003 d ", "\n a", "a \u3000", "", "   "]
     rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string").select("k", text.squeeze(F.col("x")).alias("y")).orderBy("k").collect()
     assert [r.y for r in rows] == [" ".join(x.split()) for x in texts]
+
+
+def test_texts_are_cleaned_once(spark):
+    """The filter of rows without text doesn't clean title and body again, and a narrow table with fingerprints and lengths gives the same rows as texts do."""
+    rows = [(1, " A  b ", "text &amp; more", 1.0, 1, 0.0), (2, None, " ", 1.0, 1, 0.0), (3, "A b", "text & more", 2.0, 1, 0.0), (4, "", "x", 0.0, 0, 0.0)]
+    df = spark.createDataFrame(rows, "seq int, title string, body string, rating double, upvotes int, helpful_count double")
+    cleaned = normalize.clean_content(df)
+    assert cleaned._jdf.queryExecution().optimizedPlan().toString().count("&nbsp;") == 2
+    narrow = normalize.with_length(normalize.with_fingerprint(cleaned)).drop("title", "body")
+    of = lambda x: [r.seq for r in normalize.validate_length(normalize.dedup_content(x)).collect()]
+    assert [r.seq for r in cleaned.orderBy("seq").collect()] == [1, 3, 4] and of(cleaned) == of(narrow) == [3]
