@@ -65,7 +65,7 @@ def s2_quality_gate(spark, sf_dir):
         attributes.select("content_id", "attribute_id").write.mode("overwrite").parquet(f"{out}/attributes/batch={number}")
 
     jobs.run_gate(content, sink, f"{out}/checkpoint").awaitTermination()
-    found = spark.read.parquet(f"{out}/attributes").groupBy("content_id").agg(F.count_distinct("attribute_id").alias("n"))
+    found = spark.read.parquet(f"{out}/attributes").groupBy("content_id").agg(F.count("attribute_id").alias("n"))
     rows = spark.read.parquet(f"{out}/gated").join(found.hint("shuffle_hash"), "content_id", "left")
     return rows.select("content_id", "skip_reason", "language", (F.coalesce("n", F.lit(0)) > 0).alias("has_attributes"))
 
