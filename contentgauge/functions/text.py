@@ -92,8 +92,11 @@ def count_of(text: Column, parts: list[str]) -> Column:
 
 
 def skip_reason(title: Column, body: Column) -> Column:
-    """error_page before login_wall before insufficient_content; null for content to score."""
-    start = bound(F.lower(F.coalesce(body, F.lit(""))), lambda low: F.struct(F.substring(low, 1, 500).alias("few"), F.substring(low, 1, 1000).alias("more")))
+    """error_page before login_wall before insufficient_content; null for content to score.
+
+    No character lower-cases to less than one, so the first thousand of the lower-cased body come from its own first thousand.
+    """
+    start = bound(F.lower(F.substring(F.coalesce(body, F.lit("")), 1, 1000)), lambda low: F.struct(F.substring(low, 1, 500).alias("few"), F.substring(low, 1, 1000).alias("more")))
     texts = F.struct(F.lower(F.trim(F.coalesce(title, F.lit("")))).alias("title"), start.alias("low"), F.length(F.coalesce(body, F.lit(""))).alias("n"))
     error = lambda x: x["title"].isin(ERROR_TITLES) | has_any(x["title"], ERROR_TITLE_PARTS) | has_any(x["low"]["few"], ERROR_BODY_PARTS)
     login = lambda x: x["title"].isin(LOGIN_TITLES) | has_any(x["title"], LOGIN_TITLE_PARTS) | has_any(x["low"]["more"], LOGIN_BODY_PARTS)

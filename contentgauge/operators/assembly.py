@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentgauge.functions.config import DIMENSION_WEIGHTS
+from contentgauge.functions.text import bound
 from contentgauge.operators import normalize, review, scoring
 from contentgauge.operators.reports import content_type
 from contentgauge.sources.tables import DIMENSIONS
@@ -47,54 +48,67 @@ def _visual(visual: DataFrame) -> DataFrame:
     return rows.groupBy("content_id").agg(F.array_sort(F.collect_list(F.struct(*columns, F.lit(True).alias("known"), "n"))).cast(f"array<{_SIGNAL}>").alias("_visual"))
 
 
-def _sum(xs: Column, f) -> Column:
-    return F.aggregate(F.transform(xs, f), F.lit(0.0), lambda a, x: a + x)
-
-
-def dimension_score(d: str, signals: Column, defs: Column) -> Column:
+def dimension_score(d: str, signals: Column, defs: Column, own_defs: Column | None = None) -> Column:
     """value (0 to 10), confidence, coverage and level of a dimension from an item's signals; defs maps signal_id to its definition.
 
-    The same rules as scoring.aggregate_dimensions, for signals that are in the row.
+    The same rules as scoring.aggregate_dimensions, for signals that are in the row. own_defs may have the dimension's
+    definitions alone. Spark works out again what a lambda needs wherever it is named, so sums are made in one go and bound.
     """
-    own = F.filter(signals, lambda s: s["dimension"] == d)
-    known = F.filter(own, lambda s: s["known"])
     m = lambda s: F.coalesce(F.try_element_at(defs, s["signal_id"])["multiplier"], F.lit(1.0)) * s["n"]
     v = lambda s: F.when((s["value"] > 1) & (s["value"] <= 10), s["value"] / 10).otherwise(scoring.clamp(s["value"]))
-    w, vw, cw = _sum(known, lambda s: s["weight"] * m(s)), _sum(known, lambda s: v(s) * s["weight"] * m(s)), _sum(known, lambda s: s["confidence"] * s["weight"] * m(s))
-    best = lambda k: F.array_max(F.transform(F.filter(own, lambda s: s["signal_id"] == k), lambda s: F.when(s["known"], F.greatest(s["value"], F.lit(0.0))).otherwise(1.0)))
-    levels = lambda flag: F.transform(F.filter(F.map_entries(defs), lambda e: (e["value"]["dimension"] == d) & e["value"][flag]), lambda e: best(e["key"]))
-    there = F.filter(F.col(f"_core_{d}"), lambda b: b.isNotNull())
-    needed, covered = F.size(f"_core_{d}"), F.size(there)
-    coverage = F.when(needed > 0, covered / needed).otherwise(1.0)
-    low = lambda xs: F.exists(xs, lambda b: F.coalesce(b <= scoring.LOW, F.lit(False)))
-    knocked = low(levels("knockout"))
-    cap = F.when(knocked, 4.0).when(low(F.col(f"_core_{d}")) | (covered < needed), 6.0).otherwise(10.0)
-    cover_cap = F.when(coverage < 0.5, 6.0).when(coverage < 0.8, 8.0).otherwise(10.0)
-    value = F.greatest(F.lit(0.0), F.least(F.coalesce(F.try_divide(vw, w), F.lit(0.0)) * 10, cover_cap, cap))
-    level = F.when((coverage >= 0.8) & ~knocked, "high").when(coverage >= 0.5, "medium").otherwise("low")
-    return F.struct(value.alias("value"), (F.coalesce(F.try_divide(cw, w), F.lit(0.0)) * 0.5 + coverage * 0.5).alias("confidence"), coverage.alias("coverage"), level.alias("level"))
+    add_up = lambda a, s, m: F.struct((a["vw"] + v(s) * s["weight"] * m).alias("vw"), (a["w"] + s["weight"] * m).alias("w"), (a["cw"] + s["confidence"] * s["weight"] * m).alias("cw"))
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("vw", "w", "cw")])
+    sums = F.aggregate(F.filter(signals, lambda s: (s["dimension"] == d) & s["known"]), zero, lambda a, s: bound(m(s), lambda x: add_up(a, s, x)))
+    low = lambda b: F.coalesce(b <= scoring.LOW, F.lit(False))
+    stops = F.filter(F.map_entries(defs if own_defs is None else own_defs), lambda e: (e["value"]["dimension"] == d) & e["value"]["knockout"])
+    knocked = F.exists(stops, lambda e: low(_best(d, signals, e["key"])))
+    core = F.col(f"_core_{d}")
+    coverage = F.when(F.size(core) > 0, F.size(F.filter(core, lambda b: b.isNotNull())) / F.size(core)).otherwise(1.0)
+
+    def row(x: Column) -> Column:
+        covered = x["coverage"]
+        cap = F.when(x["knocked"], 4.0).when(x["weak"] | (covered < 1), 6.0).otherwise(10.0)
+        cover_cap = F.when(covered < 0.5, 6.0).when(covered < 0.8, 8.0).otherwise(10.0)
+        mean = lambda c: F.coalesce(F.try_divide(x["sums"][c], x["sums"]["w"]), F.lit(0.0))
+        value = F.greatest(F.lit(0.0), F.least(mean("vw") * 10, cover_cap, cap))
+        level = F.when((covered >= 0.8) & ~x["knocked"], "high").when(covered >= 0.5, "medium").otherwise("low")
+        return F.struct(value.alias("value"), (mean("cw") * 0.5 + covered * 0.5).alias("confidence"), covered.alias("coverage"), level.alias("level"))
+
+    return bound(F.struct(sums.alias("sums"), knocked.alias("knocked"), F.exists(core, low).alias("weak"), coverage.alias("coverage")), row)
+
+
+def _best(d: str, signals: Column, k: Column) -> Column:
+    """The best value of a signal of a dimension, null where it is missing."""
+    return F.array_max(F.transform(F.filter(signals, lambda s: (s["dimension"] == d) & (s["signal_id"] == k)), lambda s: F.when(s["known"], F.greatest(s["value"], F.lit(0.0))).otherwise(1.0)))
 
 
 def _core(d: str, signals: Column, defs: Column) -> Column:
     """The best value of each required signal of a dimension, null where it is missing."""
-    best = lambda k: F.array_max(F.transform(F.filter(signals, lambda s: (s["dimension"] == d) & (s["signal_id"] == k)), lambda s: F.when(s["known"], F.greatest(s["value"], F.lit(0.0))).otherwise(1.0)))
-    return F.transform(F.filter(F.map_entries(defs), lambda e: (e["value"]["dimension"] == d) & e["value"]["required"]), lambda e: best(e["key"]))
+    return F.transform(F.filter(F.map_entries(defs), lambda e: (e["value"]["dimension"] == d) & e["value"]["required"]), lambda e: _best(d, signals, e["key"]))
 
 
 def _adjusted(d: str) -> Column:
     """The dimension's score moved by the item's attributes, as in scoring.adjust_scores."""
     move = lambda a: (a["value"] - 5.5) * 9
     own = F.filter("_attributes", lambda a: (a["dimension"] == d) & ~(F.coalesce(a["evidence"], F.lit("")).startswith("LLM:") & (move(a) < 0)))
-    s, by = F.col(f"_base_{d}") * 100, F.try_divide(_sum(own, lambda a: move(a) * a["confidence"] * a["n"]), _sum(own, lambda a: a["confidence"] * a["n"]))
-    moved = scoring.clamp(0.7 * s + 0.3 * scoring.clamp(s + by, 0.0, 100.0), 0.0, 100.0) / 100
-    return F.when(by.isNull(), F.col(f"_base_{d}")).otherwise(moved)
+    zero = F.struct(F.lit(0.0).alias("moves"), F.lit(0.0).alias("sure"))
+    add_up = lambda t, a: F.struct((t["moves"] + move(a) * a["confidence"] * a["n"]).alias("moves"), (t["sure"] + a["confidence"] * a["n"]).alias("sure"))
+    s = F.col(f"_base_{d}") * 100
+    moved = lambda by: scoring.clamp(0.7 * s + 0.3 * scoring.clamp(s + by, 0.0, 100.0), 0.0, 100.0) / 100
+    return bound(F.aggregate(own, zero, add_up, lambda t: F.try_divide(t["moves"], t["sure"])), lambda by: F.when(by.isNull(), F.col(f"_base_{d}")).otherwise(moved(by)))
+
+
+def scorable(content: DataFrame) -> DataFrame:
+    """content without what is skipped, and with n_body, the characters of a body, in its place: the text goes no further."""
+    kept = normalize.with_skip_reason(content).filter("skip_reason is null")
+    return kept.withColumn("n_body", F.length(F.coalesce("body", F.lit("")))).drop("body", "skip_reason")
 
 
 def score_rows(content: DataFrame, raw: DataFrame, claims: DataFrame, badges: DataFrame, attributes: DataFrame, visual: DataFrame, attr_map: DataFrame, defs: DataFrame, multipliers: DataFrame, as_of: Column) -> DataFrame:
     """One row for each item that is not skipped, with all that its score rests on.
 
     content(content_id, title, body, url, src, channel, author, published, rating, upvotes, helpful_count,
-    has_guidelines); raw(content_id, provenance, transparency, coherence, resonance: scores of 0 to 1, 0.5 where there is
+    has_guidelines), or scorable's rows of it; raw(content_id, provenance, transparency, coherence, resonance: scores of 0 to 1, 0.5 where there is
     none); claims(content_id, claim_no, claim, status, confidence, reasoning); badges(content_id) of accounts that show
     one; attributes(content_id, attribute_id, dimension, value, confidence, status, evidence), merged with issues
     beforehand where there are any; visual signals(content_id, signal_id, dimension, weight, value, confidence).
@@ -106,11 +120,13 @@ def score_rows(content: DataFrame, raw: DataFrame, claims: DataFrame, badges: Da
     from an input have nothing of it.
     """
     by = "content_id"
-    kept = normalize.with_skip_reason(content).filter("skip_reason is null")
-    items = _dealt(kept.select(by, "title", "body", "url", "src", "channel", "author", "published", "rating", "upvotes", "helpful_count", "has_guidelines"))
+    kept = scorable(content) if "body" in content.columns else content
+    items = _dealt(kept.select(by, "title", "n_body", "url", "src", "channel", "author", "published", "rating", "upvotes", "helpful_count", "has_guidelines"))
     raws = _dealt(raw.select(by, *[F.col(d).alias(f"_raw_{d}") for d in ("provenance", "transparency", "coherence", "resonance")]))
     checked = review.claim_results(_dealt(review.with_badges(claims, badges)))
     named = defs.agg(F.map_from_entries(F.collect_list(F.struct("signal_id", F.struct("dimension", "weight", "required", "knockout", "multiplier")))).alias("_defs"))
+    own_defs = lambda d: F.map_filter("_defs", lambda _, v: v["dimension"] == d)
+    named = named.select("_defs", *[own_defs(d).alias(f"_defs_{d}") for d in DIMENSIONS])
     factors = multipliers.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "dimension", "content_type"), "multiplier"))).alias("_factors"))
     sides = [raws, checked, _attributes(attributes, attr_map, defs), _visual(visual)]
     rows = reduce(lambda a, b: a.join(b.hint("shuffle_hash"), by, "left"), sides, items)
@@ -136,8 +152,8 @@ def score_rows(content: DataFrame, raw: DataFrame, claims: DataFrame, badges: Da
 
     mapped = F.filter("_mapped", lambda s: ~(F.coalesce(F.col("has_guidelines"), F.lit(False)) & (s["signal_id"] == "coh_voice_consistency")))
     rows = rows.withColumn("_signals", F.concat(F.array(*[base(k, *v) for k, v in BASE.items()]), mapped, F.col("_visual")))
-    rows = rows.withColumns({f"_core_{d}": _core(d, F.col("_signals"), F.col("_defs")) for d in DIMENSIONS})
-    rows = rows.withColumns({f"_dim_{d}": dimension_score(d, F.col("_signals"), F.col("_defs")) for d in DIMENSIONS})
+    rows = rows.withColumns({f"_core_{d}": _core(d, F.col("_signals"), F.col(f"_defs_{d}")) for d in DIMENSIONS})
+    rows = rows.withColumns({f"_dim_{d}": dimension_score(d, F.col("_signals"), F.col("_defs"), F.col(f"_defs_{d}")) for d in DIMENSIONS})
     dim = lambda d, k: F.col(f"_dim_{d}")[k]
     weigh = {d: F.when((dim(d, "value") > 0) | (dim(d, "coverage") > 0), DIMENSION_WEIGHTS.get(d, 0.2)).otherwise(0.0) for d in DIMENSIONS}
     mean = lambda k: F.coalesce(F.try_divide(reduce(add, [dim(d, k) * weigh[d] for d in DIMENSIONS]), reduce(add, weigh.values())), F.lit(0.0))

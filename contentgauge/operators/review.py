@@ -69,8 +69,8 @@ def verify_claims(claims: DataFrame, badges: DataFrame | None = None, most: int
 
 
 def confidence_columns() -> dict[str, Column]:
-    """Confidence of each dimension's score from what is known of the item; n_sources counts the pages that verify it."""
-    size = F.length(F.coalesce("body", F.lit("")))
+    """Confidence of each dimension's score from what is known of the item; n_sources counts the pages that verify it, n_body the characters of its body."""
+    size = F.col("n_body")
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     none = F.coalesce(F.col("rating").isNull() & F.col("upvotes").isNull() & F.col("helpful_count").isNull(), F.lit(False))
     return {
@@ -80,7 +80,8 @@ def confidence_columns() -> dict[str, Column]:
 
 
 def confidences(content: DataFrame) -> DataFrame:
-    return content.select("content_id", *[c.alias(d) for d, c in confidence_columns().items()])
+    sized = content.withColumn("n_body", F.length(F.coalesce("body", F.lit(""))))
+    return sized.select("content_id", *[c.alias(d) for d, c in confidence_columns().items()])
 
 
 def quotes(text: Column) -> Column:

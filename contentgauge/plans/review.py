@@ -15,10 +15,11 @@ TYPES = {"broken_links": "coherence", "inconsistent_voice": "coherence", "unclea
 RULES = [("long", "bonus", 5.0, ["words"], ">=", 40.0), ("short", "penalty", 8.0, ["words"], "<", 10.0), ("named", "bonus", 3.0, ["author", "editor"], None, None)]
 
 
-def claims(spark, sf_dir):
+def claims(spark, sf_dir, **more):
+    """Claims of each document, with more columns of it."""
     n = F.col("seq")
-    rows = contents(spark, sf_dir).select("content_id", "seq", F.posexplode(F.sequence(F.lit(0), (n % 7).cast("int"))).alias("claim_no", "k"))
-    return rows.select("content_id", "claim_no", F.element_at(F.array(*map(F.lit, STATUSES)), ((n + F.col("k")) % 4 + 1).cast("int")).alias("status"))
+    rows = contents(spark, sf_dir).select("content_id", n.alias("_n"), *[c.alias(k) for k, c in more.items()], F.posexplode(F.sequence(F.lit(0), (n % 7).cast("int"))).alias("claim_no", "k"))
+    return rows.select("content_id", "claim_no", *more, F.element_at(F.array(*map(F.lit, STATUSES)), ((F.col("_n") + F.col("k")) % 4 + 1).cast("int")).alias("status"))
 
 
 def issues(spark, sf_dir):
@@ -46,8 +47,7 @@ def f6_claims(spark, sf_dir):
 def told_claims(spark, sf_dir):
     """The same claims in words, with the first words of the document as their reasons; some have no confidence or reason."""
     n = F.col("seq")
-    said = contents(spark, sf_dir).select("content_id", F.substring("body", 1, 40).alias("words"), "seq")
-    c = claims(spark, sf_dir).join(said.hint("shuffle_hash"), "content_id")
+    c = claims(spark, sf_dir, words=F.substring("body", 1, 40), seq=n)
     return c.select("content_id", "claim_no", "status", F.concat(F.lit("claim "), "claim_no").alias("claim"), F.when(n % 3 > 0, (n % 10) / 10.0).alias("confidence"), F.when(n % 4 > 0, F.col("words")).alias("reasoning"))
 
 

@@ -37,7 +37,7 @@ def _assembled(spark, sf_dir):
     """Documents with the url of the page of their id, told claims, badges, attributes, visual signals and raw scores from their ids; some parts are missing for some."""
     n = F.col("seq")
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), "url")
-    c = contents(spark, sf_dir).join(pages.hint("shuffle_hash"), "seq", "left").withColumns({
+    c = assembly.scorable(contents(spark, sf_dir)).join(pages.hint("shuffle_hash"), "seq", "left").withColumns({
         "author": F.when(n % 3 == 0, "Ann"), "published": F.when(n % 6 > 0, F.timestamp_seconds(F.lit(1_700_000_000) - (n % 500) * 86_400)), "has_guidelines": n % 2 == 0, "rating": F.when(n % 8 > 0, F.col("rating")), "upvotes": F.when(n % 8 > 0, F.col("upvotes")),
         "helpful_count": F.when(n % 8 > 0, F.col("helpful_count")), "src": F.when(n % 5 == 0, "amazon").when(n % 5 == 1, "reddit").otherwise(F.col("src")),
     })
@@ -48,13 +48,18 @@ def _assembled(spark, sf_dir):
     return assembly.score_rows(c, raw, told_claims(spark, sf_dir), badges, attributes(spark, sf_dir).filter("content_id not like '%7'"), f24_visual_signals(spark, sf_dir), C.attribute_map(spark), C.signal_defs(spark), factors, as_of)
 
 
+#: What f13_score_rows shows of a payload, which is parsed once.
+PAYLOAD = """score_debug struct<verification: struct<multiplier: double>, coherence: struct<adjusted_score: double>>, adjusted struct<resonance: double, verification: double>,
+claim_issues array<struct<suggestion: string>>, detected_attributes array<struct<attribute_id: string>>, dimensions struct<coherence: struct<level: string>>"""
+
+
 def f13_score_rows(spark, sf_dir):
     """Score rows with all their parts; of the payload, what each part has put there."""
-    shown = lambda path, kind="double": F.get_json_object("meta", path).cast(kind)
-    return _assembled(spark, sf_dir).select(
+    shown = lambda path: F.col(f"_shown.{path}")
+    return _assembled(spark, sf_dir).withColumn("_shown", F.from_json("meta", PAYLOAD)).select(
         "content_id", *[F.round(d, 9).alias(d) for d in DIMENSIONS], *[F.round(x, 9).alias(x) for x in ("overall", "confidence", "coverage")], "band", "content_type", "supported", "contradicted", "unverified", "n_attributes",
-        shown("$.score_debug.verification.multiplier").alias("multiplier"), shown("$.score_debug.coherence.adjusted_score").alias("multiplied_coherence"), shown("$.adjusted.resonance").alias("moved_resonance"), shown("$.adjusted.verification").alias("moved_verification"),
-        F.json_array_length(F.get_json_object("meta", "$.claim_issues")).alias("n_issues"), shown("$.claim_issues[0].suggestion", "string").alias("first_issue"), shown("$.detected_attributes[0].attribute_id", "string").alias("first_attribute"), shown("$.dimensions.coherence.level", "string").alias("coherence_level"),
+        shown("score_debug.verification.multiplier").alias("multiplier"), shown("score_debug.coherence.adjusted_score").alias("multiplied_coherence"), shown("adjusted.resonance").alias("moved_resonance"), shown("adjusted.verification").alias("moved_verification"),
+        F.size(shown("claim_issues")).alias("n_issues"), F.get(shown("claim_issues"), 0)["suggestion"].alias("first_issue"), F.get(shown("detected_attributes"), 0)["attribute_id"].alias("first_attribute"), shown("dimensions.coherence.level").alias("coherence_level"),
     )
 
 

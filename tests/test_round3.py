@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from contentgauge.functions import text
 from contentgauge.operators import normalize, review
-from contentgauge.plans import attributes, trees
+from contentgauge.plans import attributes, runs, trees
 from contentgauge.sources.tables import DIMENSIONS
 from contentgauge.streaming import jobs
 from tests.conftest import SF, duck_rows, rows_of
@@ -79,3 +79,31 @@ def test_texts_are_cleaned_once(spark):
     narrow = normalize.with_length(normalize.with_fingerprint(cleaned)).drop("title", "body")
     of = lambda x: [r.seq for r in normalize.validate_length(normalize.dedup_content(x)).collect()]
     assert [r.seq for r in cleaned.orderBy("seq").collect()] == [1, 3, 4] and of(cleaned) == of(narrow) == [3]
+
+
+def _exchanged(node) -> set[str]:
+    """The columns that a plan's exchanges deal."""
+    own = {node.output().apply(k).name() for k in range(node.output().size())} if node.nodeName() == "Exchange" else set()
+    return own.union(*(_exchanged(node.children().apply(k)) for k in range(node.children().size())))
+
+
+def test_score_rows_leave_texts_behind(spark):
+    """Of a body, its length and verdict are dealt; sums of a dimension are made in one go and the payload is parsed once."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        done = runs.f13_score_rows(spark, SF)._jdf.queryExecution()
+        assert "n_body" in (dealt := _exchanged(done.executedPlan())) and not dealt & {"text", "body"}
+        plan = done.optimizedPlan().toString()
+        assert plan.count("aggregate(") == 2 * len(DIMENSIONS) and "get_json_object(meta" not in plan
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_gates_read_the_first_characters_only(spark):
+    """A phrase counts up to the five-hundredth (errors) and the thousandth (logins) of the lower-cased characters, of which some characters give two."""
+    cases = [("x" * 487 + "ACCESS DENIED", "error_page"), ("x" * 488 + "ACCESS DENIED", None), ("İ" * 243 + "x" + "access denied", "error_page"), ("İ" * 244 + "access denied", None), ("Σ" * 993 + "Captcha", "login_wall"), ("Σ" * 994 + "Captcha", None)]
+    df = spark.createDataFrame([(k, "t", b + "y" * 600) for k, (b, _) in enumerate(cases)], "k int, title string, body string")
+    assert [r.skip_reason for r in normalize.with_skip_reason(df).orderBy("k").collect()] == [why for _, why in cases]
+    assert "lower(substring(coalesce(body" in normalize.with_skip_reason(df)._jdf.queryExecution().optimizedPlan().toString()
