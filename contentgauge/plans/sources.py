@@ -126,17 +126,22 @@ def a11_prune(spark, sf_dir):
 
 
 def a11_prune_written(spark, sf_dir):
-    """The same on tables partitioned by the year of the run: rows deleted, and rows and years left of each table."""
+    """The same on tables partitioned by the year of the run: rows deleted, and rows and years left of each table.
+
+    Scores are made from the written assets and the summary from the written runs, so that line items meet orders once;
+    no table is dealt by year, as a task writes one file for each of a few years.
+    """
     o, i = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     year = F.year("o_orderdate").alias("year")
     runs = o.select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").cast("timestamp").alias("started_at"), year)
     assets = i.join(o.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("asset_id"), F.col("l_orderkey").alias("run_id"), year)
     out = shared_folder(spark, "lake")
-    for name, df in {"runs": runs, "assets": assets, "scores": assets.drop("run_id"), "summary": runs.drop("started_at")}.items():
-        df.hint("rebalance", "year").write.partitionBy("year").parquet(f"{out}/{name}")
+    back = lambda name: spark.read.parquet(f"{out}/{name}")
+    for name, df in {"runs": lambda: runs, "assets": lambda: assets, "scores": lambda: back("assets").drop("run_id"), "summary": lambda: back("runs").drop("started_at")}.items():
+        df().write.partitionBy("year").parquet(f"{out}/{name}")
     names = ["runs", "assets", "scores", "summary"]
     counts = W.prune_written(spark, out, dict.fromkeys(names, ["year"]), F.to_timestamp(F.lit("2001-08-02")), 1000)
-    left = lambda name: spark.read.parquet(f"{out}/{name}").agg(F.count("*").alias("n_left"), F.count_distinct("year").alias("years")).select(F.lit(name).alias("table"), F.lit(counts[name]).cast("bigint").alias("deleted"), "n_left", "years")
+    left = lambda name: back(name).agg(F.count("*").alias("n_left"), F.count_distinct("year").alias("years")).select(F.lit(name).alias("table"), F.lit(counts[name]).cast("bigint").alias("deleted"), "n_left", "years")
     return reduce(DataFrame.unionByName, map(left, names))
 
 

@@ -55,15 +55,18 @@ def prune_runs(tables: dict[str, DataFrame], as_of, days: int) -> tuple[dict[str
     return kept, old.count()
 
 
-def delete_rows(spark: SparkSession, path: str, gone: DataFrame, on: str, by: list[str]) -> int:
+def delete_rows(spark: SparkSession, path: str, gone: DataFrame, on: str, by: list[str], hits: DataFrame | None = None) -> int:
     """Deletes the rows of a table, partitioned by some columns, whose key is in gone; returns how many went.
 
     Only partitions that hold such rows are written again, and swapped by Spark's committer; those that hold nothing else
     are removed; the files of all others stay as they are. gone must not read the table. Doing it again deletes nothing.
+    hits, where they are known, has the partition columns of each row that goes, so that the table is dealt once less.
     """
     df = spark.read.parquet(path)
-    marked = df.join(gone.select(on).distinct().withColumn("_gone", F.lit(True)).hint("shuffle_hash"), on, "left")
-    held = marked.groupBy(*by).agg(F.count("*").alias("_n"), F.count_if(F.col("_gone")).alias("_old")).filter("_old > 0")
+    if hits is None:
+        hits = df.join(gone.select(on).distinct().hint("shuffle_hash"), on, "left_semi")
+    both = df.select(*by, F.lit(1).alias("_n"), F.lit(0).alias("_old")).unionByName(hits.select(*by, F.lit(0).alias("_n"), F.lit(1).alias("_old")))
+    held = both.groupBy(*by).agg(F.sum("_n").alias("_n"), F.sum("_old").alias("_old")).filter("_old > 0")
     touched = stage.written(held.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_n", "_old"))  # a row for each partition
     emptied = touched.filter("_n = _old").select(*[F.col(f"_by_{c}").alias(c) for c in by]).collect()
     same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
@@ -78,10 +81,11 @@ def prune_written(spark: SparkSession, root: str, by: dict[str, list[str]], as_o
     """Deletes runs that started more than days before as_of, with their assets, scores and summary, from the tables under root; rows deleted by table.
 
     by has the partition columns of each table, whose values need no escaping in a path. Scores go first and runs last,
-    so a cascade that was cut off is carried on by the next call.
+    so a cascade that was cut off is carried on by the next call. Assets meet old runs once, for their own partitions and
+    for the scores.
     """
     read = lambda name: spark.read.parquet(f"{root}/{name}")
     old = stage.written(read("runs").filter(F.col("started_at") < F.lit(as_of) - F.make_dt_interval(F.lit(days))).select("run_id"))
-    gone = stage.written(read("assets").join(old.hint("shuffle_hash"), "run_id", "left_semi").select("asset_id"))
+    gone = stage.written(read("assets").join(old.hint("shuffle_hash"), "run_id", "left_semi").select(*dict.fromkeys(["asset_id", *by.get("assets", [])])))
     ids = {"scores": (gone, "asset_id"), "assets": (old, "run_id"), "summary": (old, "run_id"), "runs": (old, "run_id")}
-    return {name: delete_rows(spark, f"{root}/{name}", *ids[name], by[name]) for name in ids if name in by}
+    return {name: delete_rows(spark, f"{root}/{name}", *ids[name], by[name], gone if name == "assets" else None) for name in ids if name in by}

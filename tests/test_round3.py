@@ -6,12 +6,13 @@ import datetime as dt
 
 import duckdb
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from contentgauge.functions import text
 from contentgauge.operators import normalize, review
-from contentgauge.plans import attributes, runs, trees
+from contentgauge.plans import attributes, runs, sources, trees
 from contentgauge.sources.tables import DIMENSIONS
 from contentgauge.streaming import jobs
 from tests.conftest import SF, duck_rows, rows_of
@@ -107,3 +108,18 @@ def test_gates_read_the_first_characters_only(spark):
     df = spark.createDataFrame([(k, "t", b + "y" * 600) for k, (b, _) in enumerate(cases)], "k int, title string, body string")
     assert [r.skip_reason for r in normalize.with_skip_reason(df).orderBy("k").collect()] == [why for _, why in cases]
     assert "lower(substring(coalesce(body" in normalize.with_skip_reason(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_retention_deals_each_table_once(spark, duck, monkeypatch):
+    """Line items meet orders for the assets only, nothing is dealt by year before the retention, and in it assets meet old runs once to be counted and for the scores."""
+    found, write = [], DataFrameWriter.parquet
+
+    def parquet(self, path, *args, **kwargs):
+        plan = self._df._jdf.queryExecution().optimizedPlan().toString()
+        found.append((path.rsplit("/", 1)[1].split("-")[0], plan.count("Join "), plan.count("RebalancePartitions")))
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    assert rows_of(sources.a11_prune_written(spark, SF)) == duck_rows(duck, __spark_entry__.oracle_sql()["a11_prune_written"])
+    assert found[:4] == [("runs", 0, 0), ("assets", 1, 0), ("scores", 0, 0), ("summary", 0, 0)]
+    assert [joins for name, joins, _ in found[4:] if name == "stage"] == [0, 1, 1, 0, 1, 1]  # old runs, their assets; partitions of scores, assets, summary and runs
